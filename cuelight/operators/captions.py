@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import squeeze
+from ..plans.rows import computed
 from ..plans.scan import following, last_known, next_known, ordered_scan, previous, running
 
 # Phrase limits that results depend on.
@@ -35,27 +36,24 @@ def spread_text(texts: DataFrame, seconds_per_char: float) -> DataFrame:
     )
 
 
-def _words() -> tuple[Column, Column, Column]:
-    """Blank flags of this row's characters, and where words begin and end."""
-    chars, n = F.col("characters"), F.size("characters")
-    blank = F.transform(chars, _blank)
-    at = F.sequence(F.lit(1), n)
-    is_blank = lambda i: F.coalesce(F.try_element_at(F.col("_blank"), i), F.lit(True))
-    begins = F.filter(at, lambda i: ~is_blank(i) & ((i == 1) | is_blank(F.greatest(i - 1, F.lit(1)))))
-    ends = F.filter(at, lambda i: ~is_blank(i) & ((i == n) | is_blank(i + 1)))
-    return blank, begins, ends
-
-
 def with_words(alignments: DataFrame) -> DataFrame:
-    """Add ``words``: array of (text, start, end)."""
-    blank, begins, ends = _words()
-    marked = alignments.filter(F.size("characters") > 0).withColumn("_blank", blank)
-    marked = marked.withColumn("_span", F.arrays_zip(begins.alias("b"), ends.alias("e")))
+    """Add ``words``: array of (text, start, end), from the blanks around them."""
+    rows = alignments.filter(F.size("characters") > 0)
+    chars, gap = F.col("characters"), F.array(F.lit(" "))
+    rows = computed(rows, {c: F.col(c) for c in ("characters", "start_times", "end_times")})
+    placed = F.arrays_zip(
+        chars.alias("ch"), F.concat(gap, chars).alias("before"), F.concat(F.slice(chars, 2, F.size(chars)), gap).alias("after"),
+        F.sequence(F.lit(1), F.size(chars)).alias("i"),
+    )
+    edge = lambda side: F.transform(
+        F.filter(placed, lambda z: z["i"].isNotNull() & ~_blank(z["ch"]) & _blank(z[side])), lambda z: z["i"]
+    )
+    rows = computed(rows, {"_span": F.arrays_zip(edge("before").alias("b"), edge("after").alias("e"))})
     word = lambda s: F.struct(
         F.array_join(F.slice("characters", s["b"], s["e"] - s["b"] + 1), "").alias("text"),
         F.element_at("start_times", s["b"]).alias("start"), F.element_at("end_times", s["e"]).alias("end"),
     )
-    return marked.withColumn("words", F.transform("_span", word)).drop("_blank", "_span")
+    return rows.withColumn("words", F.transform("_span", word)).drop("_span")
 
 
 def extract_words(alignments: DataFrame) -> DataFrame:
@@ -110,15 +108,16 @@ def phrase_alignments(
     Phrases end at sentence marks, at commas once long enough, and at blanks when
     a limit is reached. Short ones are extended, none reaches into the next.
     """
-    rows = with_words(alignments).withColumn("_blank", F.transform("characters", _blank))
-    rows = rows.withColumn("_spans", _phrase_spans(max_words, max_chars))
+    rows = with_words(alignments)
+    rows = computed(rows, {"words": F.col("words"), "_blank": F.transform("characters", _blank)})
+    rows = computed(rows, {"_spans": _phrase_spans(max_words, max_chars)})
     phrase = lambda s: F.struct(
         F.trim(F.regexp_replace(
             F.array_join(F.slice("characters", s["b"], s["e"] - s["b"] + 1), ""), r"(?U)^\s+|\s+$", "")).alias("text"),
         F.element_at("start_times", s["b"]).alias("start"), F.element_at("end_times", s["e"]).alias("end"),
     )
     spoken = F.filter(F.transform("_spans", phrase), lambda p: p["text"].rlike(r"[\p{L}\p{N}]"))
-    rows = rows.withColumn("_phrases", spoken)
+    rows = computed(rows, {"_phrases": spoken})
     shortest = F.lit(float(min_seconds))
 
     def timed(p: Column, i: Column) -> Column:

@@ -9,6 +9,7 @@ from ..functions import semi
 from ..functions.numeric import blend_score, seconds
 from ..plans.fold import ordered_fold
 from ..plans.groups import broadcast_if_small
+from ..plans.rows import computed
 from ..plans.scan import islands, number, ordered_scan, previous, running
 from .signal import score_audio
 
@@ -53,7 +54,7 @@ def coerce_replies(replies: DataFrame, profiles: DataFrame) -> DataFrame:
     taxonomy, signal_keys`` (arrays). Returns ``chunk_id, event_no`` and the event
     fields. A reply is one row, so all its events are handled inside that row.
     """
-    rows = replies.join(broadcast_if_small(profiles), "profile", "left").withColumns({
+    rows = computed(replies.join(broadcast_if_small(profiles), "profile", "left"), {
         "_allowed": F.coalesce("taxonomy", F.array().cast("array<string>")),
         "_keys": F.coalesce("signal_keys", F.array().cast("array<string>")),
         "_doc": semi.tolerant_json(F.col("text")),
@@ -66,14 +67,15 @@ def coerce_replies(replies: DataFrame, profiles: DataFrame) -> DataFrame:
     raw = F.when(semi.is_list(doc), semi.get(doc, "$", "array<variant>")).when(
         semi.is_object(doc), semi.get(doc, "$.events", "array<variant>")
     )
-    rows = rows.withColumn("_raw", raw)
+    rows = computed(rows, {"_raw": raw})
     objects = F.filter(F.col("_raw"), semi.is_object)
     usable = F.filter(F.transform(objects, lambda v: coerced(v, False)), lambda e: e.isNotNull())
     ordered = F.transform(
         F.array_sort(F.transform(usable, lambda e, i: F.struct(e["start"].alias("at"), i.alias("i"), as_event(e).alias("e")))),
         lambda x: x["e"],
     )
-    rows = rows.withColumns({"_objects": objects, "_events": _pruned(ordered)})
+    rows = computed(rows, {"_objects": objects, "_ordered": ordered})
+    rows = computed(rows, {"_events": _pruned(F.col("_ordered"))})
     flat = F.when(semi.is_object(doc), doc).otherwise(F.parse_json(F.lit("{}")))
     salvaged = (
         coerced(F.element_at("_objects", 1), True)

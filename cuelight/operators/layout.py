@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import scale_factor, scaled, scaled_even
 from ..plans.intervals import interval_join
+from ..plans.rows import computed
 from ..plans.scan import ordered_scan, running
 
 # Levels and limits that results depend on.
@@ -119,6 +120,9 @@ def cues_within(track: DataFrame, video: DataFrame, chosen: DataFrame) -> DataFr
 
 def rescale(edls: DataFrame, factor: Column) -> DataFrame:
     """Scale every pixel field of nested edit documents; a factor of 1 changes nothing."""
+    edls = computed(edls, {"_factor": factor})
+    factor = F.col("_factor")
+
     def changed(old: Column, new: Column) -> Column:
         return F.when(factor == 1.0, old).otherwise(new)
 
@@ -146,7 +150,7 @@ def rescale(edls: DataFrame, factor: Column) -> DataFrame:
             "video", lambda c: c.withField("reframe_offset", scaled(c["reframe_offset"], factor)))),
         "annotations": changed(F.col("annotations"), F.transform("annotations", drawn)),
         "captions": changed(captions, sized),
-    })
+    }).drop("_factor")
 
 
 def rescale_to(edls: DataFrame, preset: str) -> DataFrame:

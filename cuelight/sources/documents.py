@@ -15,6 +15,15 @@ def _empty() -> Column:
     return F.array().cast(_NONE)
 
 
+def _inside(fn, *args):
+    """``fn`` over an array element, with the other arguments fixed."""
+    return lambda v: fn(v, *args)
+
+
+def _not_in(leaf: str, allowed: list[str]):
+    return lambda v: ~F.coalesce(v[leaf].isin(allowed), F.lit(True))
+
+
 def unknown_keys(doc: Column, schema: StructType, path: str = "") -> Column:
     """Paths of keys that ``schema`` does not know, as an array."""
     keys = F.map_keys(get(doc, "$", "map<string,variant>"))
@@ -26,7 +35,7 @@ def unknown_keys(doc: Column, schema: StructType, path: str = "") -> Column:
         elif isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
             inner, where = f.dataType.elementType, f"{path}{f.name}[]."
             items = get(doc, f"$.{f.name}", "array<variant>")
-            found.append(F.flatten(F.transform(items, lambda v, s=inner, w=where: unknown_keys(v, s, w))))
+            found.append(F.flatten(F.transform(items, _inside(unknown_keys, inner, where))))
     return F.concat(*[F.coalesce(c, _empty()) for c in found])
 
 
@@ -43,7 +52,7 @@ def missing_fields(value: Column, schema: StructType, path: str = "") -> Column:
         elif isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
             inner_type = f.dataType.elementType
             found.append(F.coalesce(
-                F.flatten(F.transform(field, lambda v, s=inner_type, w=where: missing_fields(v, s, w + "[]."))),
+                F.flatten(F.transform(field, _inside(missing_fields, inner_type, where + "[]."))),
                 _empty(),
             ))
     return F.concat(*found) if found else _empty()
@@ -59,7 +68,7 @@ def bad_choices(value: Column, choices: dict[str, list[str]]) -> Column:
             column = column[part]
         wrong = ~F.coalesce(column[leaf].isin(allowed), F.lit(True))
         if path.split(".")[0] in ("video", "audio", "ost", "annotations"):
-            wrong = F.exists(column, lambda v, a=allowed, n=leaf: ~F.coalesce(v[n].isin(a), F.lit(True)))
+            wrong = F.exists(column, _not_in(leaf, allowed))
         found.append(F.when(F.coalesce(wrong, F.lit(False)), F.array(F.lit(path))).otherwise(_empty()))
     return F.concat(*found)
 
@@ -74,8 +83,8 @@ def with_defaults(value: Column, schema: StructType) -> Column:
         elif isinstance(f.dataType, ArrayType):
             inner = f.dataType.elementType
             if isinstance(inner, StructType):
-                c = F.transform(c, lambda v, s=inner: with_defaults(v, s))
-            c = F.coalesce(c, F.array().cast(_plain(f.dataType)))
+                c = F.transform(c, _inside(with_defaults, inner))
+            c = F.coalesce(c, F.array().cast(_relaxed(f.dataType)))
         elif isinstance(f.dataType, MapType):
             c = F.coalesce(c, F.create_map().cast(f.dataType))
         elif "default" in f.metadata:
@@ -84,12 +93,8 @@ def with_defaults(value: Column, schema: StructType) -> Column:
     return F.struct(*fields)
 
 
-def _plain(kind):
-    """The same type with every field nullable."""
-    return _relaxed(kind)
-
-
 def _relaxed(kind):
+    """The same type with every field nullable."""
     if isinstance(kind, StructType):
         out = StructType()
         for f in kind:
