@@ -48,26 +48,28 @@ def read_catalog(spark: SparkSession, root: str) -> Catalog:
     })
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("source_id"), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int")
 
 
 # Sort keys that make file statistics useful for each table's usual filter.
 _SORT = {"clips": ["source_id", "source_in"], "postings": ["term", "clip_id"], "clip_categories": ["category"]}
 
 
-def write_catalog(catalog: Catalog, root: str, touched: DataFrame | None = None) -> None:
+def write_catalog(catalog: Catalog, root: str, touched: DataFrame | None = None, buckets: int = BUCKETS) -> None:
     """Write all tables below ``root``; with ``touched`` (``source_id`` rows) only
-    the buckets of those sources are replaced, all other files stay as they are."""
+    the buckets of those sources are replaced, all other files stay as they are.
+    A catalog keeps the number of buckets it was first written with."""
+    bucket = _bucket(buckets)
     mode = "static"
     tables = catalog.tables()
     if touched is not None:
         mode = "dynamic"
-        ids = [r[0] for r in touched.select(_bucket()).distinct().collect()]  # at most BUCKETS numbers
+        ids = [r[0] for r in touched.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
         # The same files are read and replaced, so the new rows are written aside first.
-        tables = {n: checkpointed(t.filter(_bucket().isin(ids))) for n, t in tables.items()}
+        tables = {n: checkpointed(t.filter(bucket.isin(ids))) for n, t in tables.items()}
     for name, table in tables.items():
-        rows = table.withColumn("bucket", _bucket())
+        rows = table.withColumn("bucket", bucket)
         order = ["bucket", *_SORT.get(name, ["source_id"])]
         (
             rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -139,7 +141,8 @@ def ingest(catalog: Catalog, manifests: DataFrame, fingerprints: DataFrame | Non
     result row per extract: ``manifest_path, source_id, extract_id, clip_count,
     created``.
     """
-    rows = prepare_manifests(manifests, fingerprints)
+    # Every table is derived from the batch, so it is parsed and written aside once.
+    rows = checkpointed(prepare_manifests(manifests, fingerprints))
     latest = _latest(rows, "extract_id", "manifest_path")
 
     seen = catalog.sources.select("source_id", F.col("has_audio").alias("_had"))

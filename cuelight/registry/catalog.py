@@ -291,7 +291,7 @@ def catalog_written(spark, sf):
     from ..plans.session import scratch_path
 
     path = scratch_path(spark, "catalog")
-    cat.write_catalog(views.catalog(spark, sf), path)
+    cat.write_catalog(views.catalog(spark, sf), path, buckets=16)
     return cat.read_catalog(spark, path).clips.select("clip_id", "score", "source_in", "extract_id")
 
 

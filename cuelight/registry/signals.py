@@ -57,8 +57,8 @@ def loudness_peaks(spark, sf):
 @query("audio_factor", _B + """, lv AS (SELECT source_id, min(db) AS lo, max(db) AS hi FROM v_samples GROUP BY source_id),
 pk AS (SELECT clip_id, c.source_id, max(db) AS peak FROM v_clips c LEFT JOIN v_samples s
   ON s.source_id = c.source_id AND s.t BETWEEN c.source_in AND c.source_out GROUP BY ALL)
-SELECT clip_id, coalesce(round((peak - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END * 100.0, 2), 0.0) AS audio_factor,
-  round(peak, 2) AS peak_db FROM pk LEFT JOIN lv USING (source_id)""")
+SELECT clip_id, coalesce(round_even((peak - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END * 100.0, 2), 0.0) AS audio_factor,
+  round_even(peak, 2) AS peak_db FROM pk LEFT JOIN lv USING (source_id)""")
 def audio_factor(spark, sf):
     return sig.score_audio(_spans(spark, sf), views.samples(spark, sf), "clip_id").select("clip_id", "audio_factor", "peak_db")
 
@@ -99,10 +99,10 @@ n AS (SELECT c.*, row_number() OVER (PARTITION BY source_id ORDER BY source_in,
 i AS (SELECT clip_id, source_id, no, score, greatest(0.0, least(source_in, 900.0)) AS s, greatest(0.0, least(source_out, 900.0)) AS e FROM n),
 pk AS (SELECT clip_id, i.source_id, no, score, s, e, max(db) AS peak FROM i LEFT JOIN v_samples a
   ON a.source_id = i.source_id AND a.t BETWEEN s AND e WHERE e > s GROUP BY ALL),
-f AS (SELECT *, coalesce(round((peak - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END * 100.0, 2), 0.0) AS af FROM pk LEFT JOIN lv USING (source_id))
+f AS (SELECT *, coalesce(round_even((peak - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END * 100.0, 2), 0.0) AS af FROM pk LEFT JOIN lv USING (source_id))
 SELECT source_id, 'clip_' || CASE WHEN no < 10 THEN '0' ELSE '' END || no AS clip_local_id, clip_id AS event_id,
   CAST(s AS DOUBLE) AS source_in, CAST(e AS DOUBLE) AS source_out,
-  CAST(round_even(CAST(0.7 AS DOUBLE) * score + CAST(0.3 AS DOUBLE) * af, 0) AS INTEGER) AS score, round(peak, 2) AS peak_loudness_db FROM f""")
+  CAST(round_even(CAST(0.7 AS DOUBLE) * score + CAST(0.3 AS DOUBLE) * af, 0) AS INTEGER) AS score, round_even(peak, 2) AS peak_loudness_db FROM f""")
 def built_clips(spark, sf):
     c = views.clips(spark, sf)
     e = c.select("source_id", F.col("clip_id").alias("event_id"), F.col("source_in").alias("start"),

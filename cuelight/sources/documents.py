@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from ..functions.semi import get
+from ..plans.rows import computed
 
 _NONE = "array<string>"
 
@@ -115,7 +116,7 @@ def parse_documents(
     """
     raw = F.col(column)
     others = [c for c in texts.columns if c != column]
-    read = texts.select("*", F.from_json(raw, _relaxed(schema)).alias("_doc"), F.try_parse_json(raw).alias("_v"))
+    read = computed(texts, {"_doc": F.from_json(raw, _relaxed(schema)), "_v": F.try_parse_json(raw)})
     problems = F.when(F.col("_v").isNull() | F.col("_doc").isNull(), F.array(F.lit("not a JSON object"))).otherwise(
         F.concat(
             F.transform(unknown_keys(F.col("_v"), schema), lambda k: F.concat(F.lit("unknown key: "), k)),
@@ -124,7 +125,7 @@ def parse_documents(
               if choices else []),
         )
     )
-    judged = read.withColumn("problems", problems)
+    judged = computed(read, {"problems": problems})
     good = judged.filter(F.size("problems") == 0).select(
         *others, with_defaults(F.col("_doc"), schema).alias("_full")
     ).select(*others, "_full.*")
