@@ -7,7 +7,11 @@ work.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import squeeze
 from ..plans.rows import computed
@@ -22,8 +26,12 @@ SOFT_BREAKS = [",", ";", ":"]
 START_TOLERANCE = 1e-6
 
 
+# Every white-space character.
+BLANKS = [chr(code) for code in range(0x3001) if chr(code).isspace()]
+
+
 def _blank(ch: Column) -> Column:
-    return ch.rlike(r"^(?U)\s$")
+    return ch.isin(BLANKS)
 
 
 def spread_text(texts: DataFrame, seconds_per_char: float) -> DataFrame:
@@ -63,37 +71,56 @@ def extract_words(alignments: DataFrame) -> DataFrame:
     )
 
 
+def _pieces() -> Column:
+    """The row's text cut after every blank and break mark; phrases can only end there."""
+    blanks = "".join(f"\\u{ord(c):04X}" for c in BLANKS)
+    marks = blanks + "".join(HARD_BREAKS + SOFT_BREAKS)
+    return F.regexp_extract_all(F.array_join("characters", ""), F.lit(f"[^{marks}]*[{marks}]|[^{marks}]+"), F.lit(0))
+
+
 def _phrase_spans(max_words: int, max_chars: int) -> Column:
     """Spans (first and last character) of the phrases in this row: one pass over
-    the characters with the open phrase as state."""
-    chars, n = F.col("characters"), F.size("characters")
+    its pieces with the open phrase as state. Every entry of ``characters`` is one
+    character."""
+    n = F.size("characters")
     state = F.struct(
-        F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("words"), F.lit(True).alias("gap"),
-        F.array().cast("array<struct<b:int,e:int>>").alias("spans"),
+        F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("words"),
+        F.lit(True).alias("gap"), F.array().cast("array<struct<b:int,e:int>>").alias("spans"),
     )
 
-    def step(s: Column, i: Column) -> Column:
-        ch = F.element_at(chars, i)
-        blank = F.element_at("_blank", i)
-        first = F.when((s["first"] == 0) & ~blank, i).otherwise(s["first"])
-        last = F.when(blank, s["last"]).otherwise(i)
-        words = s["words"] + F.when(blank & ~s["gap"] & (first > 0), 1).otherwise(0)
+    def step(s: Column, piece: Column) -> Column:
+        size = F.length(piece)
+        mark = F.right(piece, F.lit(1))
+        blank = _blank(mark)
+        shown_size = F.when(blank, size - 1).otherwise(size)
+        i = s["at"] + size
+        first = F.when((s["first"] == 0) & (shown_size > 0), s["at"] + 1).otherwise(s["first"])
+        last = F.when(shown_size > 0, s["at"] + shown_size).otherwise(s["last"])
+        after_gap = s["gap"] & (shown_size == 0)
+        words = s["words"] + F.when(blank & ~after_gap & (first > 0), 1).otherwise(0)
         shown = F.when(first == 0, 0).otherwise(last - first + 1)
         stop = (
-            ch.isin(HARD_BREAKS)
-            | (ch.isin(SOFT_BREAKS) & (words >= max(2, max_words - 1)))
+            mark.isin(HARD_BREAKS)
+            | (mark.isin(SOFT_BREAKS) & (words >= max(2, max_words - 1)))
             | (blank & ((words >= max_words) | (shown >= max_chars)))
+            | (i == n)
         )
-        stop = stop | (i == n)
-        span = F.struct(first.alias("b"), i.alias("e"))
         zero = F.lit(0)
         return F.struct(
-            F.when(stop, zero).otherwise(first).alias("first"), F.when(stop, zero).otherwise(last).alias("last"),
-            F.when(stop, zero).otherwise(words).alias("words"), F.when(stop, True).otherwise(blank).alias("gap"),
-            F.when(stop & (first > 0), F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"),
+            i.alias("at"), F.when(stop, zero).otherwise(first).alias("first"),
+            F.when(stop, zero).otherwise(last).alias("last"), F.when(stop, zero).otherwise(words).alias("words"),
+            F.when(stop, True).otherwise(blank).alias("gap"),
+            F.when(stop & (first > 0), F.concat(s["spans"], F.array(F.struct(first.alias("b"), i.alias("e")))))
+            .otherwise(s["spans"]).alias("spans"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), n), state, step, lambda s: s["spans"])
+    return F.aggregate(F.col("_pieces"), state, step, lambda s: s["spans"])
+
+
+@pandas_udf(ArrayType(IntegerType()))
+def _words_before(starts: pd.Series, bounds: pd.Series) -> pd.Series:
+    """How many words start before each bound, by binary search in every row."""
+    return pd.Series([np.searchsorted(s, b, side="left").astype("int32") for s, b in zip(starts, bounds)])
 
 
 def phrase_alignments(
@@ -109,7 +136,7 @@ def phrase_alignments(
     a limit is reached. Short ones are extended, none reaches into the next.
     """
     rows = with_words(alignments)
-    rows = computed(rows, {"words": F.col("words"), "_blank": F.transform("characters", _blank)})
+    rows = computed(rows, {"words": F.col("words"), "_pieces": _pieces()})
     rows = computed(rows, {"_spans": _phrase_spans(max_words, max_chars)})
     phrase = lambda s: F.struct(
         F.trim(F.regexp_replace(
@@ -118,15 +145,17 @@ def phrase_alignments(
     )
     spoken = F.filter(F.transform("_spans", phrase), lambda p: p["text"].rlike(r"[\p{L}\p{N}]"))
     rows = computed(rows, {"_phrases": spoken})
+    rows = computed(rows, {"_ends": _words_before(
+        F.transform("words", lambda w: w["start"]), F.transform("_phrases", lambda p: p["start"] - START_TOLERANCE)
+    )})
     shortest = F.lit(float(min_seconds))
 
     def timed(p: Column, i: Column) -> Column:
         after = F.try_element_at(F.col("_phrases"), i + 2)["start"]
         end = F.when(p["end"] - p["start"] < shortest, p["start"] + shortest).otherwise(p["end"])
-        bound = F.lit(START_TOLERANCE)
-        mine = F.filter("words", lambda w: (
-            (after.isNull() | (w["start"] < after - bound)) & ((i == 0) | (w["start"] >= p["start"] - bound))
-        ))
+        begin = F.when(i == 0, 0).otherwise(F.element_at("_ends", i + 1))
+        stop = F.coalesce(F.try_element_at(F.col("_ends"), i + 2), F.size("words"))
+        mine = F.slice("words", begin + 1, F.greatest(stop - begin, F.lit(0)))
         return F.struct(p["text"].alias("text"), p["start"].alias("start"),
                         F.least(end, after).alias("end"), mine.alias("words"))
 

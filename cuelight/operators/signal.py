@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import audible
 from ..plans.intervals import bucket_of, interval_join
@@ -18,6 +18,9 @@ PEAK_GAP_SECONDS = 3.0
 HOP_SECONDS = 0.5
 
 _BUCKET_SECONDS = 16.0
+# Shape of the block maxima: cells of eight hops, three levels, each 16 times as wide.
+_CELL_SECONDS = 8 * HOP_SECONDS
+_FAN, _LEVELS = 16, 3
 
 
 def audible_samples(samples: DataFrame) -> DataFrame:
@@ -73,36 +76,40 @@ def suppress_near(points: DataFrame, min_gap: float) -> DataFrame:
     """Keep the strongest points so that kept ones lie ``min_gap`` apart.
 
     Same result as taking points strongest first (earlier first on ties) and
-    skipping any that is too near to one already taken. Each round keeps every
-    point that is the strongest of its neighbourhood and drops the points near
-    it, all over the timeline at once. Windows run on blocks of the timeline with
-    a margin, so a long source is spread over many tasks.
+    skipping any that is too near to one already taken. The timeline is cut into
+    cells of ``min_gap``, so a cell keeps at most one point and only neighbouring
+    cells matter. Each round keeps every cell maximum that beats both neighbours
+    and drops the points near it, over all sources at once; it uses combining
+    aggregates and equi-joins only, so neither a long source nor a crowded cell
+    lands in one task.
     """
-    gap = int(round(min_gap * 1_000_000))
-    if gap <= 0:
+    if min_gap <= 0:
         return points
-    block = gap * 1024
-    at = F.round(F.col("t") * 1_000_000).cast("bigint")
-    todo = points.select("source_id", "t", "intensity", at.alias("_at"))
+    around = F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)).alias("_cell")
+    todo = checkpointed(points.select(
+        "source_id", "t", "intensity", F.floor(F.col("t") / F.lit(float(min_gap))).cast("bigint").alias("_cell")
+    ))
+    cell = ["source_id", "_cell"]
     kept = None
-    while True:
-        first = F.floor((F.col("_at") - 2 * gap) / block)
-        last = F.floor((F.col("_at") + 2 * gap) / block)
-        blocks = todo.withColumn("_block", F.explode(F.sequence(first, last)))
-        near = (
-            Window.partitionBy("source_id", "_block").orderBy("_at").rangeBetween(1 - gap, gap - 1)
+    while kept is None or not todo.isEmpty():
+        tops = todo.groupBy(*cell).agg(
+            F.max(F.struct(F.col("intensity"), (-F.col("t")).alias("late"))).alias("top")
         )
-        own = F.struct(F.col("intensity"), -F.col("t"))
-        judged = blocks.withColumn("_best", F.max(own).over(near) == own)
-        judged = judged.withColumn("_near", F.max("_best").over(near))
-        judged = checkpointed(
-            judged.filter(F.col("_block") == F.floor(F.col("_at") / block)).drop("_block")
+        best = tops.select("source_id", around, "top").groupBy(*cell).agg(F.max("top").alias("best"))
+        winners = checkpointed(
+            tops.join(best, cell).filter("top = best")
+            .select("source_id", "_cell", (-F.col("top.late")).alias("t"), F.col("top.intensity").alias("intensity"))
         )
-        strongest = judged.filter("_best").select("source_id", "t", "intensity")
-        kept = strongest if kept is None else kept.unionByName(strongest)
-        todo = judged.filter(~F.col("_near")).drop("_best", "_near")
-        if todo.isEmpty():
-            return kept
+        found = winners.select("source_id", "t", "intensity")
+        kept = found if kept is None else kept.unionByName(found)
+        near = winners.select("source_id", around, F.col("t").alias("_taken"))
+        todo = checkpointed(todo.alias("p").join(
+            near.alias("w"),
+            (F.col("p.source_id") == F.col("w.source_id")) & (F.col("p._cell") == F.col("w._cell"))
+            & (F.abs(F.col("p.t") - F.col("w._taken")) < min_gap),
+            "left_anti",
+        ))
+    return kept
 
 
 def detect_peaks(
@@ -115,33 +122,64 @@ def detect_peaks(
     return suppress_near(local_maxima(samples, percentile, **kwargs), min_gap)
 
 
-def range_maximum(ranges: DataFrame, samples: DataFrame, id_column: str, width: float = _BUCKET_SECONDS) -> DataFrame:
+def _covering(first: Column, last: Column) -> Column:
+    """Aligned blocks (level, number) that tile the cells ``first..last``: single
+    cells at the ends, blocks of 16 and 256 cells inside."""
+    none = F.array().cast("array<struct<level:int,block:bigint>>")
+
+    def run(level: int, a, b):
+        named = lambda n: F.struct(F.lit(level).alias("level"), n.cast("bigint").alias("block"))
+        return F.when(a <= b, F.transform(F.sequence(a, F.greatest(a, b)), named)).otherwise(none)
+
+    parts = []
+    low, high = first, last
+    for level in range(_LEVELS - 1):
+        up, down = F.ceil(low / _FAN).cast("bigint"), F.floor((high + 1) / _FAN).cast("bigint")
+        inner = up < down
+        parts.append(run(level, low, F.when(inner, up * _FAN - 1).otherwise(high)))
+        parts.append(F.when(inner, run(level, down * _FAN, high)).otherwise(none))
+        low, high = F.when(inner, up).otherwise(F.lit(1)), F.when(inner, down - 1).otherwise(F.lit(0))
+    parts.append(run(_LEVELS - 1, low, high))
+    return F.concat(*parts)
+
+
+def range_maximum(ranges: DataFrame, samples: DataFrame, id_column: str, width: float = _CELL_SECONDS) -> DataFrame:
     """Loudest usable sample in [start, end] per range id; no row when there is none.
 
-    Buckets that a range covers whole are answered from one maximum per bucket;
-    only the two edge buckets meet single samples.
+    The timeline is cut into cells of a few hops and blocks of 16 and 256 cells, each
+    with its maximum. A range meets the few blocks that tile its inside, by
+    equi-join with one row each, and single samples only in its two edge cells, so
+    neither long ranges nor many ranges over one stretch multiply rows.
     """
     points = audible_samples(samples).select(
-        "source_id", "t", "db", F.col("t").alias("t_end"), bucket_of(F.col("t"), width).alias("_b")
+        "source_id", bucket_of(F.col("t"), width).alias("_cell"), "t", "db"
     )
     spans = ranges.filter("end > start").select(
         id_column, "source_id", "start", "end",
         bucket_of(F.col("start"), width).alias("_lo"), bucket_of(F.col("end"), width).alias("_hi"),
     )
-    # Edge buckets: [start, end of first bucket] and [start of last bucket, end].
     edge = F.when(F.col("_lo") == F.col("_hi"), F.array("_lo")).otherwise(F.array("_lo", "_hi"))
-    edges = spans.select("*", F.explode(edge).alias("_b"))
-    at_edges = edges.join(points.select("source_id", "_b", "t", "db"), ["source_id", "_b"]).filter(
-        F.col("t").between(F.col("start"), F.col("end"))
-    ).groupBy(id_column).agg(F.max("db").alias("peak"))
-    tops = points.groupBy("source_id", "_b").agg(F.max("db").alias("top"))
-    covered = (
+    at_edges = (
+        spans.select(id_column, "source_id", "start", "end", F.explode(edge).alias("_cell"))
+        .join(points, ["source_id", "_cell"])
+        .filter(F.col("t").between(F.col("start"), F.col("end")))
+        .groupBy(id_column).agg(F.max("db").alias("peak"))
+    )
+    cells = points.groupBy("source_id", "_cell").agg(F.max("db").alias("top"))
+    blocks = cells.select("source_id", "top", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("level"), F.floor(F.col("_cell") / _FAN**n).cast("bigint").alias("block"))
+        for n in range(_LEVELS)
+    ])).alias("b")).groupBy("source_id", F.col("b.level").alias("level"), F.col("b.block").alias("block")).agg(
+        F.max("top").alias("top")
+    )
+    inside = (
         spans.filter(F.col("_hi") - F.col("_lo") > 1)
-        .select(id_column, "source_id", F.explode(F.sequence(F.col("_lo") + 1, F.col("_hi") - 1)).alias("_b"))
-        .join(tops, ["source_id", "_b"])
+        .select(id_column, "source_id", F.explode(_covering(F.col("_lo") + 1, F.col("_hi") - 1)).alias("b"))
+        .select(id_column, "source_id", "b.level", "b.block")
+        .join(blocks, ["source_id", "level", "block"])
         .groupBy(id_column).agg(F.max("top").alias("peak"))
     )
-    return at_edges.unionByName(covered).groupBy(id_column).agg(F.max("peak").alias("peak"))
+    return at_edges.unionByName(inside).groupBy(id_column).agg(F.max("peak").alias("peak"))
 
 
 def score_audio(ranges: DataFrame, samples: DataFrame, id_column: str, **kwargs) -> DataFrame:

@@ -161,3 +161,20 @@ def test_gap_rules_agree(skewed):
     video = skewed.select(F.col("source_id").alias("edl_id"), F.col("event_id").cast("int").alias("pos"), "start", "end", F.lit(300.0).alias("total"))
     plain = edl.gap_issues(edl.ordered_video(video))
     assert rows(plain) == rows(edl.gap_issues(edl.ordered_video(video, max_group_rows=10)))
+
+
+def test_range_maximum_agrees_with_brute_force(spark):
+    rng = random.Random(11)
+    data = [(s, rng.uniform(0, 900), float(rng.randint(-90, 0))) for s in (1, 2) for _ in range(500)]
+    spans = []
+    for i in range(300):
+        a = rng.uniform(0, 900)
+        spans.append((i, rng.choice([1, 2, 3]), a, a + rng.choice([0.2, 3.0, 40.0, 500.0])))
+    samples = spark.createDataFrame(data, "source_id long, t double, db double")
+    ranges = spark.createDataFrame(spans, "id long, source_id long, start double, end double")
+    want = []
+    for i, source, a, b in spans:
+        inside = [db for s, t, db in data if s == source and a <= t <= b]
+        if inside:
+            want.append((i, max(inside)))
+    assert rows(signal.range_maximum(ranges, samples, "id")) == want
