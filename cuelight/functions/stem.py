@@ -1,11 +1,9 @@
 """Porter's suffix-stripping stemmer (M. F. Porter, 1980), applied to token
-arrays in Arrow batches with a per-process memo: a corpus repeats its words, so
+arrays in Arrow batches with a memo per batch: a corpus repeats its words, so
 most tokens cost one dictionary lookup and no shuffle is needed."""
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
@@ -49,7 +47,6 @@ def _longest(word: str, suffixes) -> str | None:
     return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
 
 
-@lru_cache(maxsize=1_000_000)
 def stem(word: str) -> str:
     if len(word) < 3 or not word.isascii() or not word.isalpha():
         return word
@@ -90,4 +87,11 @@ def stem(word: str) -> str:
 
 @pandas_udf(ArrayType(StringType()))
 def stem_all(words: pd.Series) -> pd.Series:
-    return words.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+    memo: dict[str, str] = {}
+
+    def known(word: str) -> str:
+        if word not in memo:
+            memo[word] = stem(word)
+        return memo[word]
+
+    return words.map(lambda ws: None if ws is None else [known(w) for w in ws])

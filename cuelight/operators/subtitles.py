@@ -26,8 +26,8 @@ def parse_subtitles(files: DataFrame, key: str = "path", column: str = "content"
     lines = F.filter(F.split("block", "\n"), lambda ln: F.trim(F.regexp_replace(ln, r"\s+", " ")) != "")
     blocks = blocks.withColumn("lines", lines)
     at = F.array_position(F.transform("lines", lambda ln: ln.contains("-->")), True)
-    blocks = blocks.withColumn("at", at.cast("int")).filter("at > 0")
-    blocks = blocks.withColumn("stamps", stamps(F.element_at("lines", F.col("at")))).filter(F.size("stamps") >= 2)
+    blocks = blocks.withColumn("at", F.when(at > 0, at.cast("int")))
+    blocks = blocks.withColumn("stamps", stamps(F.try_element_at(F.col("lines"), F.col("at")))).filter(F.size("stamps") >= 2)
     rest = F.slice("lines", F.col("at") + 1, F.size("lines"))
     cues = blocks.select(
         key, "cue_no", stamp_seconds(F.col("stamps")[0]).alias("start"), stamp_seconds(F.col("stamps")[1]).alias("end"),
