@@ -13,15 +13,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schemas
 from ..functions.semi import get
 from ..plans.session import checkpointed
-from .textindex import FIELDS, build_postings, clip_texts
+from .textindex import FIELDS, build_postings, clip_texts, text_lengths
 
 BUCKETS = 256
 
 _TABLES = {
     "sources": schemas.SOURCES_TABLE, "extracts": schemas.EXTRACTS_TABLE, "clips": schemas.CLIPS_TABLE,
     "clip_categories": schemas.CATEGORIES_TABLE, "source_summaries": schemas.SUMMARIES_TABLE,
-    "postings": schemas.POSTINGS_TABLE,
+    "postings": schemas.POSTINGS_TABLE, "lengths": schemas.LENGTHS_TABLE,
 }
+_KEYS = ["clip_id", "extract_id", "source_id"]
 
 
 @dataclass(frozen=True)
@@ -32,6 +33,7 @@ class Catalog:
     clip_categories: DataFrame
     source_summaries: DataFrame
     postings: DataFrame
+    lengths: DataFrame
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in _TABLES}
@@ -117,7 +119,7 @@ def manifest_clips(rows: DataFrame) -> DataFrame:
         F.col("c.audio.peak_loudness_db").alias("peak_loudness_db"),
         F.coalesce("c.audio.cues", F.array().cast("array<string>")).alias("audio_cues"),
         F.coalesce("c.keyframes", F.array().cast("array<string>")).alias("keyframes"),
-        F.col("c.categories").alias("_categories"),
+        F.array_sort(F.array_distinct(F.coalesce("c.categories", F.array().cast("array<string>")))).alias("categories"),
     )
 
 
@@ -127,6 +129,11 @@ def replaced(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return kept.select(*existing.columns).unionByName(incoming.select(*existing.columns))
 
 
+def category_lists(categories: DataFrame) -> DataFrame:
+    """``clip_id, categories``: the sorted, distinct categories of each clip."""
+    return categories.groupBy("clip_id").agg(F.array_sort(F.collect_set("category")).alias("categories"))
+
+
 def out_of_range_scores(clips: DataFrame) -> DataFrame:
     """Clips that break the 0..100 score rule."""
     return clips.filter(~F.col("score").between(0, 100))
@@ -155,13 +162,10 @@ def ingest(catalog: Catalog, manifests: DataFrame, fingerprints: DataFrame | Non
     summaries = _latest(rows.filter(F.col("summary").isNotNull()), "source_id", "manifest_path").select(
         "source_id", "summary.*"
     )
-    fresh = manifest_clips(latest)
-    clips = fresh.drop("_categories")
-    categories = fresh.select(
-        "clip_id", "extract_id", "source_id", F.explode("_categories").alias("category")
-    ).dropDuplicates(["clip_id", "category"])
-    texts = clip_texts(clips, categories)
-    postings = build_postings(texts, ["clip_id", "extract_id", "source_id"], FIELDS)
+    clips = manifest_clips(latest)
+    categories = clips.select(*_KEYS, F.explode("categories").alias("category"))
+    texts = clip_texts(clips)
+    postings = build_postings(texts, _KEYS, FIELDS)
 
     gone = latest.select("extract_id")
     swap = lambda old, new: (
@@ -174,6 +178,7 @@ def ingest(catalog: Catalog, manifests: DataFrame, fingerprints: DataFrame | Non
         clip_categories=swap(catalog.clip_categories, categories),
         source_summaries=replaced(catalog.source_summaries, summaries, "source_id"),
         postings=swap(catalog.postings, postings),
+        lengths=swap(catalog.lengths, text_lengths(texts, _KEYS, FIELDS)),
     )
     known = catalog.extracts.select("extract_id", F.lit(False).alias("_new"))
     report = latest.join(known, "extract_id", "left").select(
@@ -192,6 +197,7 @@ def remove_manifest(catalog: Catalog, manifest_path: str) -> tuple[Catalog, Data
     return replace(
         catalog, extracts=left(catalog.extracts), clips=left(catalog.clips),
         clip_categories=left(catalog.clip_categories), postings=left(catalog.postings),
+        lengths=left(catalog.lengths),
     ), gone
 
 
@@ -212,10 +218,14 @@ def upgrade_catalog(sources: DataFrame, extracts: DataFrame, clips: DataFrame, c
             "peak_loudness_db": get(audio, "$.peak_loudness_db", "double"),
             "audio_cues": F.coalesce(get(audio, "$.cues", "array<string>"), F.array().cast("array<string>")),
         })
-    postings = build_postings(clip_texts(clips, categories), ["clip_id", "extract_id", "source_id"], FIELDS)
+    clips = clips.drop("categories").join(category_lists(categories), "clip_id", "left").withColumn(
+        "categories", F.coalesce("categories", F.array().cast("array<string>"))
+    )
+    texts = clip_texts(clips)
     shaped = {
         "sources": sources, "extracts": extracts, "clips": clips, "clip_categories": categories,
-        "source_summaries": summaries, "postings": postings,
+        "source_summaries": summaries, "postings": build_postings(texts, _KEYS, FIELDS),
+        "lengths": text_lengths(texts, _KEYS, FIELDS),
     }
     return Catalog(**{
         n: t.select(*[c.split()[0] for c in _columns(_TABLES[n])]) for n, t in shaped.items()

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.groups import MAX_BROADCAST_ROWS
-from .catalog import Catalog
-from .textindex import TextQuery, document_lengths, match, rank
+from .catalog import Catalog, category_lists
+from .textindex import TextQuery, match, rank
 
 # Sort orders by name.
 ORDERS = {
@@ -37,8 +36,7 @@ def signal_like(signals: Column, key: str, value: str) -> Column:
 
 def with_categories(clips: DataFrame, categories: DataFrame) -> DataFrame:
     """Add the sorted category list of each clip."""
-    lists = categories.groupBy("clip_id").agg(F.array_sort(F.collect_set("category")).alias("categories"))
-    return clips.join(lists, "clip_id", "left").withColumn(
+    return clips.join(category_lists(categories), "clip_id", "left").withColumn(
         "categories", F.coalesce("categories", F.array().cast("array<string>"))
     )
 
@@ -58,6 +56,17 @@ def in_all_categories(clips: DataFrame, categories: DataFrame, wanted: Sequence[
     return clips.join(hits, "clip_id", "left_semi")
 
 
+def has_any(wanted: Sequence[str]) -> Column:
+    return F.arrays_overlap("categories", F.array(*[F.lit(c) for c in wanted]))
+
+
+def has_all(wanted: Sequence[str]) -> Column:
+    """All wanted categories; the list is counted as given, so a repeated name
+    matches nothing."""
+    found = F.array_intersect("categories", F.array(*[F.lit(c) for c in wanted]))
+    return F.size(found) == len(wanted)
+
+
 def absolute_path(path: Column, manifest_path: Column) -> Column:
     """A path relative to the manifest's folder made absolute."""
     folder = F.regexp_replace(manifest_path, r"/[^/]*$", "")
@@ -86,10 +95,9 @@ def _joined(catalog: Catalog, clips: DataFrame, extracts: DataFrame, sources: Da
     return clips.join(e, "extract_id").join(s, "source_id")
 
 
-def _projected(rows: DataFrame, categories: DataFrame) -> DataFrame:
+def _projected(rows: DataFrame) -> DataFrame:
     """The 27-column result row."""
-    full = with_categories(rows, categories)
-    return full.select(
+    return rows.select(
         "clip_id", "clip_local_id", "description", "dialogue", "score", "duration", "source_in", "source_out",
         absolute_path(F.col("file"), F.col("manifest_path")).alias("file"),
         F.transform("keyframes", lambda k: absolute_path(k, F.col("manifest_path"))).alias("keyframes"),
@@ -120,9 +128,9 @@ def search(
 ) -> DataFrame:
     """Clips that pass every given filter, best first.
 
-    Filters on clip columns reach the file scan; extracts and sources are
-    filtered before they are joined; categories are attached to the result rows
-    only. Ties are broken by clip id. A negative limit means no limit.
+    Filters on clip columns reach the file scan, category tests read the list
+    kept with each clip, extracts and sources are filtered before they are
+    joined. Ties are broken by clip id. A negative limit means no limit.
     """
     clips = catalog.clips
     for column, low, high in (("score", min_score, max_score), ("duration", min_duration, max_duration)):
@@ -134,8 +142,7 @@ def search(
         test = signal_equals if op == "=" else signal_like
         clips = clips.filter(test(F.col("game_signals"), key, value))
     if categories:
-        pick = in_all_categories if all_categories else in_any_category
-        clips = pick(clips, catalog.clip_categories, categories)
+        clips = clips.filter(has_all(categories) if all_categories else has_any(categories))
 
     extracts, sources = catalog.extracts, catalog.sources
     if segmenter:
@@ -148,7 +155,7 @@ def search(
 
     if query is not None:
         hits = match(catalog.postings, query)
-        scores = rank(catalog.postings, document_lengths(catalog.postings), query.positive_terms())
+        scores = rank(catalog.postings, catalog.lengths.select("clip_id", "length"), query.positive_terms())
         rows = rows.join(hits, "clip_id", "left_semi").join(
             scores.withColumnRenamed("rank", "fts_rank"), "clip_id", "left"
         )
@@ -159,22 +166,15 @@ def search(
     order = [F.col(column).asc() if ascending else F.col(column).desc(), F.col("clip_id")]
     if query is not None and order_by != "timeline":
         order = [F.col("fts_rank").asc_nulls_last(), *order]
-    if limit >= 0:
-        # Only the ids and sort keys take part in the top-k; wide columns follow.
-        rows = rows.orderBy(*order).limit(limit)
-        ids = rows.select("clip_id")
-        ids = F.broadcast(ids) if limit <= MAX_BROADCAST_ROWS else ids
-        wanted = catalog.clip_categories.join(ids, "clip_id", "left_semi")
-    else:
-        wanted = catalog.clip_categories
-    return _projected(rows, wanted).orderBy(*order)
+    rows = rows.orderBy(*order)
+    return _projected(rows.limit(limit) if limit >= 0 else rows)
 
 
 def get_clip(catalog: Catalog, clip_id: int) -> DataFrame:
     """The result row of one clip; no row when it is absent."""
     clips = catalog.clips.filter(F.col("clip_id") == clip_id)
     rows = _joined(catalog, clips, catalog.extracts, catalog.sources).withColumn("fts_rank", F.lit(None).cast("double"))
-    return _projected(rows, catalog.clip_categories.filter(F.col("clip_id") == clip_id))
+    return _projected(rows)
 
 
 def get_source(catalog: Catalog, source_id: int) -> DataFrame:

@@ -58,14 +58,13 @@ def signal_values(signals: "F.Column") -> "F.Column":
     return F.filter(words, lambda w: w.isNotNull() & (F.trim(w) != ""))
 
 
-def clip_texts(clips: DataFrame, categories: DataFrame) -> DataFrame:
+def clip_texts(clips: DataFrame) -> DataFrame:
     """The four searchable texts of each clip."""
-    tags = categories.groupBy("clip_id").agg(F.array_sort(F.collect_set("category")).alias("_tags"))
     none = F.array().cast("array<string>")
-    return clips.join(tags, "clip_id", "left").select(
+    return clips.select(
         "clip_id", "extract_id", "source_id", "description", F.coalesce("dialogue", F.lit("")).alias("dialogue"),
         F.concat_ws(" ", F.coalesce("audio_cues", none)).alias("audio_cues"),
-        F.concat_ws(" ", F.concat(F.coalesce("_tags", none), signal_values(F.col("game_signals")))).alias("tags"),
+        F.concat_ws(" ", F.concat(F.coalesce("categories", none), signal_values(F.col("game_signals")))).alias("tags"),
     )
 
 
@@ -82,6 +81,12 @@ def build_postings(texts: DataFrame, ids: Sequence[str], fields: Sequence[str],
     )
 
 
+def text_lengths(texts: DataFrame, ids: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Tokens per document, straight from its texts. Needs no shuffle."""
+    total = sum((F.size(tokens(F.col(f))) for f in fields), F.lit(0)).cast("bigint")
+    return texts.select(*ids, total.alias("length"))
+
+
 def document_lengths(postings: DataFrame, id_column: str = "clip_id") -> DataFrame:
     return postings.groupBy(id_column).agg(F.count("*").alias("length"))
 

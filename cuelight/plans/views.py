@@ -148,19 +148,20 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
         F.concat(F.col("category"), F.lit(" scene number "), F.col("clip_id")).alias("description"),
         F.lit("").alias("dialogue"), "score", F.lit("auto").alias("segment_source"), "game_signals",
         F.lit(None).cast("double").alias("peak_loudness_db"), none.alias("audio_cues"), none.alias("keyframes"),
+        F.array_sort(F.when(F.col("score") > 50, F.array("category", F.lit("loud"))).otherwise(F.array("category"))).alias("categories"),
     )
-    second = F.when(F.col("score") > 50, F.array("category", F.lit("loud"))).otherwise(F.array("category"))
-    category_rows = c.select("clip_id", key, "source_id", F.explode(second).alias("category"))
+    category_rows = clip_rows.select("clip_id", "extract_id", "source_id", F.explode("categories").alias("category"))
     summaries = src.select(
         "source_id", F.concat(F.lit("story of "), "source_id").alias("synopsis"), F.array(F.lit("time")).alias("themes"),
         F.lit("calm").alias("tone"), F.expr("array(named_struct('name', 'Ann', 'role', 'lead'))").alias("characters"),
         F.expr("array(named_struct('title', 'all', 'start', 0D, 'end', duration, 'summary', ''))").alias("beats"),
         F.lit("rules").alias("generated_by"),
     )
-    from ..operators.textindex import FIELDS, build_postings, clip_texts
+    from ..operators.textindex import FIELDS, build_postings, clip_texts, text_lengths
 
-    postings = build_postings(clip_texts(clip_rows, category_rows), ["clip_id", "extract_id", "source_id"], FIELDS)
-    return Catalog(source_rows, extract_rows, clip_rows, category_rows, summaries, postings)
+    texts, ids = clip_texts(clip_rows), ["clip_id", "extract_id", "source_id"]
+    return Catalog(source_rows, extract_rows, clip_rows, category_rows, summaries,
+                   build_postings(texts, ids, FIELDS), text_lengths(texts, ids, FIELDS))
 
 
 def edl_tracks(spark: SparkSession, sf_dir: str) -> Tracks:

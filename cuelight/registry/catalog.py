@@ -144,6 +144,19 @@ def clip_categories(spark, sf):
     )
 
 
+@query("category_any_join", _C + " SELECT clip_id FROM c_clips WHERE clip_id IN (SELECT clip_id FROM c_categories WHERE category IN ('view', 'loud'))")
+def category_any_join(spark, sf):
+    c = views.catalog(spark, sf)
+    return find.in_any_category(c.clips, c.clip_categories, ["view", "loud"]).select("clip_id")
+
+
+@query("category_all_join", _C + """ SELECT clip_id FROM c_clips WHERE clip_id IN (
+  SELECT clip_id FROM c_categories WHERE category IN ('view', 'loud') GROUP BY clip_id HAVING count(DISTINCT category) = 2)""")
+def category_all_join(spark, sf):
+    c = views.catalog(spark, sf)
+    return find.in_all_categories(c.clips, c.clip_categories, ["view", "loud"]).select("clip_id")
+
+
 @query("catalog_stats", _C + """ SELECT 'sources' AS table_name, count(*) AS row_count FROM c_sources UNION ALL
 SELECT 'extracts', count(*) FROM c_extracts UNION ALL SELECT 'clips', count(*) FROM c_clips UNION ALL
 SELECT 'clip_categories', count(*) FROM c_categories""")
@@ -182,7 +195,7 @@ def manifests(spark, sf):
 
     c = views.catalog(spark, sf)
     cats = views.clips(spark, sf).select("clip_id", F.array("category").alias("categories"))
-    clips = c.clips.join(cats, "clip_id").select(
+    clips = c.clips.drop("categories").join(cats, "clip_id").select(
         "extract_id", F.col("clip_local_id").alias("id"), "file", "source_in", "source_out", "duration", "resolution", "fps",
         "description", "dialogue", "categories", "score", "game_signals",
         F.struct("peak_loudness_db", F.col("audio_cues").alias("cues")).alias("audio"), "keyframes", "segment_source",

@@ -161,7 +161,7 @@ CLIPS_TABLE = (
     "clip_id bigint, extract_id bigint, source_id bigint, clip_local_id string, file string, "
     "source_in double, source_out double, duration double, resolution string, fps double, "
     "description string, dialogue string, score int, segment_source string, game_signals string, "
-    "peak_loudness_db double, audio_cues array<string>, keyframes array<string>"
+    "peak_loudness_db double, audio_cues array<string>, keyframes array<string>, categories array<string>"
 )
 CATEGORIES_TABLE = "clip_id bigint, extract_id bigint, source_id bigint, category string"
 SUMMARIES_TABLE = (
@@ -170,3 +170,4 @@ SUMMARIES_TABLE = (
     "beats array<struct<title:string,start:double,end:double,summary:string>>, generated_by string"
 )
 POSTINGS_TABLE = "term string, clip_id bigint, extract_id bigint, source_id bigint, field string, pos int"
+LENGTHS_TABLE = "clip_id bigint, extract_id bigint, source_id bigint, length bigint"

@@ -135,10 +135,10 @@ def parse_documents(
 
 def read_texts(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """Whole files below ``path`` as ``path, text``; ``name`` picks a file name."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if name:
         reader = reader.option("pathGlobFilter", name)
-    return reader.text(path).select(
+    return reader.text(path, wholetext=True).select(
         plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text")
     )
 

@@ -220,7 +220,7 @@ def test_only_touched_buckets_are_rewritten(spark, base, tmp_path):
 
 
 def test_upgrade_adds_dialogue_and_rebuilds_the_index(spark, base):
-    old = base.clips.drop("dialogue").withColumn("description", F.lit("a quiet sunset over the bay"))
+    old = base.clips.drop("dialogue", "categories").withColumn("description", F.lit("a quiet sunset over the bay"))
     got = cat.upgrade_catalog(base.sources, base.extracts, old, base.clip_categories, base.source_summaries)
     assert search(got, query=TextQuery(all_of=["sunset"])).count() == 2
     assert search(got, query=TextQuery(all_of=["cruising"])).count() == 1
