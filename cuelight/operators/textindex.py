@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.semi import get, is_list, is_object
 from ..functions.stem import stem, stem_all
@@ -41,7 +41,7 @@ class TextQuery:
         return list(dict.fromkeys([*self.all_of, *self.any_of, *self.phrase]))
 
 
-def signal_values(signals: "F.Column") -> "F.Column":
+def signal_values(signals: Column) -> Column:
     """Leaf values of a JSON object as text, two levels of lists and objects deep;
     nulls and keys are left out."""
     doc = F.try_parse_json(signals)

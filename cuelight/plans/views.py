@@ -8,7 +8,7 @@ otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.catalog import Catalog
 from ..operators.edl import Tracks
@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _micros() -> "F.Column":
+def micros() -> Column:
     """Microseconds since 2024-01-01, independent of the session time zone."""
     return F.expr(
         "datediff(ts, DATE'2024-01-01') * 86400000000L + hour(ts) * 3600000000L + minute(ts) * 60000000L"
@@ -30,7 +30,7 @@ def _micros() -> "F.Column":
 
 def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    start = F.floor(_micros() / F.lit(1e6 * COMPRESSION)).cast("double")
+    start = F.floor(micros() / F.lit(1e6 * COMPRESSION)).cast("double")
     length = (F.col("event_id") % 56 + 5).cast("double")
     return e.select(
         F.col("event_id").alias("clip_id"), F.col("user_id").alias("source_id"),
@@ -43,7 +43,7 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.filter("value > 0").select(
-        F.col("user_id").alias("source_id"), (_micros() / F.lit(1e6 * COMPRESSION)).alias("t"),
+        F.col("user_id").alias("source_id"), (micros() / F.lit(1e6 * COMPRESSION)).alias("t"),
         F.round(20.0 * F.log10("value"), 6).alias("db"),
     )
 
@@ -52,7 +52,7 @@ def amplitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample values as amplitudes in 0..1."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        F.col("user_id").alias("source_id"), (_micros() / F.lit(1e6 * COMPRESSION)).alias("t"),
+        F.col("user_id").alias("source_id"), (micros() / F.lit(1e6 * COMPRESSION)).alias("t"),
         (F.col("value") / 1000.0).alias("x"),
     )
 

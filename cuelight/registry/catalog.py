@@ -98,7 +98,17 @@ def search_text(spark, sf):
     return flat(find.search(views.catalog(spark, sf), query=TextQuery(all_of=["purchases", "scene"]), min_score=40, limit=-1))
 
 
-@query("search_text_ranked")
+_RANKED = """, len AS (SELECT clip_id, CAST(4 + 1 + CASE WHEN score > 50 THEN 2 ELSE 1 END AS DOUBLE) AS n FROM v_clips),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS docs, avg(n) AS mean FROM len),
+tf AS (SELECT clip_id, 'purchase' AS term, 2 AS tf FROM v_clips WHERE category = 'purchase' UNION ALL SELECT clip_id, 'loud', 1 FROM v_clips WHERE score > 50),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+r AS (SELECT clip_id, -sum(greatest(CAST(1e-6 AS DOUBLE), ln((docs - df + 0.5) / (df + 0.5))) * tf * CAST(2.2 AS DOUBLE)
+  / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * n / mean))) AS rank
+  FROM tf JOIN df USING (term) JOIN len USING (clip_id), st GROUP BY clip_id)
+SELECT clip_id, round(rank, 9) AS fts_rank, score FROM r JOIN v_clips USING (clip_id) ORDER BY fts_rank, score DESC, clip_id LIMIT 100"""
+
+
+@query("search_text_ranked", _C + _RANKED)
 def search_text_ranked(spark, sf):
     rows = find.search(views.catalog(spark, sf), query=TextQuery(any_of=["purchase", "loud"]), limit=100)
     return rows.select("clip_id", F.round("fts_rank", 9).alias("fts_rank"), "score")
@@ -318,3 +328,19 @@ def search_report(spark, sf):
     lines = report_lines(rows)
     return lines.select(F.get_json_object("line", "$.clip_id").cast("bigint").alias("clip_id"),
                         F.get_json_object("line", "$.score").cast("int").alias("score"))
+
+
+@query("stream_ingest", _C + """ SELECT s.file_path, e.created_at, CAST(count(*) AS BIGINT) AS clip_count, CAST(sum(score) AS BIGINT) AS total
+FROM c_extracts e JOIN c_clips c USING (extract_id) JOIN c_sources s ON s.source_id = e.source_id GROUP BY ALL""")
+def stream_ingest(spark, sf):
+    """Manifest files folded into a stored catalog as a stream finds them."""
+    from ..plans.session import scratch_path
+    from ..streaming.jobs import continuous_ingest
+
+    path = scratch_path(spark, "stream")
+    texts = manifests(spark, sf).select(F.sha1("manifest_path").alias("folder"), "text")
+    texts.repartition("folder").write.partitionBy("folder").text(f"{path}/in")
+    continuous_ingest(spark, f"{path}/in", f"{path}/catalog", f"{path}/state", name="part-*", buckets=4).awaitTermination()
+    c = cat.read_catalog(spark, f"{path}/catalog")
+    return find.search(c, limit=-1).groupBy(F.col("source_file").alias("file_path"), F.col("extract_created_at").alias("created_at")).agg(
+        F.count("*").alias("clip_count"), F.sum("score").alias("total"))

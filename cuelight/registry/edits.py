@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_hex_colour  # noqa: F401
 from ..operators import edl, layout
 from ..plans import views
-from . import query
+from . import ORACLES, query
 
 _V = views.with_views("edl_tracks")
 _VC = views.with_views("edl_tracks", "edl_clips")
@@ -148,7 +148,14 @@ def edl_footage(spark, sf):
     return edl.clip_issues(views.edl_tracks(spark, sf).video, views.edl_clips(spark, sf))
 
 
-@query("edl_all_rules")
+_RULES = ["edl_head_rules", "edl_video_ranges", "edl_audio_ranges", "edl_ost_rules", "edl_gaps_overlaps", "edl_coverage",
+          "edl_transitions", "edl_effects", "edl_annotations", "edl_voiceover", "edl_captions", "edl_caption_cues",
+          "edl_music", "edl_footage"]
+_ALL_RULES = "SELECT severity, message, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT severity, message FROM ({ORACLES[r]}) AS {r}" for r in _RULES) + ") t GROUP BY severity, message"
+
+
+@query("edl_all_rules", _ALL_RULES)
 def edl_all_rules(spark, sf):
     issues = edl.validate(views.edl_tracks(spark, sf), views.edl_clips(spark, sf))
     return issues.groupBy("severity", "message").agg(F.count("*").alias("n"))

@@ -125,7 +125,28 @@ def neighbour_iou(spark, sf):
     )
 
 
-@query("merge_overlapping")
+def _merge_walk(source: str) -> str:
+    """Growing unions over lists, pass after pass until nothing merges. ``source``
+    has source_id, s, e, p; the result is the CTE ``merged``."""
+    hull = "(greatest(u.e, r.e) - least(u.s, r.s))"
+    shared = "(least(u.e, r.e) - greatest(u.s, r.s))"
+    return f"""mw AS (
+  SELECT source_id, list(struct_pack(s := s, e := e, p := p) ORDER BY s, p) AS todo, CAST(1 AS BIGINT) AS i,
+         CAST([] AS STRUCT(s DOUBLE, e DOUBLE, p BIGINT)[]) AS done, FALSE AS hit, FALSE AS fin FROM {source} GROUP BY source_id
+  UNION ALL
+  SELECT source_id, CASE WHEN turn AND hit THEN done ELSE todo END, CASE WHEN turn THEN 1 ELSE i + 1 END,
+    CASE WHEN turn AND hit THEN CAST([] AS STRUCT(s DOUBLE, e DOUBLE, p BIGINT)[]) WHEN turn THEN done
+         WHEN j IS NULL THEN list_append(done, r)
+         ELSE list_concat(list_concat(done[1:j - 1], [struct_pack(s := least(done[j].s, r.s), e := greatest(done[j].e, r.e), p := done[j].p)]), done[j + 1:]) END,
+    CASE WHEN turn THEN FALSE ELSE hit OR j IS NOT NULL END, turn AND NOT hit
+  FROM (SELECT *, CASE WHEN NOT turn THEN nullif(list_position(list_transform(done, lambda u: {shared} > 0 AND {shared} / {hull} >= CAST(0.6 AS DOUBLE)), TRUE), 0) END AS j
+    FROM (SELECT *, i > len(todo) AS turn, todo[i] AS r FROM mw WHERE NOT fin) t1) t2),
+merged AS (SELECT source_id, x.s AS s, x.e AS e, x.p AS p FROM (SELECT source_id, unnest(done) AS x FROM mw WHERE fin) t)
+"""
+
+
+@query("merge_overlapping", "WITH RECURSIVE " + views.SQL["clips"] + ", mr AS (SELECT source_id, source_in AS s, source_out AS e, clip_id AS p FROM v_clips), "
+       + _merge_walk("mr") + 'SELECT source_id, s AS "start", e AS "end", p AS pos FROM merged')
 def merge_overlapping(spark, sf):
     return seg.merge_overlapping(ranges(spark, sf)).select("source_id", "start", "end", "pos")
 
@@ -231,7 +252,26 @@ def auto_segments(spark, sf):
     return out.select("source_id", "tile_no", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query("segment_dispatch")
+_DISPATCH = _CHUNKS.rstrip() + """,
+mv AS (SELECT source_id, t, db, lag(db) OVER (PARTITION BY source_id ORDER BY t) AS b, max(t) OVER (PARTITION BY source_id) AS last_t FROM v_samples),
+sc AS (SELECT source_id, t, last_t FROM mv WHERE b IS NULL OR abs(db - b) > 6.0),
+gen AS (
+  SELECT source_id, CAST(n * 55.0 AS DOUBLE) AS s, CAST(least(duration, n * 55.0 + 60.0) AS DOUBLE) AS e
+  FROM v_sources, unnest(range(0, CAST(ceil(duration / 55.0) AS BIGINT))) t(n) WHERE source_id % 5 = 0
+  UNION ALL
+  SELECT source_id, CAST(CASE WHEN stop <= 45 THEN 0.0 ELSE round_even(greatest(0.0, s - CASE WHEN no > 0 THEN 5.0 ELSE 0.0 END), 3) END AS DOUBLE),
+    CAST(CASE WHEN stop <= 45 THEN stop ELSE round_even(least(stop, coalesce(e + 5.0, stop)), 3) END AS DOUBLE)
+  FROM cores WHERE (stop > 45 OR no = 0) AND source_id % 5 = 1
+  UNION ALL SELECT source_id, source_in, source_out FROM v_clips WHERE source_id % 5 = 3
+  UNION ALL SELECT * FROM (SELECT source_id, t, coalesce(lead(t) OVER (PARTITION BY source_id ORDER BY t), last_t) AS e FROM sc) z WHERE e > t AND source_id % 5 = 4),
+lim AS (SELECT source_id, greatest(0.0, least(s, duration)) AS s, greatest(0.0, least(e, duration)) AS e FROM gen JOIN v_sources USING (source_id)),
+fit AS (SELECT source_id, s, least(e, s + 60.0) AS e FROM lim WHERE e > s AND least(e, s + 60.0) - s >= 15.0),
+mr AS (SELECT source_id, CAST(s AS DOUBLE) AS s, CAST(e AS DOUBLE) AS e, row_number() OVER (PARTITION BY source_id ORDER BY s, e) AS p FROM fit),
+""" + _merge_walk("mr") + """, all_ranges AS (SELECT source_id, s, e FROM merged UNION ALL SELECT source_id, 0.0, duration FROM v_sources WHERE source_id % 5 = 2)
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY s, e) AS INTEGER) AS seg_no, round(s, 6) AS "start", round(e, 6) AS "end" FROM all_ranges"""
+
+
+@query("segment_dispatch", _DISPATCH)
 def segment_dispatch(spark, sf):
     kinds = F.element_at(F.array(*[F.lit(k) for k in ("interval", "auto", "file", "manual", "scene")]),
                          (F.col("source_id") % 5 + 1).cast("int"))

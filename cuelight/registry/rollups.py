@@ -142,7 +142,7 @@ def _replay(spark, sf, build, name, mode="append"):
     src = spark.read.parquet(f"{sf}/events.parquet")
     stream = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     rows = stream.select(
-        F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type"),
+        F.col("user_id").alias("source_id"), F.timestamp_micros(views.micros() + 1704067200000000).alias("ts"), F.col("event_type"),
         (F.col("value") / 1000.0).alias("x"), F.floor("value").cast("int").alias("base_interest"), "event_id")
     out = scratch_path(spark, name)
     q = (build(rows).writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data")
@@ -151,26 +151,36 @@ def _replay(spark, sf, build, name, mode="append"):
     return spark.read.parquet(f"{out}/data")
 
 
-@query("stream_levels")
+_CLOSED = "(SELECT epoch_us(max(ts)) - 60000000 FROM events)"
+_H = 3600 * 1000000
+
+
+@query("stream_levels", f"""WITH w AS (SELECT user_id AS source_id, epoch_us(ts) // {6 * _H} AS n, avg((value / 1000.0) * (value / 1000.0)) AS power FROM events GROUP BY ALL)
+SELECT source_id, CAST(n * 21600 AS BIGINT) AS at, round(10.0 * log10(power), 6) AS db FROM w WHERE (n + 1) * {6 * _H} <= {_CLOSED}""")
 def stream_levels(spark, sf):
     from ..streaming.jobs import rms_stream
 
     out = _replay(spark, sf, lambda r: rms_stream(r, "6 hours", "1 minute"), "levels")
-    return out.select("source_id", "ts", F.round("db", 6).alias("db"))
+    return out.select("source_id", F.unix_seconds("ts").alias("at"), F.round("db", 6).alias("db"))
 
 
-@query("stream_windows")
+@query("stream_windows", f"""WITH e AS (SELECT user_id AS source_id, epoch_us(ts) // {24 * _H} - k AS day, value / 1000.0 AS x FROM events, (VALUES (0), (1)) t(k))
+SELECT source_id, CAST(day * 86400 AS BIGINT) AS "from", count(*) AS samples, max(abs(x)) AS peak FROM e WHERE (day + 2) * {24 * _H} <= {_CLOSED} GROUP BY ALL""")
 def stream_windows(spark, sf):
     from ..streaming.jobs import sliding_stream
 
-    return _replay(spark, sf, lambda r: sliding_stream(r, "2 days", "1 day", late="1 minute"), "windows")
+    out = _replay(spark, sf, lambda r: sliding_stream(r, "2 days", "1 day", late="1 minute"), "windows")
+    return out.select("source_id", F.unix_seconds("start").alias("from"), "samples", "peak")
 
 
-@query("stream_sessions")
+@query("stream_sessions", f"""WITH o AS (SELECT user_id AS source_id, epoch_us(ts) AS us, floor(value) AS v, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+r AS (SELECT *, sum(CASE WHEN before IS NULL OR us - before >= {4 * _H} THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY us) AS run FROM o)
+SELECT source_id, CAST(min(us) // 1000000 AS BIGINT) AS "from", count(*) AS merged, CAST(max(v) AS INTEGER) AS base_interest FROM r GROUP BY source_id, run HAVING max(us) + {4 * _H} <= {_CLOSED}""")
 def stream_sessions(spark, sf):
     from ..streaming.jobs import session_stream
 
-    return _replay(spark, sf, lambda r: session_stream(r, "4 hours", "1 minute"), "sessions")
+    out = _replay(spark, sf, lambda r: session_stream(r, "4 hours", "1 minute"), "sessions")
+    return out.select("source_id", F.unix_seconds("start").alias("from"), "merged", "base_interest")
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id * 10 + length(event_type) AS key FROM events")

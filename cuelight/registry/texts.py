@@ -95,7 +95,8 @@ def index_removal(spark, sf):
     return ti.remove_documents(_postings(spark, sf), gone, "doc_id").groupBy("field").agg(F.count("*").alias("n"))
 
 
-@query("stemmed_matches")
+# The word forms in the tables that share the stem of "licenses".
+@query("stemmed_matches", _TOKENS + "SELECT DISTINCT doc_id FROM p WHERE term IN ('license', 'licenses', 'licensed', 'licensing')")
 def stemmed_matches(spark, sf):
     return ti.match(_postings(spark, sf, True), ti.TextQuery(all_of=["licenses"]), "doc_id")
 
