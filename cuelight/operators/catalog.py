@@ -6,12 +6,14 @@ replaces only the source buckets that changed.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.semi import get
+from ..plans.groups import broadcast_if_small
 from ..plans.session import checkpointed
 from .textindex import FIELDS, build_postings, clip_texts, text_lengths
 
@@ -43,41 +45,72 @@ def empty_catalog(spark: SparkSession) -> Catalog:
     return Catalog(**{name: spark.createDataFrame([], schema) for name, schema in _TABLES.items()})
 
 
-def read_catalog(spark: SparkSession, root: str) -> Catalog:
-    return Catalog(**{
-        name: spark.read.schema(f"{schema}, bucket int").parquet(f"{root}/{name}").drop("bucket")
-        for name, schema in _TABLES.items()
-    })
+def read_catalog(spark: SparkSession, root: str, only: Sequence[int] | None = None) -> Catalog:
+    """The stored catalog; ``only`` reads the given source buckets and no other file."""
+    def table(name: str, schema: str) -> DataFrame:
+        rows = spark.read.schema(f"{schema}, bucket int").parquet(f"{root}/{name}")
+        rows = rows if only is None else rows.filter(F.col("bucket").isin(list(only)))
+        return rows.drop("bucket")
+
+    return Catalog(**{name: table(name, schema) for name, schema in _TABLES.items()})
 
 
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int")
 
 
+def touched_buckets(source_ids: DataFrame, buckets: int = BUCKETS) -> list[int]:
+    """The buckets of the given ``source_id`` rows: at most ``buckets`` numbers."""
+    return sorted(r[0] for r in source_ids.select(_bucket(buckets)).distinct().collect())
+
+
 # Sort keys that make file statistics useful for each table's usual filter.
 _SORT = {"clips": ["source_id", "source_in"], "postings": ["term", "clip_id"], "clip_categories": ["category"]}
 
 
-def write_catalog(catalog: Catalog, root: str, touched: DataFrame | None = None, buckets: int = BUCKETS) -> None:
-    """Write all tables below ``root``; with ``touched`` (``source_id`` rows) only
-    the buckets of those sources are replaced, all other files stay as they are.
-    A catalog keeps the number of buckets it was first written with."""
-    bucket = _bucket(buckets)
-    mode = "static"
-    tables = catalog.tables()
-    if touched is not None:
-        mode = "dynamic"
-        ids = [r[0] for r in touched.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
-        # The same files are read and replaced, so the new rows are written aside first.
-        tables = {n: checkpointed(t.filter(bucket.isin(ids))) for n, t in tables.items()}
-    for name, table in tables.items():
-        rows = table.withColumn("bucket", bucket)
+def write_catalog(catalog: Catalog, root: str, only: Sequence[int] | None = None, buckets: int = BUCKETS) -> None:
+    """Write all tables below ``root`` in source buckets.
+
+    With ``only``, those buckets are replaced and all other files stay as they
+    are. The new rows are written aside first, because they may derive from the
+    files they replace. A catalog keeps its number of buckets.
+    """
+    for name, table in catalog.tables().items():
+        rows = table.withColumn("bucket", _bucket(buckets))
         order = ["bucket", *_SORT.get(name, ["source_id"])]
+        path = f"{root}/{name}"
+        if only is not None:
+            rows = checkpointed(rows.filter(F.col("bucket").isin(list(only))))
         (
             rows.repartitionByRange(*order).sortWithinPartitions(*order)
-            .write.mode("overwrite").option("partitionOverwriteMode", mode)
-            .partitionBy("bucket").parquet(f"{root}/{name}")
+            .write.mode("overwrite").option("partitionOverwriteMode", "static" if only is None else "dynamic")
+            .partitionBy("bucket").parquet(path)
         )
+        if only is not None:
+            # A bucket that has become empty is not among the written partitions.
+            left = {r[0] for r in rows.select("bucket").distinct().collect()}
+            for number in sorted(set(only) - left):
+                rows.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{path}/bucket={number}")
+
+
+def update_catalog(spark: SparkSession, root: str, manifests: DataFrame, fingerprints: DataFrame | None = None,
+                   buckets: int = BUCKETS) -> DataFrame:
+    """Fold manifests into the catalog stored at ``root``, reading and writing the
+    buckets of their sources only. Returns the report of ``ingest``."""
+    rows = checkpointed(prepare_manifests(manifests, fingerprints))
+    only = touched_buckets(rows, buckets)
+    if not only:
+        return _report(empty_catalog(spark), rows.withColumn("_extract_wins", F.lit(True)))
+    updated, report = _fold(read_catalog(spark, root, only), rows)
+    report = checkpointed(report)
+    write_catalog(updated, root, only, buckets)
+    return report
+
+
+def create_catalog(spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
+    """An empty stored catalog."""
+    for name, table in empty_catalog(spark).tables().items():
+        table.write.mode("overwrite").parquet(f"{root}/{name}/bucket=0")
 
 
 def source_key(fingerprint: Column) -> Column:
@@ -88,11 +121,23 @@ def extract_key() -> Column:
     return F.xxhash64("source_id", "created_at", "segmenter", "analyzer", "game_profile")
 
 
-def _latest(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """The rows of each key's last manifest in path order. Only (key, path) pairs
-    are aggregated; the wide rows are then picked by a semi join."""
-    last = rows.groupBy(key).agg(F.max(at).alias(at))
-    return rows.join(last, [key, at], "left_semi")
+def _with_winners(rows: DataFrame) -> DataFrame:
+    """Mark the rows whose manifest is the last, in path order, for its extract,
+    for its source, and for its source's summary.
+
+    Winners are found on the narrow key columns; the wide rows are joined once,
+    by path.
+    """
+    keys = rows.select("manifest_path", "extract_id", "source_id", F.col("summary").isNotNull().alias("told"))
+    told = F.when(F.col("told"), F.col("manifest_path"))
+    by_extract = keys.groupBy("extract_id").agg(F.max("manifest_path").alias("_e"))
+    by_source = keys.groupBy("source_id").agg(F.max("manifest_path").alias("_s"), F.max(told).alias("_t"))
+    flags = checkpointed(keys.join(by_extract, "extract_id").join(by_source, "source_id").select(
+        "manifest_path", (F.col("manifest_path") == F.col("_e")).alias("_extract_wins"),
+        (F.col("manifest_path") == F.col("_s")).alias("_source_wins"),
+        F.coalesce(F.col("manifest_path") == F.col("_t"), F.lit(False)).alias("_summary_wins"),
+    ))
+    return rows.join(broadcast_if_small(flags), "manifest_path")
 
 
 def prepare_manifests(manifests: DataFrame, fingerprints: DataFrame | None = None) -> DataFrame:
@@ -149,19 +194,20 @@ def ingest(catalog: Catalog, manifests: DataFrame, fingerprints: DataFrame | Non
     created``.
     """
     # Every table is derived from the batch, so it is parsed and written aside once.
-    rows = checkpointed(prepare_manifests(manifests, fingerprints))
-    latest = _latest(rows, "extract_id", "manifest_path")
+    return _fold(catalog, checkpointed(prepare_manifests(manifests, fingerprints)))
 
+
+def _fold(catalog: Catalog, prepared: DataFrame) -> tuple[Catalog, DataFrame]:
+    rows = _with_winners(prepared)
+    latest = rows.filter("_extract_wins")
     seen = catalog.sources.select("source_id", F.col("has_audio").alias("_had"))
     sources = (
-        _latest(rows, "source_id", "manifest_path")
+        rows.filter("_source_wins")
         .select("source_id", "file_path", "fingerprint", "source.duration", "source.resolution", "source.fps")
         .join(seen, "source_id", "left")
         .withColumn("has_audio", F.coalesce("_had", F.lit(1)))
     )
-    summaries = _latest(rows.filter(F.col("summary").isNotNull()), "source_id", "manifest_path").select(
-        "source_id", "summary.*"
-    )
+    summaries = rows.filter("_summary_wins").select("source_id", "summary.*")
     clips = manifest_clips(latest)
     categories = clips.select(*_KEYS, F.explode("categories").alias("category"))
     texts = clip_texts(clips)
@@ -180,12 +226,15 @@ def ingest(catalog: Catalog, manifests: DataFrame, fingerprints: DataFrame | Non
         postings=swap(catalog.postings, postings),
         lengths=swap(catalog.lengths, text_lengths(texts, _KEYS, FIELDS)),
     )
+    return updated, _report(catalog, rows)
+
+
+def _report(catalog: Catalog, rows: DataFrame) -> DataFrame:
     known = catalog.extracts.select("extract_id", F.lit(False).alias("_new"))
-    report = latest.join(known, "extract_id", "left").select(
+    return rows.filter("_extract_wins").join(known, "extract_id", "left").select(
         "manifest_path", "source_id", "extract_id", F.size("clips").alias("clip_count"),
         F.coalesce("_new", F.lit(True)).alias("created"),
     )
-    return updated, report
 
 
 def remove_manifest(catalog: Catalog, manifest_path: str) -> tuple[Catalog, DataFrame]:

@@ -16,7 +16,7 @@ _E = "WITH e AS (SELECT event_id, event_id % 8 AS k, event_type, user_id, CAST(f
 
 
 def replies(spark, sf):
-    """One reply per event, in eight kinds: list, fenced, prose around JSON, flat
+    """One reply per event under two profiles, in eight kinds: list, fenced, prose around JSON, flat
     object, out of range, broken, scalar, too short."""
     e = views.table(spark, sf, "events")
     v = F.floor("value").cast("string")
@@ -37,7 +37,7 @@ def replies(spark, sf):
         .when(k == 6, v)
         .otherwise(F.concat(lit('{"events":['), item(lit("5"), lit("5.5")), lit("]}")))
     )
-    return e.select(F.col("event_id").alias("chunk_id"), F.lit("gta").alias("profile"), F.lit(12.0).alias("duration"), text.alias("text"))
+    return e.select(F.col("event_id").alias("chunk_id"), F.when(F.col("event_id") % 5 == 4, "movie").otherwise("gta").alias("profile"), F.lit(12.0).alias("duration"), text.alias("text"))
 
 
 @query("coerced_replies", _E + """, x AS (
@@ -46,9 +46,9 @@ def replies(spark, sf):
     CASE k WHEN 0 THEN CASE n WHEN 0 THEN 3.25 ELSE 9.0 END WHEN 1 THEN 8.0 WHEN 2 THEN 7.5 WHEN 3 THEN 6.0 ELSE 12.0 END AS e,
     CASE k WHEN 5 THEN '(analyzer failed to return valid JSON)' WHEN 6 THEN '(analyzer returned unexpected JSON shape)'
       ELSE 'scene ' || event_id END AS description,
-    CASE WHEN k IN (5, 6) THEN '' WHEN event_id % 3 = 0 THEN 'stunt,crash' ELSE 'stunt' END AS categories,
+    CASE WHEN k IN (5, 6) OR event_id % 5 = 4 THEN '' WHEN event_id % 3 = 0 THEN 'stunt,crash' ELSE 'stunt' END AS categories,
     CASE WHEN k IN (5, 6) THEN 0 ELSE CAST(least(v, 100) AS INTEGER) END AS base_interest,
-    CASE WHEN k IN (5, 6) THEN '{}' ELSE '{"wanted_level":2}' END AS game_signals,
+    CASE WHEN k IN (5, 6) OR event_id % 5 = 4 THEN '{}' ELSE '{"wanted_level":2}' END AS game_signals,
     CASE WHEN k IN (5, 6) THEN '' ELSE 'horn' END AS audio_cues
   FROM e, unnest(range(0, CASE WHEN k = 0 THEN 2 ELSE 1 END)) t(n))
 SELECT chunk_id, event_no, CAST(s AS DOUBLE) AS "start", CAST(e AS DOUBLE) AS "end", description, categories, base_interest, game_signals, audio_cues FROM x""")
@@ -105,22 +105,24 @@ def analyzer_calls(spark, sf):
     return out.select("event_id", F.get_json_object("payload", "$.events[0].base_interest").cast("int").alias("base_interest"), "error")
 
 
-@query("recorded_work", "SELECT count(*) FILTER (WHERE event_id % 7 <> 0) AS done, count(*) FILTER (WHERE event_id % 7 = 0) AS still_open FROM events")
+@query("recorded_work", "SELECT CASE WHEN event_id % 7 = 0 THEN 'open' ELSE 'done' END AS state, count(*) AS n FROM events GROUP BY ALL")
 def recorded_work(spark, sf):
     """Failures are not recorded as done, so the next run takes them up again."""
+    from ..plans.session import checkpointed
+
     tasks = views.table(spark, sf, "events").select("event_id", work.content_key(F.col("event_id"), F.lit("v1")).alias("key"))
-    results = plugins.call_model(tasks, Echo(), attempts=1, base_delay=0.0)
+    results = checkpointed(plugins.call_model(tasks, Echo(), attempts=1, base_delay=0.0))
     done = work.record(spark.createDataFrame([], work.DONE_SCHEMA), results, "analysis")
-    left = work.pending(tasks, done, "analysis").groupBy().agg(F.count("*").alias("still_open"))
-    counts = done.groupBy().agg(F.count("*").alias("done"))
-    return counts.withColumn("one", F.lit(1)).join(left.withColumn("one", F.lit(1)), "one").drop("one")
+    counted = lambda df, state: df.groupBy().agg(F.count("*").alias("n")).select(F.lit(state).alias("state"), "n")
+    return counted(done, "done").unionByName(counted(work.pending(tasks, done, "analysis"), "open"))
 
 
-@query("rendered_prompts", """SELECT event_id, 'Watch 12.0 s of film scene in 12 frames (4x3). Tags: establishing, dialogue, action, chase, fight, romance, montage, flashback, comedy_beat, emotional_beat, credits' AS prompt FROM events""")
+@query("rendered_prompts", """SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'Watch 12.0 s of film scene in 12 frames (4x3). Tags: establishing, dialogue, action, chase, fight, romance, montage, flashback, comedy_beat, emotional_beat, credits'
+  ELSE 'Watch 12.0 s of podcast or interview in 12 frames (4x3). Tags: intro, monologue, interview, debate, joke, story, ad_read, outro' END AS prompt FROM events""")
 def rendered_prompts(spark, sf):
     from ..operators.rollup import render_prompts
 
-    chunks = views.table(spark, sf, "events").select("event_id", F.lit("movie").alias("profile"), F.lit(0.0).alias("start"), F.lit(12.0).alias("end"))
+    chunks = views.table(spark, sf, "events").select("event_id", F.when(F.col("user_id") % 2 == 0, "movie").otherwise("podcast").alias("profile"), F.lit(0.0).alias("start"), F.lit(12.0).alias("end"))
     template = "Watch {duration} s of {subject} in {frames} frames ({columns}x{rows}). Tags: {taxonomy}"
     return render_prompts(chunks, prof.builtin_profiles(spark).drop("template"), template).select("event_id", "prompt")
 

@@ -207,16 +207,18 @@ def test_only_touched_buckets_are_rewritten(spark, base, tmp_path):
     other, _ = ingested(spark, ("/m/o/manifest.json", manifest(file="/v/other.mp4")), into=base)
     cat.write_catalog(other, root, buckets=8)
     before = {p: p.stat().st_mtime_ns for p in (tmp_path / "catalog" / "clips").rglob("*.parquet")}
-    stored = cat.read_catalog(spark, root)
-    changed, _ = ingested(spark, ("/m/n/manifest.json", manifest()), into=stored)
-    touched = changed.sources.filter("file_path = '/v/source.mp4'").select("source_id")
-    cat.write_catalog(changed, root, touched, buckets=8)
+    good, _ = parsed(spark, ("/m/n/manifest.json", manifest()))
+    report = cat.update_catalog(spark, root, good, buckets=8)
+    assert rows(report, "manifest_path", "created") == [("/m/n/manifest.json", False)]
     after = cat.read_catalog(spark, root)
     assert counts(after) == counts(other)
     assert ("/m/n/manifest.json",) in rows(after.extracts, "manifest_path")
     now = {p: p.stat().st_mtime_ns for p in (tmp_path / "catalog" / "clips").rglob("*.parquet")}
     assert any(before.get(p) == t for p, t in now.items())
     assert cat.stored_bytes(spark, root).first()[0] > 0
+    good, _ = parsed(spark, ("/m/n/manifest.json", manifest(clips=[])))
+    cat.update_catalog(spark, root, good, buckets=8)
+    assert counts(cat.read_catalog(spark, root)) == {"sources": 2, "extracts": 2, "clips": 2, "clip_categories": 3}
 
 
 def test_upgrade_adds_dialogue_and_rebuilds_the_index(spark, base):
