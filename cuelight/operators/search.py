@@ -50,8 +50,8 @@ def in_all_categories(clips: DataFrame, categories: DataFrame, wanted: Sequence[
     because the list is counted as given."""
     hits = (
         categories.filter(F.col("category").isin(list(wanted)))
-        .groupBy("clip_id").agg(F.count_distinct("category").alias("n"))
-        .filter(F.col("n") == len(wanted))
+        .groupBy("clip_id").agg(F.collect_set("category").alias("found"))
+        .filter(F.size("found") == len(wanted))
     )
     return clips.join(hits, "clip_id", "left_semi")
 
@@ -151,23 +151,28 @@ def search(
         extracts = extracts.filter(F.col("game_profile") == game_profile)
     if source:
         sources = sources.filter((F.col("file_path") == source) | (F.col("fingerprint") == source))
-    rows = _joined(catalog, clips, extracts, sources)
 
     if query is not None:
         hits = match(catalog.postings, query)
-        scores = rank(catalog.postings, catalog.lengths.select("clip_id", "length"), query.positive_terms())
-        rows = rows.join(hits, "clip_id", "left_semi").join(
+        scores = rank(catalog.postings, catalog.lengths.select("clip_id", "length"), query)
+        clips = clips.join(hits, "clip_id", "left_semi").join(
             scores.withColumnRenamed("rank", "fts_rank"), "clip_id", "left"
         )
     else:
-        rows = rows.withColumn("fts_rank", F.lit(None).cast("double"))
+        clips = clips.withColumn("fts_rank", F.lit(None).cast("double"))
 
     column, ascending = ORDERS.get(order_by, ORDERS["score"])
     order = [F.col(column).asc() if ascending else F.col(column).desc(), F.col("clip_id")]
     if query is not None and order_by != "timeline":
         order = [F.col("fts_rank").asc_nulls_last(), *order]
-    rows = rows.orderBy(*order)
-    return _projected(rows.limit(limit) if limit >= 0 else rows)
+
+    # Every clip has an extract and a source, so without a filter on those the
+    # best clips are known before the joins.
+    early = limit >= 0 and column in clips.columns and not (segmenter or game_profile or source)
+    if early:
+        clips = clips.orderBy(*order).limit(limit)
+    rows = _joined(catalog, clips, extracts, sources).orderBy(*order)
+    return _projected(rows.limit(limit) if limit >= 0 and not early else rows)
 
 
 def get_clip(catalog: Catalog, clip_id: int) -> DataFrame:

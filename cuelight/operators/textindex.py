@@ -37,9 +37,6 @@ class TextQuery:
     prefix: Sequence[str] = ()
     fields: Sequence[str] = field(default=())
 
-    def positive_terms(self) -> list[str]:
-        return list(dict.fromkeys([*self.all_of, *self.any_of, *self.phrase]))
-
 
 def signal_values(signals: Column) -> Column:
     """Leaf values of a JSON object as text, two levels of lists and objects deep;
@@ -91,12 +88,19 @@ def document_lengths(postings: DataFrame, id_column: str = "clip_id") -> DataFra
     return postings.groupBy(id_column).agg(F.count("*").alias("length"))
 
 
+def _normal(stemmed: bool):
+    return (lambda w: stem(w.lower())) if stemmed else str.lower
+
+
+def _searched(postings: DataFrame, query: TextQuery) -> DataFrame:
+    return postings.filter(F.col("field").isin(list(query.fields))) if query.fields else postings
+
+
 def match(postings: DataFrame, query: TextQuery, id_column: str = "clip_id", stemmed: bool = True) -> DataFrame:
-    """Ids of the documents that satisfy ``query``."""
-    norm = (lambda w: stem(w.lower())) if stemmed else str.lower
-    base = postings
-    if query.fields:
-        base = base.filter(F.col("field").isin(list(query.fields)))
+    """Ids of the documents that satisfy ``query``. Sets gathered per document
+    hold at most the query's terms."""
+    norm = _normal(stemmed)
+    base = _searched(postings, query)
     found = None
 
     def narrow(ids: DataFrame) -> DataFrame:
@@ -105,13 +109,13 @@ def match(postings: DataFrame, query: TextQuery, id_column: str = "clip_id", ste
     wanted = sorted({norm(w) for w in query.all_of})
     if wanted:
         hits = base.filter(F.col("term").isin(wanted)).groupBy(id_column)
-        found = narrow(hits.agg(F.count_distinct("term").alias("n")).filter(F.col("n") == len(wanted)).select(id_column))
+        found = narrow(hits.agg(F.collect_set("term").alias("t")).filter(F.size("t") == len(wanted)).select(id_column))
     if query.any_of:
         found = narrow(base.filter(F.col("term").isin([norm(w) for w in query.any_of])).select(id_column).distinct())
     for beginning in query.prefix:
         found = narrow(base.filter(F.col("term").startswith(beginning.lower())).select(id_column).distinct())
     if query.phrase:
-        found = narrow(_phrase(base, [norm(w) for w in query.phrase], id_column))
+        found = narrow(_phrases(base, [norm(w) for w in query.phrase], id_column).select(id_column).distinct())
     if found is None:
         found = base.select(id_column).distinct()
     if query.none_of:
@@ -120,8 +124,8 @@ def match(postings: DataFrame, query: TextQuery, id_column: str = "clip_id", ste
     return found
 
 
-def _phrase(postings: DataFrame, words: list[str], id_column: str) -> DataFrame:
-    """Documents with the words at consecutive positions of one field: every
+def _phrases(postings: DataFrame, words: list[str], id_column: str) -> DataFrame:
+    """Places where the words stand at consecutive positions of one field: every
     occurrence votes for the position where its phrase would begin."""
     slots = F.explode(F.array(*[
         F.struct(F.lit(w).alias("w"), F.lit(i).alias("i")) for i, w in enumerate(words)
@@ -131,31 +135,52 @@ def _phrase(postings: DataFrame, words: list[str], id_column: str) -> DataFrame:
         .select(id_column, "field", "pos", "term", slots.alias("s"))
         .filter("term = s.w")
         .groupBy(id_column, "field", (F.col("pos") - F.col("s.i")).alias("begin"))
-        .agg(F.count_distinct("s.i").alias("n"))
+        .agg(F.collect_set("s.i").alias("slots"))
     )
-    return votes.filter(F.col("n") == len(words)).select(id_column).distinct()
+    return votes.filter(F.size("slots") == len(words)).select(id_column, "field", "begin")
+
+
+def occurrences(postings: DataFrame, query: TextQuery, id_column: str = "clip_id", stemmed: bool = True) -> DataFrame:
+    """How often each positive part of the query (a term, a prefix, the phrase)
+    occurs in each document: ``id, part, tf``."""
+    norm = _normal(stemmed)
+    base = _searched(postings, query)
+    counted = lambda rows, part: rows.groupBy(id_column, part.alias("part")).agg(F.count("*").alias("tf"))
+    parts = []
+    terms = sorted({norm(w) for w in [*query.all_of, *query.any_of]})
+    if terms:
+        parts.append(counted(base.filter(F.col("term").isin(terms)), F.concat(F.lit("="), F.col("term"))))
+    for beginning in query.prefix:
+        parts.append(counted(base.filter(F.col("term").startswith(beginning.lower())), F.lit(beginning + "*")))
+    if query.phrase:
+        parts.append(counted(_phrases(base, [norm(w) for w in query.phrase], id_column), F.lit(" ".join(query.phrase))))
+    if not parts:
+        return base.select(id_column, F.lit("").alias("part"), F.lit(0).cast("bigint").alias("tf")).limit(0)
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    return found
 
 
-def rank(postings: DataFrame, lengths: DataFrame, terms: Sequence[str], id_column: str = "clip_id",
+def rank(postings: DataFrame, lengths: DataFrame, query: TextQuery, id_column: str = "clip_id",
          stemmed: bool = True) -> DataFrame:
-    """Negated BM25 of every document with at least one term: ascending is best.
+    """Negated BM25 of every document with a positive part of the query:
+    ascending is best.
 
     Document count and mean length are two numbers; document frequencies are one
-    row per query term.
+    row per part of the query.
     """
-    norm = (lambda w: stem(w.lower())) if stemmed else str.lower
-    wanted = sorted({norm(w) for w in terms})
     n_docs, mean = lengths.agg(F.count("*"), F.avg("length")).first()
     n_docs, mean = int(n_docs or 0), float(mean or 1.0)
-    tf = postings.filter(F.col("term").isin(wanted)).groupBy(id_column, "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = occurrences(postings, query, id_column, stemmed)
+    df = tf.groupBy("part").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(MIN_IDF), F.log((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = (
         F.col("idf") * F.col("tf") * (K1 + 1)
         / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
     )
     return (
-        tf.join(F.broadcast(df.select("term", idf.alias("idf"))), "term")
+        tf.join(F.broadcast(df.select("part", idf.alias("idf"))), "part")
         .join(lengths, id_column)
         .groupBy(id_column)
         .agg((-F.sum(weight)).alias("rank"))

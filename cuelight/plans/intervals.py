@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .groups import MAX_BROADCAST_ROWS
 
@@ -72,7 +73,8 @@ def _salted(lb: DataFrame, rb: DataFrame, on: list[str], limit: int):
         return lb, rb, on
     hot = F.broadcast(hot) if n_hot <= MAX_BROADCAST_ROWS else hot
     parts = F.coalesce(F.col("_parts"), F.lit(1))
-    spread = F.pmod(F.xxhash64(*[c for c in lb.columns]), parts).cast("int")
+    flat = [f.name for f in lb.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    spread = F.pmod(F.xxhash64(*flat), parts).cast("int")
     lb = lb.join(hot, on, "left").withColumn("_salt", spread).drop("_parts")
     rb = (
         rb.join(hot, on, "left")

@@ -25,6 +25,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cue
     )
 
 
+# What a large cluster should set; pass to spark-submit or a session builder.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: what the cluster names in
     ``spark.checkpoint.dir``. Only a local master falls back to a temporary

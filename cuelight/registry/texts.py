@@ -85,10 +85,26 @@ w AS (SELECT doc_id, greatest(CAST(1e-6 AS DOUBLE), ln((docs - df + 0.5) / (df +
 SELECT doc_id, round(-sum(s), 6) AS rank FROM w GROUP BY doc_id""")
 def text_rank(spark, sf):
     p = _postings(spark, sf)
-    r = ti.rank(p, ti.document_lengths(p, "doc_id"), ["the", "license", "und"], "doc_id", stemmed=False)
+    r = ti.rank(p, ti.document_lengths(p, "doc_id"), ti.TextQuery(any_of=["the", "license", "und"]), "doc_id", stemmed=False)
     return r.select("doc_id", F.round("rank", 6).alias("rank"))
 
 
+@query("phrase_rank", _TOKENS + """, len AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS docs, avg(n) AS mean FROM len),
+tf AS (SELECT a.doc_id, 'phrase' AS part, count(*) AS tf FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.field = b.field AND b.pos = a.pos + 1
+    WHERE a.term = 'in' AND b.term = 'the' GROUP BY a.doc_id
+  UNION ALL SELECT doc_id, 'prefix', count(*) FROM p WHERE term LIKE 'lic%' GROUP BY doc_id),
+df AS (SELECT part, count(*) AS df FROM tf GROUP BY part),
+w AS (SELECT doc_id, greatest(CAST(1e-6 AS DOUBLE), ln((docs - df + 0.5) / (df + 0.5))) * tf * CAST(2.2 AS DOUBLE)
+  / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * n / mean)) AS s
+  FROM tf JOIN df USING (part) JOIN len USING (doc_id), st)
+SELECT doc_id, round(-sum(s), 6) AS rank FROM w GROUP BY doc_id""")
+def phrase_rank(spark, sf):
+    p = _postings(spark, sf)
+    q = ti.TextQuery(phrase=["in", "the"], prefix=["lic"])
+    return ti.rank(p, ti.document_lengths(p, "doc_id"), q, "doc_id", stemmed=False).select("doc_id", F.round("rank", 6).alias("rank"))
+
+
 @query("index_removal", _TOKENS + "SELECT field, count(*) AS n FROM p WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'de') GROUP BY field")
 def index_removal(spark, sf):
     gone = views.table(spark, sf, "documents").filter("lang = 'de'")
