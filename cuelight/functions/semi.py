@@ -27,11 +27,11 @@ def kind_of(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(kind_of(value).startswith("OBJECT"), F.lit(False))
+    return get(value, "$", "struct<_:variant>").isNotNull()
 
 
 def is_list(value: Column) -> Column:
-    return F.coalesce(kind_of(value).startswith("ARRAY"), F.lit(False))
+    return get(value, "$", "array<variant>").isNotNull()
 
 
 def tolerant_json(text: Column) -> Column:
@@ -46,88 +46,86 @@ def tolerant_json(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(bare), F.try_parse_json(inner))
 
 
-def number(value: Column, path: str, default: Column) -> Column:
-    """A float leaf given as number or text: ``default`` when the key is absent,
-    null when it is present but not a number."""
-    leaf = get(value, path, "variant")
-    return F.when(leaf.isNull(), default).otherwise(
-        F.trim(get(value, path, "string")).try_cast("double")
-    )
+def _as_text(leaf: Column) -> Column:
+    return F.trim(F.try_variant_get(leaf, "$", "string"))
+
+
+def number(leaf: Column, default: Column) -> Column:
+    """A float leaf given as number or text: ``default`` when it is absent, null
+    when it is present but not a number."""
+    return F.when(leaf.isNull(), default).otherwise(_as_text(leaf).try_cast("double"))
 
 
-def text(value: Column, path: str) -> Column:
-    """A trimmed text leaf; empty when absent, null or false."""
-    return F.trim(F.coalesce(get(value, path, "string"), F.lit("")))
+def text(leaf: Column) -> Column:
+    """A trimmed text leaf; empty when absent or null."""
+    return F.coalesce(_as_text(leaf), F.lit(""))
 
 
-def whole(value: Column, path: str) -> Column:
+def whole(leaf: Column) -> Column:
     """An integer leaf: numbers are truncated, text must be a whole number, else 0."""
-    leaf = get(value, path, "variant")
-    as_text = F.trim(get(value, path, "string"))
+    as_text = _as_text(leaf)
     parsed = F.when(kind_of(leaf) == "STRING", as_text.try_cast("bigint")).otherwise(
-        F.coalesce(
-            as_text.try_cast("double").cast("bigint"),
-            get(value, path, "boolean").cast("bigint"),
-        )
+        F.coalesce(as_text.try_cast("double").cast("bigint"), F.try_variant_get(leaf, "$", "boolean").cast("bigint"))
     )
     return F.coalesce(parsed, F.lit(0))
 
 
-def string_items(value: Column, path: str) -> Column:
+def _items(leaf: Column) -> Column:
+    return F.coalesce(F.try_variant_get(leaf, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def string_items(leaf: Column) -> Column:
     """List items as text, without nulls, blanks and zeros."""
-    items = F.coalesce(get(value, path, "array<variant>"), F.array().cast("array<variant>"))
-    words = F.transform(items, lambda v: F.try_variant_get(v, "$", "string"))
+    words = F.transform(_items(leaf), lambda v: F.try_variant_get(v, "$", "string"))
     return F.filter(words, lambda w: w.isNotNull() & (w != "") & (w != "false") & (w != "0"))
 
 
-def allowed_strings(value: Column, path: str, allowed: Column) -> Column:
+def allowed_strings(leaf: Column, allowed: Column) -> Column:
     """String items that are in ``allowed``, input order kept."""
-    items = F.coalesce(get(value, path, "array<variant>"), F.array().cast("array<variant>"))
     words = F.transform(
-        F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"),
+        F.filter(_items(leaf), lambda v: F.schema_of_variant(v) == "STRING"),
         lambda v: F.try_variant_get(v, "$", "string"),
     )
     return F.filter(words, lambda w: F.array_contains(allowed, w))
 
 
-def allowed_keys(value: Column, path: str, allowed: Column) -> Column:
+def allowed_keys(leaf: Column, allowed: Column) -> Column:
     """JSON text of an object, restricted to the keys in ``allowed``."""
-    entries = get(value, path, "map<string,variant>")
+    entries = F.try_variant_get(leaf, "$", "map<string,variant>")
     kept = F.map_filter(entries, lambda k, v: F.array_contains(allowed, k))
     return F.coalesce(F.to_json(kept), F.lit("{}"))
 
 
-def coerced_event(value: Column, allowed_tags: Column, allowed_signals: Column, duration: Column,
-                  window: bool) -> Column:
-    """One event struct. With ``window`` an unusable time span becomes the whole
-    window; without it the event is null."""
-    end_default = duration if window else F.lit(0.0)
-    start = number(value, "$.start", F.lit(0.0))
-    end = number(value, "$.end", end_default)
-    start = F.greatest(F.lit(0.0), F.least(start, duration))
-    end = F.greatest(F.lit(0.0), F.least(end, duration))
-    numeric = (
-        number(value, "$.start", F.lit(0.0)).isNotNull()
-        & number(value, "$.end", end_default).isNotNull()
-    )
-    usable = numeric & (end > start)
-    if window:
-        start = F.when(usable, start).otherwise(F.lit(0.0))
-        end = F.when(usable, end).otherwise(duration)
-    description = text(value, "$.description")
-    event = F.struct(
-        F.bround(start, 3).alias("start"),
-        F.bround(end, 3).alias("end"),
+EVENT_LEAVES = (
+    "struct<start:variant,end:variant,description:variant,categories:variant,base_interest:variant,"
+    "game_signals:variant,audio_cues:variant>"
+)
+
+
+def event_leaves(raw: Column, allowed_tags: Column, allowed_signals: Column, end_default: Column) -> Column:
+    """The coerced leaves of one raw event; times are still unchecked."""
+    description = text(raw["description"])
+    return F.struct(
+        number(raw["start"], F.lit(0.0)).alias("start"), number(raw["end"], end_default).alias("end"),
         F.when(description == "", NO_DESCRIPTION).otherwise(description).alias("description"),
-        allowed_strings(value, "$.categories", allowed_tags).alias("categories"),
-        F.greatest(F.lit(0), F.least(F.lit(100), whole(value, "$.base_interest")))
-        .cast("int")
-        .alias("base_interest"),
-        allowed_keys(value, "$.game_signals", allowed_signals).alias("game_signals"),
-        string_items(value, "$.audio_cues").alias("audio_cues"),
+        allowed_strings(raw["categories"], allowed_tags).alias("categories"),
+        F.greatest(F.lit(0), F.least(F.lit(100), whole(raw["base_interest"]))).cast("int").alias("base_interest"),
+        allowed_keys(raw["game_signals"], allowed_signals).alias("game_signals"),
+        string_items(raw["audio_cues"]).alias("audio_cues"),
     )
+
+
+def timed_event(leaves: Column, duration: Column, window: bool) -> Column:
+    """Leaves with their times limited to the window. With ``window`` an unusable
+    span becomes the whole window; without it the event is null."""
+    start = F.greatest(F.lit(0.0), F.least(leaves["start"], duration))
+    end = F.greatest(F.lit(0.0), F.least(leaves["end"], duration))
+    usable = leaves["start"].isNotNull() & leaves["end"].isNotNull() & (end > start)
     if window:
-        return event
+        return leaves.withField("start", F.when(usable, F.bround(start, 3)).otherwise(F.lit(0.0))).withField(
+            "end", F.when(usable, F.bround(end, 3)).otherwise(F.bround(duration, 3))
+        )
+    event = leaves.withField("start", F.bround(start, 3)).withField("end", F.bround(end, 3))
     return F.when(usable & (end - start >= MIN_EVENT_SECONDS), event)
 
 
@@ -145,48 +143,34 @@ def placeholder_event(duration: Column, message: str) -> Column:
 
 def coerced_beats(value: Column, duration: Column) -> Column:
     """Story beats: limited to the source, inverted ones dropped, ordered by start."""
-    items = F.filter(
-        F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>")),
-        is_object,
-    )
+    raw = F.filter(F.transform(_items(value), lambda v: F.try_variant_get(
+        v, "$", "struct<start:variant,end:variant,title:variant,summary:variant>")), lambda b: b.isNotNull())
+    numbered = F.transform(raw, lambda b, i: F.struct(
+        number(b["start"], F.lit(0.0)).alias("start"), number(b["end"], duration).alias("end"), i.alias("i"),
+        text(b["title"]).alias("title"), text(b["summary"]).alias("summary")))
 
-    def beat(v: Column) -> Column:
-        start = F.greatest(F.lit(0.0), F.least(number(v, "$.start", F.lit(0.0)), duration))
-        end = F.greatest(F.lit(0.0), F.least(number(v, "$.end", duration), duration))
-        numeric = (
-            number(v, "$.start", F.lit(0.0)).isNotNull()
-            & number(v, "$.end", duration).isNotNull()
-        )
-        title = text(v, "$.title")
-        return F.when(
-            numeric & (end > start),
-            F.struct(
-                F.bround(start, 3).alias("start"),
-                F.bround(end, 3).alias("end"),
-                F.when(title == "", UNTITLED).otherwise(title).alias("title"),
-                text(v, "$.summary").alias("summary"),
-            ),
-        )
+    def beat(b: Column) -> Column:
+        start = F.greatest(F.lit(0.0), F.least(b["start"], duration))
+        end = F.greatest(F.lit(0.0), F.least(b["end"], duration))
+        usable = b["start"].isNotNull() & b["end"].isNotNull() & (end > start)
+        return F.when(usable, F.struct(
+            F.bround(start, 3).alias("start"), b["i"].alias("i"), F.bround(end, 3).alias("end"),
+            F.when(b["title"] == "", UNTITLED).otherwise(b["title"]).alias("title"), b["summary"].alias("summary")))
 
-    found = F.filter(F.transform(items, beat), lambda b: b.isNotNull())
-    return F.transform(
-        F.array_sort(F.transform(found, lambda b, i: F.struct(b["start"].alias("at"), i.alias("pos"), b.alias("beat")))),
-        lambda x: x["beat"],
-    )
+    ordered = F.array_sort(F.filter(F.transform(numbered, beat), lambda b: b.isNotNull()))
+    return F.transform(ordered, lambda b: F.struct(
+        b["start"].alias("start"), b["end"].alias("end"), b["title"].alias("title"), b["summary"].alias("summary")))
 
 
 def coerced_characters(value: Column) -> Column:
     """Named characters with their role, trimmed."""
-    items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
-    people = F.transform(
-        F.filter(items, is_object),
-        lambda v: F.struct(text(v, "$.name").alias("name"), text(v, "$.role").alias("role")),
-    )
-    return F.filter(people, lambda p: p["name"] != "")
+    people = F.transform(_items(value), lambda v: F.try_variant_get(v, "$", "struct<name:variant,role:variant>"))
+    named = F.transform(F.filter(people, lambda p: p.isNotNull()), lambda p: F.struct(
+        text(p["name"]).alias("name"), text(p["role"]).alias("role")))
+    return F.filter(named, lambda p: p["name"] != "")
 
 
 def text_list(value: Column) -> Column:
     """Trimmed, non-blank items of a list."""
-    items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
-    words = F.transform(items, lambda v: F.trim(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("None"))))
+    words = F.transform(_items(value), lambda v: F.trim(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("None"))))
     return F.filter(words, lambda w: w != "")

@@ -60,35 +60,33 @@ def coerce_replies(replies: DataFrame, profiles: DataFrame) -> DataFrame:
         "_doc": semi.tolerant_json(F.col("text")),
     })
     doc, duration = F.col("_doc"), F.col("duration")
-    coerced = lambda v, window: semi.coerced_event(
-        v, F.col("_allowed"), F.col("_keys"), duration, window
-    )
     as_event = lambda c: c.cast(EVENT_TYPE)
-    raw = F.when(semi.is_list(doc), semi.get(doc, "$", "array<variant>")).when(
-        semi.is_object(doc), semi.get(doc, "$.events", "array<variant>")
-    )
-    rows = computed(rows, {"_raw": raw})
-    objects = F.filter(F.col("_raw"), semi.is_object)
-    usable = F.filter(F.transform(objects, lambda v: coerced(v, False)), lambda e: e.isNotNull())
+    items = F.coalesce(semi.get(doc, "$", "array<variant>"), semi.get(doc, "$.events", "array<variant>"))
+    rows = computed(rows, {
+        "_items": items, "_flat": semi.get(doc, "$", semi.EVENT_LEAVES), "_listed": semi.is_list(doc),
+    })
+    leaves = lambda raw, end: semi.event_leaves(raw, F.col("_allowed"), F.col("_keys"), end)
+    objects = F.filter(F.transform("_items", lambda v: semi.get(v, "$", semi.EVENT_LEAVES)), lambda v: v.isNotNull())
+    rows = computed(rows, {"_found": F.transform(objects, lambda v: leaves(v, F.lit(0.0)))})
+    usable = F.filter(F.transform("_found", lambda v: semi.timed_event(v, duration, False)), lambda e: e.isNotNull())
     ordered = F.transform(
         F.array_sort(F.transform(usable, lambda e, i: F.struct(e["start"].alias("at"), i.alias("i"), as_event(e).alias("e")))),
         lambda x: x["e"],
     )
-    rows = computed(rows, {"_objects": objects, "_ordered": ordered})
+    rows = computed(rows, {"_ordered": ordered})
     rows = computed(rows, {"_events": _pruned(F.col("_ordered"))})
-    flat = F.when(semi.is_object(doc), doc).otherwise(F.parse_json(F.lit("{}")))
+    nothing = semi.get(F.parse_json(F.lit("{}")), "$", semi.EVENT_LEAVES)
+    flat = semi.timed_event(leaves(F.coalesce("_flat", nothing), duration), duration, True)
     salvaged = (
-        coerced(F.element_at("_objects", 1), True)
-        .withField("start", F.lit(0.0))
-        .withField("end", F.bround(duration, 3))
+        F.element_at("_found", 1).withField("start", F.lit(0.0)).withField("end", F.bround(duration, 3))
     )
     one = lambda e: F.array(as_event(e))
     events = (
         F.when(doc.isNull(), one(semi.placeholder_event(duration, semi.BAD_JSON)))
-        .when(~semi.is_list(doc) & ~semi.is_object(doc), one(semi.placeholder_event(duration, semi.BAD_SHAPE)))
-        .when(F.col("_raw").isNull() | (F.size("_raw") == 0), one(coerced(flat, True)))
+        .when(~F.col("_listed") & F.col("_flat").isNull(), one(semi.placeholder_event(duration, semi.BAD_SHAPE)))
+        .when(F.col("_items").isNull() | (F.size("_items") == 0), one(flat))
         .when(F.size("_events") > 0, F.col("_events"))
-        .when(F.size("_objects") > 0, one(salvaged))
+        .when(F.size("_found") > 0, one(salvaged))
         .otherwise(one(semi.placeholder_event(duration, semi.NO_USABLE_EVENTS)))
     )
     return rows.select("chunk_id", F.posexplode(events).alias("event_no", "event")).select(

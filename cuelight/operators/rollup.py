@@ -72,8 +72,8 @@ def read_window_summaries(replies: DataFrame) -> DataFrame:
     rows = replies.withColumn("_doc", doc).filter(semi.is_object(F.col("_doc")))
     leaf = lambda name: semi.get(F.col("_doc"), f"$.{name}", "variant")
     return rows.select(
-        "source_id", "window_no", semi.text(F.col("_doc"), "$.synopsis").alias("synopsis"),
-        semi.text_list(leaf("themes")).alias("themes"), semi.text(F.col("_doc"), "$.tone").alias("tone"),
+        "source_id", "window_no", semi.text(leaf("synopsis")).alias("synopsis"),
+        semi.text_list(leaf("themes")).alias("themes"), semi.text(leaf("tone")).alias("tone"),
         semi.coerced_characters(leaf("characters")).alias("characters"),
         semi.coerced_beats(leaf("beats"), F.col("duration")).alias("beats"),
     )
