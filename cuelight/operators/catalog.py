@@ -65,7 +65,12 @@ def touched_buckets(source_ids: DataFrame, buckets: int = BUCKETS) -> list[int]:
 
 
 # Sort keys that make file statistics useful for each table's usual filter.
-_SORT = {"clips": ["source_id", "source_in"], "postings": ["term", "clip_id"], "clip_categories": ["category"]}
+# They end in a key, so a common category or a long source still splits into files.
+_SORT = {
+    "extracts": ["source_id", "extract_id"], "clips": ["source_id", "source_in", "clip_id"],
+    "clip_categories": ["category", "clip_id"], "postings": ["term", "clip_id", "field", "pos"],
+    "lengths": ["clip_id"],
+}
 
 
 def write_catalog(catalog: Catalog, root: str, only: Sequence[int] | None = None, buckets: int = BUCKETS) -> None:

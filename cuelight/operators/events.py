@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 from ..functions import semi
 from ..functions.numeric import blend_score, seconds
 from ..plans.fold import ordered_fold
-from ..plans.groups import broadcast_if_small
+from ..plans.groups import broadcast_if_small, has_hot_group
 from ..plans.rows import computed
 from ..plans.scan import islands, number, ordered_scan, previous, running
 from .signal import score_audio
@@ -176,7 +176,7 @@ def enforce_min_duration(events: DataFrame, shortest: float = MIN_CLIP_SECONDS,
     )
 
 
-def merge_events(events: DataFrame, gap: float = 0.0, **kwargs) -> DataFrame:
+def merge_events(events: DataFrame, gap: float = 0.0, *, max_group_rows: int | None = None) -> DataFrame:
     """Merge back-to-back events of one situation.
 
     A new situation starts after a pause longer than ``gap`` or when main
@@ -191,16 +191,17 @@ def merge_events(events: DataFrame, gap: float = 0.0, **kwargs) -> DataFrame:
         F.col("wanted_level").alias("w"), F.col("location").alias("l"),
     )
     order = ["start", "end", "event_id"]
+    hot = has_hot_group(events, ["source_id"], max_group_rows)
     seen = ordered_scan(
         events.withColumn("_mark", mark), ["source_id"], order,
-        [running("_reach", "max", F.col("end")), previous("_before", F.col("_mark"))], **kwargs,
+        [running("_reach", "max", F.col("end")), previous("_before", F.col("_mark"))], hot=hot,
     )
     fresh = (
         F.col("_reach").isNull()
         | (F.col("start") > F.col("_reach") + gap)
         | ~F.col("_mark").eqNullSafe(F.col("_before"))
     )
-    runs = islands(seen, ["source_id"], order, fresh, "run_no", **kwargs)
+    runs = islands(seen, ["source_id"], order, fresh, "run_no", hot=hot)
     key = ["source_id", "run_no"]
     longest = lambda c: F.max_by(c, F.struct(F.length(c), -F.col("event_id")))
     spans = runs.groupBy(*key).agg(

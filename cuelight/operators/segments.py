@@ -15,6 +15,7 @@ from pyspark.sql.types import (
 
 from ..functions.numeric import audible
 from ..plans.fold import ordered_fold
+from ..plans.groups import has_hot_group
 from ..plans.intervals import interval_join
 from ..plans.scan import following, number, ordered_scan, previous
 from ..plans.session import checkpointed
@@ -79,12 +80,13 @@ def scene_segments(frames: DataFrame, threshold: float) -> DataFrame:
     ``frames`` has ``source_id, t, feature``. A new range starts where the
     feature moves by more than ``threshold``; the last ends with the last frame.
     """
-    moved = ordered_scan(frames, ["source_id"], ["t"], [previous("before", F.col("feature"))])
+    hot = has_hot_group(frames, ["source_id"])
+    moved = ordered_scan(frames, ["source_id"], ["t"], [previous("before", F.col("feature"))], hot=hot)
     cuts = moved.filter(
         F.col("before").isNull() | (F.abs(F.col("feature") - F.col("before")) > threshold)
     ).select("source_id", F.col("t").alias("start"))
     ends = frames.groupBy("source_id").agg(F.max("t").alias("last_t"))
-    ranged = ordered_scan(cuts, ["source_id"], ["start"], [following("next_start", F.col("start"))])
+    ranged = ordered_scan(cuts, ["source_id"], ["start"], [following("next_start", F.col("start"))], hot=hot)
     return (
         ranged.join(ends, "source_id")
         .select("source_id", "start", F.coalesce("next_start", "last_t").alias("end"))
@@ -251,10 +253,11 @@ def chunk_segments(
         StructField("chunk_no", IntegerType()), StructField("start", DoubleType()),
         StructField("end", DoubleType()),
     ])
+    # A segment holds at most its source's samples, so those are counted, not the pairs.
     chunks = ordered_fold(
         rows, ["source_id", "seg_no"], ["t", "db"], ["start", "end", "t", "db"],
         _Cut(float(target), float(longest), float(overlap)), schema,
-        max_group_rows=max_group_rows,
+        hot=has_hot_group(samples, ["source_id"], max_group_rows),
     )
     whole = short.select("source_id", "seg_no", F.lit(0).alias("chunk_no"), "start", "end")
     return chunks.unionByName(whole)

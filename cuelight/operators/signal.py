@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import audible
+from ..plans.groups import has_hot_group
 from ..plans.intervals import bucket_of, interval_join
 from ..plans.scan import following, ordered_scan, previous, running
 from ..plans.session import checkpointed
@@ -34,7 +35,7 @@ def source_levels(samples: DataFrame) -> DataFrame:
     )
 
 
-def index_quantile(samples: DataFrame, percentile: float, **kwargs) -> DataFrame:
+def index_quantile(samples: DataFrame, percentile: float, *, hot: bool | None = None) -> DataFrame:
     """The element at index ``floor(percentile * (n - 1))`` of the sorted levels.
 
     Equal levels are counted first, so a source contributes one row per distinct
@@ -43,7 +44,7 @@ def index_quantile(samples: DataFrame, percentile: float, **kwargs) -> DataFrame
     levels = audible_samples(samples).groupBy("source_id", "db").agg(F.count("*").alias("copies"))
     placed = ordered_scan(
         levels, ["source_id"], ["db"],
-        [running("upto", "sum", F.col("copies"), inclusive=True)], **kwargs,
+        [running("upto", "sum", F.col("copies"), inclusive=True)], hot=hot,
     )
     sizes = levels.groupBy("source_id").agg(F.sum("copies").alias("n"))
     rank = F.floor(F.lit(float(percentile)) * (F.col("n") - 1)) + 1
@@ -54,15 +55,17 @@ def index_quantile(samples: DataFrame, percentile: float, **kwargs) -> DataFrame
     )
 
 
-def local_maxima(samples: DataFrame, percentile: float = PEAK_PERCENTILE, **kwargs) -> DataFrame:
+def local_maxima(samples: DataFrame, percentile: float = PEAK_PERCENTILE, *,
+                 max_group_rows: int | None = None) -> DataFrame:
     """Samples at or above the source's threshold and both neighbours, with their
     level scaled to the source's range."""
+    hot = has_hot_group(samples, ["source_id"], max_group_rows)
     near = ordered_scan(
         audible_samples(samples).select("source_id", "t", "db"), ["source_id"], ["t"],
-        [previous("before", F.col("db")), following("after", F.col("db"))], **kwargs,
+        [previous("before", F.col("db")), following("after", F.col("db"))], hot=hot,
     )
     highest = (F.col("db") >= F.coalesce("before", "db")) & (F.col("db") >= F.coalesce("after", "db"))
-    scale = source_levels(samples).join(index_quantile(samples, percentile, **kwargs), "source_id")
+    scale = source_levels(samples).join(index_quantile(samples, percentile, hot=hot), "source_id")
     span = F.when(F.col("hi") == F.col("lo"), 1.0).otherwise(F.col("hi") - F.col("lo"))
     return (
         near.filter(highest)

@@ -48,17 +48,21 @@ def ordered_fold(
     schema: StructType,
     *,
     max_group_rows: int | None = None,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Run ``fold`` over ``values`` of every key, in ``order`` (a total order).
 
-    The result has the key columns followed by ``schema``.
+    The result has the key columns followed by ``schema``. ``hot`` as in
+    ``ordered_scan``.
     """
     keys, order, values = list(keys), list(order), list(values)
     needed = list(dict.fromkeys([*keys, *order, *values]))
     rows = df.select(*needed)
     out = StructType([df.schema[k] for k in keys] + list(schema.fields))
     runner = _Runner(keys, values, fold, [f.name for f in out.fields])
-    if not has_hot_group(rows, keys, max_group_rows):
+    if hot is None:
+        hot = has_hot_group(rows, keys, max_group_rows)
+    if not hot:
         sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
         return sorted_rows.mapInPandas(runner.emit, out)
 

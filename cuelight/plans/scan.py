@@ -66,15 +66,17 @@ def ordered_scan(
     scans: Sequence[Scan],
     *,
     max_group_rows: int | None = None,
-    check: bool = True,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add one column per scan. ``order`` must be a total order within a key.
 
-    ``check=False`` skips the size check for keys whose groups are bounded by
-    construction (one document, one utterance).
+    ``hot`` tells whether a key may be too big for one task, where the caller
+    knows it already; otherwise the rows per key are counted.
     """
     keys, order = list(keys), list(order)
-    if check and has_hot_group(df, keys, max_group_rows):
+    if hot is None:
+        hot = has_hot_group(df, keys, max_group_rows)
+    if hot:
         return _split_scan(df, keys, order, scans)
     return df.select("*", *[_local(s, keys, order).alias(s.name) for s in scans])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions.text import parse_timestamp
+from ..plans.rows import computed
 from ..plans.scan import last_known, ordered_scan
 from .documents import parse_documents, plain_path, read_texts, write_documents
 
@@ -84,7 +85,7 @@ def parse_cut_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut-list lines to ranges; blank lines and ``#`` comments are skipped."""
     used = lines.filter(F.length(F.regexp_replace("line", r"[\s,]", "")) > 0).filter(~F.trim("line").startswith("#"))
     fields = F.split("line", ",")
-    timed = used.withColumns({
+    timed = computed(used, {
         "start": F.when(F.size(fields) >= 2, parse_timestamp(fields[0])),
         "end": F.when(F.size(fields) >= 2, parse_timestamp(fields[1])),
     })

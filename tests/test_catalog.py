@@ -316,3 +316,16 @@ def test_edl_files_round_trip(spark, tmp_path):
     files.write_edls(good.drop("edl_id"), str(tmp_path / "out"))
     back, bad = files.scan_edls(spark, str(tmp_path / "out"), "part-*")
     assert bad.count() == 0 and rows(back, "title") == [("t",)]
+
+
+def test_stored_search_pushes_filters_and_prunes_columns(spark, base, tmp_path, capsys):
+    cat.write_catalog(base, str(tmp_path / "c"), buckets=2)
+    stored = cat.read_catalog(spark, str(tmp_path / "c"))
+    search(stored, min_score=70, max_duration=30).select("clip_id").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(score,70)" in plan and "LessThanOrEqual(duration,30" in plan
+    assert "keyframes" not in plan and "CartesianProduct" not in plan
+    assert scores(search(stored, min_score=70)) == [82]
+    only = cat.touched_buckets(stored.sources, 2)
+    cat.read_catalog(spark, str(tmp_path / "c"), only).clips.explain("formatted")
+    assert "PartitionFilters: [bucket" in capsys.readouterr().out

@@ -290,3 +290,47 @@ def test_profiles(spark):
     assert bad.first()["problems"] == ["unknown key: nope"]
     with pytest.raises(ValueError):
         profiles.load_profiles(spark, ["nope"])
+
+
+def test_context_files_and_cast(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps({"intro": "hi", "characters": [{"name": "Ann", "images": ["a.png"]}]}))
+    (tmp_path / "d.json").write_text(json.dumps({"intro": "hi", "cast": []}))
+    good, bad = files.scan_context(spark, str(tmp_path))
+    assert good.count() == 1 and good.first().characters[0].description == ""
+    assert bad.first()["problems"] == ["unknown key: cast"]
+    entries = spark.createDataFrame([(1, 0, "Ann", ["a", "b"], ""), (1, 1, "Ann", ["b", "c"], "tall"), (1, 2, "Bo", [], "x")],
+                                    "source_id long, pos int, name string, images array<string>, description string")
+    assert {r.name: (r.images, r.description) for r in rollup.merge_cast(entries).collect()} == {
+        "Ann": (["a", "b", "c"], "tall"), "Bo": ([], "x")}
+
+
+def test_alignment_files(spark, tmp_path):
+    (tmp_path / "u.json").write_text(json.dumps({"characters": ["H", "i"], "start_times": [0, 0.1], "end_times": [0.1, 0.2]}))
+    chars = files.alignment_characters(files.scan_alignments(spark, str(tmp_path)))
+    assert rows(chars, "pos", "ch", "start", "end") == [(0, "H", 0.0, 0.1), (1, "i", 0.1, 0.2)]
+
+
+def test_merge_events_plans_agree(spark):
+    data = [(1 if i % 4 else 2, i, float(i * 3 % 97), float(i * 3 % 97 + 5), f"d{i}", ["crash"] if i % 5 else ["stunt", "x"], i % 100,
+             i % 3, ["car"], "here" if i % 7 else "a longer place", ["crash", "stunt"]) for i in range(120)]
+    ddl = ("source_id long, event_id long, start double, end double, description string, categories array<string>, "
+           "base_interest int, wanted_level int, vehicles array<string>, location string, taxonomy array<string>")
+    e = spark.createDataFrame(data, ddl)
+    pick = ["source_id", "run_no", "start", "end", "merged", "base_interest", "wanted_level", "location", "description", "categories"]
+    assert rows(events.merge_events(e, 2.0), *pick) == rows(events.merge_events(e, 2.0, max_group_rows=10), *pick)
+
+
+def test_scalar_odds_and_ends(spark):
+    assert one(spark, text.frame_rate(F.lit("30000/1001"))) == pytest.approx(29.97, abs=0.01)
+    for bad in ("1/0", "x", "a/b"):
+        assert one(spark, text.frame_rate(F.lit(bad))) == 0.0
+    assert one(spark, text.compact(F.lit("  a  b\nc "), 10)) == "a b c" and one(spark, text.compact(F.lit("abcdef"), 4)) == "abc…"
+    assert one(spark, text.is_hex_colour(F.lit("#FFD600"))) and not one(spark, text.is_hex_colour(F.lit("#FFD60")))
+    s = one(spark, text.voice_settings(F.create_map(F.lit("similarity"), F.lit(40.0), F.lit("style"), F.lit(-1.0))))
+    assert s == {"similarity_boost": 0.4, "style": 0.0}
+    for seconds, want in [(0.0, 0), (3.0, 6), (12.0, 12), (90.0, 16)]:
+        assert one(spark, numeric.frame_count(F.lit(seconds))) == want
+    assert one(spark, numeric.grid_columns(F.lit(10))) == 4 and one(spark, numeric.grid_rows(F.lit(10))) == 3
+    assert one(spark, numeric.scale_factor(F.lit(1080), F.lit(1920), F.lit("720p"))) == pytest.approx(2 / 3)
+    assert one(spark, numeric.scaled_even(F.lit(1081), F.lit(1.0))) == 1082
+    assert one(spark, text.fold(F.lit("Ünïted Łódź"))) == "united łodz"
