@@ -55,6 +55,9 @@ MESSAGES = {
 
 ERROR, WARNING = "error", "warning"
 
+# Broken when, severity, path, message.
+Rule = tuple[Column, str, Column, Column]
+
 
 @dataclass(frozen=True)
 class Tracks:
@@ -94,7 +97,7 @@ def _message(name: str, *values: Column) -> Column:
     return F.format_string(text, *values) if values else F.lit(text)
 
 
-def _issues(df: DataFrame, rules: Sequence[tuple[Column, str, Column, Column]]) -> DataFrame:
+def _issues(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """All broken rules of every row in one pass."""
     found = F.array(*[
         F.when(broken, F.struct(F.lit(severity).alias("severity"), path.alias("path"), message.alias("message")))
@@ -107,7 +110,7 @@ def _at(track: str, suffix: str = "") -> Column:
     return F.format_string(f"{track}[%d]{suffix}", F.col("pos"))
 
 
-def _range_rules(path: Column) -> list[tuple[Column, str, Column, Column]]:
+def _range_rules(path: Column) -> list[Rule]:
     start, end, total = F.col("start"), F.col("end"), F.col("total")
     return [
         (start < -EPS, ERROR, path, _message("start", start)),
@@ -121,12 +124,11 @@ def range_issues(cues: DataFrame, track: str) -> DataFrame:
     return _issues(cues, _range_rules(_at(track)))
 
 
-def head_issues(head: DataFrame) -> DataFrame:
-    """Version, output and watermark rules."""
+def _head_rules() -> list[Rule]:
     mark = F.col("watermark")
     has = mark.isNotNull()
     path = F.lit
-    return _issues(head, [
+    return [
         (F.col("schema_version") != EDL_VERSION, ERROR, path("schema_version"),
          _message("version", F.col("schema_version"), F.lit(EDL_VERSION))),
         (F.col("duration") <= 0, ERROR, path("output.duration"), _message("positive")),
@@ -135,7 +137,12 @@ def head_issues(head: DataFrame) -> DataFrame:
         (has & ~mark["opacity"].between(0.0, 1.0), ERROR, path("output.watermark.opacity"), _message("unit")),
         (has & (mark["font_size"] <= 0), ERROR, path("output.watermark.font_size"), _message("positive")),
         (has & (F.trim(mark["text"]) == ""), ERROR, path("output.watermark.text"), _message("empty")),
-    ])
+    ]
+
+
+def head_issues(head: DataFrame) -> DataFrame:
+    """Version, output and watermark rules."""
+    return _issues(head, _head_rules())
 
 
 def ost_issues(ost: DataFrame) -> DataFrame:
@@ -154,13 +161,17 @@ def ordered_video(video: DataFrame, **kwargs) -> DataFrame:
     return scanned.withColumn("reach", F.greatest(F.coalesce("reach", F.lit(0.0)), F.lit(0.0)))
 
 
-def gap_issues(scanned: DataFrame) -> DataFrame:
-    """Uncovered stretches and overlaps of the video track."""
+def _gap_rules() -> list[Rule]:
     start, reach = F.col("start"), F.col("reach")
-    return _issues(scanned, [
+    return [
         (start - reach > EPS, ERROR, _at("video"), _message("gap", reach, start)),
         (reach - start > EPS, ERROR, _at("video"), _message("overlap", reach, start)),
-    ])
+    ]
+
+
+def gap_issues(scanned: DataFrame) -> DataFrame:
+    """Uncovered stretches and overlaps of the video track."""
+    return _issues(scanned, _gap_rules())
 
 
 def coverage_issues(video: DataFrame) -> DataFrame:
@@ -173,29 +184,37 @@ def coverage_issues(video: DataFrame) -> DataFrame:
     return _issues(ends, [(off, ERROR, _at("video"), _message("coverage", F.col("reach"), F.col("total")))])
 
 
-def transition_issues(scanned: DataFrame) -> DataFrame:
-    """Crossfades without length, on the first cue, or longer than half a neighbour."""
+def _transition_rules() -> list[Rule]:
     fade = F.col("transition_in") == "crossfade"
     d, first = F.col("transition_duration"), F.col("nth") == 1
     most = F.least(F.col("end") - F.col("start"), F.col("before_length")) / 2
-    return _issues(scanned, [
+    return [
         (fade & (d <= 0), ERROR, _at("video", ".transition_duration"), _message("crossfade")),
         (fade & (d > 0) & first, WARNING, _at("video", ".transition_in"), _message("first_crossfade")),
         (fade & (d > 0) & ~first & (d - most > EPS), ERROR, _at("video", ".transition_duration"),
          _message("long_crossfade", d, most)),
-    ])
+    ]
 
 
-def effect_issues(video: DataFrame) -> DataFrame:
-    """Slow-motion speed and zoom parameters."""
+def transition_issues(scanned: DataFrame) -> DataFrame:
+    """Crossfades without length, on the first cue, or longer than half a neighbour."""
+    return _issues(scanned, _transition_rules())
+
+
+def _effect_rules() -> list[Rule]:
     param = lambda name, default: F.coalesce(F.try_element_at("effect_params", F.lit(name)), F.lit(default))
     speed, effect = param("speed", SLOW_MO_SPEED), F.col("effect")
     zoom = (param("zoom_from", ZOOM_FROM) <= 0) | (param("zoom_to", ZOOM_TO) <= 0)
-    return _issues(video, [
+    return [
         ((effect == "slow_mo") & ~speed.between(0.05, 1.0), ERROR, _at("video", ".effect_params.speed"),
          _message("speed", speed.cast("string"))),
         (effect.isin("ken_burns_in", "ken_burns_out") & zoom, ERROR, _at("video", ".effect_params"), _message("zoom")),
-    ])
+    ]
+
+
+def effect_issues(video: DataFrame) -> DataFrame:
+    """Slow-motion speed and zoom parameters."""
+    return _issues(video, _effect_rules())
 
 
 def annotation_issues(annotations: DataFrame) -> DataFrame:
@@ -222,13 +241,12 @@ def voiceover_issues(head: DataFrame, audio: DataFrame) -> DataFrame:
     ])
 
 
-def caption_issues(head: DataFrame) -> DataFrame:
-    """Caption source and options of every document that has captions."""
+def _caption_rules() -> list[Rule]:
     c = F.col("captions")
     given = c.isNotNull()
     at = lambda name: F.lit(f"captions.{name}")
     below = lambda name, least: given & (c[name] < least)
-    return _issues(head, [
+    return [
         (given & F.col("voiceover").isNull() & (F.size(c["cues"]) == 0), ERROR, F.lit("captions"), _message("captions")),
         (given & (c["max_words"] <= 0), ERROR, at("max_words"), _message("positive")),
         (given & (c["max_chars"] <= 0), ERROR, at("max_chars"), _message("positive")),
@@ -242,7 +260,12 @@ def caption_issues(head: DataFrame) -> DataFrame:
         (given & ~is_hex_colour(c["active_word_bg"]), ERROR, at("active_word_bg"), _message("colour", c["active_word_bg"])),
         (below("active_word_bg_radius", 0), ERROR, at("active_word_bg_radius"), _message("not_negative")),
         (below("active_word_scale", 1.0), ERROR, at("active_word_scale"), _message("scale")),
-    ])
+    ]
+
+
+def caption_issues(head: DataFrame) -> DataFrame:
+    """Caption source and options of every document that has captions."""
+    return _issues(head, _caption_rules())
 
 
 def caption_cue_issues(cues: DataFrame) -> DataFrame:
@@ -253,37 +276,50 @@ def caption_cue_issues(cues: DataFrame) -> DataFrame:
     ])
 
 
-def music_issues(head: DataFrame) -> DataFrame:
+def _music_rules() -> list[Rule]:
     unheard = F.col("music").isNotNull() & F.col("music.duck") & F.col("voiceover").isNull()
-    return _issues(head, [(unheard, WARNING, F.lit("music.duck"), _message("duck"))])
+    return [(unheard, WARNING, F.lit("music.duck"), _message("duck"))]
 
 
-def clip_issues(video: DataFrame, clips: DataFrame) -> DataFrame:
-    """Cues whose clip is unknown or too short. ``clips``: ``clip_id, duration, source_in``."""
+def music_issues(head: DataFrame) -> DataFrame:
+    """Music that should duck under a voiceover that is not there."""
+    return _issues(head, _music_rules())
+
+
+def _with_clips(video: DataFrame, clips: DataFrame) -> DataFrame:
     known = clips.select("clip_id", F.col("duration").alias("_long"), F.col("source_in").alias("_from"))
-    placed = video.join(known, "clip_id", "left")
+    return video.join(known, "clip_id", "left")
+
+
+def _clip_rules() -> list[Rule]:
     length = F.col("end") - F.col("start")
     begin = F.coalesce(F.col("source_in"), F.col("_from"))
     left = F.col("_long") - (begin - F.col("_from"))
     missing = F.col("_long").isNull()
-    return _issues(placed, [
+    return [
         (missing, ERROR, _at("video", ".clip_id"), _message("missing_clip", F.col("clip_id"))),
         (~missing & (length - left > EPS), ERROR, _at("video"), _message("footage", length, left, begin)),
-    ])
+    ]
+
+
+def clip_issues(video: DataFrame, clips: DataFrame) -> DataFrame:
+    """Cues whose clip is unknown or too short. ``clips``: ``clip_id, duration, source_in``."""
+    return _issues(_with_clips(video, clips), _clip_rules())
 
 
 def validate(tracks: Tracks, clips: DataFrame | None = None, **kwargs) -> DataFrame:
-    """Every rule over every document; ``clips`` adds the catalog checks."""
-    scanned = ordered_video(tracks.video, **kwargs)
+    """Every rule over every document, one pass per track; ``clips`` adds the
+    catalog checks."""
+    video = ordered_video(tracks.video, **kwargs)
+    video_rules = [*_range_rules(_at("video")), *_gap_rules(), *_transition_rules(), *_effect_rules()]
+    if clips is not None:
+        video, video_rules = _with_clips(video, clips), [*video_rules, *_clip_rules()]
     parts = [
-        head_issues(tracks.head), range_issues(tracks.video, "video"), range_issues(tracks.audio, "audio"),
-        ost_issues(tracks.ost), gap_issues(scanned), coverage_issues(tracks.video), transition_issues(scanned),
-        effect_issues(tracks.video), annotation_issues(tracks.annotations),
-        voiceover_issues(tracks.head, tracks.audio), caption_issues(tracks.head),
-        caption_cue_issues(tracks.caption_cues), music_issues(tracks.head),
+        _issues(tracks.head, [*_head_rules(), *_caption_rules(), *_music_rules()]), _issues(video, video_rules),
+        coverage_issues(tracks.video), range_issues(tracks.audio, "audio"), ost_issues(tracks.ost),
+        annotation_issues(tracks.annotations), voiceover_issues(tracks.head, tracks.audio),
+        caption_cue_issues(tracks.caption_cues),
     ]
-    if clips is not None:
-        parts.append(clip_issues(tracks.video, clips))
     issues = parts[0]
     for more in parts[1:]:
         issues = issues.unionByName(more)

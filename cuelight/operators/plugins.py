@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -9,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.semi import FENCE
+
 # Retry defaults.
 ATTEMPTS = 6
 BASE_DELAY_SECONDS = 2.0
@@ -33,8 +37,16 @@ def call_with_retry(call: Callable, argument, attempts: int, base_delay: float)
     return None, error
 
 
-def _is_json(text: str | None) -> bool:
-    return bool(text) and "{" in text and "}" in text[text.index("{"):] or bool(text) and "[" in text
+def _has_json(reply: str) -> bool:
+    """Whether the reply, or what its outermost braces hold, is JSON."""
+    bare = re.sub(FENCE, "", reply.strip()).strip()
+    for text in (bare, bare[bare.find("{"): bare.rfind("}") + 1]):
+        try:
+            json.loads(text)
+            return True
+        except ValueError:
+            continue
+    return False
 
 
 def call_model(
@@ -59,7 +71,7 @@ def call_model(
             replies = []
             for task in pdf.to_dict("records"):
                 reply, error = call_with_retry(call, task, attempts, base_delay)
-                if ask_again and error is None and not _is_json(reply):
+                if ask_again and error is None and not _has_json(reply or ""):
                     reply, error = call_with_retry(call, task, attempts, base_delay)
                 replies.append((reply, error))
             yield pdf.assign(payload=[r for r, _ in replies], error=[e for _, e in replies])

@@ -116,11 +116,11 @@ def summarize_sources(windows: DataFrame, reduced: DataFrame | None = None) -> D
 
     ``reduced`` (``source_id, synopsis, themes, tone``) holds the texts of a final
     pass where there was one; elsewhere the joined synopses stand in, without
-    themes and tone. Sources with one window keep that window's texts. Sources
+    themes and tone. Sources with one window (number 0) keep that window's texts. Sources
     without synopsis and beats get no row.
     """
     sizes = windows.groupBy("source_id").agg(
-        F.count("*").alias("_n"), F.min_by("themes", "window_no").alias("_themes"),
+        F.max("window_no").alias("_last"), F.min_by("themes", "window_no").alias("_themes"),
         F.min_by("tone", "window_no").alias("_tone"), F.min_by("synopsis", "window_no").alias("_one"),
     )
     cast = roster(windows).groupBy("source_id").agg(
@@ -139,7 +139,7 @@ def summarize_sources(windows: DataFrame, reduced: DataFrame | None = None) -> D
         rows = rows.join(reduced.select(
             "source_id", F.col("synopsis").alias("_r_syn"), F.col("themes").alias("_r_th"),
             F.col("tone").alias("_r_tone")), "source_id", "left")
-    single = F.col("_n") == 1
+    single = F.col("_last") == 0
     told = F.coalesce("_r_syn", F.lit("")) != ""
     synopsis = F.when(told, F.col("_r_syn")).when(single, F.col("_one")).otherwise(F.coalesce("synopsis", F.lit("")))
     out = rows.select(

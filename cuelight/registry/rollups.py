@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rollup as ru
-from ..operators import signal as sig
 from ..plans import views
 from . import query
 

@@ -4,7 +4,7 @@ values outside their choices send a document to quarantine, defaults fill the re
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..functions.semi import get
 from ..plans.rows import computed

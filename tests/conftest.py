@@ -10,7 +10,7 @@ from cuelight.plans.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", app="tests")
+    session = local_session("8", shuffle_partitions=3, app="tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -328,4 +328,4 @@ def test_stored_search_pushes_filters_and_prunes_columns(spark, base, tmp_path,
     assert scores(search(stored, min_score=70)) == [82]
     only = cat.touched_buckets(stored.sources, 2)
     cat.read_catalog(spark, str(tmp_path / "c"), only).clips.explain("formatted")
-    assert "PartitionFilters: [bucket" in capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(bucket" in capsys.readouterr().out

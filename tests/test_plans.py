@@ -14,8 +14,11 @@ from cuelight.plans.intervals import interval_join
 @pytest.fixture(scope="module", autouse=True)
 def many_partitions(spark):
     """Small data would be coalesced into one partition, leaving nothing to carry over."""
+    few = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     yield
+    spark.conf.set("spark.sql.shuffle.partitions", few)
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
