@@ -68,13 +68,18 @@ def has_all(wanted: Sequence[str]) -> Column:
 
 
 def absolute_path(path: Column, manifest_path: Column) -> Column:
-    """A path relative to the manifest's folder made absolute."""
-    folder = F.regexp_replace(manifest_path, r"/[^/]*$", "")
-    joined = F.concat(folder, F.lit("/"), path)
-    plain = F.regexp_replace(F.regexp_replace(joined, r"(/\.)+(?=/|$)", ""), r"//+", "/")
-    for _ in range(4):
-        plain = F.regexp_replace(plain, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
-    return F.when(path.startswith("/"), path).otherwise(plain)
+    """A path relative to the manifest's folder made absolute, without ``.`` and
+    ``..`` steps."""
+    scheme = r"^([A-Za-z][A-Za-z0-9+.-]*://|/)"
+    folder = F.regexp_replace(manifest_path, r"[^/]*$", "")
+    root = F.regexp_extract(folder, scheme, 1)
+    steps = F.split(F.concat(F.regexp_replace(folder, scheme, ""), path), "/")
+    walked = F.aggregate(
+        F.filter(steps, lambda s: (s != "") & (s != ".")), F.array().cast("array<string>"),
+        lambda kept, s: F.when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(
+            F.concat(kept, F.array(s))),
+    )
+    return F.when(path.rlike(scheme), path).otherwise(F.concat(root, F.array_join(walked, "/")))
 
 
 def relative_path(path: Column, base: Column) -> Column:

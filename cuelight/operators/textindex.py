@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.semi import get, is_list, is_object
 from ..functions.stem import stem, stem_all
 from ..functions.text import tokens
 
@@ -38,21 +37,18 @@ class TextQuery:
     fields: Sequence[str] = field(default=())
 
 
-def signal_values(signals: Column) -> Column:
-    """Leaf values of a JSON object as text, two levels of lists and objects deep;
-    nulls and keys are left out."""
-    doc = F.try_parse_json(signals)
-    none = F.array().cast("array<variant>")
+# A key with its colon (not captured), or a scalar value (captured).
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+_LEAF = _STRING + r"\s*:|(" + _STRING + r"|-?[0-9][0-9.eE+-]*+|true|false)"
 
-    def children(v):
-        values = F.map_values(get(v, "$", "map<string,variant>"))
-        return F.when(is_list(v), get(v, "$", "array<variant>")).when(is_object(v), values).otherwise(F.array(v))
 
-    level = F.coalesce(F.map_values(get(doc, "$", "map<string,variant>")), none)
-    for _ in range(2):
-        level = F.flatten(F.transform(level, children))
-    words = F.transform(level, lambda v: F.try_variant_get(v, "$", "string"))
-    return F.filter(words, lambda w: w.isNotNull() & (F.trim(w) != ""))
+def signal_values(signals: Column) -> Column:
+    """Leaf values of a JSON object as text, at any depth and in input order;
+    keys and nulls are left out."""
+    leaves = F.filter(F.regexp_extract_all(signals, F.lit(_LEAF), F.lit(1)), lambda v: v != "")
+    texts = F.from_json(F.concat(F.lit("["), F.array_join(leaves, ","), F.lit("]")), "array<string>")
+    valid = F.try_parse_json(signals).isNotNull()
+    return F.filter(F.when(valid, texts), lambda w: F.trim(w) != "")
 
 
 def clip_texts(clips: DataFrame) -> DataFrame:
@@ -61,7 +57,7 @@ def clip_texts(clips: DataFrame) -> DataFrame:
     return clips.select(
         "clip_id", "extract_id", "source_id", "description", F.coalesce("dialogue", F.lit("")).alias("dialogue"),
         F.concat_ws(" ", F.coalesce("audio_cues", none)).alias("audio_cues"),
-        F.concat_ws(" ", F.concat(F.coalesce("categories", none), signal_values(F.col("game_signals")))).alias("tags"),
+        F.concat_ws(" ", F.concat(F.coalesce("categories", none), F.coalesce(signal_values(F.col("game_signals")), none))).alias("tags"),
     )
 
 

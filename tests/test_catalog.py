@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cuelight.operators import catalog as cat
 from cuelight.operators import edl, layout
-from cuelight.operators.search import get_clip, get_source, get_summary, preview, search
+from cuelight.operators.search import absolute_path, get_clip, get_source, get_summary, preview, search
 from cuelight.operators.textindex import TextQuery, match, signal_values
 from cuelight.sources import files
 
@@ -144,7 +144,17 @@ def test_better_match_ranks_first(spark):
 
 def test_signal_values_skip_nulls_and_keys(spark):
     df = spark.createDataFrame([('{"a":null,"b":[1,{"c":"x"}],"d":"y"}',)], "s string")
-    assert sorted(df.select(signal_values(F.col("s"))).first()[0]) == ["1", "x", "y"]
+    assert df.select(signal_values(F.col("s"))).first()[0] == ["1", "x", "y"]
+    deep = {"a": {"b": {"c": {"d": [[{"e": 'q"u,o: te'}], -1.5e3, True, None]}}}, "k:": "\\", "z": ""}
+    df = spark.createDataFrame([(json.dumps(deep),)], "s string")
+    assert df.select(signal_values(F.col("s"))).first()[0] == ['q"u,o: te', "-1500.0", "true", "\\"]
+
+
+def test_paths_are_resolved(spark):
+    df = spark.createDataFrame([("../../../../../x/./a.mp4", "/1/2/3/4/5/6/m.json"), ("/abs.mp4", "/m/m.json"),
+                                ("k/1.jpg", "s3://bucket/d/m.json"), ("a.mp4", "/m.json")], "p string, m string")
+    got = [r[0] for r in df.select(absolute_path(F.col("p"), F.col("m"))).collect()]
+    assert got == ["/1/x/a.mp4", "/abs.mp4", "s3://bucket/d/k/1.jpg", "/a.mp4"]
 
 
 def test_ingest_is_idempotent(spark, base):
