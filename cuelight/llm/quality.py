@@ -80,15 +80,14 @@ def fold(id_column: str) -> "F.Column":
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5, F.lit(0))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> DataFrame:
-    """Rows ``(doc_id, text, label)`` to learn from. Ids whose labels contradict each other, null labels and labels
-    other than 0 and 1 say nothing; a repeated label row counts once; rows that repeat an id and text count each."""
-    named = (
-        labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).alias("label")).filter("label in (0, 1)")
-        .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most")
+def known_labels(labels: DataFrame, id_column: str, label_column: str) -> DataFrame:
+    """``(doc_id, label)`` to learn from. Ids of fold 0, ids whose labels contradict each other, null ids and labels
+    other than 0 and 1 say nothing; a repeated label row counts once."""
+    return (
+        labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).cast("int").alias("label"))
+        .filter("label in (0, 1) and doc_id is not null").filter(fold("doc_id") != 0)
+        .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
     )
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return source.filter(fold("doc_id") != 0).join(named.select("doc_id", "label"), "doc_id")
 
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -163,21 +162,27 @@ def calibrate(margin: np.ndarray, label: np.ndarray, rounds: int = 100) -> tuple
     return float(at[0]), float(at[1])
 
 
-def fit(rows: DataFrame, sample: int = 4000, smoothing: float = 1.0, cost: float = 0.1) -> Model:
-    """Learn from ``rows(doc_id, text, label)``.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, smoothing: float = 1.0, cost: float = 0.1,
+        id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Model:
+    """Learn from the labelled documents that are not held out.
+
+    The log-count ratios are over all of them; a row that repeats an id counts each time. The machine is fitted on at
+    most ``sample`` ids of each class, those of least hash (with the least text of each), of which every fifth is kept
+    back to turn margins into probabilities. With no document of either class, the model is the share of ones (one half
+    without any) for every text.
 
-    The log-count ratios are over all rows. The machine is fitted on at most ``sample`` rows of each class, those of
-    least hash, of which every fifth is kept back to turn margins into probabilities. With no row of either class, the
-    model is the share of ones (one half without any row) for every text.
+    Documents are shuffled once, to meet their labels; the sample, whose size is bounded, is broadcast to them.
     """
-    # log-count ratios of all rows
-    zero, one = class_counts(rows)
+    known = known_labels(labels, id_column, label_column)
+    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    zero, one = class_counts(source.filter(fold("doc_id") != 0).join(known, "doc_id"))
     p, q = one + smoothing, zero + smoothing
     ratio = np.log((p / p.sum()) / (q / q.sum()))
 
-    drawn = rows.withColumn("order", F.xxhash64("doc_id", "text"))
-    few = drawn.filter("label = 0").orderBy("order").limit(sample).unionByName(
-        drawn.filter("label = 1").orderBy("order").limit(sample))
+    order = F.xxhash64("doc_id").alias("order")
+    few = known.filter("label = 0").select("*", order).orderBy("order", "doc_id").limit(sample).unionByName(
+        known.filter("label = 1").select("*", order).orderBy("order", "doc_id").limit(sample))
+    few = source.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label", "order").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ngrams = NGrams()
@@ -190,7 +195,7 @@ def fit(rows: DataFrame, sample: int = 4000, smoothing: float = 1.0, cost: float
                     pa.ListArray.from_arrays(edge, pa.array(bucket.astype(np.int32))),
                     batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["buckets", "label", "order"])
 
-    held: pd.DataFrame = (few.select("text", F.col("label").cast("int").alias("label"), "order")
+    held: pd.DataFrame = (few.select("text", "label", "order")
                           .mapInArrow(features, "buckets array<int>, label int, order long").toPandas())
     held = held.sort_values(["order", "label"], ignore_index=True)
     label = held["label"].to_numpy(dtype=float)
@@ -235,14 +240,14 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_colu
              text_column: str = "text", label_column: str = "quality") -> DataFrame:
     """Learn from the labelled rows that are not held out and score every row; see ``fit`` and ``score_documents``.
     Empty tables, of documents or of labels, are no error."""
-    model = fit(labelled(docs, labels, id_column, text_column, label_column))
+    model = fit(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column)
     return score_documents(docs, model, threshold, id_column, text_column)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_column: str = "doc_id",
               text_column: str = "text", label_column: str = "quality") -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, whole."""
-    model = fit(labelled(docs, labels, id_column, text_column, label_column))
+    model = fit(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column)
     shipped = docs.sparkSession.sparkContext.broadcast(astuple(model))
     column = docs.columns.index(text_column)
 
