@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from .chunks import gather, plain, slices
 
 #: Buckets of n-grams, texts are read in slices of so many bytes.
-FEATURES, SLICE = 1 << 18, 8 << 20
+FEATURES, SLICE = 1 << 18, 4 << 20
 
 
 class NGrams:
@@ -171,11 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, smoothing: float
     back to turn margins into probabilities. With no document of either class, the model is the share of ones (one half
     without any) for every text.
 
-    Documents are shuffled once, to meet their labels; the sample, whose size is bounded, is broadcast to them.
+    Documents are shuffled once, to meet their labels, at every size of the tables; the sample, whose size is bounded, is broadcast to them.
     """
     known = known_labels(labels, id_column, label_column)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    zero, one = class_counts(source.filter(fold("doc_id") != 0).join(known, "doc_id"))
+    zero, one = class_counts(source.filter(fold("doc_id") != 0).join(known.hint("merge"), "doc_id"))
     p, q = one + smoothing, zero + smoothing
     ratio = np.log((p / p.sum()) / (q / q.sum()))
 
