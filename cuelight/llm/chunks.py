@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text whose chunks share one dictionary, bytes assembled at a time, and characters encoded in one string.
-BATCH_BYTES, STEP_BYTES, JOINED = 24 << 20, 4 << 20, 1 << 16
+BATCH_BYTES, STEP_BYTES, JOINED = 8 << 20, 2 << 20, 1 << 16
 #: ASCII punctuation but for the apostrophe, which opens contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
