@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import ChunkEncoder, byte_alphabet, plain, tokenizers_encoder
+from .chunks import ChunkEncoder, byte_alphabet, tokenizers_encoder
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -146,7 +146,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str,
             return [hashlib.sha256(v.as_buffer() or b"").hexdigest() for v in values]
 
         for batch in batches:
-            for first, ids, offsets in encoder.batches(plain(batch.column(1))):
+            for first, ids, offsets in encoder.batches(batch.column(1)):
                 index, edge = pa.array(ids), pa.array(offsets, pa.int32())
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, len(offsets) - 1), pa.array(np.diff(offsets), pa.int64()),

@@ -7,6 +7,7 @@ blanks break that rule; texts that hold one are encoded whole.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,6 +58,8 @@ Encode = Callable[[list[str]], list[np.ndarray]]
 
 def tokenizers_encoder(tokenizer) -> tuple[Encode, list[bytes]]:
     """The tokenizers library: many texts to ids, and the bytes of each id."""
+    # a task has one core; more threads would only hold more memory
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     byte_of = {c: b for b, c in enumerate(byte_alphabet())}
     special = tokenizer.get_added_tokens_decoder()
     table = [b""] * (tokenizer.get_vocab_size())
@@ -113,8 +116,8 @@ class ChunkEncoder:
             groups[-1].append(c)
             size += len(c) + 1
         ids, lengths = [], []
-        for i in range(0, len(groups), 16):
-            part = [g for g in groups[i:i + 16] if g]
+        for i in range(0, len(groups), 4):
+            part = [g for g in groups[i:i + 4] if g]
             for group, got in zip(part, self._encode([" " + " ".join(g) for g in part]), strict=True):
                 at = np.flatnonzero(self.opens[got])
                 if len(at) == len(group) and at[0] == 0:
@@ -148,10 +151,10 @@ class ChunkEncoder:
 
     def batches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """``(first row, ids, offsets)`` for consecutive runs of rows."""
-        texts = plain(texts)
         for start, stop in slices(texts, BATCH_BYTES):
-            for first, ids, offsets in self._batch(texts.slice(start, stop - start)):
+            for first, ids, offsets in self._batch(plain(texts.slice(start, stop - start))):
                 yield start + first, ids, offsets
+            pa.default_memory_pool().release_unused()
 
     def _batch(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         parts = pc.split_pattern(texts, " ")
