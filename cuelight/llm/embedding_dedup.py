@@ -256,15 +256,15 @@ def find_links(nodes: DataFrame, middle: np.ndarray, overlap: int, least: float)
     """Rows ``(node, links, root)``, one per node and shard: vectors linked there, and a node it is connected to."""
     placed = stored(nodes.select("node", "copies", "embedding").mapInArrow(
         _assign(middle, overlap), "node long, copies long, vector binary, clusters array<int>"), "placed")
-    spread = placed.withColumn("cluster", F.explode("clusters"))
-    sizes = spread.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("parts"))
+    spread = placed.withColumn("dim", F.octet_length("vector")).withColumn("cluster", F.explode("clusters"))
+    sizes = spread.groupBy("dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("parts"))
     # a cluster of at most 2 BLOCK vectors is one shard; a larger one is cut into blocks and a shard holds two of them
-    tiled = spread.join(sizes, "cluster").withColumn("parts", F.when(F.col("parts") == 1, 1).otherwise(2 * F.col("parts")))
+    tiled = spread.join(sizes, ["dim", "cluster"]).withColumn("parts", F.when(F.col("parts") == 1, 1).otherwise(2 * F.col("parts")))
     tiled = tiled.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     shards = stored(tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "node", "copies", "vector", "clusters", "cluster", "block",
+        "node", "copies", "vector", "clusters", "dim", "cluster", "block",
         F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")), "shards")
-    key = ["cluster", "left", "right"]
+    key = ["dim", "cluster", "left", "right"]
     lists = shards.select(*key, "node", "vector").groupBy(*key).applyInPandas(
         lambda f: _build(f), "node long, near array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
