@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .text import strip
+
 # Limits and placeholder texts that results depend on.
 MIN_EVENT_SECONDS = 2.0
 FENCE = r"(?i)^```(?:json)?\s*|\s*```$"
@@ -36,7 +38,7 @@ def is_list(value: Column) -> Column:
 
 def tolerant_json(text: Column) -> Column:
     """VARIANT of a reply: code fences removed, else the outermost braces, else null."""
-    bare = F.trim(F.regexp_replace(F.trim(text), FENCE, ""))
+    bare = strip(F.regexp_replace(strip(text), FENCE, ""))
     first = F.locate("{", bare)
     last = F.length(bare) - F.locate("}", F.reverse(bare)) + 1
     inner = F.when(
@@ -47,7 +49,7 @@ def tolerant_json(text: Column) -> Column:
 
 
 def _as_text(leaf: Column) -> Column:
-    return F.trim(F.try_variant_get(leaf, "$", "string"))
+    return strip(F.try_variant_get(leaf, "$", "string"))
 
 
 def number(leaf: Column, default: Column) -> Column:
@@ -75,9 +77,15 @@ def _items(leaf: Column) -> Column:
 
 
 def string_items(leaf: Column) -> Column:
-    """List items as text, without nulls, blanks and zeros."""
-    words = F.transform(_items(leaf), lambda v: F.try_variant_get(v, "$", "string"))
-    return F.filter(words, lambda w: w.isNotNull() & (w != "") & (w != "false") & (w != "0"))
+    """List items as text, without nulls, empty texts, empty lists and objects, false and zero; the texts ``"0"`` and
+    ``"false"`` are kept."""
+    def said(v: Column) -> Column:
+        word = F.try_variant_get(v, "$", "string")
+        empty = F.when(kind_of(v) == "STRING", word == "").otherwise(
+            word.isin("false", "[]", "{}") | F.coalesce(word.try_cast("double") == 0, F.lit(False)))
+        return word.isNotNull() & ~empty
+
+    return F.transform(F.filter(_items(leaf), said), lambda v: F.try_variant_get(v, "$", "string"))
 
 
 def allowed_strings(leaf: Column, allowed: Column) -> Column:
@@ -172,5 +180,5 @@ def coerced_characters(value: Column) -> Column:
 
 def text_list(value: Column) -> Column:
     """Trimmed, non-blank items of a list."""
-    words = F.transform(_items(value), lambda v: F.trim(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("None"))))
+    words = F.transform(_items(value), lambda v: strip(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("None"))))
     return F.filter(words, lambda w: w != "")

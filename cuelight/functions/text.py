@@ -17,9 +17,14 @@ MAX_CUE_SECONDS = 30.0
 VOICE_SETTING_ALIASES = {"similarity": "similarity_boost"}
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind (tabs, line ends, no-break and ideographic blanks) at either end."""
+    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+
+
 def squeeze(text: Column) -> Column:
-    """Collapse white space to single blanks and trim."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Collapse white space of any kind to single blanks and trim."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def clean_cue(text: Column) -> Column:
@@ -48,9 +53,9 @@ def stamp_seconds(stamp: Column) -> Column:
 
 def parse_timestamp(text: Column) -> Column:
     """``SS``, ``MM:SS`` or ``HH:MM:SS`` to seconds; null when malformed."""
-    parts = F.split(F.trim(text), ":")
-    whole = lambda i: F.trim(parts[i]).try_cast("int")
-    real = lambda i: F.trim(parts[i]).try_cast("double")
+    parts = F.split(strip(text), ":")
+    whole = lambda i: strip(parts[i]).try_cast("int")
+    real = lambda i: strip(parts[i]).try_cast("double")
     return (
         F.when(F.size(parts) == 1, real(0))
         .when(F.size(parts) == 2, whole(0) * 60 + real(1))
@@ -116,9 +121,9 @@ def voice_settings(settings: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str]:
-    """Accented letters and their base letters, from Unicode decomposition."""
+    """Composed letters and their base letters, from Unicode decomposition of every code point."""
     accented, plain = [], []
-    for code in range(0xC0, min(0x1F00, sys.maxunicode)):
+    for code in range(0xC0, sys.maxunicode + 1):
         letter = chr(code)
         parts = unicodedata.normalize("NFD", letter)
         base = parts[0]
@@ -130,9 +135,17 @@ def _accent_table() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
+    """Lower case without accents, whether they are part of a letter or marks behind it."""
     accented, plain = _accent_table()
-    return F.translate(F.lower(text), accented, plain)
+    return F.regexp_replace(F.translate(F.lower(text), accented, plain), r"\p{M}+", "")
+
+
+def folded_tokens(text: str) -> list[str]:
+    """What ``tokens`` gives for a text at hand, such as a query's words."""
+    parts = unicodedata.normalize("NFD", text.lower())
+    bare = "".join(c for c in parts if not unicodedata.category(c).startswith("M"))
+    bare = unicodedata.normalize("NFC", bare)
+    return "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in bare).split()
 
 
 def tokens(text: Column) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import is_hex_colour
+from ..functions.text import is_hex_colour, strip
 from ..plans.scan import number, ordered_scan, previous, running
 from ..schemas import EDL_VERSION
 
@@ -136,7 +136,7 @@ def _head_rules() -> list[Rule]:
         (F.col("fps") <= 0, ERROR, path("output.fps"), _message("positive")),
         (has & ~mark["opacity"].between(0.0, 1.0), ERROR, path("output.watermark.opacity"), _message("unit")),
         (has & (mark["font_size"] <= 0), ERROR, path("output.watermark.font_size"), _message("positive")),
-        (has & (F.trim(mark["text"]) == ""), ERROR, path("output.watermark.text"), _message("empty")),
+        (has & (strip(mark["text"]) == ""), ERROR, path("output.watermark.text"), _message("empty")),
     ]
 
 
@@ -269,7 +269,7 @@ def caption_issues(head: DataFrame) -> DataFrame:
 
 
 def caption_cue_issues(cues: DataFrame) -> DataFrame:
-    blank = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""
+    blank = strip(F.regexp_replace("text", r"(?U)\s+", " ")) == ""
     return _issues(cues, [
         *_range_rules(_at("captions.cues")),
         (blank, ERROR, _at("captions.cues", ".text"), _message("empty")),

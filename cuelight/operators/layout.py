@@ -37,7 +37,7 @@ def resolve_music(music: DataFrame, clips: DataFrame) -> tuple[DataFrame, DataFr
     others as given. Also returns the references that do not resolve."""
     ref = F.startswith(F.col("file"), F.lit(CATALOG_PREFIX))
     named = music.withColumn(
-        "clip_id", F.when(ref, F.substring(F.col("file"), len(CATALOG_PREFIX) + 1, 40).try_cast("bigint"))
+        "clip_id", F.when(ref, F.substr(F.col("file"), F.lit(len(CATALOG_PREFIX) + 1)).try_cast("bigint"))
     )
     found = named.join(clips.select("clip_id", F.col("file").alias("_clip_file")), "clip_id", "left").withColumn(
         "path", F.when(ref, F.col("_clip_file")).otherwise(F.col("file"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import semi
 from ..functions.numeric import frame_count, grid_columns, grid_rows, token_estimate
+from ..functions.text import strip
 from ..plans.intervals import interval_join
 from ..plans.scan import number, ordered_scan, running
 
@@ -24,9 +25,9 @@ def _one_decimal(c: Column) -> Column:
 
 def scene_line(start: Column, end: Column, description: Column, dialogue: Column) -> Column:
     """One scene as a bullet with its time, description and spoken text."""
-    spoken = F.trim(F.coalesce(dialogue, F.lit("")))
+    spoken = strip(F.coalesce(dialogue, F.lit("")))
     head = F.concat(F.lit("- ["), _one_decimal(start), F.lit("-"), _one_decimal(end), F.lit("s] "),
-                    F.trim(F.coalesce(description, F.lit(""))))
+                    strip(F.coalesce(description, F.lit(""))))
     return F.when(spoken == "", head).otherwise(F.concat(head, F.lit(' | dialogue: "'), spoken, F.lit('"')))
 
 
@@ -38,7 +39,7 @@ def event_line(start: Column, end: Column, interest: Column, categories: Column,
     return F.concat(
         F.lit("- ["), _one_decimal(start), F.lit("-"), _one_decimal(end), F.lit("s] interest="),
         interest.cast("string"), F.lit(" cats=["), F.concat_ws(", ", categories), F.lit("] "), shown,
-        F.lit('"'), F.trim(F.coalesce(description, F.lit(""))), F.lit('"'),
+        F.lit('"'), strip(F.coalesce(description, F.lit(""))), F.lit('"'),
     )
 
 
@@ -249,7 +250,7 @@ def render_prompts(chunks: DataFrame, profiles: DataFrame, template: str = PROMP
         F.lit("      - "), s["key"], F.lit(" ("), s["type"], F.lit("): "), s["description"]))
     tags = F.concat_ws(", ", F.coalesce("taxonomy", none))
     blank = F.lit("")
-    example = F.trim(F.coalesce("example", blank))
+    example = strip(F.coalesce("example", blank))
     values = {
         "context": F.coalesce(F.col("context"), blank) if "context" in joined.columns else blank,
         "duration": F.format_string("%.1f", length),

@@ -29,9 +29,12 @@ def signal_equals(signals: Column, key: str, value: str) -> Column:
 
 
 def signal_like(signals: Column, key: str, value: str) -> Column:
-    """Case-insensitive substring; ``%`` and ``_`` in ``value`` are wildcards."""
+    """Case-insensitive substring; ``%`` and ``_`` in ``value`` are wildcards. A flag matches as the word or as the
+    number, as in ``signal_equals``."""
     pattern = "%" + value.replace("\\", "\\\\") + "%"
-    return F.get_json_object(signals, f"$.{key}").ilike(pattern)
+    found = F.get_json_object(signals, f"$.{key}")
+    flag = F.when(found == "true", "1").when(found == "false", "0")
+    return found.ilike(pattern) | F.coalesce(flag.like(pattern), F.lit(False))
 
 
 def with_categories(clips: DataFrame, categories: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def parse_subtitles(files: DataFrame, key: str = "path", column: str = "content"
     """
     text = F.regexp_replace(F.regexp_replace(F.col(column), "\r\n", "\n"), "\r", "\n")
     blocks = files.select(key, F.posexplode(F.split(text, r"\n\s*\n")).alias("cue_no", "block"))
-    lines = F.filter(F.split("block", "\n"), lambda ln: F.trim(F.regexp_replace(ln, r"\s+", " ")) != "")
+    lines = F.filter(F.split("block", "\n"), lambda ln: F.trim(F.regexp_replace(ln, r"(?U)\s+", " ")) != "")
     blocks = blocks.withColumn("lines", lines)
     at = F.array_position(F.transform("lines", lambda ln: ln.contains("-->")), True)
     blocks = blocks.withColumn("at", F.when(at > 0, at.cast("int")))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import strip
+
 DONE_SCHEMA = "namespace string, key string, payload string"
 
 
@@ -17,9 +19,9 @@ def content_key(*parts: Column) -> Column:
 def context_key(intro: Column, characters: Column) -> Column:
     """Short digest of a context; ``characters``: array of name, description, images."""
     people = F.transform(characters, lambda c: F.concat_ws(
-        "\u0001", F.concat_ws("\u0000", c["name"], F.trim(c["description"])), F.concat_ws("\u0001", c["images"])))
-    digest = F.substring(F.sha2(F.concat_ws("\u0000", F.trim(intro), F.concat_ws("\u0000", people)), 256), 1, 16)
-    empty = (F.trim(intro) == "") & (F.size(characters) == 0)
+        "\u0001", F.concat_ws("\u0000", c["name"], strip(c["description"])), F.concat_ws("\u0001", c["images"])))
+    digest = F.substring(F.sha2(F.concat_ws("\u0000", strip(intro), F.concat_ws("\u0000", people)), 256), 1, 16)
+    empty = (strip(intro) == "") & (F.size(characters) == 0)
     return F.when(empty, "no-context").otherwise(digest)
 
 

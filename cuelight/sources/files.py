@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..functions.text import parse_timestamp
+from ..functions.text import parse_timestamp, strip
 from ..plans.rows import computed
 from ..plans.scan import last_known, ordered_scan
 from .documents import parse_documents, plain_path, read_texts, write_documents
@@ -76,14 +76,14 @@ def write_edls(edls: DataFrame, path: str) -> None:
 def scan_cut_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``path, start, end`` from CSV cut lists, and the unusable lines."""
     lines = spark.read.text(path, recursiveFileLookup=True).select(
-        plain_path(F.col("_metadata.file_path")).alias("path"), F.trim("value").alias("line")
+        plain_path(F.col("_metadata.file_path")).alias("path"), strip("value").alias("line")
     )
     return parse_cut_lines(lines)
 
 
 def parse_cut_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut-list lines to ranges; blank lines and ``#`` comments are skipped."""
-    used = lines.filter(F.length(F.regexp_replace("line", r"[\s,]", "")) > 0).filter(~F.trim("line").startswith("#"))
+    used = lines.filter(F.length(F.regexp_replace("line", r"[\s,]", "")) > 0).filter(~strip("line").startswith("#"))
     fields = F.split("line", ",")
     timed = computed(used, {
         "start": F.when(F.size(fields) >= 2, parse_timestamp(fields[0])),
@@ -122,12 +122,12 @@ def parse_loudness_log(logs: DataFrame, key: str = "path", **kwargs) -> DataFram
     a level that cannot be read is skipped.
     """
     lines = logs.select(key, F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
-    line = F.trim(F.regexp_replace(F.trim("line"), r"^\[[^\]]*\]", ""))
+    line = strip(F.regexp_replace(strip("line"), r"^\[[^\]]*\]", ""))
     is_time = line.contains("pts_time:")
     stamp = F.regexp_extract(line, r"(?:^|\s)pts_time:(\S*)", 1).try_cast("double")
     is_level = ~is_time & line.contains("lavfi.astats.Overall.RMS_level=")
     level = F.element_at(F.split(line, "=", 2), 2)
-    level = F.when(F.lower(F.trim(level)).isin("-inf", "-infinity"), F.lit(float("-inf"))).otherwise(
+    level = F.when(F.lower(strip(level)).isin("-inf", "-infinity"), F.lit(float("-inf"))).otherwise(
         level.try_cast("double")
     )
     marked = lines.select(
