@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.stem import stem, stem_all
-from ..functions.text import tokens
+from ..functions.text import folded_tokens, strip, tokens
 
 # Ranking constants (Okapi BM25 as published for full-text tables).
 K1 = 1.2
@@ -48,7 +48,7 @@ def signal_values(signals: Column) -> Column:
     leaves = F.filter(F.regexp_extract_all(signals, F.lit(_LEAF), F.lit(1)), lambda v: v != "")
     texts = F.from_json(F.concat(F.lit("["), F.array_join(leaves, ","), F.lit("]")), "array<string>")
     valid = F.try_parse_json(signals).isNotNull()
-    return F.filter(F.when(valid, texts), lambda w: F.trim(w) != "")
+    return F.filter(F.when(valid, texts), lambda w: strip(w) != "")
 
 
 def clip_texts(clips: DataFrame) -> DataFrame:
@@ -84,8 +84,15 @@ def document_lengths(postings: DataFrame, id_column: str = "clip_id") -> DataFra
     return postings.groupBy(id_column).agg(F.count("*").alias("length"))
 
 
-def _normal(stemmed: bool):
-    return (lambda w: stem(w.lower())) if stemmed else str.lower
+def query_terms(word: str, stemmed: bool) -> list[str]:
+    """The index terms of a query word: one, or several where the index parts it (``well-known``), or none."""
+    return [stem(w) if stemmed else w for w in folded_tokens(word)]
+
+
+def _parted(words: Sequence[str], stemmed: bool) -> tuple[list[str], list[list[str]]]:
+    """Single terms of query words, and those that are phrases."""
+    terms = [query_terms(w, stemmed) for w in words]
+    return sorted({t[0] for t in terms if len(t) == 1}), [t for t in terms if len(t) > 1]
 
 
 def _searched(postings: DataFrame, query: TextQuery) -> DataFrame:
@@ -95,31 +102,47 @@ def _searched(postings: DataFrame, query: TextQuery) -> DataFrame:
 def match(postings: DataFrame, query: TextQuery, id_column: str = "clip_id", stemmed: bool = True) -> DataFrame:
     """Ids of the documents that satisfy ``query``. Sets gathered per document
     hold at most the query's terms."""
-    norm = _normal(stemmed)
     base = _searched(postings, query)
     found = None
 
     def narrow(ids: DataFrame) -> DataFrame:
         return ids if found is None else found.join(ids, id_column, "left_semi")
 
-    wanted = sorted({norm(w) for w in query.all_of})
+    def phrase(terms: list[str]) -> DataFrame:
+        return _phrases(base, terms, id_column).select(id_column).distinct()
+
+    def having_any(words: Sequence[str]) -> DataFrame:
+        single, phrases = _parted(words, stemmed)
+        ids = base.filter(F.col("term").isin(single)).select(id_column)
+        for p in phrases:
+            ids = ids.unionByName(phrase(p))
+        return ids.distinct()
+
+    wanted, parted = _parted(query.all_of, stemmed)
     if wanted:
         hits = base.filter(F.col("term").isin(wanted)).groupBy(id_column)
         found = narrow(hits.agg(F.collect_set("term").alias("t")).filter(F.size("t") == len(wanted)).select(id_column))
+    for p in parted:
+        found = narrow(phrase(p))
     if query.any_of:
-        found = narrow(base.filter(F.col("term").isin([norm(w) for w in query.any_of])).select(id_column).distinct())
+        found = narrow(having_any(query.any_of))
     for beginning in query.prefix:
-        found = narrow(base.filter(F.col("term").startswith(beginning.lower())).select(id_column).distinct())
+        found = narrow(base.filter(_begins(beginning, stemmed)).select(id_column).distinct())
     if query.phrase:
-        found = narrow(_phrases(base, [norm(w) for w in query.phrase], id_column).select(id_column).distinct())
+        found = narrow(phrase([t for w in query.phrase for t in query_terms(w, stemmed)]))
     if found is None:
         found = base.select(id_column).distinct()
     if query.none_of:
-        barred = base.filter(F.col("term").isin([norm(w) for w in query.none_of])).select(id_column)
-        found = found.join(barred, id_column, "left_anti")
+        found = found.join(having_any(query.none_of), id_column, "left_anti")
     return found
 
 
+def _begins(beginning: str, stemmed: bool) -> Column:
+    """Terms that begin as asked; what is asked is folded and stemmed like the index, so ``running`` begins ``run``."""
+    terms = query_terms(beginning, stemmed)
+    return F.col("term").startswith(terms[-1]) if terms else F.lit(False)
+
+
 def _phrases(postings: DataFrame, words: list[str], id_column: str) -> DataFrame:
     """Places where the words stand at consecutive positions of one field: every
     occurrence votes for the position where its phrase would begin."""
@@ -139,17 +162,18 @@ def _phrases(postings: DataFrame, words: list[str], id_column: str) -> DataFrame
 def occurrences(postings: DataFrame, query: TextQuery, id_column: str = "clip_id", stemmed: bool = True) -> DataFrame:
     """How often each positive part of the query (a term, a prefix, the phrase)
     occurs in each document: ``id, part, tf``."""
-    norm = _normal(stemmed)
     base = _searched(postings, query)
     counted = lambda rows, part: rows.groupBy(id_column, part.alias("part")).agg(F.count("*").alias("tf"))
     parts = []
-    terms = sorted({norm(w) for w in [*query.all_of, *query.any_of]})
+    terms, phrases = _parted([*query.all_of, *query.any_of], stemmed)
     if terms:
         parts.append(counted(base.filter(F.col("term").isin(terms)), F.concat(F.lit("="), F.col("term"))))
     for beginning in query.prefix:
-        parts.append(counted(base.filter(F.col("term").startswith(beginning.lower())), F.lit(beginning + "*")))
+        parts.append(counted(base.filter(_begins(beginning, stemmed)), F.lit(beginning + "*")))
     if query.phrase:
-        parts.append(counted(_phrases(base, [norm(w) for w in query.phrase], id_column), F.lit(" ".join(query.phrase))))
+        phrases.append([t for w in query.phrase for t in query_terms(w, stemmed)])
+    for p in phrases:
+        parts.append(counted(_phrases(base, p, id_column), F.lit(" ".join(p))))
     if not parts:
         return base.select(id_column, F.lit("").alias("part"), F.lit(0).cast("bigint").alias("tf")).limit(0)
     found = parts[0]
