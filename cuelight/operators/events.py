@@ -139,7 +139,8 @@ def prune_overlaps(events: DataFrame, key: str = "source_id", id_column: str = "
 
 class _Stretch:
     """Short events take time before (from the last kept end) and after (to the
-    source end); those that cannot reach the minimum are dropped."""
+    source end), in closed form of the missing length and the two rooms; those
+    whose rooms together are too small are dropped."""
 
     def __init__(self, shortest: float):
         self.shortest = shortest
@@ -149,17 +150,15 @@ class _Stretch:
 
     def step(self, kept_end, row):
         start, end, duration = row[:3]
-        missing = self.shortest - (end - start)
-        if missing <= 0:
+        lack, free_left, free_right = self.shortest - (end - start), start - kept_end, duration - end
+        if lack <= 0:
             return end, [row]
-        before_room, after_room = start - kept_end, duration - end
-        before = min(missing / 2.0, before_room)
-        after = min(missing - before, after_room)
-        before = min(missing - after, before_room)
-        if (end - start) + before + after < self.shortest:
+        if free_left + free_right < lack:
             return kept_end, []
-        start, end = round(start - before, 3), round(end + after, 3)
-        return end, [(start, end, *row[2:])]
+        # the left side gives half, or what the right side can't, and never more than it has
+        left = min(free_left, max(lack / 2.0, lack - free_right))
+        stretched = (round(start - left, 3), round(end + lack - left, 3))
+        return stretched[1], [(*stretched, *row[2:])]
 
     def finish(self, kept_end):
         return []
