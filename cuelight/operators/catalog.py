@@ -161,8 +161,15 @@ def prepare_manifests(manifests: DataFrame, fingerprints: DataFrame | None = Non
 
 
 def manifest_clips(rows: DataFrame) -> DataFrame:
-    return rows.select("extract_id", "source_id", F.explode("clips").alias("c")).select(
-        F.xxhash64("extract_id", "c.id").alias("clip_id"), "extract_id", "source_id",
+    """Clips of manifests. A clip is known by its local id; a manifest's further clips of the same local id are told apart
+    by their place in it."""
+    each = rows.select("extract_id", "source_id", F.transform("clips", lambda c: c["id"]).alias("_ids"),
+                       F.posexplode("clips").alias("_place", "c"))
+    first = F.array_position("_ids", F.col("c.id")) - 1
+    known = F.when(F.coalesce(first, F.col("_place")) == F.col("_place"), F.xxhash64("extract_id", "c.id")).otherwise(
+        F.xxhash64("extract_id", "c.id", "_place"))
+    return each.select(
+        known.alias("clip_id"), "extract_id", "source_id",
         F.col("c.id").alias("clip_local_id"), "c.file", "c.source_in", "c.source_out", "c.duration",
         "c.resolution", "c.fps", "c.description", F.coalesce("c.dialogue", F.lit("")).alias("dialogue"),
         "c.score", "c.segment_source", F.coalesce("c.game_signals", F.lit("{}")).alias("game_signals"),
