@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
@@ -106,9 +105,10 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["bucket", "zero", "one"])
 
     found = (rows.select("text", "label").mapInArrow(counted, "bucket long, zero long, one long")
-             .groupBy("bucket").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toPandas())
+             .groupBy("bucket").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one")).toArrow())
     out = np.zeros((2, FEATURES))
-    out[:, found["bucket"].to_numpy(dtype=np.int64)] = found[["zero", "one"]].to_numpy(dtype=float).T
+    for k, name in enumerate(("zero", "one")):
+        out[k, found["bucket"].to_numpy()] = found[name].to_numpy()
     return out[0], out[1]
 
 
@@ -195,15 +195,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, smoothing: float
                     pa.ListArray.from_arrays(edge, pa.array(bucket.astype(np.int32))),
                     batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], names=["buckets", "label", "order"])
 
-    held: pd.DataFrame = (few.select("text", "label", "order")
-                          .mapInArrow(features, "buckets array<int>, label int, order long").toPandas())
-    held = held.sort_values(["order", "label"], ignore_index=True)
-    label = held["label"].to_numpy(dtype=float)
-    if len(held) < 10 or label.min() == label.max():
-        share = (label.sum() + 1) / (len(held) + 2)
+    held = (few.select("text", "label", "order").mapInArrow(features, "buckets array<int>, label int, order long").toArrow())
+    label, place = (held[c].to_numpy() for c in ("label", "order"))
+    by = np.lexsort((label, place))
+    label = label[by].astype(float)
+    if len(label) < 10 or label.min() == label.max():
+        share = (label.sum() + 1) / (len(label) + 2)
         return Model(np.zeros(FEATURES), 0.0, 0.0, float(np.log((1 - share) / share)))
-    buckets = [np.asarray(b, dtype=np.int64) for b in held["buckets"]]
-    learn = np.arange(len(held)) % 5 != 0
+    lists = held["buckets"].combine_chunks()
+    edge, flat = lists.offsets.to_numpy(), lists.values.to_numpy()  # views, not copies
+    buckets = [flat[edge[i]:edge[i + 1]] for i in by]
+    learn = np.arange(len(label)) % 5 != 0
     if label[learn].min() == label[learn].max():
         learn[:] = True
     sign = np.where(label == 1, 1.0, -1.0)
