@@ -37,6 +37,16 @@ def signal_like(signals: Column, key: str, value: str) -> Column:
     return found.ilike(pattern) | F.coalesce(flag.like(pattern), F.lit(False))
 
 
+def signal_filter(argument: str) -> tuple[str, str, str]:
+    """``key=value`` or ``key~=value`` as the parts that ``search`` takes; the value may hold further equals signs."""
+    key, equals, value = argument.partition("=")
+    op = "~=" if key.endswith("~") else "="
+    key = key.removesuffix("~").strip()
+    if not equals or not key:
+        raise ValueError(f"a signal filter is key=value or key~=value: {argument!r}")
+    return key, op, value.strip()
+
+
 def with_categories(clips: DataFrame, categories: DataFrame) -> DataFrame:
     """Add the sorted category list of each clip."""
     return clips.join(category_lists(categories), "clip_id", "left").withColumn(
@@ -130,7 +140,7 @@ def search(
     segmenter: str | None = None,
     game_profile: str | None = None,
     source: str | None = None,
-    signals: Sequence[tuple[str, str, str]] | None = None,
+    signals: Sequence[tuple[str, str, str] | str] | None = None,
     order_by: str = "score",
     limit: int = DEFAULT_LIMIT,
 ) -> DataFrame:
@@ -139,6 +149,7 @@ def search(
     Filters on clip columns reach the file scan, category tests read the list
     kept with each clip, extracts and sources are filtered before they are
     joined. Ties are broken by clip id. A negative limit means no limit.
+    ``signals`` are ``(key, "=" or "~=", value)``, or texts such as ``map~=dust``.
     """
     clips = catalog.clips
     for column, low, high in (("score", min_score, max_score), ("duration", min_duration, max_duration)):
@@ -146,7 +157,8 @@ def search(
             clips = clips.filter(F.col(column) >= low)
         if high is not None:
             clips = clips.filter(F.col(column) <= high)
-    for key, op, value in signals or []:
+    for given in signals or []:
+        key, op, value = signal_filter(given) if isinstance(given, str) else given
         test = signal_equals if op == "=" else signal_like
         clips = clips.filter(test(F.col("game_signals"), key, value))
     if categories:

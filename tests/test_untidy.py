@@ -8,7 +8,7 @@ from cuelight.functions.text import clean_cue, folded_tokens, fold, strip, token
 from cuelight.operators.catalog import manifest_clips
 from cuelight.operators.events import _Stretch
 from cuelight.operators.layout import resolve_music
-from cuelight.operators.search import signal_like
+from cuelight.operators.search import signal_filter, signal_like
 from cuelight.operators.textindex import TextQuery, build_postings, match
 
 
@@ -89,3 +89,11 @@ def test_stretching_shares():
     assert fold_.step(0.0, (10.0, 12.0, 13.0, "x")) == (13.0, [(7.0, 13.0, 13.0, "x")])
     assert fold_.step(9.0, (10.0, 12.0, 13.0, "x")) == (9.0, [])
     assert fold_.step(0.0, (10.0, 17.0, 18.0, "x")) == (17.0, [(10.0, 17.0, 18.0, "x")])
+
+
+def test_signal_arguments():
+    assert signal_filter("map.name=de_dust=2") == ("map.name", "=", "de_dust=2")
+    assert signal_filter("map ~= dust") == ("map", "~=", "dust")
+    for bad in ("map", "=x", "~=x", ""):
+        with pytest.raises(ValueError):
+            signal_filter(bad)
