@@ -11,6 +11,7 @@ from ..plans.fold import ordered_fold
 from ..plans.groups import broadcast_if_small, has_hot_group
 from ..plans.rows import computed
 from ..plans.scan import islands, number, ordered_scan, previous, running
+from ..plans.session import last_key_counts
 from .signal import score_audio
 
 # Limits that results depend on.
@@ -54,6 +55,7 @@ def coerce_replies(replies: DataFrame, profiles: DataFrame) -> DataFrame:
     taxonomy, signal_keys`` (arrays). Returns ``chunk_id, event_no`` and the event
     fields. A reply is one row, so all its events are handled inside that row.
     """
+    last_key_counts(replies.sparkSession)
     rows = computed(replies.join(broadcast_if_small(profiles), "profile", "left"), {
         "_allowed": F.coalesce("taxonomy", F.array().cast("array<string>")),
         "_keys": F.coalesce("signal_keys", F.array().cast("array<string>")),

@@ -9,6 +9,7 @@ from ..functions.numeric import frame_count, grid_columns, grid_rows, token_esti
 from ..functions.text import strip
 from ..plans.intervals import interval_join
 from ..plans.scan import number, ordered_scan, running
+from ..plans.session import last_key_counts
 
 # Window size and limits that results depend on.
 WINDOW_SCENES = 30
@@ -69,6 +70,7 @@ def join_parts(parts: DataFrame, separator: str = "\n") -> DataFrame:
 def read_window_summaries(replies: DataFrame) -> DataFrame:
     """Window replies (``source_id, window_no, duration, text``) as ``synopsis``,
     ``characters`` and ``beats``; replies that are not objects are left out."""
+    last_key_counts(replies.sparkSession)
     doc = semi.tolerant_json(F.col("text"))
     rows = replies.withColumn("_doc", doc).filter(semi.is_object(F.col("_doc")))
     leaf = lambda name: semi.get(F.col("_doc"), f"$.{name}", "variant")

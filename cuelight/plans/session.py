@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cuelight") -> SparkSession:
@@ -22,6 +23,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "cue
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config(REPEATED_KEYS, "true")
         .getOrCreate()
     )
 
@@ -36,9 +38,16 @@ CLUSTER_CONF = {
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    REPEATED_KEYS: "true",
 }
 
 
+def last_key_counts(spark: SparkSession) -> None:
+    """Let JSON objects with a repeated key be read, the last value counting. Spark refuses them unless its session says
+    otherwise, so the readers of documents and replies set it in the session of their input."""
+    spark.conf.set(REPEATED_KEYS, "true")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: what the cluster names in
     ``spark.checkpoint.dir``. Only a local master falls back to a temporary

@@ -245,6 +245,22 @@ def manifest_rejects(spark, sf):
     return bad.select("manifest_path", F.array_join("problems", ";").alias("problems"))
 
 
+@query("manifest_wrong_types", _C + """ SELECT manifest_path, CASE extract_id % 8 WHEN 0 THEN 'wrong type: clips[].score' WHEN 1 THEN 'wrong type: clips[].categories'
+  WHEN 2 THEN 'wrong type: schema_version' WHEN 3 THEN 'wrong type: clips[].audio' ELSE 'wrong type: clips[].dialogue' END AS problems FROM c_extracts WHERE extract_id % 8 < 5""")
+def manifest_wrong_types(spark, sf):
+    """Optional and required fields of a wrong type, or null where null is no value, send a manifest to quarantine."""
+    from ..sources.files import parse_manifests
+
+    ids = views.catalog(spark, sf).extracts.select("manifest_path", (F.col("extract_id") % 8).alias("_kind"))
+    breaks = [(r'"score":\d+', '"score":"high"'), (r'"categories":\[[^\]]*\]', '"categories":"x"'), (r'"schema_version":\d+', '"schema_version":"three"'),
+              (r'"audio":\{[^}]*\}', '"audio":null'), (r'"dialogue":"[^"]*"', '"dialogue":7')]
+    text = F.col("text")
+    for k, (old, new) in enumerate(breaks):
+        text = F.when(F.col("_kind") == k, F.regexp_replace("text", old, new)).otherwise(text)
+    _, bad = parse_manifests(manifests(spark, sf).join(ids, "manifest_path").select("manifest_path", text.alias("text")))
+    return bad.select("manifest_path", F.array_join(F.array_distinct("problems"), ";").alias("problems"))
+
+
 def _documents(spark, sf):
     from ..sources.files import parse_manifests
 

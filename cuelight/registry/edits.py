@@ -185,6 +185,37 @@ def edl_documents(spark, sf):
         bad.select("o_orderkey", F.array_join("problems", ";").alias("outcome")))
 
 
+@query("edl_wrong_types", """SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN 'wrong type: output.width' WHEN 1 THEN 'wrong type: output.fps' WHEN 2 THEN 'wrong type: audio'
+  WHEN 3 THEN 'wrong type: video[].effect_params' WHEN 4 THEN 'wrong type: video[].effect_params{}' WHEN 5 THEN 'wrong type: music.duck' WHEN 6 THEN 'wrong type: title'
+  WHEN 7 THEN '1080/true/' || (o_orderkey % 50 + 1) WHEN 8 THEN 'wrong type: output.watermark' WHEN 9 THEN 'wrong type: video[].reframe' WHEN 10 THEN 'wrong type: ost[]'
+  ELSE '720/false/' || (o_orderkey % 50 + 1) END AS outcome FROM orders""")
+def edl_wrong_types(spark, sf):
+    """Values of a wrong type send a document to quarantine; numbers given as texts and whole floats are read."""
+    from ..sources.files import parse_edls
+
+    o = views.table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+
+    def part(plain, **cases):
+        text = F.lit(plain)
+        for k, value in cases.items():
+            text = F.when(key % 12 == int(k[1:]), value).otherwise(text)
+        return text
+
+    text = F.concat(
+        F.lit('{"title":'), part('"t"', k6="5"),
+        part("", k2=',"audio":"nope"', k7=',"captions":null', k10=',"ost":[3]'),
+        F.lit(',"output":{"duration":9'), part("", k0=',"width":"abc"', k1=',"fps":30.5', k7=',"width":1080.0', k8=',"watermark":"x"', k11=',"width":" 720 "'),
+        F.lit('},"music":{"file":"a.mp3"'), part("", k5=',"duck":"maybe"', k11=',"duck":"No"'),
+        F.lit('},"video":[{"start":0,"clip_id":3,"end":"'), (key % 50 + 1).cast("string"),
+        part('"}]}', k3='","effect_params":"oops"}]}', k4='","effect_params":{"a":"x","b":1}}]}', k9='","reframe":null}]}', k11='","source_in":null}]}'),
+    )
+    good, bad = parse_edls(o.select("o_orderkey", text.alias("text")))
+    shown = F.concat_ws("/", "output.width", "music.duck", F.col("video")[0]["end"].cast("bigint"))
+    return good.select("o_orderkey", shown.alias("outcome")).unionByName(
+        bad.select("o_orderkey", F.array_join("problems", ";").alias("outcome")))
+
+
 @query("edl_tracks_exploded", """SELECT o_orderkey AS edl_id, CAST(n AS INTEGER) AS pos, CAST(n * 3.0 AS DOUBLE) AS "start", CAST(9.0 AS DOUBLE) AS total FROM orders, unnest(range(0, 2)) t(n)""")
 def edl_tracks_exploded(spark, sf):
     from ..sources.files import parse_edls

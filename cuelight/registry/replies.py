@@ -64,6 +64,27 @@ def tolerant_json(spark, sf):
         semi.is_object(doc), "object").otherwise("scalar").alias("kind"))
 
 
+@query("replies_with_blanks", """SELECT event_id AS chunk_id, CAST(n AS INTEGER) AS event_no, CAST(n * 6 AS DOUBLE) AS "start", CAST(n * 6 + 4 AS DOUBLE) AS "end",
+  CASE n WHEN 0 THEN 'scene ' || event_id ELSE '(no description)' END AS description, CASE n WHEN 0 THEN '0|false|horn' ELSE '' END AS audio_cues
+  FROM events, unnest(range(0, 2)) t(n)""")
+def replies_with_blanks(spark, sf):
+    """White space of any kind around and inside replies, fences, prose, repeated keys, and cues that look empty."""
+    e = views.table(spark, sf, "events")
+    k = F.col("event_id") % 4
+    body = F.concat(
+        F.lit('[\n\t{"start": 9, "start": 0,\r\n "end": "4\\n", "description": "\\u00a0\\n scene '), F.col("event_id").cast("string"),
+        F.lit('\\t\\n", "audio_cues": ["0", "false", 0, false, null, "", "horn"]},\n{"start":\t6, "end": 10, "description": "\\n\\u3000"}\n]'))
+    text = (
+        F.when(k == 0, F.concat(F.lit("\n```json\n"), body, F.lit("\n```\n")))
+        .when(k == 1, F.concat(F.lit("\t\r\n"), body, F.lit("\n\n")))
+        .when(k == 2, F.concat(F.lit('Sure:\n{"events":\n'), body, F.lit("\n}\nthat is all")))
+        .otherwise(F.concat(F.lit("```\n{\"events\": [], \"events\":"), body, F.lit("}\n\t```")))
+    )
+    rows = e.select(F.col("event_id").alias("chunk_id"), F.lit("movie").alias("profile"), F.lit(12.0).alias("duration"), text.alias("text"))
+    out = ev.coerce_replies(rows, prof.whitelists(prof.builtin_profiles(spark)))
+    return out.select("chunk_id", "event_no", "start", "end", "description", F.array_join("audio_cues", "|").alias("audio_cues"))
+
+
 @query("coerced_beats", """SELECT o_orderkey, CAST(n AS INTEGER) AS beat_no, CAST(s AS DOUBLE) AS "start", CAST(e AS DOUBLE) AS "end", title FROM (
   SELECT o_orderkey, 0 AS n, 0.0 AS s, 30.0 AS e, 'Untitled beat' AS title FROM orders UNION ALL
   SELECT o_orderkey, 1, 20.0 + o_orderkey % 50, 90.0, 'late ' || o_orderkey FROM orders) t""")

@@ -20,8 +20,9 @@ def need(name: str, kind: DataType) -> StructField:
     return StructField(name, kind, nullable=False)
 
 
-def opt(name: str, kind: DataType, default=None) -> StructField:
-    return StructField(name, kind, nullable=True, metadata={} if default is None else {"default": default})
+def opt(name: str, kind: DataType, default=None, **notes: bool) -> StructField:
+    """``never_null`` refuses an explicit null where there is no default; ``object`` is a JSON object kept as text."""
+    return StructField(name, kind, nullable=True, metadata={**({} if default is None else {"default": default}), **notes})
 
 
 SOURCE = StructType([
@@ -39,7 +40,7 @@ CLIP = StructType([
     need("source_out", DoubleType()), need("duration", DoubleType()),
     need("resolution", StringType()), need("fps", DoubleType()), need("description", StringType()),
     opt("dialogue", StringType(), ""), opt("categories", _TEXTS), need("score", IntegerType()),
-    opt("game_signals", StringType(), "{}"), opt("audio", AUDIO), opt("keyframes", _TEXTS),
+    opt("game_signals", StringType(), "{}", object=True), opt("audio", AUDIO, never_null=True), opt("keyframes", _TEXTS),
     need("segment_source", StringType()),
 ])
 CHARACTER = StructType([need("name", StringType()), opt("role", StringType(), "")])
@@ -73,6 +74,9 @@ PROFILE = StructType([
     opt("prompt_template_video", StringType()), opt("prompt_template_frames", StringType()),
 ])
 
+# The types a signal of a profile may have.
+PROFILE_CHOICES = {"signals.type": ["int", "float", "str", "list[str]", "bool"]}
+
 WATERMARK = StructType([
     need("text", StringType()), opt("opacity", DoubleType(), 0.5), opt("font_size", IntegerType(), 36),
     opt("position", StringType(), "bottom"),

@@ -1,13 +1,14 @@
-"""Strict reading of nested JSON documents: unknown keys, missing fields and
-values outside their choices send a document to quarantine, defaults fill the rest."""
+"""Strict reading of nested JSON documents: unknown keys, missing fields, values of a
+wrong type or outside their choices send a document to quarantine, defaults fill the rest."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, MapType, StringType, StructField, StructType
 
-from ..functions.semi import get
+from ..functions.semi import get, is_object
 from ..plans.rows import computed
+from ..plans.session import last_key_counts
 
 _NONE = "array<string>"
 
@@ -40,25 +41,103 @@ def unknown_keys(doc: Column, schema: StructType, path: str = "") -> Column:
     return F.concat(*[F.coalesce(c, _empty()) for c in found])
 
 
-def missing_fields(value: Column, schema: StructType, path: str = "") -> Column:
-    """Paths of required fields that are absent or of the wrong type."""
+def _absent(doc: Column, name: str) -> Column:
+    value = get(doc, f"$.{name}", "variant")
+    return value.isNull() | F.is_variant_null(value)
+
+
+def missing_fields(doc: Column, schema: StructType, path: str = "") -> Column:
+    """Paths of required fields that are absent or null."""
     found = []
     for f in schema:
-        field, where = value[f.name], f"{path}{f.name}"
+        where = f"{path}{f.name}"
         if not f.nullable:
-            found.append(F.when(field.isNull(), F.array(F.lit(where))).otherwise(_empty()))
+            found.append(F.when(_absent(doc, f.name), F.array(F.lit(where))).otherwise(_empty()))
         if isinstance(f.dataType, StructType):
-            inner = missing_fields(field, f.dataType, where + ".")
-            found.append(F.when(field.isNotNull(), inner).otherwise(_empty()))
+            part = get(doc, f"$.{f.name}", "variant")
+            found.append(F.when(is_object(part), missing_fields(part, f.dataType, where + ".")).otherwise(_empty()))
         elif isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, StructType):
-            inner_type = f.dataType.elementType
-            found.append(F.coalesce(
-                F.flatten(F.transform(field, _inside(missing_fields, inner_type, where + "[]."))),
-                _empty(),
-            ))
+            inner = f.dataType.elementType
+            items = F.filter(get(doc, f"$.{f.name}", "array<variant>"), is_object)
+            found.append(F.coalesce(F.flatten(F.transform(items, _inside(missing_fields, inner, where + "[]."))), _empty()))
     return F.concat(*found) if found else _empty()
 
 
+# Texts that are read as flags, whatever their case.
+TRUE_TEXTS = ["1", "on", "t", "true", "y", "yes"]
+FALSE_TEXTS = ["0", "off", "f", "false", "n", "no"]
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+
+
+# The functions below write SQL text: a document has some hundred conditions, and Spark reads one text faster than it
+# takes as many calls.
+
+def _leaf(text: str, kind: DataType) -> str:
+    """A scalar from the text of its JSON value; null if it does not fit ``kind``. Numbers may be given as texts, and
+    whole numbers with a fraction of zero."""
+    real = f"coalesce(try_cast({text} as double), case {text} when 'true' then 1D when 'false' then 0D end)"
+    if isinstance(kind, StringType):
+        return text
+    if isinstance(kind, DoubleType):
+        return real
+    if isinstance(kind, BooleanType):
+        true, false = (", ".join(f"'{w}'" for w in words) for words in (TRUE_TEXTS, FALSE_TEXTS))
+        return f"case when lower({text}) in ({true}) or {real} = 1 then true when lower({text}) in ({false}) or {real} = 0 then false end"
+    whole = f"coalesce(try_cast({text} as bigint), case when {real} % 1 = 0 then try_cast({real} as bigint) end)"
+    return f"try_cast({whole} as {kind.simpleString()})"
+
+
+def _part(value: str, path: str, kind: str = "variant") -> str:
+    return f"try_variant_get({value}, '{path}', '{kind}')"
+
+
+def _misfit(value: str, kind: DataType) -> str:
+    """Whether a VARIANT is null or does not hold a scalar of ``kind``."""
+    said, given = _part(value, "$", "string"), f"schema_of_variant({value})"
+    if isinstance(kind, StringType):
+        fits = f"{given} = 'STRING'"
+    else:
+        fits = f"{_leaf(said, kind)} is not null"
+        if not isinstance(kind, BooleanType):
+            fits += f" and ({given} = 'BOOLEAN' or {said} rlike r'{NUMBER}')"
+    return f"(is_variant_null({value}) or not coalesce({fits}, false))"
+
+
+_NOTHING = f"cast(array() as {_NONE})"
+
+
+def _object(value: str) -> str:
+    return f"({_part(value, '$', 'struct<_:variant>')} is not null)"
+
+
+def wrong_types(doc: str, schema: StructType, path: str = "", depth: int = 0) -> str:
+    """Paths of values that are there but are not of their field's type. Null is a value of optional parts and of
+    optional scalars without a default only; a required field that is null is missing."""
+    found, v = [], f"v{depth}"
+    for f in schema:
+        value, kind, where = _part(doc, f"$.{f.name}"), f.dataType, f"{path}{f.name}"
+        bad, parts = f"array('{where}')", _NOTHING
+        if isinstance(kind, StructType):
+            right, parts = _object(value), wrong_types(value, kind, where + ".", depth)
+        elif isinstance(kind, ArrayType):
+            inner, items = kind.elementType, _part(value, "$", "array<variant>")
+            right, nested = f"{items} is not null", isinstance(inner, StructType)
+            odd = f"not {_object(v)}" if nested else _misfit(v, inner)
+            parts = f"case when exists({items}, {v} -> {odd}) then array('{where}[]') else {_NOTHING} end"
+            if nested:
+                each = wrong_types(v, inner, where + "[].", depth + 1)
+                parts = f"concat({parts}, flatten(transform(filter({items}, {v} -> {_object(v)}), {v} -> {each})))"
+        elif isinstance(kind, MapType):
+            right, entries = _object(value), f"map_values({_part(value, '$', 'map<string,variant>')})"
+            parts = f"case when exists({entries}, {v} -> {_misfit(v, kind.valueType)}) then array('{where}{{}}') else {_NOTHING} end"
+        else:
+            right = _object(value) if f.metadata.get("object") else f"not {_misfit(value, kind)}"
+        never_null = isinstance(kind, (ArrayType, MapType)) or "default" in f.metadata or f.metadata.get("never_null", False)
+        null = bad if f.nullable and never_null else _NOTHING
+        found.append(f"case when {value} is null then {_NOTHING} when is_variant_null({value}) then {null} when {right} then {parts} else {bad} end")
+    return f"concat({', '.join(found)})"
+
+
 def bad_choices(value: Column, choices: dict[str, list[str]]) -> Column:
     """Paths whose value is none of the allowed ones; missing values are allowed."""
     found = []
@@ -68,30 +147,35 @@ def bad_choices(value: Column, choices: dict[str, list[str]]) -> Column:
         for part in head.split(".")[1:]:
             column = column[part]
         wrong = ~F.coalesce(column[leaf].isin(allowed), F.lit(True))
-        if path.split(".")[0] in ("video", "audio", "ost", "annotations"):
+        if path.split(".")[0] in ("video", "audio", "ost", "annotations", "signals"):
             wrong = F.exists(column, _not_in(leaf, allowed))
         found.append(F.when(F.coalesce(wrong, F.lit(False)), F.array(F.lit(path))).otherwise(_empty()))
     return F.concat(*found)
 
 
-def with_defaults(value: Column, schema: StructType) -> Column:
-    """Fill missing optional fields, at every depth."""
-    fields = []
+def with_defaults(value: str, schema: StructType, texts: bool = False, depth: int = 0) -> str:
+    """Fill missing optional fields, at every depth. With ``texts``, scalars are still the texts of their JSON values and
+    are read first."""
+    fields, v = [], f"v{depth}"
     for f in schema:
-        c = value[f.name]
-        if isinstance(f.dataType, StructType):
-            c = F.when(c.isNotNull(), with_defaults(c, f.dataType))
-        elif isinstance(f.dataType, ArrayType):
-            inner = f.dataType.elementType
-            if isinstance(inner, StructType):
-                c = F.transform(c, _inside(with_defaults, inner))
-            c = F.coalesce(c, F.array().cast(_relaxed(f.dataType)))
-        elif isinstance(f.dataType, MapType):
-            c = F.coalesce(c, F.create_map().cast(f.dataType))
-        elif "default" in f.metadata:
-            c = F.coalesce(c, F.lit(f.metadata["default"]).cast(f.dataType))
-        fields.append(c.alias(f.name))
-    return F.struct(*fields)
+        c, kind = f"{value}.{f.name}", f.dataType
+        if isinstance(kind, StructType):
+            filled = with_defaults(c, kind, texts, depth)
+            c = filled if f.metadata.get("never_null") else f"case when {c} is not null then {filled} end"
+        elif isinstance(kind, ArrayType):
+            if isinstance(kind.elementType, StructType):
+                c = f"transform({c}, {v} -> {with_defaults(v, kind.elementType, texts, depth + 1)})"
+            c = f"coalesce({c}, cast(array() as {_relaxed(kind).simpleString()}))"
+        elif isinstance(kind, MapType):
+            c = f"transform_values({c}, (k, {v}) -> {_leaf(v, kind.valueType)})" if texts else c
+            c = f"coalesce({c}, cast(map() as {kind.simpleString()}))"
+        else:
+            c = _leaf(c, kind) if texts else c
+            if "default" in f.metadata:
+                default = f.metadata["default"]
+                c = f"coalesce({c}, cast('{str(default).lower() if isinstance(default, bool) else default}' as {kind.simpleString()}))"
+        fields.append(f"'{f.name}', {c}")
+    return f"named_struct({', '.join(fields)})"
 
 
 def _relaxed(kind):
@@ -106,28 +190,39 @@ def _relaxed(kind):
     return kind
 
 
+def _texts(kind):
+    """The same shape with every scalar as the text of its JSON value."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, _texts(f.dataType), True) for f in kind])
+    if isinstance(kind, ArrayType):
+        return ArrayType(_texts(kind.elementType), True)
+    return MapType(StringType(), StringType()) if isinstance(kind, MapType) else StringType()
+
+
 def parse_documents(
     texts: DataFrame, column: str, schema: StructType, choices: dict[str, list[str]] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Split rows of JSON text into (documents, rejects).
 
     Documents carry the fields of ``schema`` beside the other columns; rejects
-    carry the text and a ``problems`` array.
+    carry the text and a ``problems`` array. Of a repeated key the last value counts.
     """
+    last_key_counts(texts.sparkSession)
     raw = F.col(column)
     others = [c for c in texts.columns if c != column]
-    read = computed(texts, {"_doc": F.from_json(raw, _relaxed(schema)), "_v": F.try_parse_json(raw)})
-    problems = F.when(F.col("_v").isNull() | F.col("_doc").isNull(), F.array(F.lit("not a JSON object"))).otherwise(
+    read = computed(texts, {"_doc": F.from_json(raw, _texts(schema)), "_v": F.try_parse_json(raw)})
+    problems = F.when(~F.coalesce(is_object(F.col("_v")), F.lit(False)) | F.col("_doc").isNull(), F.array(F.lit("not a JSON object"))).otherwise(
         F.concat(
             F.transform(unknown_keys(F.col("_v"), schema), lambda k: F.concat(F.lit("unknown key: "), k)),
-            F.transform(missing_fields(F.col("_doc"), schema), lambda k: F.concat(F.lit("missing field: "), k)),
+            F.transform(missing_fields(F.col("_v"), schema), lambda k: F.concat(F.lit("missing field: "), k)),
+            F.transform(F.expr(wrong_types("_v", schema)), lambda k: F.concat(F.lit("wrong type: "), k)),
             *([F.transform(bad_choices(F.col("_doc"), choices), lambda k: F.concat(F.lit("bad value: "), k))]
               if choices else []),
         )
     )
     judged = computed(read, {"problems": problems})
     good = judged.filter(F.size("problems") == 0).select(
-        *others, with_defaults(F.col("_doc"), schema).alias("_full")
+        *others, F.expr(with_defaults("_doc", schema, texts=True)).alias("_full")
     ).select(*others, "_full.*")
     bad = judged.filter(F.size("problems") > 0).select(*others, raw.alias("text"), "problems")
     return good, bad

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..functions.text import parse_timestamp, strip
 from ..plans.rows import computed
 from ..plans.scan import last_known, ordered_scan
-from .documents import parse_documents, plain_path, read_texts, write_documents
+from .documents import parse_documents, plain_path, read_texts, with_defaults, write_documents
 
 
 def scan_manifests(spark: SparkSession, root: str, name: str = "manifest.json") -> tuple[DataFrame, DataFrame]:
@@ -21,37 +22,45 @@ def parse_manifests(texts: DataFrame, column: str = "text") -> tuple[DataFrame,
     return parse_documents(texts, column, schemas.MANIFEST)
 
 
-def build_manifests(sources: DataFrame, extracts: DataFrame, clips: DataFrame) -> DataFrame:
+def build_manifests(sources: DataFrame, extracts: DataFrame, clips: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """One manifest row per extract from flat tables.
 
     ``clips`` has ``extract_id`` and the clip fields of a manifest; a manifest is
-    one document, so its clips are gathered into that one row.
+    one document, so its clips are gathered into that one row. ``summaries`` has
+    ``source_id`` and the fields of a summary; a source without one has null.
     """
     fields = [F.col(f.name) for f in schemas.CLIP]
     gathered = clips.groupBy("extract_id").agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("clips")
     )
+    told = summaries if summaries is not None else sources.select("source_id").limit(0)
+    parts = [F.col(f.name) if f.name in told.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.SUMMARY]
+    told = told.select("source_id", F.struct(*parts).alias("summary"))
     return (
         extracts.join(sources, "source_id")
         .join(gathered, "extract_id", "left")
+        .join(told, "source_id", "left")
         .select(
             "manifest_path",
             F.lit(schemas.MANIFEST_VERSION).alias("schema_version"),
             F.struct(F.col("file_path").alias("file"), "duration", "resolution", "fps").alias("source"),
             F.struct("segmenter", "analyzer", "game_profile", "created_at").alias("extract"),
-            "taxonomy", "clips",
+            "taxonomy", "clips", "summary",
         )
     )
 
 
 def manifest_json(manifests: DataFrame) -> DataFrame:
-    """``manifest_path, text``: the document as JSON, signals as an object again."""
+    """``manifest_path, text``: the document as JSON, signals as an object again. Missing optional fields are written as
+    their defaults, so that the text can be read strictly."""
     clip = lambda c: F.struct(*[
         (F.parse_json(c[f.name]) if f.name == "game_signals" else c[f.name]).alias(f.name) for f in schemas.CLIP
     ])
-    columns = [f.name for f in schemas.MANIFEST if f.name in manifests.columns]
-    return manifests.withColumn("clips", F.transform("clips", clip)).select(
-        "manifest_path", F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("text")
+    known = StructType([f for f in schemas.MANIFEST if f.name in manifests.columns])
+    full = manifests.select("manifest_path", F.struct(*known.names).alias("_doc")).select(
+        "manifest_path", F.expr(with_defaults("_doc", known)).alias("_full"))
+    return full.select("manifest_path", "_full.*").withColumn("clips", F.transform("clips", clip)).select(
+        "manifest_path", F.to_json(F.struct(*known.names), {"ignoreNullFields": "false"}).alias("text")
     )
 
 

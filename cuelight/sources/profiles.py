@@ -80,7 +80,7 @@ def scan_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def parse_profiles(texts: DataFrame, column: str = "text") -> tuple[DataFrame, DataFrame]:
-    found, rejects = parse_documents(texts, column, schemas.PROFILE)
+    found, rejects = parse_documents(texts, column, schemas.PROFILE, schemas.PROFILE_CHOICES)
     return found.select(
         F.col("name").alias("profile"), "subject", "taxonomy", "signals", F.col("prompt_hints").alias("hints"),
         F.col("boundary_rules").alias("rules"), F.col("example_json").alias("example"),

@@ -1,8 +1,11 @@
 """Untidy input: blanks of every kind, repeated ids, accents, inflections."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from cuelight import schemas
 from cuelight.functions import semi
 from cuelight.functions.text import clean_cue, folded_tokens, fold, strip, tokens
 from cuelight.operators.catalog import manifest_clips
@@ -10,6 +13,7 @@ from cuelight.operators.events import _Stretch
 from cuelight.operators.layout import resolve_music
 from cuelight.operators.search import signal_filter, signal_like
 from cuelight.operators.textindex import TextQuery, build_postings, match
+from cuelight.sources import files, profiles
 
 
 def one(spark, column, **values):
@@ -97,3 +101,53 @@ def test_signal_arguments():
     for bad in ("map", "=x", "~=x", ""):
         with pytest.raises(ValueError):
             signal_filter(bad)
+
+
+def test_values_of_a_wrong_type(spark):
+    base = {"title": "t", "output": {"duration": 9}}
+    cases = {
+        "ok": ({**base, "output": {"duration": "9.5", "width": 720.0, "height": "1280"}, "captions": None, "music": {"file": "a", "duck": "off"}}, []),
+        "int": ({**base, "output": {"duration": 9, "fps": 30.5}}, ["wrong type: output.fps"]),
+        "text": ({**base, "output": {"duration": 9, "width": "abc"}}, ["wrong type: output.width"]),
+        "large": ({**base, "output": {"duration": 9, "width": 3e9}}, ["wrong type: output.width"]),
+        "suffix": ({**base, "output": {"duration": "9d"}}, ["wrong type: output.duration"]),
+        "list": ({**base, "audio": "nope"}, ["wrong type: audio"]),
+        "null list": ({**base, "ost": None}, ["wrong type: ost"]),
+        "null title": ({**base, "title": None}, ["missing field: title"]),
+        "map": ({**base, "voiceover": {"voice_id": "v", "script": "s", "settings": {"a": "1.5", "b": []}}}, ["wrong type: voiceover.settings{}"]),
+        "element": ({**base, "annotations": [None, 3]}, ["wrong type: annotations[]"]),
+        "number as title": ({**base, "title": 5}, ["wrong type: title"]),
+        "object": ({**base, "output": []}, ["wrong type: output"]),
+    }
+    texts = spark.createDataFrame([(k, json.dumps(d)) for k, (d, _) in cases.items()] + [
+        ("twice", '{"title": "a", "title": "b", "output": {"duration": 1, "duration": 2}}'), ("list doc", "[]"), ("none", None),
+    ], "edl_id string, text string")
+    good, bad = files.parse_edls(texts)
+    assert {r.edl_id: r.problems for r in bad.collect()} == {
+        **{k: p for k, (_, p) in cases.items() if p}, "list doc": ["not a JSON object"], "none": ["not a JSON object"]}
+    read = {r.edl_id: (r.title, r.output.duration, r.output.width, r.output.height) for r in good.collect()}
+    assert read == {"ok": ("t", 9.5, 720, 1280), "twice": ("b", 2.0, 1080, 1920)}
+
+
+def test_signal_types_of_a_profile(spark):
+    texts = spark.createDataFrame([(json.dumps({"name": n, "signals": [{"key": "k", "type": n, "description": ""}]}),) for n in ("int", "list[str]", "date")], "text string")
+    good, bad = profiles.parse_profiles(texts)
+    assert sorted(r.profile for r in good.collect()) == ["int", "list[str]"]
+    assert bad.first().problems == ["bad value: signals.type"]
+
+
+def test_repeated_keys_in_replies(spark):
+    got = one(spark, semi.tolerant_json(F.col("a")).cast("string"), a='{"a": 1, "a": 2}')
+    assert got == '{"a":2}'
+
+
+def test_summaries_are_written(spark):
+    sources = spark.createDataFrame([(1, "/a.mp4", 9.0, "1x1", 1.0), (2, "/b.mp4", 9.0, "1x1", 1.0)], "source_id long, file_path string, duration double, resolution string, fps double")
+    extracts = spark.createDataFrame([(i, i, f"/{i}.json", "s", "a", "g", "now", None) for i in (1, 2)], (
+        "extract_id long, source_id long, manifest_path string, segmenter string, analyzer string, game_profile string, created_at string, taxonomy array<string>"))
+    clips = spark.createDataFrame([], f"extract_id long, {', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schemas.CLIP)}")
+    summaries = spark.createDataFrame([(1, "a film", ["time"])], "source_id long, synopsis string, themes array<string>")
+    good, bad = files.parse_manifests(files.manifest_json(files.build_manifests(sources, extracts, clips, summaries)))
+    assert bad.count() == 0
+    told = {r.manifest_path: r.summary and (r.summary.synopsis, r.summary.themes, r.summary.beats) for r in good.collect()}
+    assert told == {"/1.json": ("a film", ["time"], []), "/2.json": None}
