@@ -25,6 +25,7 @@ _TABLES = {
     "postings": schemas.POSTINGS_TABLE, "lengths": schemas.LENGTHS_TABLE,
 }
 _KEYS = ["clip_id", "extract_id", "source_id"]
+_META = "version int, buckets int"
 
 
 @dataclass(frozen=True)
@@ -45,8 +46,25 @@ def empty_catalog(spark: SparkSession) -> Catalog:
     return Catalog(**{name: spark.createDataFrame([], schema) for name, schema in _TABLES.items()})
 
 
+def _write_meta(spark: SparkSession, root: str, buckets: int) -> None:
+    spark.createDataFrame([(schemas.CATALOG_VERSION, buckets)], _META).coalesce(1).write.mode("overwrite").parquet(f"{root}/meta")
+
+
+def stored_buckets(spark: SparkSession, root: str, asked: int | None = None) -> int:
+    """The number of source buckets of the catalog stored at ``root``. A catalog of another version is an error, and so is
+    another number than ``asked``: its rows would be looked for, and written, in the wrong buckets."""
+    meta = spark.read.schema(_META).parquet(f"{root}/meta").first()
+    if meta is None or meta["version"] != schemas.CATALOG_VERSION:
+        raise ValueError(f"the catalog is of version {meta and meta['version']}, not {schemas.CATALOG_VERSION}; see upgrade_catalog")
+    if asked is not None and asked != meta["buckets"]:
+        raise ValueError(f"the catalog has {meta['buckets']} buckets, not {asked}")
+    return meta["buckets"]
+
+
 def read_catalog(spark: SparkSession, root: str, only: Sequence[int] | None = None) -> Catalog:
     """The stored catalog; ``only`` reads the given source buckets and no other file."""
+    stored_buckets(spark, root)
+
     def table(name: str, schema: str) -> DataFrame:
         rows = spark.read.schema(f"{schema}, bucket int").parquet(f"{root}/{name}")
         rows = rows if only is None else rows.filter(F.col("bucket").isin(list(only)))
@@ -73,13 +91,20 @@ _SORT = {
 }
 
 
-def write_catalog(catalog: Catalog, root: str, only: Sequence[int] | None = None, buckets: int = BUCKETS) -> None:
+def write_catalog(catalog: Catalog, root: str, only: Sequence[int] | None = None, buckets: int | None = None) -> None:
     """Write all tables below ``root`` in source buckets.
 
     With ``only``, those buckets are replaced and all other files stay as they
     are. The new rows are written aside first, because they may derive from the
-    files they replace. A catalog keeps its number of buckets.
+    files they replace. A catalog keeps its number of buckets (``buckets``, or
+    ``BUCKETS``, when it is first written): it is stored with the version.
     """
+    spark = catalog.sources.sparkSession
+    if only is None:
+        buckets = buckets or BUCKETS
+        _write_meta(spark, root, buckets)
+    else:
+        buckets = stored_buckets(spark, root, buckets)
     for name, table in catalog.tables().items():
         rows = table.withColumn("bucket", _bucket(buckets))
         order = ["bucket", *_SORT.get(name, ["source_id"])]
@@ -99,15 +124,16 @@ def write_catalog(catalog: Catalog, root: str, only: Sequence[int] | None = None
 
 
 def update_catalog(spark: SparkSession, root: str, manifests: DataFrame, fingerprints: DataFrame | None = None,
-                   buckets: int = BUCKETS) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Fold manifests into the catalog stored at ``root``, reading and writing the
     buckets of their sources only. Returns the report of ``ingest``."""
+    buckets = stored_buckets(spark, root, buckets)
     rows = checkpointed(prepare_manifests(manifests, fingerprints))
-    only = touched_buckets(rows, buckets)
+    only = touched_buckets(_fitting(rows), buckets)
     if not only:
-        return _report(empty_catalog(spark), rows.withColumn("_extract_wins", F.lit(True)))
-    updated, report = _fold(read_catalog(spark, root, only), rows)
-    report = checkpointed(report)
+        return _refused(rows)
+    updated, report = _fold(read_catalog(spark, root, only), _fitting(rows))
+    report = checkpointed(report.unionByName(_refused(rows)))
     write_catalog(updated, root, only, buckets)
     return report
 
@@ -116,6 +142,7 @@ def create_catalog(spark: SparkSession, root: str, buckets: int = BUCKETS) -> No
     """An empty stored catalog."""
     for name, table in empty_catalog(spark).tables().items():
         table.write.mode("overwrite").parquet(f"{root}/{name}/bucket=0")
+    _write_meta(spark, root, buckets)
 
 
 def source_key(fingerprint: Column) -> Column:
@@ -155,7 +182,8 @@ def prepare_manifests(manifests: DataFrame, fingerprints: DataFrame | None = Non
     else:
         rows = rows.withColumn("fingerprint", F.lit(None).cast("string"))
     rows = rows.withColumn("fingerprint", F.coalesce("fingerprint", F.concat(F.lit("missing:"), F.col("file_path"))))
-    rows = rows.select("manifest_path", "file_path", "fingerprint", "source", "extract.*", "taxonomy", "clips", "summary")
+    rows = rows.select("manifest_path", "file_path", "fingerprint", "source", "extract.*", "taxonomy", "clips", "summary",
+                       F.coalesce(F.size(F.filter("clips", lambda c: ~_score_fits(c["score"]))), F.lit(0)).alias("refused_scores"))
     rows = rows.withColumn("source_id", source_key(F.col("fingerprint")))
     return rows.withColumn("extract_id", extract_key())
 
@@ -191,9 +219,18 @@ def category_lists(categories: DataFrame) -> DataFrame:
     return categories.groupBy("clip_id").agg(F.array_sort(F.collect_set("category")).alias("categories"))
 
 
-def out_of_range_scores(clips: DataFrame) -> DataFrame:
-    """Clips that break the 0..100 score rule."""
-    return clips.filter(~F.col("score").between(0, 100))
+def _score_fits(score: Column) -> Column:
+    return F.coalesce(score.between(0, 100), F.lit(False))
+
+
+def _fitting(prepared: DataFrame) -> DataFrame:
+    return prepared.filter("refused_scores <= 0")
+
+
+def _refused(prepared: DataFrame) -> DataFrame:
+    """Report rows of manifests with a score outside 0 to 100."""
+    return prepared.filter("refused_scores > 0").select(
+        "manifest_path", "source_id", "extract_id", F.lit(0).alias("clip_count"), F.lit(False).alias("created"), "refused_scores")
 
 
 def ingest(catalog: Catalog, manifests: DataFrame, fingerprints: DataFrame | None = None) -> tuple[Catalog, DataFrame]:
@@ -201,12 +238,15 @@ def ingest(catalog: Catalog, manifests: DataFrame, fingerprints: DataFrame | Non
 
     Sources update by fingerprint, extracts by their five-part key; a known
     extract gets the new path and taxonomy and all its clips replaced. Within one
-    batch the last manifest in path order wins. Returns the new catalog and one
-    result row per extract: ``manifest_path, source_id, extract_id, clip_count,
-    created``.
+    batch the last manifest in path order wins. A manifest with a score outside 0
+    to 100 is refused as a whole. Returns the new catalog and one result row per
+    extract, and per refused manifest: ``manifest_path, source_id, extract_id,
+    clip_count, created, refused_scores`` (how many scores made it refused, or 0).
     """
     # Every table is derived from the batch, so it is parsed and written aside once.
-    return _fold(catalog, checkpointed(prepare_manifests(manifests, fingerprints)))
+    rows = checkpointed(prepare_manifests(manifests, fingerprints))
+    updated, report = _fold(catalog, _fitting(rows))
+    return updated, report.unionByName(_refused(rows))
 
 
 def _fold(catalog: Catalog, prepared: DataFrame) -> tuple[Catalog, DataFrame]:
@@ -245,7 +285,7 @@ def _report(catalog: Catalog, rows: DataFrame) -> DataFrame:
     known = catalog.extracts.select("extract_id", F.lit(False).alias("_new"))
     return rows.filter("_extract_wins").join(known, "extract_id", "left").select(
         "manifest_path", "source_id", "extract_id", F.size("clips").alias("clip_count"),
-        F.coalesce("_new", F.lit(True)).alias("created"),
+        F.coalesce("_new", F.lit(True)).alias("created"), F.lit(0).alias("refused_scores"),
     )
 
 

@@ -261,6 +261,18 @@ def manifest_wrong_types(spark, sf):
     return bad.select("manifest_path", F.array_join(F.array_distinct("problems"), ";").alias("problems"))
 
 
+@query("score_rejects", _C + """ SELECT manifest_path, n = 0 AS kept, n AS refused_scores FROM (
+  SELECT e.manifest_path, count(*) FILTER (WHERE e.extract_id % 3 = 0 AND c.score >= 50) AS n
+  FROM c_extracts e LEFT JOIN c_clips c USING (extract_id) GROUP BY e.manifest_path) t""")
+def score_rejects(spark, sf):
+    """Manifests with a score outside 0 to 100 are refused as a whole and counted."""
+    ids = views.catalog(spark, sf).extracts.select("manifest_path", (F.col("extract_id") % 3 == 0).alias("_bad"))
+    docs = _documents(spark, sf).join(ids, "manifest_path")
+    raised = F.transform("clips", lambda c: F.when(F.col("_bad") & (c["score"] >= 50), c.withField("score", c["score"] + 100)).otherwise(c))
+    _, report = cat.ingest(cat.empty_catalog(spark), docs.withColumn("clips", raised).drop("_bad"))
+    return report.select("manifest_path", (F.col("refused_scores") == 0).alias("kept"), F.col("refused_scores").cast("bigint").alias("refused_scores"))
+
+
 def _documents(spark, sf):
     from ..sources.files import parse_manifests
 

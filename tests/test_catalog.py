@@ -231,6 +231,28 @@ def test_only_touched_buckets_are_rewritten(spark, base, tmp_path):
     assert counts(cat.read_catalog(spark, root)) == {"sources": 2, "extracts": 2, "clips": 2, "clip_categories": 3}
 
 
+def test_buckets_and_version_are_stored(spark, base, tmp_path):
+    root = str(tmp_path / "catalog")
+    cat.write_catalog(base, root, buckets=4)
+    good, _ = parsed(spark, ("/m/n/manifest.json", manifest()))
+    with pytest.raises(ValueError, match="4 buckets"):
+        cat.update_catalog(spark, root, good, buckets=8)
+    cat.update_catalog(spark, root, good)
+    assert counts(cat.read_catalog(spark, root)) == counts(base) and cat.stored_buckets(spark, root) == 4
+    spark.createDataFrame([(1, 4)], "version int, buckets int").write.mode("overwrite").parquet(f"{root}/meta")
+    with pytest.raises(ValueError, match="version 1"):
+        cat.read_catalog(spark, root)
+
+
+def test_scores_out_of_range_are_refused(spark, base):
+    bad = manifest(file="/v/bad.mp4")
+    bad["clips"][0]["score"] = 101
+    got, report = ingested(spark, ("/m/bad/manifest.json", bad), ("/m/a/manifest.json", manifest()), into=base)
+    assert counts(got) == counts(base)
+    assert rows(report, "manifest_path", "clip_count", "created", "refused_scores") == [
+        ("/m/a/manifest.json", 2, False, 0), ("/m/bad/manifest.json", 0, False, 1)]
+
+
 def test_upgrade_adds_dialogue_and_rebuilds_the_index(spark, base):
     old = base.clips.drop("dialogue", "categories").withColumn("description", F.lit("a quiet sunset over the bay"))
     got = cat.upgrade_catalog(base.sources, base.extracts, old, base.clip_categories, base.source_summaries)
