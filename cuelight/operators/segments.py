@@ -13,7 +13,7 @@ from pyspark.sql.types import (
     BooleanType, DoubleType, IntegerType, LongType, StructField, StructType,
 )
 
-from ..functions.numeric import audible
+from ..functions.numeric import audible, seconds
 from ..plans.fold import ordered_fold
 from ..plans.groups import has_hot_group
 from ..plans.intervals import interval_join
@@ -158,18 +158,19 @@ def merge_overlapping(
 
 
 class _Cut:
-    """Walks the samples of a segment and cuts at the quietest one in the search
-    window after the previous cut. Only samples that can still be the quietest
-    of a coming window are remembered."""
+    """Walks the samples of a segment and cuts at the quietest one in the search window after the previous cut.
 
-    def __init__(self, target: float, longest: float, overlap: float):
-        self.target, self.longest, self.overlap = target, longest, overlap
+    The state is the previous cut and the samples that can still be the quietest of the coming window, nothing older,
+    so walks that begin apart soon agree. How many cuts a segment may have is not its business.
+    """
+
+    def __init__(self, target: float, longest: float):
+        self.target, self.longest = target, longest
 
     def start(self, row):
-        begin, end = row[0], row[1]
-        cuts_left = max(1, int((end - begin) // self.target)) - 1
-        return {"begin": begin, "end": end, "prev": begin, "edge": begin, "no": 0,
-                "left": cuts_left, "quiet": deque()}
+        begin, end, t = row[:3]
+        # Without a head row this is a walk that begins amid a segment: any guess will do, it is corrected later.
+        return {"begin": begin, "end": end, "prev": begin if t is None else max(begin, t - self.target), "quiet": deque()}
 
     def _window(self, s):
         ideal, reach = s["prev"] + self.target, self.target * SEARCH_SHARE
@@ -177,29 +178,28 @@ class _Cut:
                 min(s["end"] - EDGE_SECONDS, ideal + reach))
 
     def _open(self, s):
-        return s["left"] > 0 and s["end"] - s["prev"] > self.target
+        return s["end"] - s["prev"] > self.target
+
+    def _row(self, s, at, last):
+        return (at, round(at, 3), last, s["begin"], s["end"], round(s["begin"], 3), round(s["end"], 3))
 
     def _cut(self, s):
         ideal, low, high = self._window(s)
         quiet = s["quiet"]
-        while quiet and quiet[0][0] < low:
-            quiet.popleft()
         at = quiet[0][0] if quiet and low < high else ideal
         at = min(at, s["prev"] + self.longest)
         if s["end"] - at < self.target * SEARCH_SHARE:
-            s["left"] = 0
+            s["prev"] = s["end"]
+            quiet.clear()
             return []
-        chunk = self._chunk(s, round(at, 3), last=False)
-        s["prev"], s["left"] = at, s["left"] - 1
-        return [chunk]
-
-    def _chunk(self, s, edge, last):
-        lead = self.overlap if s["no"] else 0.0
-        trail = 0.0 if last else self.overlap
-        chunk = (s["no"], round(max(s["begin"], s["edge"] - lead), 3),
-                 round(min(s["end"], edge + trail), 3))
-        s["edge"], s["no"] = edge, s["no"] + 1
-        return chunk
+        s["prev"] = at
+        self._forget(s)
+        return [self._row(s, at, False)]
+
+    def _forget(self, s):
+        low, quiet = self._window(s)[1], s["quiet"]
+        while quiet and quiet[0][0] < low:
+            quiet.popleft()
 
     def step(self, s, row):
         t, db = row[2], row[3]
@@ -213,13 +213,14 @@ class _Cut:
             while quiet and quiet[-1][1] > db:
                 quiet.pop()
             quiet.append((t, db))
+            self._forget(s)
         return s, done
 
     def finish(self, s):
         done = []
         while self._open(s):
             done += self._cut(s)
-        return done + [self._chunk(s, s["end"], last=True)]
+        return done + [self._row(s, s["end"], True)]
 
 
 def chunk_segments(
@@ -250,14 +251,24 @@ def chunk_segments(
     ).filter((F.col("t") > F.col("start")) & (F.col("t") < F.col("end")))
     rows = heads.unionByName(inside.select(*heads.columns))
     schema = StructType([
-        StructField("chunk_no", IntegerType()), StructField("start", DoubleType()),
-        StructField("end", DoubleType()),
+        StructField("at", DoubleType()), StructField("edge", DoubleType()), StructField("last", BooleanType()),
+        StructField("begin", DoubleType()), StructField("stop", DoubleType()),
+        StructField("begin_ms", DoubleType()), StructField("stop_ms", DoubleType()),
     ])
     # A segment holds at most its source's samples, so those are counted, not the pairs.
-    chunks = ordered_fold(
-        rows, ["source_id", "seg_no"], ["t", "db"], ["start", "end", "t", "db"],
-        _Cut(float(target), float(longest), float(overlap)), schema,
-        hot=has_hot_group(samples, ["source_id"], max_group_rows),
+    hot = has_hot_group(samples, ["source_id"], max_group_rows)
+    key = ["source_id", "seg_no"]
+    cuts = ordered_fold(rows, key, ["t", "db"], ["start", "end", "t", "db"], _Cut(float(target), float(longest)), schema, hot=hot)
+    cuts = checkpointed(cuts) if hot else cuts
+    # Where the cuts are does not depend on how many are allowed: later ones are dropped afterwards.
+    allowed = F.greatest(F.lit(1), F.floor((F.col("stop") - F.col("begin")) / float(target))) - 1
+    counted = ordered_scan(cuts, key, ["last", "at"], [number("_no")], hot=hot).filter(F.col("last") | (F.col("_no") <= allowed))
+    linked = ordered_scan(counted, key, ["last", "at"], [number("_place"), previous("_edge", F.col("edge"))], hot=hot)
+    early, late = F.col("_edge") - float(overlap), F.col("edge") + float(overlap)
+    chunks = linked.select(
+        *key, (F.col("_place") - 1).cast("int").alias("chunk_no"),
+        F.when(early > F.col("begin"), seconds(early)).otherwise(F.col("begin_ms")).alias("start"),
+        F.when(~F.col("last") & (late < F.col("stop")), seconds(late)).otherwise(F.col("stop_ms")).alias("end"),
     )
     whole = short.select("source_id", "seg_no", F.lit(0).alias("chunk_no"), "start", "end")
     return chunks.unionByName(whole)

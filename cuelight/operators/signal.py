@@ -5,12 +5,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.numeric import audible
+from ..plans.fold import ordered_fold
 from ..plans.groups import has_hot_group
 from ..plans.intervals import bucket_of, interval_join
-from ..plans.scan import following, ordered_scan, previous, running
+from ..plans.scan import following, islands, ordered_scan, previous, running
 from ..plans.session import checkpointed
 
 # Detection defaults that results depend on.
@@ -18,6 +22,9 @@ PEAK_PERCENTILE = 0.85
 PEAK_GAP_SECONDS = 3.0
 HOP_SECONDS = 0.5
 
+# Points of one run of near peaks that a single task may hold.
+MAX_ISLAND_ROWS = 1_000_000
+
 _BUCKET_SECONDS = 16.0
 # Shape of the block maxima: cells of eight hops, three levels, each 16 times as wide.
 _CELL_SECONDS = 8 * HOP_SECONDS
@@ -75,19 +82,70 @@ def local_maxima(samples: DataFrame, percentile: float = PEAK_PERCENTILE, *,
     )
 
 
-def suppress_near(points: DataFrame, min_gap: float) -> DataFrame:
+class _Strongest:
+    """Gathers the points of one island and, at its end, keeps them strongest first."""
+
+    def __init__(self, min_gap: float):
+        self.min_gap = min_gap
+
+    def start(self, row):
+        return []
+
+    def step(self, points, row):
+        points.append(row)
+        return points, []
+
+    def finish(self, points):
+        times, kept = [], []
+        for t, level in sorted(points, key=lambda p: (-p[1], p[0])):
+            at = bisect_left(times, t)
+            if all(abs(t - n) >= self.min_gap for n in times[max(0, at - 1):at + 1]):
+                times.insert(at, t)
+                kept.append((t, level))
+        return kept
+
+
+def suppress_near(points: DataFrame, min_gap: float, *, max_island_rows: int | None = None,
+                  max_group_rows: int | None = None) -> DataFrame:
     """Keep the strongest points so that kept ones lie ``min_gap`` apart.
 
-    Same result as taking points strongest first (earlier first on ties) and
-    skipping any that is too near to one already taken. The timeline is cut into
-    cells of ``min_gap``, so a cell keeps at most one point and only neighbouring
-    cells matter. Each round keeps every cell maximum that beats both neighbours
-    and drops the points near it, over all sources at once; it uses combining
-    aggregates and equi-joins only, so neither a long source nor a crowded cell
-    lands in one task.
+    Same result as taking points strongest first (earlier first on ties) and skipping any that is too near to one
+    already taken. Points with ``min_gap`` of silence on both sides of them are kept as they are; runs of nearer ones are
+    islands that never touch each other, so every island is one small piece of work, wherever its source is. Only an
+    island with more than ``max_island_rows`` points goes through rounds of combining aggregates instead.
     """
     if min_gap <= 0:
         return points
+    points = checkpointed(points.select("source_id", "t", "intensity"))
+    hot = has_hot_group(points, ["source_id"], max_group_rows)
+    near = ordered_scan(
+        points, ["source_id"], ["t", "intensity"],
+        [previous("_before", F.col("t")), following("_after", F.col("t"))], hot=hot,
+    )
+    opens = F.coalesce(F.col("t") - F.col("_before") >= min_gap, F.lit(True))
+    closes = F.coalesce(F.col("_after") - F.col("t") >= min_gap, F.lit(True))
+    alone = near.filter(opens & closes).select("source_id", "t", "intensity")
+    together = checkpointed(islands(
+        near.filter(~(opens & closes)).select("source_id", "t", "intensity", opens.alias("_opens")),
+        ["source_id"], ["t", "intensity"], F.col("_opens"), "_island", hot=hot,
+    ).select("source_id", "_island", "t", "intensity"))
+    limit = MAX_ISLAND_ROWS if max_island_rows is None else max_island_rows
+    small, kept = together, alone
+    if has_hot_group(together, ["source_id", "_island"], limit):
+        large = together.groupBy("source_id", "_island").count().filter(F.col("count") > limit).drop("count")
+        small = together.join(large, ["source_id", "_island"], "left_anti")
+        rest = together.join(large, ["source_id", "_island"], "left_semi")
+        kept = kept.unionByName(_suppress_in_rounds(rest.drop("_island"), min_gap))
+    schema = StructType([StructField("t", DoubleType()), StructField("intensity", DoubleType())])
+    found = ordered_fold(small, ["source_id", "_island"], ["t", "intensity"], ["t", "intensity"],
+                         _Strongest(float(min_gap)), schema, hot=False)
+    return kept.unionByName(found.drop("_island"))
+
+
+def _suppress_in_rounds(points: DataFrame, min_gap: float) -> DataFrame:
+    """``suppress_near`` for islands that no task should hold. The timeline is cut into cells of ``min_gap``, so a cell
+    keeps at most one point and only neighbouring cells matter. Each round keeps every cell maximum that beats both
+    neighbours and drops the points near it, over all islands at once."""
     around = F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1)).alias("_cell")
     todo = checkpointed(points.select(
         "source_id", "t", "intensity", F.floor(F.col("t") / F.lit(float(min_gap))).cast("bigint").alias("_cell")
@@ -122,7 +180,7 @@ def detect_peaks(
     **kwargs,
 ) -> DataFrame:
     """Loudness peaks: ``source_id, t, intensity``."""
-    return suppress_near(local_maxima(samples, percentile, **kwargs), min_gap)
+    return suppress_near(local_maxima(samples, percentile, **kwargs), min_gap, **kwargs)
 
 
 def _covering(first: Column, last: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql.types import MapType, VariantType
 
 from .groups import MAX_BROADCAST_ROWS
 
-# Left rows of one (key, bucket) that a single join task may pair.
+# Rows of one side of a (key, bucket) that a single join task may pair.
 MAX_BUCKET_ROWS = 500_000
 
 
@@ -57,28 +57,29 @@ def interval_join(
         touch = (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le))
     home = bucket_of(F.greatest(F.col(ls), F.col(rs)), width)
     pairs = lb.join(rb, on).filter(touch & (F.col("_bucket") == home))
-    return pairs.drop("_bucket", "_salt")
+    return pairs.drop("_bucket", "_salt_l", "_salt_r")
 
 
 def _salted(lb: DataFrame, rb: DataFrame, on: list[str], limit: int):
-    """Split buckets that hold more than ``limit`` left rows into salted parts."""
+    """Cut buckets that hold more than ``limit`` rows of a side into parts of that side; every part meets every part of
+    the other side once. Both sides are counted in one pass over their keys."""
+    one = lambda df, left: df.select(*on, F.lit(int(left)).alias("_l"), F.lit(int(not left)).alias("_r"))
+    parts = lambda c: F.ceil(F.sum(c) / limit).cast("int")
     hot = (
-        lb.groupBy(*on)
-        .count()
-        .filter(F.col("count") > limit)
-        .select(*on, F.ceil(F.col("count") / limit).cast("int").alias("_parts"))
+        one(lb, True).unionByName(one(rb, False)).groupBy(*on)
+        .agg(F.greatest(parts("_l"), F.lit(1)).alias("_l"), F.greatest(parts("_r"), F.lit(1)).alias("_r"))
+        .filter("_l > 1 or _r > 1")
     )
     n_hot = hot.limit(MAX_BROADCAST_ROWS + 1).count()
     if n_hot == 0:
         return lb, rb, on
     hot = F.broadcast(hot) if n_hot <= MAX_BROADCAST_ROWS else hot
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    flat = [f.name for f in lb.schema if not isinstance(f.dataType, (MapType, VariantType))]
-    spread = F.pmod(F.xxhash64(*flat), parts).cast("int")
-    lb = lb.join(hot, on, "left").withColumn("_salt", spread).drop("_parts")
-    rb = (
-        rb.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_parts")
-    )
-    return lb, rb, [*on, "_salt"]
+
+    def spread(df: DataFrame, own: str, other: str) -> DataFrame:
+        flat = [f.name for f in df.schema if not isinstance(f.dataType, (MapType, VariantType))]
+        mine = F.pmod(F.xxhash64(*flat), F.coalesce(F.col(own), F.lit(1))).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))
+        joined = df.join(hot, on, "left").withColumn("_salt" + own, mine)
+        return joined.withColumn("_salt" + other, copies).drop(own, other)
+
+    return spread(lb, "_l", "_r"), spread(rb, "_r", "_l"), [*on, "_salt_l", "_salt_r"]

@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from cuelight.operators import edl, events, segments, signal
-from cuelight.plans import scan
+from cuelight.plans import fold, scan
 from cuelight.plans.intervals import interval_join
 
 
@@ -92,13 +92,19 @@ def test_merge_plans_agree_with_brute_force(skewed):
     assert rows(segments.merge_overlapping(ranges, max_group_rows=10)) == sorted(expected)
 
 
-def test_chunk_plans_agree(spark):
+def test_chunk_plans_agree(spark, monkeypatch):
     rng = random.Random(3)
     data = [(1, t * 0.5, float(rng.randint(-60, -5))) for t in range(4000)]
     samples = spark.createDataFrame(data, "source_id long, t double, db double")
     segs = spark.createDataFrame([(1, 0, 0.0, 1500.0), (1, 1, 100.0, 1999.0)], "source_id long, seg_no int, start double, end double")
     plain = rows(segments.chunk_segments(segs, samples))
+    rounds = []
+    following = fold._Runner.with_carry
+    monkeypatch.setattr(fold._Runner, "with_carry", lambda runner, *given: rounds.append(1) or following(runner, *given))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
     assert plain == rows(segments.chunk_segments(segs, samples, max_group_rows=50))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert 2 <= len(rounds) - 1 <= 4  # the last call hands over what was found
     # Slow check: the quietest sample of each search window, looked up in full.
     for seg_no, begin, end in ((0, 0.0, 1500.0), (1, 100.0, 1999.0)):
         cuts, prev, left = [], begin, int((end - begin) // 30) - 1
@@ -140,6 +146,30 @@ def test_peak_plans_agree_with_brute_force(spark):
     assert rows(signal.detect_peaks(samples, 0.6, 3.0, max_group_rows=40)) == sorted(want)
 
 
+def test_runs_of_near_peaks(spark, monkeypatch):
+    """A rising run of peaks is one piece of work; only runs beyond the limit take rounds."""
+    rng = random.Random(4)
+    data = [(1, float(i), i / 2000) for i in range(2000)]
+    data += [(s, round(rng.uniform(0, 900), 2), rng.randint(0, 9) / 10) for s in (2, 3) for _ in range(150)]
+    data = list({(s, t): (s, t, v) for s, t, v in data}.values())
+    points = spark.createDataFrame(data, "source_id long, t double, intensity double")
+    want = []
+    for source in (1, 2, 3):
+        kept = []
+        for _, t, v in sorted((p for p in data if p[0] == source), key=lambda p: (-p[2], p[1])):
+            if all(abs(t - k[1]) >= 3.0 for k in kept):
+                kept.append((source, t, v))
+        want += kept
+    cuts = []
+    written = signal.checkpointed
+    monkeypatch.setattr(signal, "checkpointed", lambda df: cuts.append(1) or written(df))
+    assert rows(signal.suppress_near(points, 3.0)) == sorted(want)
+    assert len(cuts) <= 5
+    assert rows(signal.suppress_near(points, 3.0, max_group_rows=100)) == sorted(want)
+    small = points.filter("source_id > 1")
+    assert rows(signal.suppress_near(small, 3.0, max_island_rows=4)) == sorted(w for w in want if w[0] > 1)
+
+
 def test_salted_join_agrees(skewed):
     left = skewed.select("source_id", F.col("event_id").alias("a"), "start", "end")
     right = skewed.select("source_id", F.col("event_id").alias("b"), F.col("start").alias("s"), F.col("end").alias("e"))
@@ -150,6 +180,12 @@ def test_salted_join_agrees(skewed):
     want = sorted((x.event_id, y.event_id) for x in r for y in r
                   if x.source_id == y.source_id and x.start < y.end and y.start < x.end)
     assert plain == want and salted == want
+    # One side hot, the other with few rows: the hot side alone is cut.
+    few = right.filter("b % 40 = 0")
+    want = sorted(w for w in want if w[1] % 40 == 0)
+    assert rows(interval_join(left, few, ["source_id"], max_bucket_rows=6, **args), "a", "b") == want
+    turned = dict(left_span=("s", "e"), right_span=("start", "end"), width=20.0, max_bucket_rows=6)
+    assert rows(interval_join(few, left, ["source_id"], **turned), "a", "b") == want
 
 
 def test_interval_join_has_no_cartesian_product(skewed, capsys):
