@@ -7,11 +7,13 @@ work.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.text import squeeze
 from ..plans.rows import computed
@@ -30,8 +32,9 @@ START_TOLERANCE = 1e-6
 BLANKS = [chr(code) for code in range(0x3001) if chr(code).isspace()]
 
 
-def _blank(ch: Column) -> Column:
-    return ch.isin(BLANKS)
+_PLACES = StructType([StructField(name, ArrayType(IntegerType())) for name in ("b", "e")])
+_MARKS = re.escape("".join(BLANKS + HARD_BREAKS + SOFT_BREAKS))
+_PIECES = re.compile(f"[^{_MARKS}]*[{_MARKS}]|[^{_MARKS}]+")
 
 
 def spread_text(texts: DataFrame, seconds_per_char: float) -> DataFrame:
@@ -44,24 +47,28 @@ def spread_text(texts: DataFrame, seconds_per_char: float) -> DataFrame:
     )
 
 
+def _plain(characters: Column) -> Column:
+    """The entries of ``characters`` as one text with one character for each, so places in it are places in the array."""
+    return F.array_join(F.transform(characters, lambda c: F.when(F.length(c) == 1, c).otherwise("x")), "")
+
+
+@pandas_udf(_PLACES)
+def _word_spans(texts: pd.Series) -> pd.DataFrame:
+    """First and last place, from 1, of every run without blanks."""
+    found = [[m.span() for m in re.finditer(r"\S+", t)] for t in texts]
+    return pd.DataFrame({"b": [[b + 1 for b, _ in f] for f in found], "e": [[e for _, e in f] for f in found]})
+
+
 def with_words(alignments: DataFrame) -> DataFrame:
     """Add ``words``: array of (text, start, end), from the blanks around them."""
     rows = alignments.filter(F.size("characters") > 0)
-    chars, gap = F.col("characters"), F.array(F.lit(" "))
     rows = computed(rows, {c: F.col(c) for c in ("characters", "start_times", "end_times")})
-    placed = F.arrays_zip(
-        chars.alias("ch"), F.concat(gap, chars).alias("before"), F.concat(F.slice(chars, 2, F.size(chars)), gap).alias("after"),
-        F.sequence(F.lit(1), F.size(chars)).alias("i"),
-    )
-    edge = lambda side: F.transform(
-        F.filter(placed, lambda z: z["i"].isNotNull() & ~_blank(z["ch"]) & _blank(z[side])), lambda z: z["i"]
-    )
-    rows = computed(rows, {"_span": F.arrays_zip(edge("before").alias("b"), edge("after").alias("e"))})
+    rows = computed(rows, {"_span": _word_spans(_plain(F.col("characters")))})
     word = lambda s: F.struct(
         F.array_join(F.slice("characters", s["b"], s["e"] - s["b"] + 1), "").alias("text"),
         F.element_at("start_times", s["b"]).alias("start"), F.element_at("end_times", s["e"]).alias("end"),
     )
-    return rows.withColumn("words", F.transform("_span", word)).drop("_span")
+    return rows.withColumn("words", F.transform(F.arrays_zip("_span.b", "_span.e"), word)).drop("_span")
 
 
 def extract_words(alignments: DataFrame) -> DataFrame:
@@ -71,50 +78,37 @@ def extract_words(alignments: DataFrame) -> DataFrame:
     )
 
 
-def _pieces() -> Column:
-    """The row's text cut after every blank and break mark; phrases can only end there."""
-    blanks = "".join(f"\\u{ord(c):04X}" for c in BLANKS)
-    marks = blanks + "".join(HARD_BREAKS + SOFT_BREAKS)
-    return F.regexp_extract_all(F.array_join("characters", ""), F.lit(f"[^{marks}]*[{marks}]|[^{marks}]+"), F.lit(0))
-
-
-def _phrase_spans(max_words: int, max_chars: int) -> Column:
-    """Spans (first and last character) of the phrases in this row: one pass over
-    its pieces with the open phrase as state. Every entry of ``characters`` is one
-    character."""
-    n = F.size("characters")
-    state = F.struct(
-        F.lit(0).alias("at"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("words"),
-        F.lit(True).alias("gap"), F.array().cast("array<struct<b:int,e:int>>").alias("spans"),
-    )
-
-    def step(s: Column, piece: Column) -> Column:
-        size = F.length(piece)
-        mark = F.right(piece, F.lit(1))
-        blank = _blank(mark)
-        shown_size = F.when(blank, size - 1).otherwise(size)
-        i = s["at"] + size
-        first = F.when((s["first"] == 0) & (shown_size > 0), s["at"] + 1).otherwise(s["first"])
-        last = F.when(shown_size > 0, s["at"] + shown_size).otherwise(s["last"])
-        after_gap = s["gap"] & (shown_size == 0)
-        words = s["words"] + F.when(blank & ~after_gap & (first > 0), 1).otherwise(0)
-        shown = F.when(first == 0, 0).otherwise(last - first + 1)
-        stop = (
-            mark.isin(HARD_BREAKS)
-            | (mark.isin(SOFT_BREAKS) & (words >= max(2, max_words - 1)))
-            | (blank & ((words >= max_words) | (shown >= max_chars)))
-            | (i == n)
-        )
-        zero = F.lit(0)
-        return F.struct(
-            i.alias("at"), F.when(stop, zero).otherwise(first).alias("first"),
-            F.when(stop, zero).otherwise(last).alias("last"), F.when(stop, zero).otherwise(words).alias("words"),
-            F.when(stop, True).otherwise(blank).alias("gap"),
-            F.when(stop & (first > 0), F.concat(s["spans"], F.array(F.struct(first.alias("b"), i.alias("e")))))
-            .otherwise(s["spans"]).alias("spans"),
-        )
-
-    return F.aggregate(F.col("_pieces"), state, step, lambda s: s["spans"])
+def phrase_spans(text: str, max_words: int, max_chars: int) -> list[tuple[int, int]]:
+    """First and last place, from 1, of the phrases of a text, in one pass over its blanks and break marks. A phrase
+    begins at something shown and can only end at one of these, or with the text."""
+    spans, first, last, words, gap = [], 0, 0, 0, True
+    for start, end in (m.span() for m in _PIECES.finditer(text)):
+        mark = text[end - 1]
+        blank = mark.isspace()
+        shown = end - 1 if blank else end
+        if shown > start:
+            first, last = first or start + 1, shown
+        if blank and first and (shown > start or not gap):
+            words += 1
+        full = words >= max_words or (first and last - first + 1 >= max_chars)
+        if (mark in HARD_BREAKS or (mark in SOFT_BREAKS and words >= max(2, max_words - 1))
+                or (blank and full) or end == len(text)):
+            if first:
+                spans.append((first, end))
+            first, last, words, gap = 0, 0, 0, True
+        else:
+            gap = blank
+    return spans
+
+
+def _phrase_spans(text: Column, max_words: int, max_chars: int) -> Column:
+    """``phrase_spans`` of every row, as two arrays."""
+    @pandas_udf(_PLACES)
+    def spans(texts: pd.Series) -> pd.DataFrame:
+        found = [phrase_spans(t, max_words, max_chars) for t in texts]
+        return pd.DataFrame({"b": [[b for b, _ in f] for f in found], "e": [[e for _, e in f] for f in found]})
+
+    return spans(text)
 
 
 @pandas_udf(ArrayType(IntegerType()))
@@ -136,14 +130,13 @@ def phrase_alignments(
     a limit is reached. Short ones are extended, none reaches into the next.
     """
     rows = with_words(alignments)
-    rows = computed(rows, {"words": F.col("words"), "_pieces": _pieces()})
-    rows = computed(rows, {"_spans": _phrase_spans(max_words, max_chars)})
+    rows = computed(rows, {"words": F.col("words"), "_spans": _phrase_spans(_plain(F.col("characters")), max_words, max_chars)})
     phrase = lambda s: F.struct(
         F.trim(F.regexp_replace(
             F.array_join(F.slice("characters", s["b"], s["e"] - s["b"] + 1), ""), r"(?U)^\s+|\s+$", "")).alias("text"),
         F.element_at("start_times", s["b"]).alias("start"), F.element_at("end_times", s["e"]).alias("end"),
     )
-    spoken = F.filter(F.transform("_spans", phrase), lambda p: p["text"].rlike(r"[\p{L}\p{N}]"))
+    spoken = F.filter(F.transform(F.arrays_zip("_spans.b", "_spans.e"), phrase), lambda p: p["text"].rlike(r"[\p{L}\p{N}]"))
     rows = computed(rows, {"_phrases": spoken})
     rows = computed(rows, {"_ends": _words_before(
         F.transform("words", lambda w: w["start"]), F.transform("_phrases", lambda p: p["start"] - START_TOLERANCE)

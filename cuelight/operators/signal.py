@@ -26,9 +26,16 @@ HOP_SECONDS = 0.5
 MAX_ISLAND_ROWS = 1_000_000
 
 _BUCKET_SECONDS = 16.0
-# Shape of the block maxima: cells of eight hops, three levels, each 16 times as wide.
+# Shape of the block maxima: cells of eight hops, each level 16 times as wide, up to blocks of 1024 s. Amplitudes come
+# in tens of thousands a second, so their cells are smaller.
 _CELL_SECONDS = 8 * HOP_SECONDS
-_FAN, _LEVELS = 16, 3
+_AMPLITUDE_CELL_SECONDS = 1 / 64
+_FAN, _TOP_SECONDS = 16, 1024.0
+
+
+def _levels(width: float) -> int:
+    """How many levels lead from cells of ``width`` to blocks of at least ``_TOP_SECONDS``."""
+    return next(n for n in range(1, 64) if width * _FAN ** (n - 1) >= _TOP_SECONDS)
 
 
 def audible_samples(samples: DataFrame) -> DataFrame:
@@ -183,9 +190,9 @@ def detect_peaks(
     return suppress_near(local_maxima(samples, percentile, **kwargs), min_gap, **kwargs)
 
 
-def _covering(first: Column, last: Column) -> Column:
+def _covering(first: Column, last: Column, levels: int) -> Column:
     """Aligned blocks (level, number) that tile the cells ``first..last``: single
-    cells at the ends, blocks of 16 and 256 cells inside."""
+    cells at the ends, ever wider blocks inside."""
     none = F.array().cast("array<struct<level:int,block:bigint>>")
 
     def run(level: int, a, b):
@@ -194,24 +201,25 @@ def _covering(first: Column, last: Column) -> Column:
 
     parts = []
     low, high = first, last
-    for level in range(_LEVELS - 1):
+    for level in range(levels - 1):
         up, down = F.ceil(low / _FAN).cast("bigint"), F.floor((high + 1) / _FAN).cast("bigint")
         inner = up < down
         parts.append(run(level, low, F.when(inner, up * _FAN - 1).otherwise(high)))
         parts.append(F.when(inner, run(level, down * _FAN, high)).otherwise(none))
         low, high = F.when(inner, up).otherwise(F.lit(1)), F.when(inner, down - 1).otherwise(F.lit(0))
-    parts.append(run(_LEVELS - 1, low, high))
+    parts.append(run(levels - 1, low, high))
     return F.concat(*parts)
 
 
 def range_maximum(ranges: DataFrame, samples: DataFrame, id_column: str, width: float = _CELL_SECONDS) -> DataFrame:
     """Loudest usable sample in [start, end] per range id; no row when there is none.
 
-    The timeline is cut into cells of a few hops and blocks of 16 and 256 cells, each
-    with its maximum. A range meets the few blocks that tile its inside, by
+    The timeline is cut into cells of ``width`` and ever wider blocks, each with its
+    maximum. A range meets the few blocks that tile its inside, by
     equi-join with one row each, and single samples only in its two edge cells, so
     neither long ranges nor many ranges over one stretch multiply rows.
     """
+    levels = _levels(width)
     points = audible_samples(samples).select(
         "source_id", bucket_of(F.col("t"), width).alias("_cell"), "t", "db"
     )
@@ -229,13 +237,13 @@ def range_maximum(ranges: DataFrame, samples: DataFrame, id_column: str, width:
     cells = points.groupBy("source_id", "_cell").agg(F.max("db").alias("top"))
     blocks = cells.select("source_id", "top", F.explode(F.array(*[
         F.struct(F.lit(n).alias("level"), F.floor(F.col("_cell") / _FAN**n).cast("bigint").alias("block"))
-        for n in range(_LEVELS)
+        for n in range(levels)
     ])).alias("b")).groupBy("source_id", F.col("b.level").alias("level"), F.col("b.block").alias("block")).agg(
         F.max("top").alias("top")
     )
     inside = (
         spans.filter(F.col("_hi") - F.col("_lo") > 1)
-        .select(id_column, "source_id", F.explode(_covering(F.col("_lo") + 1, F.col("_hi") - 1)).alias("b"))
+        .select(id_column, "source_id", F.explode(_covering(F.col("_lo") + 1, F.col("_hi") - 1, levels)).alias("b"))
         .select(id_column, "source_id", "b.level", "b.block")
         .join(blocks, ["source_id", "level", "block"])
         .groupBy(id_column).agg(F.max("top").alias("peak"))
@@ -289,7 +297,7 @@ def window_peaks(ranges: DataFrame, amplitudes: DataFrame, id_column: str, max_s
     levels = amplitudes.filter(F.col("x") != 0).select(
         "source_id", "t", (20.0 * F.log10(F.abs("x"))).alias("db")
     )
-    peaks = range_maximum(probed, levels, id_column)
+    peaks = range_maximum(probed, levels, id_column, _AMPLITUDE_CELL_SECONDS)
     return probed.join(peaks, id_column, "left").select(
         id_column, "source_id", F.bround("probe_seconds", 3).alias("probe_seconds"),
         F.bround("peak", 1).alias("peak_db"),

@@ -217,3 +217,4 @@ def test_range_maximum_agrees_with_brute_force(spark):
         if inside:
             want.append((i, max(inside)))
     assert rows(signal.range_maximum(ranges, samples, "id")) == want
+    assert rows(signal.range_maximum(ranges, samples, "id", 1 / 64)) == want
