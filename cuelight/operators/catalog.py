@@ -293,13 +293,29 @@ def remove_manifest(catalog: Catalog, manifest_path: str) -> tuple[Catalog, Data
     """Drop the extracts of one manifest with everything below them; sources stay.
     Returns the new catalog and the removed extracts."""
     gone = catalog.extracts.filter(F.col("manifest_path") == manifest_path)
+    return _without(catalog, gone), gone
+
+
+def _without(catalog: Catalog, gone: DataFrame) -> Catalog:
     keys = gone.select("extract_id")
     left = lambda t: t.join(keys, "extract_id", "left_anti").select(*t.columns)
     return replace(
         catalog, extracts=left(catalog.extracts), clips=left(catalog.clips),
         clip_categories=left(catalog.clip_categories), postings=left(catalog.postings),
         lengths=left(catalog.lengths),
-    ), gone
+    )
+
+
+def remove_stored(spark: SparkSession, root: str, manifest_path: str) -> DataFrame:
+    """``remove_manifest`` for the catalog stored at ``root``: the manifest is found in the extracts, and only the buckets
+    of its sources are read whole and replaced. Returns the removed extracts; a manifest that is not there removes nothing."""
+    buckets = stored_buckets(spark, root)
+    # Written aside: the other tables are cut by these keys after the extracts have been replaced.
+    gone = checkpointed(read_catalog(spark, root).extracts.filter(F.col("manifest_path") == manifest_path))
+    only = touched_buckets(gone, buckets)
+    if only:
+        write_catalog(_without(read_catalog(spark, root, only), gone), root, only, buckets)
+    return gone
 
 
 def upgrade_catalog(sources: DataFrame, extracts: DataFrame, clips: DataFrame, categories: DataFrame,

@@ -199,7 +199,7 @@ _MANIFESTS = """, docs AS (
 """
 
 
-def manifests(spark, sf):
+def manifests(spark, sf, summaries=None):
     """The event catalog as manifest documents, one per extract, in JSON text."""
     from ..sources.files import build_manifests, manifest_json
 
@@ -210,7 +210,7 @@ def manifests(spark, sf):
         "description", "dialogue", "categories", "score", "game_signals",
         F.struct("peak_loudness_db", F.col("audio_cues").alias("cues")).alias("audio"), "keyframes", "segment_source",
     )
-    return manifest_json(build_manifests(c.sources, c.extracts, clips))
+    return manifest_json(build_manifests(c.sources, c.extracts, clips, summaries))
 
 
 @query("manifest_round_trip", _C + _MANIFESTS + "SELECT manifest_path, file_path AS source_file, clip_local_id, description, score, source_in, category AS categories FROM docs")
@@ -322,6 +322,73 @@ def remove_manifest(spark, sf):
     return cat.stats(left)
 
 
+@query("stored_removal", _C + """ SELECT 'sources' AS table_name, count(*) AS row_count FROM c_sources UNION ALL
+SELECT 'extracts', count(*) FROM c_extracts WHERE manifest_path <> '/catalog/u3/a/manifest.json' UNION ALL
+SELECT 'clips', count(*) FROM c_clips WHERE extract_id <> 6 UNION ALL
+SELECT 'clip_categories', count(*) FROM c_categories JOIN c_clips USING (clip_id) WHERE extract_id <> 6 UNION ALL
+SELECT 'removed', count(*) FROM c_extracts WHERE manifest_path = '/catalog/u3/a/manifest.json'""")
+def stored_removal(spark, sf):
+    """A manifest removed from a stored catalog; only the buckets of its sources are rewritten."""
+    from ..plans.session import scratch_path
+
+    path = scratch_path(spark, "catalog")
+    cat.write_catalog(views.catalog(spark, sf), path, buckets=16)
+    gone = cat.remove_stored(spark, path, "/catalog/u3/a/manifest.json")
+    cat.remove_stored(spark, path, "/catalog/none/manifest.json")
+    counted = gone.agg(F.count("*").alias("row_count")).select(F.lit("removed").alias("table_name"), "row_count")
+    return cat.stats(cat.read_catalog(spark, path)).unionByName(counted)
+
+
+@query("repeated_clip_ids", _C + " SELECT manifest_path, count(*) AS clips, count(*) AS ids FROM c_extracts JOIN c_clips USING (extract_id) GROUP BY manifest_path")
+def repeated_clip_ids(spark, sf):
+    """Clips of one manifest that share a local id stay as many clips, each with an id of its own."""
+    docs = _documents(spark, sf).withColumn("clips", F.transform("clips", lambda c: c.withField("id", F.lit("same"))))
+    updated, _ = cat.ingest(cat.empty_catalog(spark), docs)
+    return updated.clips.join(updated.extracts.select("extract_id", "manifest_path"), "extract_id").groupBy("manifest_path").agg(
+        F.count("*").alias("clips"), F.count_distinct("clip_id").alias("ids"))
+
+
+@query("ingest_summaries", _C + """ SELECT DISTINCT file_path, 'story of ' || source_id AS synopsis, 'Ann' AS cast_names
+FROM c_sources JOIN c_extracts USING (source_id) WHERE source_id % 3 <> 0""")
+def ingest_summaries(spark, sf):
+    """Summaries that come with manifests are kept when later manifests of their sources have none."""
+    from ..sources.files import parse_manifests
+
+    told = views.catalog(spark, sf).source_summaries.filter("source_id % 3 <> 0")
+    first, _ = cat.ingest(cat.empty_catalog(spark), parse_manifests(manifests(spark, sf, told))[0])
+    second, _ = cat.ingest(first, _documents(spark, sf))
+    return second.source_summaries.join(second.sources.select("source_id", "file_path"), "source_id").select(
+        "file_path", "synopsis", F.array_join("characters.name", ",").alias("cast_names"))
+
+
+@query("ingest_fingerprints", _C + """, s AS (SELECT DISTINCT source_id, file_path FROM c_sources JOIN c_extracts USING (source_id))
+SELECT CASE WHEN source_id % 2 = 0 THEN 'known-' || source_id // 4 ELSE 'missing:' || file_path END AS fingerprint,
+  count(*) AS paths FROM s GROUP BY ALL""")
+def ingest_fingerprints(spark, sf):
+    """Files of one fingerprint are one source; files that are not there have a key of their own."""
+    s = views.catalog(spark, sf).sources.filter("source_id % 2 = 0")
+    prints = s.select(F.col("file_path").alias("path"), F.concat(F.lit("known-"), F.floor(F.col("source_id") / 4)).alias("fingerprint"))
+    docs = _documents(spark, sf)
+    updated, report = cat.ingest(cat.empty_catalog(spark), docs, prints)
+    paths = report.join(docs.select("manifest_path", F.col("source.file").alias("file_path")), "manifest_path").select("source_id", "file_path").distinct()
+    return updated.sources.select("source_id", "fingerprint").join(paths, "source_id").groupBy("fingerprint").agg(F.count("*").alias("paths"))
+
+
+@query("manifest_tree", _C + " SELECT e.extract_id % 4 AS folder, s.file_path AS source_file, e.created_at, count(c.clip_id) AS clips FROM c_extracts e JOIN c_sources s USING (source_id) LEFT JOIN c_clips c USING (extract_id) GROUP BY ALL")
+def manifest_tree(spark, sf):
+    """Manifests written into a folder for each value of a column, found in that tree by name and read strictly."""
+    from ..plans.session import scratch_path
+    from ..sources.files import scan_manifests
+
+    path = scratch_path(spark, "tree")
+    ids = views.catalog(spark, sf).extracts.select("manifest_path", (F.col("extract_id") % 4).alias("folder"), "extract_id")
+    texts = manifests(spark, sf).join(ids, "manifest_path")
+    texts.select("folder", "extract_id", "text").repartitionByRange("extract_id").write.partitionBy("folder", "extract_id").text(path)
+    good, _ = scan_manifests(spark, path, "*.txt")
+    return good.select(F.regexp_extract("manifest_path", "folder=([0-9]+)", 1).cast("bigint").alias("folder"), F.col("source.file").alias("source_file"),
+                       F.col("extract.created_at").alias("created_at"), F.size("clips").cast("bigint").alias("clips"))
+
+
 @query("upgrade_old_catalog", _C + " SELECT clip_id, '' AS dialogue FROM v_clips WHERE category = 'click'")
 def upgrade_old_catalog(spark, sf):
     """Tables without dialogue gain it, and the rebuilt index finds tags."""

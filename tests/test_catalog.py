@@ -231,6 +231,18 @@ def test_only_touched_buckets_are_rewritten(spark, base, tmp_path):
     assert counts(cat.read_catalog(spark, root)) == {"sources": 2, "extracts": 2, "clips": 2, "clip_categories": 3}
 
 
+def test_stored_removal(spark, base, tmp_path):
+    root = str(tmp_path / "catalog")
+    other, _ = ingested(spark, ("/m/o/manifest.json", manifest(file="/v/other.mp4")), into=base)
+    cat.write_catalog(other, root, buckets=8)
+    assert cat.remove_stored(spark, root, "/nope").count() == 0
+    assert cat.remove_stored(spark, root, "/m/a/manifest.json").count() == 1
+    left = cat.read_catalog(spark, root)
+    want, _ = cat.remove_manifest(other, "/m/a/manifest.json")
+    assert counts(left) == counts(want) and left.postings.count() == want.postings.count() > 0
+    assert rows(left.extracts, "manifest_path") == [("/m/o/manifest.json",)]
+
+
 def test_buckets_and_version_are_stored(spark, base, tmp_path):
     root = str(tmp_path / "catalog")
     cat.write_catalog(base, root, buckets=4)
