@@ -17,7 +17,7 @@ from ..functions.numeric import audible, seconds
 from ..plans.fold import ordered_fold
 from ..plans.groups import has_hot_group
 from ..plans.intervals import interval_join
-from ..plans.scan import following, number, ordered_scan, previous
+from ..plans.scan import following, number, ordered_scan, previous, running
 from ..plans.session import checkpointed
 
 # Chunking limits that results depend on.
@@ -130,8 +130,9 @@ def merge_overlapping(
 ) -> DataFrame:
     """Merge ranges whose IoU reaches ``threshold`` until nothing changes.
 
-    Ranges are taken by start, then ``pos`` (their given order). Sources in which
-    a pass merged nothing are final and leave the loop.
+    Ranges are taken by start, then ``pos`` (their given order). Only ranges that share time can merge, so ranges that
+    overlap no other pass through, and the others are taken island by island, wherever their source is. Islands in
+    which a pass merged nothing are final and leave the loop.
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
@@ -139,22 +140,28 @@ def merge_overlapping(
         StructField("start", DoubleType()), StructField("end", DoubleType()),
         StructField("pos", LongType()), StructField("merged", BooleanType()),
     ])
-    todo = ranges.select("source_id", "start", "end", F.col("pos").cast("bigint").alias("pos"))
-    finished = None
+    key, order, columns = ["source_id", "_island"], ["start", "pos"], ["source_id", "start", "end", "pos"]
+    given = ranges.select("source_id", "start", "end", F.col("pos").cast("bigint").alias("pos"))
+    hot = has_hot_group(given, ["source_id"], max_group_rows)
+    reach = ordered_scan(given, ["source_id"], order, [running("_reach", "max", F.col("end"))], hot=hot)
+    opens = reach.withColumn("_opens", F.coalesce(F.col("start") >= F.col("_reach"), F.lit(True)))
+    placed = checkpointed(ordered_scan(opens, ["source_id"], order, [
+        running("_island", "sum", F.col("_opens").cast("bigint"), inclusive=True), following("_closes", F.col("_opens")),
+    ], hot=hot).select(*columns, "_island", (F.col("_opens") & F.coalesce("_closes", F.lit(True))).alias("_alone")))
+    finished = placed.filter("_alone").select(*columns)
+    todo = placed.filter("not _alone").drop("_alone")
     while True:
         merged = checkpointed(
             ordered_fold(
-                todo, ["source_id"], ["start", "pos"], ["start", "end", "pos"],
-                _Merge(threshold), schema, max_group_rows=max_group_rows,
+                todo, key, order, ["start", "end", "pos"], _Merge(threshold), schema, max_group_rows=max_group_rows,
             )
         )
-        changed = merged.filter("merged").select("source_id").distinct()
+        changed = merged.filter("merged").select(*key).distinct()
         out = merged.drop("merged")
-        stable = out.join(changed, "source_id", "left_anti")
-        finished = stable if finished is None else finished.unionByName(stable)
+        finished = finished.unionByName(out.join(changed, key, "left_anti").select(*columns))
         if changed.isEmpty():
             return finished
-        todo = out.join(changed, "source_id", "left_semi")
+        todo = out.join(changed, key, "left_semi")
 
 
 class _Cut:
