@@ -11,7 +11,7 @@ from ..plans.fold import ordered_fold
 from ..plans.groups import broadcast_if_small, has_hot_group
 from ..plans.rows import computed
 from ..plans.scan import islands, number, ordered_scan, previous, running
-from ..plans.session import last_key_counts
+from ..plans.session import checkpointed, last_key_counts
 from .signal import score_audio
 
 # Limits that results depend on.
@@ -96,6 +96,24 @@ def coerce_replies(replies: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
+def refine_events(given: DataFrame, results: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Events of every source as a model has reworked them, or as they were given.
+
+    ``given``: ``source_id`` and the event fields; ``results``: what ``call_model`` made of one task per source,
+    ``source_id, profile, duration, payload, error``. A source keeps its own events where the call failed, where its
+    reply holds no JSON, where there was no call, and where there is nothing to rework: fewer than two events.
+    """
+    last_key_counts(given.sparkSession)
+    # Written once: results stem from calls that must not be made again for the second reader.
+    results = checkpointed(results.select("source_id", "profile", "duration", "payload", "error"))
+    several = given.groupBy("source_id").count().filter("count > 1").select("source_id")
+    told = results.filter(F.col("error").isNull() & semi.tolerant_json(F.col("payload")).isNotNull()).join(several, "source_id", "left_semi")
+    refined = coerce_replies(told.select(F.col("source_id").alias("chunk_id"), "profile", "duration", F.col("payload").alias("text")), profiles)
+    kept = given.join(told.select("source_id"), "source_id", "left_anti")
+    fields = [c for c in refined.columns if c not in ("chunk_id", "event_no")]
+    return refined.select(F.col("chunk_id").alias("source_id"), *fields).unionByName(kept.select("source_id", *fields))
+
+
 def shift_events(events: DataFrame, offset: Column, *, rounded: bool = False) -> DataFrame:
     """Move events to another origin by adding ``offset`` to both ends."""
     move = (lambda c: seconds(c)) if rounded else (lambda c: c)

@@ -126,6 +126,32 @@ def analyzer_calls(spark, sf):
     return out.select("event_id", F.get_json_object("payload", "$.events[0].base_interest").cast("int").alias("base_interest"), "error")
 
 
+class Rework:
+    """A stand-in text model: one event for all of a source, no JSON for some, an error for others."""
+
+    def __call__(self, task: dict) -> str:
+        if task["source_id"] % 5 == 0:
+            raise plugins.PermanentError("no answer")
+        return "no events here" if task["source_id"] % 5 == 1 else '{"events":[{"start":1,"end":7,"description":"all","base_interest":50}]}'
+
+
+@query("refined_events", """SELECT user_id AS source_id, CASE WHEN user_id % 5 < 2 OR count(*) < 2 THEN count(*) ELSE 1 END AS n,
+  CAST(CASE WHEN user_id % 5 < 2 OR count(*) < 2 THEN min(event_id % 100) ELSE 1 END AS DOUBLE) AS first_start,
+  CASE WHEN user_id % 5 < 2 OR count(*) < 2 THEN min(event_type) ELSE 'all' END AS description FROM events GROUP BY user_id""")
+def refined_events(spark, sf):
+    """Events reworked by a text model; a source whose call fails or whose reply is no JSON keeps its own."""
+    e = views.table(spark, sf, "events")
+    start = (F.col("event_id") % 100).cast("double")
+    given = e.select(
+        F.col("user_id").alias("source_id"), start.alias("start"), (start + 2).alias("end"), F.col("event_type").alias("description"),
+        F.array().cast("array<string>").alias("categories"), F.lit(5).alias("base_interest"), F.lit("{}").alias("game_signals"),
+        F.array().cast("array<string>").alias("audio_cues"))
+    tasks = given.groupBy("source_id").agg(F.lit("movie").alias("profile"), F.lit(120.0).alias("duration"), F.count("*").alias("events"))
+    results = plugins.call_model(tasks, Rework(), attempts=1, base_delay=0.0)
+    out = ev.refine_events(given, results, prof.whitelists(prof.builtin_profiles(spark)))
+    return out.groupBy("source_id").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.min("description").alias("description"))
+
+
 @query("recorded_work", "SELECT CASE WHEN event_id % 7 = 0 THEN 'open' ELSE 'done' END AS state, count(*) AS n FROM events GROUP BY ALL")
 def recorded_work(spark, sf):
     """Failures are not recorded as done, so the next run takes them up again."""
