@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shingles import similar_links
 from .tables import components, stored
 
 BITS = 64
@@ -102,18 +103,23 @@ def close_links(prints: DataFrame, distance: int = 2, blocks: int = 4, crowded:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, distance: int = 2, blocks: int = 4,
-                    id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+                    id_column: str = "doc_id", text_column: str = "text", similar: float | None = None) -> DataFrame:
     """Rows ``(doc_id, fingerprint, component_id)``, one per row of ``docs``: the fingerprint as 16 hexadecimal digits
     and the smallest document id that links reach.
 
     Texts of one fingerprint are one node, so copies, however many, never meet in pairs. A text without words has
     fingerprint 0, which links like any other; so does a null text. Rows that repeat an id keep their own fingerprint
     and component. A row with a null id has its component's id, or null if the component has no other. Other columns
-    are not read. An empty table gives an empty one.
+    are not read. An empty table gives an empty one. With ``similar``, texts whose sets of five-word shingles have that
+    Jaccard similarity or more are linked too, however far their fingerprints are.
     """
     found = stored(fingerprints(docs, words, seed, id_column, text_column), "fingerprints")
     nodes = stored(found.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
-    reach = components(close_links(nodes.select("print"), distance, blocks))
+    links = close_links(nodes.select("print"), distance, blocks)
+    if similar is not None:
+        texts = docs.select(F.col(text_column).alias("text"))
+        links = links.unionByName(similar_links(texts, lambda text: fingerprint(text, words, seed), similar, seed=seed))
+    reach = components(links)
     rooted = nodes.join(reach.withColumnRenamed("node", "print"), "print", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "print"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelight.llm import (
-    byte_bpe, embedding_dedup, nearest, packing, quality, secret_scan, simhash, token_counts, url_filter, warc)
+    byte_bpe, embedding_dedup, nearest, packing, quality, secret_scan, shingles, simhash, token_counts, url_filter, warc)
 from cuelight.llm.tables import components
 
 TEXTS = [
@@ -365,3 +365,43 @@ def test_pipeline(spark, tmp_path):
     assert secret_scan.find_secrets(clean, secret_scan.RULES).filter("spans <> ''").count() == 0
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in single.collect()}
+
+
+@pytest.mark.parametrize("crowded,block", [(32, 256), (2, 8)])
+def test_similar_links_are_those_of_all_pairs(spark, monkeypatch, crowded, block):
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    texts = [[rng.choice(words) for _ in range(rng.randint(1, 90))] for _ in range(120)]
+    base = [rng.choice(words) for _ in range(80)]
+    for own in (*texts[:50], *[base] * 60):  # near copies on both sides of the limit, of many texts and of one
+        at = rng.randrange(len(own))
+        texts.append([*own[:at], *rng.choice(([], ["new"], ["new", str(rng.random())])), *own[at + rng.randint(0, 1):], *rng.choice(([], ["end"]))])
+    texts = [" ".join(t) for t in texts] + ["", None, " \t", " ".join(texts[0]).upper()]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    sets = {}
+    for t in texts:
+        parts = (t or "").lower().split()
+        if parts:
+            sets[zlib.crc32(" ".join(parts).encode())] = {tuple(parts[i:i + 5]) for i in range(max(1, len(parts) - 4))}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    found = shingles.similar_links(df, lambda t: zlib.crc32(" ".join(t.lower().split()).encode()), crowded=crowded)
+
+    def roots(links):
+        return {tuple(r) for r in components(links).collect()}
+
+    assert len(pairs) > 60
+    assert roots(found) == roots(spark.createDataFrame(pairs, "a long, b long"))
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    own = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    other = [w if i % 75 != 40 else f"new{i}" for i, w in enumerate(own)]
+    prints = [simhash.fingerprint(" ".join(t)) for t in (own, other)]
+    assert (prints[0] ^ prints[1]).bit_count() > 2
+    docs = spark.createDataFrame([(2, " ".join(own)), (1, " ".join(other)), (3, "quite another text")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, "").collect()) == [1, 3]
+    assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) == 3  # the query's rule stays
