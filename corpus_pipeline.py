@@ -16,7 +16,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of texts of close fingerprints or of similar shingles."""
-    return simhash.keep_first(docs, simhash.near_duplicates(docs, similar=0.8))
+    return simhash.keep_one(docs, similar=0.8)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

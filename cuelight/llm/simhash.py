@@ -102,6 +102,20 @@ def close_links(prints: DataFrame, distance: int = 2, blocks: int = 4, crowded:
     return pairs.unionByName(hung)
 
 
+def _rooted(found: DataFrame, docs: DataFrame, words: int, seed: int, distance: int, blocks: int, text_column: str,
+            similar: float | None) -> DataFrame:
+    """Rows ``(print, first, root)``: each fingerprint of ``found``, its least id, and the least fingerprint that links
+    reach."""
+    nodes = stored(found.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
+    links = close_links(nodes.select("print"), distance, blocks)
+    if similar is not None:
+        texts = docs.select(F.col(text_column).alias("text"))
+        links = links.unionByName(similar_links(texts, lambda text: fingerprint(text, words, seed), similar, seed=seed))
+    reach = components(links)
+    rooted = nodes.join(reach.withColumnRenamed("node", "print"), "print", "left")
+    return rooted.withColumn("root", F.coalesce("root", "print"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, distance: int = 2, blocks: int = 4,
                     id_column: str = "doc_id", text_column: str = "text", similar: float | None = None) -> DataFrame:
     """Rows ``(doc_id, fingerprint, component_id)``, one per row of ``docs``: the fingerprint as 16 hexadecimal digits
@@ -114,14 +128,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, distance: i
     Jaccard similarity or more are linked too, however far their fingerprints are.
     """
     found = stored(fingerprints(docs, words, seed, id_column, text_column), "fingerprints")
-    nodes = stored(found.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
-    links = close_links(nodes.select("print"), distance, blocks)
-    if similar is not None:
-        texts = docs.select(F.col(text_column).alias("text"))
-        links = links.unionByName(similar_links(texts, lambda text: fingerprint(text, words, seed), similar, seed=seed))
-    reach = components(links)
-    rooted = nodes.join(reach.withColumnRenamed("node", "print"), "print", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "print"))
+    rooted = _rooted(found, docs, words, seed, distance, blocks, text_column, similar)
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(names, "root").select("print", "component_id")
     return found.join(named, "print").select(
@@ -130,7 +137,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, distance: i
 
 def keep_first(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose id is their component's. A row that repeats a kept id is dropped; rows with a null id
-    name no document and stay."""
+    name no document and stay. For tables of distinct ids: where rows of one id are in two groups, one of these can be
+    left without a row; ``keep_one`` holds for any table."""
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(id_column)).distinct()
     named = docs.join(kept, id_column, "left_semi").dropDuplicates([id_column])
     return named.select(*docs.columns).unionByName(docs.filter(F.col(id_column).isNull()))
+
+
+def keep_one(docs: DataFrame, words: int = 3, seed: int = 42, distance: int = 2, blocks: int = 4,
+             id_column: str = "doc_id", text_column: str = "text", similar: float | None = None) -> DataFrame:
+    """Exactly one row of ``docs`` for each group of ``near_duplicates``: that of the least id, null ids last, and of the
+    least hash of the text among rows that repeat the id. Groups are told by their fingerprints, so it makes no
+    difference whether ids repeat or are null. Rows of one id and text are exchangeable."""
+    row = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash"))
+    found = stored(fingerprints(docs.select(row.alias("row"), text_column), words, seed, "row", text_column), "fingerprints")
+    rooted = _rooted(found, docs, words, seed, distance, blocks, text_column, similar)
+    rows = found.join(rooted.select("print", "root"), "print").groupBy("root").agg(F.min("doc_id").alias("row"))
+    kept = rows.select(F.col("row.none").alias("_none"), F.col("row.id").alias("_id"), F.col("row.hash").alias("_hash"))
+    marked = docs.select("*", row.alias("_row"))
+    same = (marked["_row.none"] == kept["_none"]) & marked["_row.id"].eqNullSafe(kept["_id"]) & (marked["_row.hash"] == kept["_hash"])
+    return marked.join(kept, same, "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -405,3 +405,15 @@ def test_pipeline_drops_near_copies(spark):
     docs = spark.createDataFrame([(2, " ".join(own)), (1, " ".join(other)), (3, "quite another text")], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, "").collect()) == [1, 3]
     assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) == 3  # the query's rule stays
+
+
+def test_one_row_of_each_group_stays_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(4))
+    rows = [(3, a), (3, b), (7, b), (9, a), (None, c), (None, c), (None, d), (5, d), (None, a), (3, a), (None, None), (None, None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string")
+        kept = sorted(map(tuple, corpus_pipeline.deduplicate(spark, docs, "").collect()), key=str)
+        assert kept == sorted([(3, a), (3, b), (5, d), (None, c), (None, None)], key=str)
