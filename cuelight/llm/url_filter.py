@@ -66,7 +66,7 @@ def host_links(pages: DataFrame) -> DataFrame:
     return ends.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 4,
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 1000,
               settled: float = 1e-6, cut_every: int = 5) -> DataFrame:
     """Rows ``(host, trust, distrust)``: personalised PageRank of ``links(src, dst, n)``.
 
@@ -74,8 +74,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     backwards. ``seeds(host, kind, weight)`` has kinds ``trust`` and ``distrust`` with weights that add up to 1 each. A
     host shares its score among its links by their number; a host without links gives its share back to the seeds. Both
     scores move in one pass per round, over a graph that is stored once. After every
-    ``cut_every`` steps the scores are stored, which cuts lineage; ``rounds`` such blocks are done, or fewer once none
-    moves by ``settled``.
+    ``cut_every`` steps the scores are stored, which cuts lineage. That ends once no score moves by ``settled`` in such a
+    block and no further host is reached; if ``rounds`` blocks are not enough, it is an error.
     """
     both = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
@@ -83,18 +83,22 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     graph = stored(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("out")).alias("share")), "graph")
     start = stored(seeds.select("kind", "host", F.col("weight").alias("score")), "scores")
     score = start
-    for _ in range(0 if graph.isEmpty() else rounds):
+    linked = not graph.isEmpty()
+    for _ in range(rounds if linked else 0):
         following = score
         for _ in range(cut_every):
             following = _round(following, graph, start, damping)
         following = stored(following, "scores")
-        gap = following.withColumnRenamed("score", "now").join(score, ["kind", "host"], "full").agg(
-            F.max(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("score", F.lit(0.0))))).first()[0]
+        gap, reached = following.withColumnRenamed("score", "now").join(score, ["kind", "host"], "full").agg(
+            F.max(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("score", F.lit(0.0)))), F.count_if(F.col("score").isNull())).first()
         if score is not start:
             discard(score)
         score = following
-        if gap is None or gap < settled:
+        if gap is None or gap < settled and not reached:
             break
+    else:
+        if linked:
+            raise RuntimeError(f"scores did not settle in {rounds * cut_every} steps")
 
     def total(kind: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0)).alias(kind)
@@ -111,14 +115,14 @@ def _round(score: DataFrame, graph: DataFrame, start: DataFrame, damping: float)
     return moved.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], margin: float = 0.0, damping: float = 0.85, rounds: int = 4,
+def judge(pages: DataFrame, rules: Sequence[Rule], margin: float = 0.0, damping: float = 0.85, rounds: int = 1000,
           id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """Rows ``(page_id, host, path, rule, verdict, trust, distrust)``, one per row of ``pages``.
 
     A url that a rule fits has the rule's verdict. Hosts of pages that a rule allows are trusted seeds, those of pages
     that a rule blocks are blocked ones, each weighted by its pages. Any other page is blocked if its host's distrust
     exceeds its trust by more than ``margin``; hosts that neither score reaches are allowed, as are pages without a
-    host (null urls, urls without ``://``). ``rounds`` counts blocks of five steps of the propagation.
+    host (null urls, urls without ``://``). ``rounds`` bounds the blocks of five steps of the propagation; more is an error.
 
     Only the host table is joined back, on the host; a host with very many pages is split by the join. Repeated and
     null ids stay; null html has no links; other columns are not read; an empty table gives an empty one.

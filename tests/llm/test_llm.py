@@ -417,3 +417,15 @@ def test_one_row_of_each_group_stays_with_repeated_and_null_ids(spark):
         docs = spark.createDataFrame(order, "doc_id long, text string")
         kept = sorted(map(tuple, corpus_pipeline.deduplicate(spark, docs, "").collect()), key=str)
         assert kept == sorted([(3, a), (3, b), (5, d), (None, c), (None, None)], key=str)
+
+
+def test_propagation_goes_on_until_it_settles(spark):
+    chain = [f"c{i:02}" for i in range(41)]
+    links = spark.createDataFrame([(a, b, 1) for a, b in zip(chain, chain[1:])], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("distrust", chain[-1], 1.0)], "kind string, host string, weight double")
+    got = {r.host: r.distrust for r in url_filter.propagate(links, seeds).collect()}
+    least = 1 / sum(0.85 ** i for i in range(41))  # of the seed, once settled: all that flows off the end comes back
+    assert set(got) == set(chain)
+    assert all(abs(got[h] - least * 0.85 ** (40 - i)) < 1e-5 for i, h in enumerate(chain))
+    with pytest.raises(RuntimeError):
+        url_filter.propagate(links, seeds, rounds=2)
