@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, embedding_dedup, nearest, packing, quality, secret_scan, simhash, token_counts, url_filter, warc
+from . import byte_bpe, embedding_dedup, nearest, packing, quality, secret_scan, simhash, token_counts, url_filter, vector_codes, warc
 from .tables import table
 
 QUERIES = {}
@@ -129,3 +129,43 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _nearest_entries(name: str, books: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT a.id, a.p, any_value(a.v) AS v, min([list_sum(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] - c.v[i]) * (a.v[i] - c.v[i])))::BIGINT, c.e]) AS best
+  FROM parts a JOIN {books} c USING (p) GROUP BY a.id, a.p
+)"""
+
+
+def _moved_entries(name: str, books: str, found: str) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM {books} c LEFT JOIN (
+    SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM (
+      SELECT p, best[2] AS e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM {found}, (SELECT unnest(range(1, w + 1)) AS i FROM width) GROUP BY ALL
+    ) GROUP BY p, e
+  ) m USING (p, e)
+)"""
+
+
+@query("op11_vector_codes", f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label,
+    list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), width AS (SELECT max(len(x)) // 16 AS w FROM kept),
+parts AS MATERIALIZED (SELECT id, p, x[p * w + 1:(p + 1) * w] AS v FROM kept, width, (SELECT unnest(range(16)) AS p)),
+c0 AS MATERIALIZED (SELECT p, id - 1 AS e, v FROM parts WHERE id <= 64),
+{_nearest_entries('a0', 'c0')}, {_moved_entries('c1', 'c0', 'a0')},
+{_nearest_entries('a1', 'c1')}, {_moved_entries('c2', 'c1', 'a1')},
+{_nearest_entries('a2', 'c2')},
+books AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256
+  FROM (SELECT p, e, unnest(v) AS x, unnest(range(len(v))) AS i FROM c2)),
+coded AS (SELECT id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, sum(best[1])::BIGINT AS error FROM a2 GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (id), books
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, errors and codebooks of all vectors."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuelight.plans.session import scratch_path
 
@@ -29,6 +29,21 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def with_totals(rows: DataFrame, key: str, totals: dict[str, Column], share: int = 1000) -> DataFrame:
+    """``rows``, a stored table, with ``totals`` over all rows of the same ``key`` (null: a key like any other).
+
+    A key of more than one in ``share`` rows meets its totals by broadcast, of which there are fewer than ``share``; the
+    others are joined, and none of them is large.
+    """
+    sums = rows.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in totals.items()])
+    least = rows.count() // share
+    hot = sums.filter(F.col("_n") > least).select("_key", F.lit(True).alias("_hot"), *totals)
+    marked = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_key")), "left")
+    rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns).join(
+        sums.filter(F.col("_n") <= least), F.col(key).eqNullSafe(F.col("_key")))
+    return marked.filter("_hot").select(*rows.columns, *totals).unionByName(rest.select(*rows.columns, *totals))
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(
         F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")),
