@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, embedding_dedup, nearest, packing, quality, secret_scan, simhash, token_counts, url_filter, vector_codes, warc
+from . import byte_bpe, conversation_repair, embedding_dedup, nearest, packing, quality, secret_scan, simhash, token_counts, url_filter, vector_codes, warc
 from .tables import table
 
 QUERIES = {}
@@ -169,3 +169,93 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes, errors and codebooks of all vectors."""
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).select(
         "vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _plus(weight: str, cost: str, edit: str) -> str:
+    """A weight is its cost in eight digits before its audit, so that the lesser text is the lesser weight; ~: none."""
+    return f"(CASE WHEN {weight} = '~' THEN '~' ELSE printf('%08d', {weight}[:8]::INT + {cost}) || {weight}[9:] || '{edit}' END)"
+
+
+def _repair_inserts(source: str) -> str:
+    return f"""SELECT *, least(a, {_plus('u2', '5', 'I')}) AS a2 FROM (
+    SELECT *, least(u, {_plus('least(z, s, a)', '5', 'I')}) AS u2 FROM ({source}))"""
+
+
+def _repair_step(before: str) -> str:
+    """Weights z (nothing yet), s, u, a after a row, from those before it."""
+    some = "least(z, s, a2)"
+
+    def keep(initial: str, source: str) -> str:
+        return f"CASE WHEN open AND initial = '{initial}' THEN {_plus(source, 'stays', 'K')} ELSE '~' END"
+
+    def rerole(source: str) -> str:
+        return f"CASE WHEN open THEN {_plus(source, '1 + stays', 'R')} ELSE '~' END"
+
+    return f"""SELECT conv_id, i, {_plus('z', '2', 'D')} AS z, least({_plus('s', '2', 'D')}, {keep('s', 'z')}) AS s,
+    least({_plus('u2', '2', 'D')}, {keep('u', some)}, {rerole(some)}) AS u,
+    least({_plus('a2', '2', 'D')}, {keep('a', 'u2')}, {rerole('u2')}) AS a
+  FROM ({_repair_inserts(before)})"""
+
+
+_REPAIR_ROWS = """SELECT w.conv_id, f.i, z, s, u, a, f.initial, f.fault NOT IN ('blank', 'duplicate') AS open,
+      CASE WHEN f.fault = 'truncated' THEN 5 ELSE 0 END AS stays
+    FROM walk w JOIN faulty f ON f.conv_id = w.conv_id AND f.i = w.i + 1"""
+
+
+@query("op12_conversation_repair", f"""
+WITH RECURSIVE sums AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce([b] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS b))
+), drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce([4294967295] || list_transform(str_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS lot
+  FROM conversations, sums
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN lot = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM drawn WHERE lot <> 0
+), placed AS (
+  SELECT *, role[1] AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), faulty AS MATERIALIZED (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed
+), stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, max(i) AS n,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, '00000000' AS z, '~' AS s, '~' AS u, '~' AS a FROM stats
+  UNION ALL
+  {_repair_step(_REPAIR_ROWS)}
+), best AS (
+  SELECT conv_id, least(z, a2)[:8]::BIGINT AS cost, least(z, a2)[9:] AS audit
+  FROM ({_repair_inserts('SELECT w.* FROM walk w JOIN stats t ON t.conv_id = w.conv_id AND t.n = w.i')})
+), edits AS (
+  SELECT conv_id, unnest(str_split(audit, '')) AS edit, unnest(range(len(audit))) AS k FROM best WHERE audit <> ''
+), met AS (
+  SELECT *, count(*) FILTER (edit <> 'I') OVER so_far AS i, count(*) FILTER (edit <> 'D') OVER so_far AS m
+  FROM edits WINDOW so_far AS (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING)
+), said AS (
+  SELECT e.conv_id, e.k, e.edit, e.m, f.role, CASE WHEN e.edit = 'I' THEN '' ELSE f.text END AS text,
+    first_value(e.edit = 'K' AND f.initial = 's') OVER (PARTITION BY e.conv_id ORDER BY e.k) AS headed
+  FROM met e LEFT JOIN faulty f ON f.conv_id = e.conv_id AND f.i = e.i WHERE e.edit <> 'D'
+), hashes AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (m % 2 = 1) = headed THEN 'assistant' ELSE 'user' END || ':' || text, chr(10) ORDER BY k))
+    AS repaired_sha256 FROM said GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN hashes USING (conv_id)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged and repaired."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(rows), rows)
