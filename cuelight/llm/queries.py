@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, conversation_repair, embedding_dedup, nearest, packing, quality, secret_scan, simhash, token_counts, url_filter, vector_codes, warc
+from . import byte_bpe, conversation_repair, decontamination, embedding_dedup, nearest, packing, quality, secret_scan, simhash, token_counts, url_filter, vector_codes, warc
 from .tables import table
 
 QUERIES = {}
@@ -259,3 +259,33 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation damaged and repaired."""
     rows = table(spark, sf_dir, "conversations")
     return conversation_repair.repair(conversation_repair.damage(rows), rows)
+
+
+@query("op13_decontamination", """
+WITH docs AS (
+  SELECT row_number() OVER () AS key, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), phrases AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), found AS MATERIALIZED (
+  SELECT DISTINCT key, i, n, item_id FROM (
+    SELECT key, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM (SELECT key, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM phrases))
+  ) JOIN phrases USING (n, phrase)
+), hits AS (SELECT key, count(DISTINCT place) AS n_hit FROM (SELECT key, unnest(range(i, i + n)) AS place FROM found) GROUP BY key),
+met AS (
+  SELECT key, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS items_sha256
+  FROM (SELECT DISTINCT key, item_id FROM found WHERE item_id IS NOT NULL) GROUP BY key
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (key) LEFT JOIN met USING (key)
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that test items hold."""
+    return decontamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
