@@ -8,18 +8,34 @@ blanks break that rule; texts that hold one are encoded whole.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text whose chunks share one dictionary, bytes assembled at a time, and characters encoded in one string.
 BATCH_BYTES, STEP_BYTES, JOINED = 8 << 20, 2 << 20, 1 << 16
+#: Bytes of a piece of a long text.
+PIECE = 1 << 20
 #: ASCII punctuation but for the apostrophe, which opens contractions.
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+_BLANK = re.compile(rb"[\x09-\x0D ]")
+
+
+def pieces(text: bytes, limit: int = PIECE) -> Iterator[bytes]:
+    """A text in pieces of about ``limit`` bytes, cut before a space or U+0009 to U+000D; where there is none, a piece is longer."""
+    start = 0
+    while len(text) - start > limit and (blank := _BLANK.search(text, start + limit)):
+        yield text[start:blank.start()]
+        start = blank.start()
+    yield text[start:]
+
+
 def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges of at most ``limit`` bytes each; a longer text is a range of its own."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -192,3 +208,10 @@ class ChunkEncoder:
             ids = gather(pool, b, n)
             ends = np.concatenate([[0], np.cumsum(n)])
             yield start, ids, ends[edges[start:stop + 1] - lo]
+
+
+def map_rows(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df.mapInArrow`` for a function that returns rows of the same columns, which it knows by their places: whatever their
+    names."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(function, plain.schema).toDF(*df.columns)

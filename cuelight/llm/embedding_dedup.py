@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .tables import components, discard, stored
+from .tables import components, stored
 from .vectors import by_length, products, valid_vectors
 
 #: Vectors a cluster aims at, vectors of a block of a crowded cluster, and vectors the centres are fitted on at most.
@@ -230,30 +231,25 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
 def _search(least: float):
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node", ignore_index=True)
-        ids, copies, block = (frame[c].to_numpy() for c in ("node", "copies", "block"))
-        x, home = _matrix(frame), frame["cluster"].iloc[0]
-        clusters = np.stack(frame["clusters"])
+        ids, copies, x = frame["node"].to_numpy(), frame["copies"].to_numpy(), _matrix(frame)
         graph = []
         for near in frame["near"]:  # of the united lists, what is in this shard
             near = np.asarray(near, dtype=np.int64)
             at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
             graph.append(at[ids[at] == near])
         pairs = range_pairs(x, graph, least)
+        pairs = np.sort(pairs, axis=1)
         a, b = pairs[:, 0], pairs[:, 1]
-        # a pair counts in one shard only: of its smallest common cluster, that of its two blocks
-        common = np.where((clusters[a][:, :, None] == clusters[b][:, None, :]).any(axis=2), clusters[a], np.iinfo(np.int32).max)
-        tile = frame["tile"].iloc[0]
-        mine = (common.min(axis=1) == home) & (np.where(block[a] == block[b], "=", "x") == tile)
-        links = np.zeros(len(ids), dtype=np.int64)
-        np.add.at(links, a[mine], copies[b[mine]])
-        np.add.at(links, b[mine], copies[a[mine]])
-        return pd.DataFrame({"node": ids, "links": links, "root": ids[local_roots(len(ids), pairs, ids)]})
+        none = np.zeros(len(ids), dtype=np.int64)
+        return pd.DataFrame({"a": np.concatenate([ids, ids[a]]), "b": np.concatenate([ids[local_roots(len(ids), pairs, ids)], ids[b]]),
+                             "a_copies": np.concatenate([none, copies[a]]), "b_copies": np.concatenate([none, copies[b]])})
 
     return search
 
 
 def find_links(nodes: DataFrame, middle: np.ndarray, overlap: int, least: float) -> DataFrame:
-    """Rows ``(node, links, root)``, one per node and shard: vectors linked there, and a node it is connected to."""
+    """Rows ``(a, b, a_copies, b_copies)``: each pair of nodes that a shard found, and with no copies each node of a shard with a
+    node that it is connected to there."""
     placed = stored(nodes.select("node", "copies", "embedding").mapInArrow(
         _assign(middle, overlap), "node long, copies long, vector binary, clusters array<int>"), "placed")
     spread = placed.withColumn("dim", F.octet_length("vector")).withColumn("cluster", F.explode("clusters"))
@@ -262,23 +258,31 @@ def find_links(nodes: DataFrame, middle: np.ndarray, overlap: int, least: float)
     tiled = spread.join(sizes, ["dim", "cluster"]).withColumn("parts", F.when(F.col("parts") == 1, 1).otherwise(2 * F.col("parts")))
     tiled = tiled.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     shards = stored(tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "node", "copies", "vector", "clusters", "dim", "cluster", "block",
+        "node", "copies", "vector", "dim", "cluster",
         F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right")), "shards")
     key = ["dim", "cluster", "left", "right"]
     lists = shards.select(*key, "node", "vector").groupBy(*key).applyInPandas(
         lambda f: _build(f), "node long, near array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     search = _search(least)
-    ready = shards.join(united, "node").withColumn("tile", F.when(F.col("left") == F.col("right"), "=").otherwise("x"))
-    return stored(ready.groupBy(*key).applyInPandas(lambda f: search(f), "node long, links long, root long"), "found")
+    ready = shards.join(united, "node")
+    return stored(ready.groupBy(*key).applyInPandas(lambda f: search(f), "a long, b long, a_copies long, b_copies long"), "found")
 
 
-def audited(nodes: DataFrame, found: DataFrame, least: float, sample: int) -> float:
-    """Share of the true links of up to ``sample`` nodes (those of least hash) that were found, by brute force over all
-    nodes in one pass."""
-    probe = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).select("node", "copies", "embedding").toPandas()
+def counted(found: DataFrame) -> DataFrame:
+    """Rows ``(node, links)``: to how many vectors of other nodes each node of ``find_links`` is linked. A pair that several shards
+    found counts once."""
+    pairs = found.filter("b_copies > 0").dropDuplicates(["a", "b"])
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b_copies").alias("n")), F.struct(F.col("b").alias("node"), F.col("a_copies").alias("n"))))
+    return pairs.select(ends.alias("end")).groupBy(F.col("end.node").alias("node")).agg(F.sum("end.n").alias("links"))
+
+
+def audited(nodes: DataFrame, links: DataFrame, least: float, skip: int, sample: int) -> tuple[int, int]:
+    """The true links of ``sample`` nodes, by brute force over all nodes in one pass, and how many of them ``links(node, links)``
+    has. Nodes come in the order of their hashes, after the first ``skip``."""
+    probe = nodes.orderBy(F.xxhash64("node"), "node").limit(skip + sample).offset(skip).select("node", "embedding").toPandas()
     if not len(probe):
-        return 1.0
+        return 0, 0
     ids, matrix = probe["node"].to_numpy(), [unit(np.asarray(v)[None, :])[0] for v in probe["embedding"]]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,13 +297,24 @@ def audited(nodes: DataFrame, found: DataFrame, least: float, sample: int) -> fl
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "links"])
 
     truth = nodes.select("node", "copies", "embedding").mapInArrow(compare, "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
-    got = found.groupBy("node").agg(F.sum("links").alias("got"))
-    row = truth.join(got, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("got", F.lit(0))))).first()
-    return float(row[1] / row[0]) if row[0] else 1.0
+    row = truth.join(links, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
+    return row[0] or 0, row[1] or 0
+
+
+def recall(nodes: DataFrame, links: DataFrame, least: float, enough: int, sample: int, most: int) -> float | None:
+    """The share of true links that were found, over nodes until ``enough`` true links were seen, ``most`` at most; None if there were fewer."""
+    true = got = done = 0
+    while true < enough and done < most:
+        more, found = audited(nodes, links, least, done, min(sample, most - done))
+        true, got, done = true + more, got + found, done + sample
+        sample *= 4
+        if done >= nodes.count():
+            break
+    return got / true if true >= enough or true and done >= nodes.count() else 1.0 if done >= nodes.count() else None
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.9, overlap: int = 3, sample: int = 256, target: float = 0.98,
-                    id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+                    enough: int = 200, most: int = 4096, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """Rows ``(vec_id, n_links, component_id, kept)``, one per id of ``rows``: how many other vectors have a cosine of
     ``least`` or more with it, the smallest id that links reach, and whether that is its own.
 
@@ -311,8 +326,10 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, overlap: int = 3, sampl
     Equal vectors are one node from the start. Nodes go to the shards of their ``overlap`` nearest clusters (centres
     fitted on at most ``SAMPLE`` vectors; every vector is assigned); in every shard a graph is built, a node's lists are
     united, and each node is searched in its shards. A crowded cluster is cut into blocks, and a shard holds two, so that
-    no task meets more than ``4 BLOCK`` vectors, about, and no pair of the cluster is left out. Recall is audited over all
-    vectors; below ``target`` the search is done again with twice the overlap.
+    no task meets more than ``4 BLOCK`` vectors, about, and no pair of the cluster is left out. A link that several
+    shards find counts once. Recall is audited against brute force over all vectors, for ``sample`` nodes and more, up to ``most``, until ``enough`` true links were
+    seen; below ``target`` the search is done again with twice the overlap, as long as there are clusters. Where links are too rare to
+    measure it, or it stays below, a warning says so.
     """
     vectors = stored(valid_vectors(rows, id_column, vector_column), "vectors")
     nodes = stored(vectors.groupBy("embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
@@ -324,14 +341,16 @@ def near_duplicates(rows: DataFrame, least: float = 0.9, overlap: int = 3, sampl
     middle = centres(unit(np.stack(drawn)), clusters)
     while True:
         found = find_links(nodes, middle, overlap, least)
-        if overlap >= clusters or audited(nodes, found, least, sample) >= target:
+        links = stored(counted(found), "counted")
+        share = recall(nodes, links, least, enough, sample, most)
+        if share is None or share >= target or overlap >= clusters:
             break
-        discard(found)
         overlap *= 2
-    linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-    reach = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = (nodes.join(linked, "node").join(reach, "node", "left")
-             .select("embedding", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id")))
+    if share is None or share < target:
+        warnings.warn("too few links to measure recall" if share is None else f"recall is {share:.3f}", stacklevel=2)
+    reach = components(found.filter("b_copies = 0").select("a", "b"))
+    known = (nodes.join(links, "node", "left").join(reach, "node", "left")
+             .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id")))
     named = vectors.join(known, "embedding").select("vec_id", "n_links", "component_id")
     everyone = rows.select(F.col(id_column).alias("vec_id")).filter("vec_id is not null").distinct()
     full = everyone.join(named, "vec_id", "left").select(

@@ -13,29 +13,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .tables import stored
 from .vectors import by_length, products, valid_vectors
 
-#: Most queries, about, and most candidates of a tile.
-QUERIES, CANDIDATES = 1024, 4096
+#: Queries of a bucket, about; most queries and most candidates of a tile.
+QUERIES, TILE, CANDIDATES = 8192, 1024, 4096
 _BLOCK = "dim int, bucket int, ids binary, vectors binary"
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """int8 codes, scale, length, and the length of the rounding error of each row."""
-    x = x.astype(np.float64)
+def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """int8 codes, exponent, scale, length, and the length of the rounding error of each row, all but the codes after the row was brought
+    into reach of double precision by a power of two, its exponent."""
+    exponent = np.frexp(np.abs(x).max(axis=1))[1].astype(np.int64)
+    x = np.ldexp(x.astype(np.float64), -exponent[:, None])
     scale = np.abs(x).max(axis=1) / 127
     codes = np.rint(x / scale[:, None]).astype(np.int8)
-    return codes, scale, np.sqrt((x * x).sum(axis=1)), np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
+    return codes, exponent, scale, np.sqrt((x * x).sum(axis=1)), np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
 
 
 class Block:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.vectors = ids, vectors
-        codes, self.scale, self.norm, self.error = quantise(vectors)
+        codes, self.exponent, self.scale, self.norm, self.error = quantise(vectors)
         # sums of int8 products are whole numbers, exact in float32 up to 2**24
         self.codes = codes.astype(np.float32 if codes.shape[1] * 127 ** 2 < 1 << 24 else np.float64)
 
 
 class Best:
-    """The best ``k`` candidates so far of each query of a block, nearest first, ties to the smaller id."""
+    """The best ``k`` candidates so far of each query of a block, nearest first, ties to the smaller id. A product that is no
+    number, as both its sums of one sign are infinite, comes last."""
 
     def __init__(self, queries: Block, k: int):
         self.queries, self.k = queries, k
@@ -48,23 +51,34 @@ class Best:
         ``|q'| |f| + |e| |x|`` of that of the codes; only pairs that can still be among the best are computed again."""
         q, k = self.queries, self.k
         near = (q.codes @ block.codes.T).astype(np.float64) * q.scale[:, None] * block.scale
-        slack = ((q.norm + q.error)[:, None] * block.error + q.error[:, None] * block.norm) * (1 + 1e-9) + 1e-300
-        near[q.ids[:, None] == block.ids] = -np.inf
+        slack = (q.norm + q.error)[:, None] * block.error + q.error[:, None] * block.norm
+        slack = slack * (1 + 1e-9) + 1e-12 * q.norm[:, None] * block.norm  # and the rounding of sums
+        power = q.exponent[:, None] + block.exponent
+        with np.errstate(over="ignore"):
+            low, high = np.nextafter(np.ldexp(near - slack, power), -np.inf), np.nextafter(np.ldexp(near + slack, power), np.inf)
+        own = q.ids[:, None] == block.ids
+        low[own] = -np.inf
         bar = self.least
         if near.shape[1] > k:
-            bar = np.maximum(bar, np.partition(near - slack, -k, axis=1)[:, -k])
-        row, col = np.nonzero((near + slack >= bar[:, None]) & np.isfinite(near))
-        scores = [products(q.vectors[row[i:i + 65536]], block.vectors[col[i:i + 65536]]) for i in range(0, len(row), 65536)]
+            bar = np.maximum(bar, np.partition(low, -k, axis=1)[:, -k])
+        row, col = np.nonzero((high >= bar[:, None]) & ~own)
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = [products(q.vectors[row[i:i + 65536]], block.vectors[col[i:i + 65536]]) for i in range(0, len(row), 65536)]
         row = np.concatenate([self.row, row])
         ids = np.concatenate([self.id, block.ids[col]])
         score = np.concatenate([self.score, *scores])
-        order = np.lexsort((ids, -score, row))
+        order = np.lexsort((ids, ranked(-score), row))
         row, ids, score = row[order], ids[order], score[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         keep = place < k
         self.row, self.id, self.score = row[keep], ids[keep], score[keep]
         last = place == k - 1
-        self.least[row[last]] = score[last]
+        self.least[row[last]] = -ranked(-score[last])
+
+
+def ranked(falling: np.ndarray) -> np.ndarray:
+    """Negative scores with what is no number as infinite."""
+    return np.where(np.isnan(falling), np.inf, falling)
 
 
 def _blocks(size: int, kind: type):
@@ -121,11 +135,12 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "ve
         return ids, np.frombuffer(vectors, dtype=kind).reshape(len(ids), -1)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, waiting, best = None, [], None
+        now, waiting, best = None, [], None  # best: of each tile of the bucket
 
         def found() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(best.queries.ids[best.row]), pa.array(best.id), pa.array(best.score)], names=["query_id", "vec_id", "score"])
+                [pa.array(np.concatenate([b.queries.ids[b.row] for b in best])), pa.array(np.concatenate([b.id for b in best])),
+                 pa.array(np.concatenate([b.score for b in best]))], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -140,16 +155,19 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, id_column: str = "ve
                     waiting.append(part)
                 elif waiting or best is not None:
                     if best is None:
-                        best = Best(Block(*(np.concatenate(x) for x in zip(*waiting, strict=True))), k)
+                        ids, vectors = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                        best = [Best(Block(ids[i:i + TILE], vectors[i:i + TILE]), k) for i in range(0, len(ids), TILE)]
                         waiting = []
-                    best.add(Block(*part))
+                    candidates = Block(*part)
+                    for b in best:
+                        b.add(candidates)
         if best is not None:
             yield found()
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        least = heapq.nsmallest(k, zip(-frame["score"], frame["vec_id"], strict=True))
+        least = heapq.nsmallest(k, zip(ranked(-frame["score"].to_numpy()), frame["vec_id"], frame["score"], strict=True))
         return pd.DataFrame({"query_id": frame["query_id"].iloc[0], "rank": np.arange(1, len(least) + 1, dtype=np.int32),
-                             "vec_id": [i for _, i in least], "score": [-s for s, _ in least]})
+                             "vec_id": [i for _, i, _ in least], "score": [s for _, _, s in least]})
 
     partial = tiles.mapInArrow(multiply, "query_id long, vec_id long, score double")
     return partial.groupBy("query_id").applyInPandas(merge, "query_id long, rank int, vec_id long, score double")

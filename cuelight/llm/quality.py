@@ -10,10 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import gather, plain, slices
+from .chunks import gather, map_rows, pieces, plain, slices
 
 #: Buckets of n-grams, texts are read in slices of so many bytes.
-FEATURES, SLICE = 1 << 18, 4 << 20
+FEATURES, SLICE = 1 << 18, 1 << 20
 
 
 class NGrams:
@@ -29,7 +29,19 @@ class NGrams:
         self._tokens = re.compile(r"\w+|[^\w\s]+").findall
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, bucket)`` of every distinct feature, by row and then bucket."""
+        """``(row, bucket)`` of every distinct feature, by row and then bucket. A long text, which is alone, is read piece by piece,
+        each with the last words of the piece before it."""
+        if len(texts) != 1 or not texts[0].is_valid or len(raw := texts[0].as_buffer()) <= 2 * SLICE:
+            return self._read(texts)
+        found, before = np.zeros(FEATURES, dtype=bool), b""
+        for piece in pieces(raw.to_pybytes(), SLICE):
+            found[self._read(pa.array([before + piece], pa.large_binary()).cast(pa.large_string()))[1]] = True
+            # two words at least, so that the pair across the cut is seen; what is read twice says nothing new
+            before = b" ".join((before + piece).rsplit(None, 2)[-2:])
+        bucket = np.flatnonzero(found)
+        return np.zeros(len(bucket), dtype=np.int64), bucket
+
+    def _read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         import zlib
 
         parts = pc.utf8_split_whitespace(texts)
@@ -70,6 +82,7 @@ class Model:
         for a, b in slices(texts, SLICE):
             row, bucket = features(texts.slice(a, b - a))
             out.append(np.bincount(row, weights=self.weights[bucket], minlength=b - a) + self.bias)
+            pa.default_memory_pool().release_unused()
         margin = np.concatenate([np.zeros(0), *out])
         return 1.0 / (1.0 + np.exp(np.clip(self.slope * margin + self.offset, -500, 500)))
 
@@ -101,6 +114,7 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 row, bucket = features(texts.slice(a, b - a))
                 for k in (0, 1):
                     total[k] += np.bincount(bucket[label[a + row] == k], minlength=FEATURES)
+                pa.default_memory_pool().release_unused()
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["bucket", "zero", "one"])
 
@@ -248,7 +262,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_colu
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_column: str = "doc_id",
               text_column: str = "text", label_column: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, whole."""
+    """The rows of ``docs`` that score at least ``threshold``, whole, with all their columns, whatever the names of these. Null texts score as empty
+    ones, repeated rows alike; null ids stay if their text is good. An empty table gives an empty one; without labels every
+    row scores one half."""
     model = fit(docs, labels, id_column=id_column, text_column=text_column, label_column=label_column)
     shipped = docs.sparkSession.sparkContext.broadcast(astuple(model))
     column = docs.columns.index(text_column)
@@ -258,4 +274,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col
         for batch in batches:
             yield batch.filter(pa.array(held.scores(plain(batch.column(column))) >= threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_rows(docs, keep)

@@ -84,10 +84,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = least THEN 'r
   CASE WHEN page_id <> least THEN least END AS refers_to FROM named
 """)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to archives and read back through the index."""
-    folder = warc.default_folder(spark)
-    archive = warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    return warc.read_archives(archive, folder, keep_payload=False).select(
+    """Every page written to archives, and the records of every page's url fetched by its key through the index."""
+    folder, pages = warc.default_folder(spark), table(spark, sf_dir, "pages")
+    archive = warc.write_archives(pages, folder)
+    return warc.read_archives(archive, folder, pages, keep_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import plain, slices
+from .chunks import map_rows, plain, slices
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,9 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+#: Bytes that are indexed at a time, and of the texts that are scanned together.
+INDEXED, SCANNED = 1 << 19, 4 << 20
+
 # A query is None (anything may match), a trigram, or ("and" | "or", frozenset of queries).
 Query = object
 _MOST = 64  # strings of a set that is still spelt out
@@ -181,21 +184,23 @@ class Postings:
         self.rows: list[np.ndarray] = []
 
     def index(self, texts: pa.Array) -> None:
-        """``texts``: a large string array that begins at its buffer's start or not."""
+        """``texts``: a large string array that begins at its buffer's start or not. Its bytes are read block by block, so a long text
+        takes no more memory than short ones."""
         edges = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + len(texts) + 1]
-        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[edges[0]:edges[-1]]
-        self.rows = [np.zeros(0, dtype=np.int64)] * len(self.number)
-        if len(raw) < 3:
-            return
-        raw = self.low[raw]
-        found = self.code[raw[:-2].astype(np.int32) << 16 | raw[1:-1].astype(np.int32) << 8 | raw[2:]]
-        at = np.flatnonzero(found)
-        which = found[at].astype(np.int64) - 1
-        row = np.searchsorted(edges - edges[0], at, side="right") - 1
-        inside = at + 3 <= edges[row + 1] - edges[0]  # not across two texts
-        pairs = np.unique(which[inside] * len(texts) + row[inside])
-        split = np.searchsorted(pairs, np.arange(1, len(self.number)) * len(texts))
-        self.rows = [p % len(texts) for p in np.split(pairs, split)] if len(self.number) else []
+        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
+        pairs = []
+        for start in range(int(edges[0]), int(edges[-1]) - 2, INDEXED):
+            low = self.low[raw[start:min(start + INDEXED + 2, int(edges[-1]))]].astype(np.int32)
+            found = self.code[low[:-2] << 16 | low[1:-1] << 8 | low[2:]]
+            at = np.flatnonzero(found)
+            which = found[at].astype(np.int64) - 1
+            at = at + start
+            row = np.searchsorted(edges, at, side="right") - 1
+            inside = at + 3 <= edges[row + 1]  # not across two texts
+            pairs.append(np.unique(which[inside] * len(texts) + row[inside]))
+        held = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *pairs]))
+        split = np.searchsorted(held, np.arange(1, len(self.number)) * len(texts))
+        self.rows = [p % max(1, len(texts)) for p in np.split(held, split)] if len(self.number) else []
 
     def answer(self, q: Query) -> np.ndarray:
         if isinstance(q, str):
@@ -222,7 +227,9 @@ class Scanner:
             for i in range(len(texts)) if query is None else self.postings.answer(query).tolist():
                 text = held.get(i)
                 if text is None:
-                    text = held[i] = texts[i].as_py()
+                    text = texts[i].as_py()
+                    if len(texts) > 1:  # a long text is alone
+                        held[i] = text
                 for m in expression.finditer(text):
                     if m.end(rule.group) - m.start(rule.group) >= rule.least:
                         found.setdefault(i, []).append((m.start(), k, m.end()))
@@ -235,9 +242,11 @@ def _scanned(batches: Iterator[pa.RecordBatch], rules: Sequence[Rule], column: i
     scanner = Scanner(rules)
     for batch in batches:
         texts = plain(batch.column(column))
-        for a, b in slices(texts, 8 << 20):
+        for a, b in slices(texts, SCANNED):
             part = texts.slice(a, b - a)
             yield batch.slice(a, b - a), part, scanner.scan(part)
+        del texts
+        pa.default_memory_pool().release_unused()
 
 
 def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[Rule] = BASE_RULES,
@@ -290,8 +299,8 @@ def redact(text: str, spans: Sequence[tuple[int, int, int]], kinds: Sequence[str
 
 def redact_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text_column: str = "text",
                    length_column: str | None = "n_chars") -> DataFrame:
-    """``docs`` with secrets in its texts replaced; columns and rows stay, a null text stays null, and
-    ``length_column``, if there is one, is counted anew where the text changed."""
+    """``docs`` with secrets in its texts replaced; columns and rows stay, whatever the names of columns, and repeated rows too. A null text stays
+    null, an empty one empty, and ``length_column``, if there is one, is counted anew where the text changed. An empty table gives an empty one."""
     rules = tuple(rules)
     kinds, names = [r.kind for r in rules], docs.columns
     column = names.index(text_column)
@@ -314,4 +323,4 @@ def redact_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, text_column:
                 columns[counted] = pa.array(lengths, columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_rows(docs, clean)

@@ -8,103 +8,236 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .tables import stored
+from .chunks import pieces
+from .tables import Scratch, components, stored
 
-#: Texts whose shingles are counted, shingles known as frequent, rows of a part of a crowded key, bits of the filter on sets.
-SAMPLE, FREQUENT, BLOCK, FILTER = 1 << 14, 200_000, 256, 1 << 22
+#: Texts whose shingles are counted, shingles known as frequent, size of a part of a crowded key (a set counts one and one more for
+#: every 256 shingles), bits of the filters on shingles and on sets, shingles of a batch.
+SAMPLE, FREQUENT, BLOCK, REPEATED, WANTED, BATCH = 1 << 14, 200_000, 256, 1 << 26, 1 << 24, 1 << 18
+#: Bytes of a segment of the filter on shingles.
+SEGMENT = 1 << 16
 
 
-def shingles(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted distinct XXH64 hashes of the runs of ``words`` words of a text, with words as in ``simhash.fingerprint``; a
-    shorter text has one run, one without words none."""
+def hashed_runs(text: str, words: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 hashes of the runs of ``words`` words of a text, repeats included, a piece of the text after the other.
+
+    Words are runs of other than space and U+0009 to U+000D after A-Z are lower-cased. A shorter text has one run, all its words; one
+    without words has none.
+    """
     import xxhash
 
-    parts = text.encode().lower().split()
-    if not parts:
-        return np.zeros(0, dtype=np.int64)
-    digest = xxhash.xxh64_intdigest
-    runs = (digest(b" ".join(parts[i:i + words]), seed) for i in range(max(1, len(parts) - words + 1)))
-    return np.unique(np.fromiter(runs, dtype=np.uint64)).view(np.int64)
+    digest, carry, short = xxhash.xxh64_intdigest, [], True
+    for piece in pieces(text.encode()):
+        parts = [*carry, *piece.lower().split()]
+        if len(parts) < words:
+            carry = parts
+            continue
+        line = b" ".join(parts)
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        starts = [0, *ends[:len(parts) - words].tolist()]
+        stops = (ends[words - 1:] - 1).tolist()
+        yield np.array([digest(line[a:b], seed) for a, b in zip(starts, stops)], dtype=np.uint64)
+        carry, short = parts[len(parts) - words + 1:], False
+    if short and carry:
+        yield np.array([digest(b" ".join(carry), seed)], dtype=np.uint64)
+
+
+def shingles(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of the runs of words of a text."""
+    runs = [np.unique(r) for r in hashed_runs(text, words, seed)]
+    return (runs[0] if len(runs) == 1 else np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *runs]))).view(np.int64)
 
 
 def signature(hashes: np.ndarray) -> int:
     """One signed number for a set of shingles."""
     import xxhash
 
-    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), 7))
+    return signed(xxhash.xxh64_intdigest(hashes.tobytes(), 7))
 
 
-def _signed(number: int) -> int:
+def signed(number: int) -> int:
     """An unsigned number of 64 bits as a signed long."""
     return number - (1 << 64) if number >= 1 << 63 else number
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    edges = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *arrays])))
+
+
 def frequent(texts: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur in three or more of about ``SAMPLE`` distinct texts, at most ``FREQUENT``, sorted, with their
     counts. They only set the order of shingles: the join is exact with any order, and fast if rare ones come first."""
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, size = [], 0
             for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words, seed))], names=["key"])
+                held.append(shingles(t.as_py(), words, seed))
+                size += len(held[-1])
+                if size > BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], names=["key"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], names=["key"])
 
     share = max(1, texts.count() // SAMPLE)
-    drawn = texts.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(share)) == 0)).distinct()
+    drawn = texts.select("text").filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(share)) == 0)).distinct()
     counts = drawn.mapInArrow(hashed, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
     top = counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas().sort_values("key")
     return top["key"].to_numpy(dtype=np.int64), top["n"].to_numpy(dtype=np.int64)
 
 
-def sketches(texts: DataFrame, label: Callable[[str], int], least: Fraction, words: int, seed: int) -> DataFrame:
-    """Rows ``(print, sig, n, own, last, keys)`` of ``texts(text)`` with words: its label, signature and size of the shingle set, its rarest shingles as far as a set no larger must share one of them to be similar, and how many of these
-    are needed against sets that are no smaller; ``last`` is the rank of the last one."""
-    common, counts = frequent(texts, words, seed)
+def _ceil(x: Fraction) -> int:
+    return -(-x.numerator // x.denominator)
+
+
+def sketches(rows: DataFrame, label: Callable[[str], int], least: Fraction, words: int, seed: int) -> DataFrame:
+    """Rows ``(doc_id, print, sig, place, n, own, last, keys)``, one per row of ``rows(doc_id, text)``: the label of a text, the signature and
+    size of its shingle set (null and 0 without words), the hash of the text, its rarest shingles as far as a set no larger must share one of them
+    to be similar, and how many of these are needed against sets that are no smaller; ``last`` is the rank of the last
+    one. Of equal sets in one task all but the first have null keys."""
+    common, counts = frequent(rows, words, seed)
     whole = 2 * least / (1 + least)
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+
+        def batch_of(ids: pa.Array, places: pa.Array, held: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*held)) if held else [()] * 6
+            prints, sigs, sizes, owns, lasts, keys = columns
+            none = np.array([k is None for k in keys], dtype=bool)
+            lists = _lists([k if k is not None else np.zeros(0, dtype=np.int64) for k in keys])
+            lists = pa.ListArray.from_arrays(lists.offsets, lists.values, mask=pa.array(none)) if len(keys) else lists
+            return pa.RecordBatch.from_arrays(
+                [ids, pa.array(prints, pa.int64()), pa.array(sigs, pa.int64()), places, pa.array(sizes, pa.int32()),
+                 pa.array(owns, pa.int32()), pa.array(lasts, pa.int64()), lists],
+                names=["doc_id", "print", "sig", "place", "n", "own", "last", "keys"])
+
         for batch in batches:
-            rows = []
-            for t in batch.column(0):
+            held, begin, size = [], 0, 0
+            for i, t in enumerate(batch.column(1)):
                 text = t.as_py() or ""
                 hashes = shingles(text, words, seed)
-                if n := len(hashes):
+                n = len(hashes)
+                sig = signature(hashes) if n else None
+                order = last = None
+                if n and sig not in seen:
+                    seen.add(sig)
                     rank = np.zeros(n, dtype=np.int64)
                     if len(common):
                         at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
                         rank = np.where(common[at] == hashes, counts[at], 0)
                     order = np.lexsort((hashes, rank))[:n + 1 - _ceil(least * n)]
-                    rows.append((_signed(label(text)), signature(hashes), n, n + 1 - _ceil(whole * n), int(rank[order[-1]]), hashes[order]))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             names=["print", "sig", "n", "own", "last", "keys"])
-
-    return texts.mapInArrow(sketch, "print long, sig long, n int, own int, last long, keys array<long>")
-
-
-def _ceil(x: Fraction) -> int:
-    return -(-x.numerator // x.denominator)
+                    last, order = int(rank[order[-1]]), hashes[order]
+                    size += len(order)
+                held.append((signed(label(text)), sig, n, n + 1 - _ceil(whole * n), last, order))
+                if size > BATCH:
+                    yield batch_of(batch.column(0).slice(begin, len(held)), batch.column(2).slice(begin, len(held)), held)
+                    held, begin, size = [], i + 1, 0
+            if held:
+                yield batch_of(batch.column(0).slice(begin), batch.column(2).slice(begin), held)
+
+    source = rows.select("doc_id", "text", F.xxhash64("text").alias("place"))
+    return source.mapInArrow(
+        sketch, f"doc_id {kind}, print long, sig long, place long, n int, own int, last long, keys array<long>")
+
+
+def _repeated(found: DataFrame) -> np.ndarray:
+    """Packed bits: 1 at the place of every shingle that two rows of ``found(keys)`` have, and of some others. Tasks mark what
+    they saw once and more than once; marks are united segment by segment, each by one task that holds it and nothing
+    else."""
+    size = found.agg(F.sum(F.size("keys"))).first()[0] or 0
+    slots = min(REPEATED, 1 << max(20, (4 * size).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(slots >> 3, dtype=np.uint8), np.zeros(slots >> 3, dtype=np.uint8)
+        for batch in batches:
+            place, n = np.unique(batch.column(0).flatten().to_numpy() & slots - 1, return_counts=True)
+            byte, bit = place >> 3, (1 << (place & 7)).astype(np.uint8)
+            again = (n > 1) | (once[byte] & bit > 0)
+            np.bitwise_or.at(twice, byte[again], bit[again])
+            np.bitwise_or.at(once, byte, bit)
+        for at in range(0, len(once), SEGMENT):
+            part = once[at:at + SEGMENT]
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at // SEGMENT]), pa.array([part.tobytes()]), pa.array([twice[at:at + SEGMENT].tobytes()])], names=["segment", "once", "twice"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for segment, once, twice in zip(*batch.columns):
+                once, twice = np.frombuffer(once.as_py(), dtype=np.uint8), np.frombuffer(twice.as_py(), dtype=np.uint8)
+                if segment.as_py() in held:
+                    a, b = held[segment.as_py()]
+                    once, twice = a | once, b | twice | (a & once)
+                held[segment.as_py()] = once, twice
+        for segment, (_, twice) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([segment]), pa.array([twice.tobytes()])], names=["segment", "twice"])
+
+    marks = found.filter("keys is not null").select("keys").mapInArrow(mark, "segment long, once binary, twice binary")
+    out = np.zeros(slots >> 3, dtype=np.uint8)
+    for r in marks.repartition("segment").mapInArrow(unite, "segment long, twice binary").toLocalIterator():
+        out[r["segment"] * SEGMENT:(r["segment"] + 1) * SEGMENT] |= np.frombuffer(r["twice"], dtype=np.uint8)
+    return out
+
+
+def _keyed(found: DataFrame, repeated: np.ndarray) -> DataFrame:
+    """Rows ``(key, sig, n, own, at)`` for the shingles of ``found`` that another row may have."""
+    shipped, mask = found.sparkSession.sparkContext.broadcast(repeated), 8 * len(repeated) - 1
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shipped.value
+        for batch in batches:
+            lists = batch.column(3)
+            edges = lists.offsets.to_numpy().astype(np.int64)
+            keys = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(lists)), np.diff(edges))
+            at = np.arange(len(keys)) - (edges[:-1] - edges[0])[row]
+            place = keys & mask
+            kept = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            row = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[kept]), *(batch.column(i).take(row) for i in range(3)), pa.array(at[kept].astype(np.int32))],
+                names=["key", "sig", "n", "own", "at"])
+
+    rows = found.filter("keys is not null").select("sig", "n", "own", "keys")
+    return rows.mapInArrow(emit, "key long, sig long, n int, own int, at int")
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
-    """Rows ``(sig, hashes)``, the sets of the signatures ``wanted(sig)``. Most texts are left out by a small bit filter
-    before their sets are dealt out."""
-    bits = np.zeros(FILTER, dtype=bool)
-    bits[wanted.select(F.pmod("sig", F.lit(FILTER)).alias("bit")).distinct().toPandas()["bit"].to_numpy(dtype=np.int64)] = True
-    packed = np.packbits(bits)
+    """Rows ``(sig, hashes)``, the sets of the signatures of ``wanted(sig, place)``, of which ``place`` is the hash of a text. Most
+    texts are left out by a filter of bits, whose size is bounded, before they are read."""
+    marks = wanted.groupBy(F.shiftright(F.pmod("place", F.lit(WANTED)), 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(pmod(place, 64) as int)))").alias("bits")).toArrow()
+    filled = np.zeros(WANTED >> 6, dtype="<i8")
+    filled[marks["word"].to_numpy()] = marks["bits"].to_numpy()
+    shipped = texts.sparkSession.sparkContext.broadcast(filled.view(np.uint8))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        bits = shipped.value
         for batch in batches:
-            for t in batch.column(0):
-                hashes = shingles(t.as_py() or "", words, seed)
+            place = batch.column(1).to_numpy() & WANTED - 1
+            held, size = [], 0
+            for i in np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).tolist():
+                hashes = shingles(batch.column(0)[i].as_py() or "", words, seed)
                 sig = signature(hashes)
-                bit = sig % FILTER
-                if packed[bit >> 3] >> (7 - (bit & 7)) & 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([sig]), pa.array([hashes.tobytes()], pa.binary())], names=["sig", "hashes"])
+                if sig not in seen:
+                    seen.add(sig)
+                    held.append((sig, hashes))
+                    size += len(hashes)
+                if size > BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int64()), _lists([h for _, h in held])], names=["sig", "hashes"])
+                    held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int64()), _lists([h for _, h in held])], names=["sig", "hashes"])
 
-    found = texts.select("text").mapInArrow(read, "sig long, hashes binary").join(wanted, "sig", "left_semi")
-    return stored(found.dropDuplicates(["sig"]), "sets")
+    found = texts.select("text", F.xxhash64("text").alias("place")).mapInArrow(read, "sig long, hashes array<long>")
+    return found.join(wanted.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def _linked(ids: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[tuple[int, int]]:
@@ -116,6 +249,8 @@ def _linked(ids: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[tu
     root, links = np.arange(len(ids)), []
     mark = np.zeros(codes.max() + 1, dtype=bool)
     for i in range(len(ids)):
+        if (root == root[i]).all():
+            break
         own = codes[starts[i]:ends[i]]
         mark[own] = True
         shared = np.add.reduceat(mark[codes], starts, dtype=np.int64)
@@ -128,70 +263,117 @@ def _linked(ids: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[tu
     return links
 
 
-def similar_links(texts: DataFrame, label: Callable[[str], int], least: float = 0.8, words: int = 5, seed: int = 42,
-                  crowded: int = 32) -> DataFrame:
-    """Links ``(a, b)`` between the labels (numbers) of ``texts(text)``: they connect what the pairs of texts connect whose
-    shingle sets have a Jaccard similarity of ``least`` or more, all of them and no others.
+def _compared(tiles: DataFrame, sets: DataFrame, keys: list[str], least: Fraction) -> DataFrame:
+    """Links between the sets of each group of ``tiles(*keys, sig)``."""
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates("sig").sort_values("sig")
+        links = _linked(frame["sig"].to_numpy(), [np.asarray(v, dtype=np.int64) for v in frame["hashes"]], least)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    Equal sets are one from the start. Shingles have an order, rare ones first. Of two similar sets, the larger has one of
-    its first ``n + 1 - least n`` shingles among the first ``n + 1 - 2 least n / (1 + least)`` of the smaller, so sets are
-    joined on these; sizes, the places of the shingle and the shingles before rule out most pairs, the others are verified. The sets
-    of a shingle that more than ``crowded`` share are dealt in blocks, compared two blocks in a task, and only the links that
-    connect them leave it: no rows for pairs are made, and no set is left out.
-    """
-    exact = Fraction(str(least))
-    found = stored(sketches(texts, label, exact, words, seed), "sketches")
-    keyed = found.select("sig", "n", "own", F.posexplode("keys").alias("at", "key"))
-    alike = Window.partitionBy("key")
-    held = F.max((F.col("at") < F.col("own")).cast("int")).over(alike)
-    sized = stored(keyed.withColumn("met", (F.min("sig").over(alike) < F.max("sig").over(alike)) & (held == 1))
-                   .filter("met").drop("met").distinct(), "keys")
-    full = stored(sized.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    small = sized.join(full.filter(F.col("size") <= crowded).select("key"), "key")
-    p, q = exact.numerator, exact.denominator
+    return tiles.join(sets, "sig").groupBy(*keys).applyInPandas(compare, "a long, b long")
+
+
+def _close_pairs(small: DataFrame, found: DataFrame, least: Fraction, scratch: Scratch) -> DataFrame:
+    """Pairs ``(a, b)`` of signatures that share a key of ``small`` and can be similar by all that their sketches tell."""
+    p, q = least.numerator, least.denominator
     x, y = (small.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("sig", "n", "own", "at")]) for s in "xy")
-    pairs = stored(
+    pairs = scratch.stored(
         x.join(y.filter("y_at < y_own"), "key")
         .filter(f"x_sig <> y_sig and y_n <= x_n and y_n * {q}L >= x_n * {p}L"
                 f" and least(x_n - x_at, y_n - y_at) * {p + q}L >= (x_n + y_n) * {p}L")
         .select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct(), "met")
     # common ones beyond both prefixes are at most as many as follow the prefix that ends first
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    drafts = stored(found.join(ends, "sig", "left_semi").select("sig", "n", "keys", "last").dropDuplicates(["sig"]), "drafts")
+    sketched = found.filter("keys is not null").select("sig", "n", "keys", "last")
+    drafts = scratch.stored(sketched.join(ends, "sig", "left_semi").dropDuplicates(["sig"]), "drafts")
     a, b = (drafts.select(*[F.col(c).alias(c_) for c, c_ in zip(drafts.columns, (s, f"{s}_n", f"{s}_keys", f"{s}_last"))]) for s in "ab")
     rest = [F.col(f"{s}_n") - F.size(f"{s}_keys") for s in "ab"]
     first = F.expr("a_last < b_last or (a_last = b_last and element_at(a_keys, -1) < element_at(b_keys, -1))")
     most = F.size(F.array_intersect("a_keys", "b_keys")) + F.when(first, rest[0]).otherwise(rest[1])
-    pairs = stored(pairs.join(a, "a").join(b, "b").filter(most * (p + q) >= (F.col("a_n") + F.col("b_n")) * p).select("a", "b"), "pairs")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = sized.join(full.filter(F.col("size") > crowded).withColumn("parts", parts), "key").select("key", "sig", "parts")
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(large.select("sig")).distinct(), "wanted")
-    sets = _sets(texts, wanted, words, seed)
+    close = pairs.join(a, "a").join(b, "b").filter(most * (p + q) >= (F.col("a_n") + F.col("b_n")) * p).select("a", "b")
+    out = scratch.stored(close, "pairs")
+    scratch.discard("met", "drafts")
+    return out
+
+
+def _weight() -> "F.Column":
+    return F.sum(F.lit(1) + F.floor(F.col("n") / 256))
+
+
+def _open_tiles(large: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows ``(key, left, right, sig)``: for every key of ``large(key, sig, n)`` the pairs of blocks whose members are not all linked
+    by now. Members of one group of links stand in blocks of their own, if they fill one; the largest group of a key is compared
+    with the others, never with itself."""
+    named = large.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    groups = named.groupBy("key", "root").agg(_weight().alias("weight"))
+    keys = groups.groupBy("key").agg(
+        F.count(F.lit(1)).alias("groups"), F.max_by("root", F.struct("weight", "root")).alias("major"),
+        F.sum(F.when(F.col("weight") < BLOCK, F.col("weight"))).alias("pool")).filter("groups > 1")
+    parts = groups.join(keys, "key").select(
+        "key", "root", F.when((F.col("weight") >= BLOCK) | (F.col("root") == F.col("major")), F.col("root")).alias("home"), "major",
+        F.ceil(F.when((F.col("weight") >= BLOCK) | (F.col("root") == F.col("major")), F.col("weight")).otherwise(F.col("pool")) / BLOCK).alias("parts"))
+    number = F.pmod(F.xxhash64(F.when(F.col("home").isNull(), F.col("root")).otherwise(F.col("sig"))), F.col("parts"))
+    block = F.concat_ws(":", F.coalesce(F.col("home").cast("string"), F.lit("")), number.cast("string")).alias("block")
+    placed = scratch.stored(named.join(parts, ["key", "root"]).select("key", "sig", "home", "major", block), "placed")
+    blocks = placed.groupBy("key", "block").agg(F.max("home").alias("home"), F.max("major").alias("major"))
+    left = blocks.filter("home is null or home <> major").select("key", F.col("block").alias("left"), F.col("home").alias("left_home"))
+    right = blocks.select("key", F.col("block").alias("right"), "home", "major")
+    tiles = left.join(right, "key").filter(
+        "(left_home is null or home is null or left_home <> home) and (home = major or left <= right)").select("key", "left", "right")
+    ends = tiles.withColumn("block", F.explode(F.array("left", "right"))).distinct()
+    return placed.select("key", "block", "sig").join(ends, ["key", "block"]).select("key", "left", "right", "sig")
+
+
+def linked_sketches(texts: DataFrame, found: DataFrame, least: Fraction, words: int, seed: int, crowded: int) -> DataFrame:
+    """Links ``(a, b)`` between the prints of ``found``, stored ``sketches`` of ``texts(text)``; see ``similar_links``."""
+    p, q = least.numerator, least.denominator
+    scratch = Scratch(texts.sparkSession, "similar")
+    keyed = scratch.stored(_keyed(found, _repeated(found)), "keyed")
+    met = keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.min("sig").alias("low"), F.max("sig").alias("high"), F.max(F.expr("at < own")).alias("held"))
+    sized = scratch.stored(keyed.join(met.filter("low < high and held").select("key", "size"), "key"), "sized")
+    scratch.discard("keyed")
+    pairs = _close_pairs(sized.filter(F.col("size") <= crowded), found, least, scratch)
+    large = scratch.stored(sized.filter(F.col("size") > crowded).select("key", "sig", "n").distinct(), "large")
+    scratch.discard("sized")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(large.select("sig")).distinct()
+    places = found.filter("keys is not null").groupBy("sig").agg(F.min("place").alias("place"))
+    wanted = scratch.stored(places.join(asked, "sig", "left_semi"), "wanted")
+    sets = scratch.stored(_sets(texts, wanted, words, seed), "sets")
+    x, y = (sets.select(F.col("sig").alias(s), F.col("hashes").alias(f"{s}_set")) for s in "ab")
+    few = pairs.join(x, "a").join(y, "b").filter(
+        F.size(F.array_intersect("a_set", "b_set")) * (p + q) >= (F.size("a_set") + F.size("b_set")) * p).select("a", "b")
+    # members of a crowded key are compared in blocks, each with one that all blocks hold: near copies of one text are one group then
+    first = large.groupBy("key").agg(F.min("sig").alias("first"), F.ceil(_weight() / BLOCK).cast("int").alias("parts"))
+    blocks = large.join(first, "key").select("key", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("block"), "sig")
+    common = first.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.col("first").alias("sig"))
+    links = scratch.stored(few.unionByName(_compared(blocks.unionByName(common), sets, ["key", "block"], least)).distinct(), "near")
+    roots = scratch.stored(components(links, scratch=scratch).withColumnRenamed("node", "sig"), "roots")
+    more = scratch.stored(_compared(_open_tiles(large, roots, scratch), sets, ["key", "left", "right"], least).distinct(), "more")
+    named = scratch.stored(found.filter("sig is not null").groupBy("sig").agg(F.min("print").alias("print")), "named")
+    equal = found.filter("sig is not null").select("sig", F.col("print").alias("b")).distinct().join(named, "sig").select(F.col("print").alias("a"), "b")
+    ends = links.unionByName(more).join(named.select(F.col("sig").alias("a"), F.col("print").alias("from")), "a").join(
+        named.select(F.col("sig").alias("b"), F.col("print").alias("to")), "b").select(F.col("from").alias("a"), F.col("to").alias("b"))
+    out = stored(ends.unionByName(equal).filter("a <> b").distinct(), "similar")
+    scratch.discard()
+    return out
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_py(), dtype=np.int64) for v in (x, y))
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared * q >= (len(x) + len(y) - shared) * p)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("sig")
-        links = _linked(frame["sig"].to_numpy(), [np.frombuffer(v, dtype=np.int64) for v in frame["hashes"]], exact)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+def similar_links(texts: DataFrame, label: Callable[[str], int], least: float = 0.8, words: int = 5, seed: int = 42,
+                  crowded: int = 32) -> DataFrame:
+    """Links ``(a, b)`` between the labels (numbers) of ``texts(text)``: they connect what the pairs of texts connect whose
+    shingle sets have a Jaccard similarity of ``least`` or more, all of them and no others.
 
-    few = (pairs.join(sets.select(F.col("sig").alias("a"), F.col("hashes").alias("x")), "a")
-           .join(sets.select(F.col("sig").alias("b"), F.col("hashes").alias("y")), "b")
-           .select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
-    block = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
-    tiles = large.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "key", "sig", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    many = tiles.join(sets, "sig").groupBy("key", "left", "right").applyInPandas(compare, "a long, b long")
-    links = stored(few.unionByName(many).distinct(), "similar")
-    named = stored(found.groupBy("sig").agg(F.min("print").alias("print")), "named")
-    equal = found.select("sig", F.col("print").alias("b")).join(named, "sig").select(F.col("print").alias("a"), "b")
-    ends = links.join(named.select(F.col("sig").alias("a"), F.col("print").alias("from")), "a").join(
-        named.select(F.col("sig").alias("b"), F.col("print").alias("to")), "b").select(F.col("from").alias("a"), F.col("to").alias("b"))
-    return ends.unionByName(equal).filter("a <> b").distinct()
+    Equal sets are one from the start. Shingles have an order, rare ones first. Of two similar sets, the larger has one of
+    its first ``n + 1 - least n`` shingles among the first ``n + 1 - 2 least n / (1 + least)`` of the smaller, so sets are
+    joined on these, but for shingles that no other set has (a filter of bits tells most of them). Sizes, the places of the shingle and the
+    shingles before rule out most pairs, the others are verified. The sets of a shingle that more than ``crowded`` share
+    are compared block by block, then only those of different groups of links with each other: no rows for
+    pairs are made, and no set is left out.
+
+    Null and empty texts, and texts without words, have no links. Repeated texts are one. An empty table gives an empty one. Only the column ``text``
+    is read.
+    """
+    exact = Fraction(str(least))
+    rows = texts.select(F.lit(0).alias("doc_id"), F.col("text"))
+    return linked_sketches(rows, stored(sketches(rows, label, exact, words, seed), "sketches"), exact, words, seed, crowded)

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shingles import similar_links
+from .shingles import hashed_runs, linked_sketches, sketches
 from .tables import components, stored
 
 BITS = 64
+#: Words of a shingle, where texts are linked by their shingles, and sets of a crowded shingle.
+SHINGLE, CROWDED = 5, 32
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -20,24 +23,15 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
 
     Words are runs of other than space and U+0009 to U+000D after A-Z are lower-cased. Each run of ``words`` words,
     repeats included, is hashed with XXH64; a bit is set if it is set in over half the hashes. A shorter text has one
-    run, all its words; a text without words has fingerprint 0.
+    run, all its words; a text without words has fingerprint 0. A long text is read piece by piece.
     """
-    import xxhash
-
-    parts = text.encode().lower().split()
-    if not parts:
-        return 0
-    line = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    starts = [0, *ends[:-1].tolist()]
-    stops = (ends[min(words, len(parts)) - 1:] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], seed) for a, b in zip(starts, stops)], dtype=np.uint64)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        block = hashes[at:at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    ones, total = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in hashed_runs(text, words, seed):
+        total += len(hashes)
+        for at in range(0, len(hashes), 1 << 16):
+            block = hashes[at:at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42,
@@ -102,15 +96,20 @@ def close_links(prints: DataFrame, distance: int = 2, blocks: int = 4, crowded:
     return pairs.unionByName(hung)
 
 
-def _rooted(found: DataFrame, docs: DataFrame, words: int, seed: int, distance: int, blocks: int, text_column: str,
-            similar: float | None) -> DataFrame:
+def _marked(rows: DataFrame, words: int, seed: int, similar: float | None) -> DataFrame:
+    """The fingerprints of ``rows(doc_id, text)``, stored; with ``similar``, their sketches too."""
+    if similar is None:
+        return stored(fingerprints(rows, words, seed), "fingerprints")
+    return stored(sketches(rows, lambda text: fingerprint(text, words, seed), Fraction(str(similar)), SHINGLE, seed), "sketches")
+
+
+def _rooted(found: DataFrame, texts: DataFrame, distance: int, blocks: int, seed: int, similar: float | None) -> DataFrame:
     """Rows ``(print, first, root)``: each fingerprint of ``found``, its least id, and the least fingerprint that links
     reach."""
     nodes = stored(found.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
     links = close_links(nodes.select("print"), distance, blocks)
     if similar is not None:
-        texts = docs.select(F.col(text_column).alias("text"))
-        links = links.unionByName(similar_links(texts, lambda text: fingerprint(text, words, seed), similar, seed=seed))
+        links = links.unionByName(linked_sketches(texts, found, Fraction(str(similar)), SHINGLE, seed, CROWDED))
     reach = components(links)
     rooted = nodes.join(reach.withColumnRenamed("node", "print"), "print", "left")
     return rooted.withColumn("root", F.coalesce("root", "print"))
@@ -127,8 +126,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, distance: i
     are not read. An empty table gives an empty one. With ``similar``, texts whose sets of five-word shingles have that
     Jaccard similarity or more are linked too, however far their fingerprints are.
     """
-    found = stored(fingerprints(docs, words, seed, id_column, text_column), "fingerprints")
-    rooted = _rooted(found, docs, words, seed, distance, blocks, text_column, similar)
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    found = _marked(rows, words, seed, similar)
+    rooted = _rooted(found, rows, distance, blocks, seed, similar)
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(names, "root").select("print", "component_id")
     return found.join(named, "print").select(
@@ -139,21 +139,25 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_column: str = "doc_id") ->
     """The rows of ``docs`` whose id is their component's. A row that repeats a kept id is dropped; rows with a null id
     name no document and stay. For tables of distinct ids: where rows of one id are in two groups, one of these can be
     left without a row; ``keep_one`` holds for any table."""
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(id_column)).distinct()
-    named = docs.join(kept, id_column, "left_semi").dropDuplicates([id_column])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col(id_column).isNull()))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = f"c{docs.columns.index(id_column)}"
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(at)).distinct()
+    named = plain.join(kept, at, "left_semi").dropDuplicates([at])
+    return named.select(*plain.columns).unionByName(plain.filter(F.col(at).isNull())).toDF(*docs.columns)
 
 
 def keep_one(docs: DataFrame, words: int = 3, seed: int = 42, distance: int = 2, blocks: int = 4,
              id_column: str = "doc_id", text_column: str = "text", similar: float | None = None) -> DataFrame:
     """Exactly one row of ``docs`` for each group of ``near_duplicates``: that of the least id, null ids last, and of the
     least hash of the text among rows that repeat the id. Groups are told by their fingerprints, so it makes no
-    difference whether ids repeat or are null. Rows of one id and text are exchangeable."""
-    row = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("hash"))
-    found = stored(fingerprints(docs.select(row.alias("row"), text_column), words, seed, "row", text_column), "fingerprints")
-    rooted = _rooted(found, docs, words, seed, distance, blocks, text_column, similar)
-    rows = found.join(rooted.select("print", "root"), "print").groupBy("root").agg(F.min("doc_id").alias("row"))
-    kept = rows.select(F.col("row.none").alias("_none"), F.col("row.id").alias("_id"), F.col("row.hash").alias("_hash"))
-    marked = docs.select("*", row.alias("_row"))
-    same = (marked["_row.none"] == kept["_none"]) & marked["_row.id"].eqNullSafe(kept["_id"]) & (marked["_row.hash"] == kept["_hash"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    difference whether ids repeat or are null. Rows of one id and text are exchangeable. Null and empty texts are one group. An empty table gives
+    an empty one; columns stay, whatever their names."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at, text = (f"c{docs.columns.index(c)}" for c in (id_column, text_column))
+    key = {"none": F.col(at).isNull(), "id": F.coalesce(F.col(at), F.lit(0).cast(plain.schema[at].dataType)), "hash": F.xxhash64(text)}
+    rows = plain.select(F.struct(*[c.alias(n) for n, c in key.items()]).alias("doc_id"), F.col(text).alias("text"))
+    found = _marked(rows, words, seed, similar)
+    rooted = _rooted(found, rows, distance, blocks, seed, similar)
+    kept = found.join(rooted.select("print", "root"), "print").groupBy("root").agg(F.min("doc_id").alias("row")).select("row.*")
+    same = plain.withColumns(key).join(kept, [*key], "left_semi").dropDuplicates([*key])
+    return same.select(*plain.columns).toDF(*docs.columns)

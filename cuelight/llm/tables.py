@@ -20,13 +20,23 @@ def stored(df: DataFrame, label: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+class Scratch:
+    """A folder for the intermediate tables of one job, of which those that are done with can be deleted."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder = spark, scratch_path(spark, label)
+
+    def stored(self, df: DataFrame, label: str, **options) -> DataFrame:
+        """As ``stored``, in this folder; a label is used once."""
+        df.write.options(**options).parquet(f"{self.folder}/{label}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{label}")
+
+    def discard(self, *labels: str) -> None:
+        """Delete tables that nothing reads any more; without labels, all of them."""
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()  # files of any store are reached by Spark's own access to it
+        for label in labels or [""]:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{label}".rstrip("/"))
+            path.getFileSystem(conf).delete(path, True)
 
 
 def with_totals(rows: DataFrame, key: str, totals: dict[str, Column], share: int = 1000) -> DataFrame:
@@ -50,7 +60,7 @@ def _state(edges: DataFrame) -> tuple:
     ).first())
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """Rows ``(node, root)`` for the nodes of ``edges(a, b)``: root is the smallest node that links reach.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014): every step hangs neighbours on the smallest
@@ -67,17 +77,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         near = near.select(F.col("b").alias("a"), F.col("m").alias("b"))
         return near.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
-    current = stored(
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    current = scratch.stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "links",
+        "links0",
     )
     state = _state(current)
-    for _ in range(max_rounds):
+    for n in range(max_rounds):
         if state[0] == 0:
             break
-        following = stored(star(star(current, True), False), "links")
+        following = scratch.stored(star(star(current, True), False), f"links{n + 1}")
         reached = _state(following)
-        discard(current)
+        scratch.discard(f"links{n}")
         current = following
         if reached == state:
             break

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import discard, stored
+from .tables import Scratch, stored
 
 
 @dataclass(frozen=True)
@@ -67,34 +67,42 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 1000,
-              settled: float = 1e-6, cut_every: int = 5) -> DataFrame:
+              settled: float = 1e-6, cut_every: int = 5, margin: float = 0.0) -> DataFrame:
     """Rows ``(host, trust, distrust)``: personalised PageRank of ``links(src, dst, n)``.
 
     Trust restarts at the trusted seeds and follows links; distrust restarts at the blocked seeds and follows links
     backwards. ``seeds(host, kind, weight)`` has kinds ``trust`` and ``distrust`` with weights that add up to 1 each. A
     host shares its score among its links by their number; a host without links gives its share back to the seeds. Both
     scores move in one pass per round, over a graph that is stored once. After every
-    ``cut_every`` steps the scores are stored, which cuts lineage. That ends once no score moves by ``settled`` in such a
-    block and no further host is reached; if ``rounds`` blocks are not enough, it is an error.
+    ``cut_every`` steps the scores are stored, which cuts lineage.
+
+    That ends once no further host is reached, every score moves by less than ``settled`` of itself in such a block, and no host can get to the
+    other side of ``margin`` any more: all that still moves is less than ``damping ** cut_every`` of the last block's moves, and as
+    much of that, and so on. Hosts that stand on the margin itself end it at a millionth of ``settled``. If ``rounds``
+    blocks are not enough, it is an error.
     """
     both = links.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionByName(
         links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
     out = both.groupBy("kind", "host").agg(F.sum("n").alias("out"))
     graph = stored(both.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("out")).alias("share")), "graph")
     start = stored(seeds.select("kind", "host", F.col("weight").alias("score")), "scores")
-    score = start
-    linked = not graph.isEmpty()
-    for _ in range(rounds if linked else 0):
+    score, scratch = start, Scratch(links.sparkSession, "scores")
+    linked, left = not graph.isEmpty(), damping ** cut_every / (1 - damping ** cut_every)
+    for n in range(rounds if linked else 0):
         following = score
         for _ in range(cut_every):
             following = _round(following, graph, start, damping)
-        following = stored(following, "scores")
-        gap, reached = following.withColumnRenamed("score", "now").join(score, ["kind", "host"], "full").agg(
-            F.max(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("score", F.lit(0.0)))), F.count_if(F.col("score").isNull())).first()
-        if score is not start:
-            discard(score)
+        following = scratch.stored(following, f"scores{n}")
+        now, before = F.coalesce("now", F.lit(0.0)), F.coalesce("score", F.lit(0.0))
+        moves = following.withColumnRenamed("score", "now").join(score, ["kind", "host"], "full").groupBy("host").agg(
+            F.sum(F.abs(now - before)).alias("moved"), F.max(F.abs(now - before) / F.greatest(now, before)).alias("share"),
+            F.sum(F.when(F.col("kind") == "distrust", now).otherwise(-now)).alias("gap"), F.count_if(F.col("score").isNull()).alias("reached"))
+        moved, share, reached = moves.agg(F.sum("moved"), F.max("share"), F.sum("reached")).first()
+        near = (moved or 0) > 0 and not moves.filter(F.abs(F.col("gap") - margin) <= moved * left).isEmpty()
+        if n:
+            scratch.discard(f"scores{n - 1}")
         score = following
-        if gap is None or gap < settled and not reached:
+        if share is None or not reached and (share < settled * 1e-6 or share < settled and not near):
             break
     else:
         if linked:
@@ -136,7 +144,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], margin: float = 0.0, damping:
         F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n"))
     totals = ruled.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = ruled.join(totals, "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("weight"))
-    scores = propagate(host_links(parsed), seeds, damping, rounds)
+    scores = propagate(host_links(parsed), seeds, damping, rounds, margin=margin)
     none = F.lit(0.0)
     return judged.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule",

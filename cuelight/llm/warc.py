@@ -18,7 +18,6 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,6 +29,7 @@ RECORDS = ("page_id long, url string, record_type string, refers_to long, payloa
            "payload binary")
 NAMES = uuid.UUID("6ba7b812-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the namespace of object names
 BLOCK = 3000  # captures of a block
+RUN, GAP = 4 << 20, 1 << 16  # bytes that are read at once, and of a gap that is read over
 
 
 def url_key(url: str | None) -> str:
@@ -228,91 +228,122 @@ def _batch(rows: list[tuple], extra: list | None = None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def read_archives(archive: Archive, folder: str, keep_payload: bool = True) -> DataFrame:
-    """Every record, read through the index: block by block, and in a block in the order of the archive files."""
-    blocks = archive.shards.select("file", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
+def _captures(block: bytes) -> list[dict]:
+    return [json.loads(x) for x in zlib.decompress(block, 31).splitlines()]
 
+
+def find_captures(archive: Archive, folder: str, keys: DataFrame) -> DataFrame:
+    """Rows ``(key, page_id, file, offset, length)``: the captures of ``keys(key)``, each key once.
+
+    The bounds of the shards (a bounded number) go to the tasks, where a key is routed to its shards. Keys are dealt out in
+    ranges of their order, so a task searches the directories of few shards and reads a block once for all the keys that it holds; the
+    captures of a key are found in their block by binary search.
+    """
+    bounds = [tuple(r) for r in archive.shards.select("first", "last", "file").orderBy("first", "last").collect()]
+    firsts, lasts = [b[0] for b in bounds], [b[1] for b in bounds]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # equal keys may run over the edge of a shard, so shards that touch the key are all asked
+            rows = [(shard, key) for key in batch.column(0).to_pylist() for shard in range(bisect_left(lasts, key), bisect_right(firsts, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([k for _, k in rows], pa.string())], names=["shard", "key"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _files(folder)
+        now, directory, starts, handle, held = None, [], [], None, (-1, [], [])
+        try:
+            for batch in batches:
+                rows = []
+                for shard, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if shard != now:
+                        if handle:
+                            handle.close()
+                        now, name = shard, bounds[shard][2]
+                        directory, handle = _directory(files, f"{root}/{name}.dir"), files.open_input_file(f"{root}/{name}")
+                        starts, held = [d[0] for d in directory], (-1, [], [])
+                    for b in range(max(0, bisect_left(starts, key) - 1), bisect_right(starts, key)):
+                        if held[0] != b:
+                            captures = _captures(_range(handle, *directory[b][1:]))
+                            held = b, captures, [c["key"] for c in captures]
+                        rows += [(key, c["page_id"], c["file"], c["offset"], c["length"])
+                                 for c in held[1][bisect_left(held[2], key):bisect_right(held[2], key)]]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                                 names=["key", "page_id", "file", "offset", "length"])
+        finally:
+            if handle:
+                handle.close()
+
+    asked = keys.select("key").distinct().mapInArrow(route, "shard int, key string")
+    ordered = asked.repartitionByRange(_tasks(keys), "shard", "key").sortWithinPartitions("shard", "key")
+    return ordered.mapInArrow(find, "key string, page_id long, file string, offset long, length long")
+
+
+def read_records(captures: DataFrame, folder: str, keep_payload: bool = True) -> DataFrame:
+    """``(key, …)`` with the columns of ``RECORDS`` for each of ``captures(key, file, offset, length)``. Captures are sorted by file and
+    place; records that follow each other closely are read at once, up to ``RUN`` bytes."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(folder)
-        directories: dict[str, list] = {}
-        for batch in batches:
-            for name, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                directory = directories.get(name)
-                if directory is None:
-                    directories = {name: (directory := _directory(files, f"{root}/{name}.dir"))}
-                _, offset, length = directory[block]
-                with files.open_input_file(f"{root}/{name}") as f:
-                    lines = [json.loads(x) for x in zlib.decompress(_range(f, offset, length), 31).splitlines()]
-                lines.sort(key=lambda c: (c["file"], c["offset"]))
-                rows, size, handle, opened = [], 0, None, None
-                try:
-                    for c in lines:
-                        if c["file"] != opened:
-                            if handle:
-                                handle.close()
-                            handle, opened = files.open_input_file(f"{root}/{c['file']}"), c["file"]
-                        got = read_record(_range(handle, c["offset"], c["length"]))
-                        rows.append(got if keep_payload else (*got[:-1], None))
-                        size += len(got[-1] or b"") if keep_payload else 0
-                        if size > 4 << 20:
-                            yield _batch(rows)
-                            rows, size = [], 0
-                finally:
-                    if handle:
-                        handle.close()
-                yield _batch(rows)
-
-    return blocks.repartition(_tasks(archive.shards), "file", "block").mapInArrow(read, RECORDS)
+        handle, opened, run = None, None, []  # run: captures that are read at once
+
+        def records() -> pa.RecordBatch:
+            first = run[0][2]
+            raw = _range(handle, first, run[-1][2] + run[-1][3] - first)
+            rows = [read_record(raw[c[2] - first:c[2] - first + c[3]]) for c in run]
+            one = _batch(rows if keep_payload else [(*r[:-1], None) for r in rows])
+            keys = pa.array([c[0] for c in run], pa.string())
+            run.clear()
+            return pa.RecordBatch.from_arrays([keys, *one.columns], names=["key", *one.schema.names])
+
+        try:
+            for batch in batches:
+                for capture in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    _, file, offset, length = capture
+                    if run and (file != opened or offset - run[-1][2] - run[-1][3] > GAP or offset + length - run[0][2] > RUN):
+                        yield records()
+                    if file != opened:
+                        if handle:
+                            handle.close()
+                        handle, opened = files.open_input_file(f"{root}/{file}"), file
+                    run.append(capture)
+            if run:
+                yield records()
+        finally:
+            if handle:
+                handle.close()
+
+    rows = captures.select("key", "file", "offset", "length")
+    ordered = rows.repartitionByRange(_tasks(captures), "file", "offset").sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(read, f"key string, {RECORDS}")
 
 
 def _tasks(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def look_up(archive: Archive, folder: str, urls: DataFrame, url_column: str = "url") -> DataFrame:
-    """Records of the asked urls: ``(asked, …)`` with the columns of ``RECORDS``; a url without captures gives no row, a
-    repeated url its records once, and a null url none.
+def url_keys(urls: DataFrame, url_column: str = "url") -> DataFrame:
+    """Rows ``(asked, key)`` for the distinct urls; a null url has the key ``)``."""
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], names=["asked", "key"])
 
-    The bounds of the shards (a bounded number) go to the tasks; asked keys are dealt out by shard, each task reads its
-    shard's directory and the few blocks and records it needs.
-    """
-    bounds = [tuple(r) for r in archive.shards.select("first", "last", "file").orderBy("first", "last").collect()]
-    firsts, lasts = [b[0] for b in bounds], [b[1] for b in bounds]
+    return urls.select(F.col(url_column).cast("string").alias("asked")).distinct().mapInArrow(keyed, "asked string, key string")
 
-    def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for url in f["asked"]:
-                key = url_key(url)
-                # equal keys may run over the edge of a shard, so shards that touch the key are all asked
-                for shard in range(bisect_left(lasts, key), bisect_right(firsts, key)):
-                    rows.append((url, key, shard))
-            yield pd.DataFrame(rows, columns=["asked", "key", "shard"])
-
-    def find(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
-        files, root = _files(folder)
-        for batch in frames:
-            f = batch.to_pandas().sort_values(["shard", "key"])
-            for shard, part in f.groupby("shard"):
-                name = bounds[shard][2]
-                directory = _directory(files, f"{root}/{name}.dir")
-                keys = [d[0] for d in directory]
-                held: tuple[int, list] = (-1, [])
-                with files.open_input_file(f"{root}/{name}") as blocks:
-                    for asked, key in zip(part["asked"], part["key"], strict=True):
-                        for b in range(max(0, bisect_left(keys, key) - 1), bisect_right(keys, key)):
-                            if held[0] != b:
-                                held = b, [json.loads(x) for x in zlib.decompress(_range(blocks, *directory[b][1:]), 31).splitlines()]
-                            at = [c["key"] for c in held[1]]
-                            for c in held[1][bisect_left(at, key):bisect_right(at, key)]:
-                                with files.open_input_file(f"{root}/{c['file']}") as records:
-                                    got = read_record(_range(records, c["offset"], c["length"]))
-                                one = _batch([got])
-                                yield pa.RecordBatch.from_arrays([pa.array([asked]), *one.columns], names=["asked", *one.schema.names])
-
-    asked = urls.select(F.col(url_column).alias("asked")).filter("asked is not null").distinct()
-    routed = asked.mapInPandas(route, "asked string, key string, shard int").repartition(_tasks(urls), "shard", F.xxhash64("key") % 16)
-    return routed.mapInArrow(find, f"asked string, {RECORDS}")
+
+def read_archives(archive: Archive, folder: str, urls: DataFrame, keep_payload: bool = True, url_column: str = "url") -> DataFrame:
+    """The records of all captures of the keys of ``urls``, each once, with the columns of ``RECORDS``: keys are searched in
+    the index, and records are read in runs. Urls of equal keys, null urls among them, are one key."""
+    found = stored(find_captures(archive, folder, url_keys(urls, url_column)), "found")
+    return read_records(found, folder, keep_payload).drop("key")
+
+
+def look_up(archive: Archive, folder: str, urls: DataFrame, url_column: str = "url") -> DataFrame:
+    """Records of the asked urls: ``(asked, …)`` with the columns of ``RECORDS``; a url without captures gives no row, a
+    repeated url its records once, and a null url none."""
+    asked = stored(url_keys(urls, url_column).filter("asked is not null"), "asked")
+    found = stored(find_captures(archive, folder, asked), "found")
+    return asked.join(read_records(found, folder), "key").drop("key")
 
 
 def default_folder(spark: SparkSession) -> str:

@@ -70,6 +70,23 @@ def test_packing(spark):
     assert packing.pack_documents(documents(spark, []), public.path("byte_bpe_50k.json"), public.PATTERN).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizers_library(spark):
+    from cuelight.llm import chunks
+
+    definition = open(public.path("byte_bpe_50k.json")).read()
+    texts = [*TEXTS, *random_texts(3000, seed=11), *(r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400).collect())]
+    encode, _ = chunks.rank_encoder(definition, public.PATTERN)
+    plain = [t or "" for t in texts]
+    want = [e.ids for e in reference("byte_bpe_50k.json").encode_batch(plain, add_special_tokens=False)]
+    assert [x.tolist() for x in encode(plain)] == want
+
+
+def test_padding_is_small(spark):
+    got = packing.pack_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), public.path("byte_bpe_50k.json"), public.PATTERN)
+    row = got.agg(F.sum("length").alias("ids"), F.count_distinct("sequence_id").alias("sequences")).first()
+    assert row.sequences * 2048 <= row.ids * 1.01 + 2048
+
+
 def test_pack_histogram():
     rng = random.Random(5)
     for width in (1, 7, 64):
@@ -231,6 +248,23 @@ def test_nearest(spark):
     assert len(nearest.nearest(df.filter("vec_id < 5"), F.col("vec_id") == 0, 20).collect()) == 4
 
 
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    rows = [(0, [1e160, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [5e-324, 0.0]), (4, [1e308, 1e308]), (5, [-1e308, 1e-300]), (6, [3e-320, 7e-321])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, F.col("vec_id") >= 0, 20).collect()
+    for q, x in rows:
+        scores = sorted((-(x[0] * y[0] + x[1] * y[1]), i) for i, y in rows if i != q)
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in scores]
+    rng = np.random.default_rng(3)
+    x = np.ldexp(rng.normal(size=(300, 4)), rng.integers(-40, 40, (300, 1)))
+    tiles = nearest.Best(nearest.Block(np.arange(10), x[:10]), 5)
+    for at in range(0, 300, 60):
+        tiles.add(nearest.Block(np.arange(at, at + 60), x[at:at + 60]))
+    for q in range(10):
+        want = sorted((-s, i) for i, s in enumerate(nearest.products(np.repeat(x[q:q + 1], 300, axis=0), x)) if i != q)[:5]
+        assert tiles.id[tiles.row == q].tolist() == [i for _, i in want]
+
+
 @pytest.mark.parametrize("block", [None, 40])
 def test_embedding_dedup(spark, monkeypatch, block):
     x, df = vectors(spark)
@@ -251,6 +285,21 @@ def test_embedding_dedup(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_link_counts_once_and_recall_is_measured(spark):
+    found = spark.createDataFrame(
+        [(1, 1, 0, 0), (2, 1, 0, 0), (1, 2, 3, 1), (1, 2, 3, 1), (2, 5, 1, 2), (9, 9, 0, 0)], "a long, b long, a_copies long, b_copies long")
+    links = embedding_dedup.counted(found)
+    assert {tuple(r) for r in links.collect()} == {(1, 1), (2, 5), (5, 1)}
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16))
+    x[200:203] = x[:3] + 0.01  # three links among 400 vectors
+    nodes = spark.createDataFrame([(i, 1, [float(c) for c in v]) for i, v in enumerate(x)], "node long, copies long, embedding array<double>")
+    two = spark.createDataFrame([(0, 1), (200, 1), (1, 1), (201, 1)], "node long, links long")
+    assert embedding_dedup.recall(nodes, two, 0.9, 200, 64, 4096) == pytest.approx(2 / 3)
+    assert embedding_dedup.recall(nodes, two, 0.9, 200, 64, 100) is None
+    assert embedding_dedup.recall(nodes, two, 1.1, 200, 64, 4096) == 1.0
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1500, 24))
@@ -262,12 +311,15 @@ def test_graph_search_recall():
     assert pairs <= true and len(pairs) >= 0.97 * len(true)
 
 
-def test_warc(spark, tmp_path):
+@pytest.mark.parametrize("block,run", [(3000, 4 << 20), (7, 900)])
+def test_warc(spark, tmp_path, monkeypatch, block, run):
+    monkeypatch.setattr(warc, "BLOCK", block)
+    monkeypatch.setattr(warc, "RUN", run)
     pages = [(i, f"https://{'ab'[i % 2]}.Example.org/p/{i % 40}?q", f"<p>{i % 25} é</p>", "z") for i in range(120)]
     pages += [(200, None, None, "z"), (201, "no scheme", "", "z"), (202, "http://x/\r\nEvil: 1", "y" * 300000, "z"), pages[0], (None, "http://n/", "<p>1 é</p>", "z")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, digest string")
     archive = warc.write_archives(df, str(tmp_path / "w"), shards=3)
-    got = sorted(warc.read_archives(archive, str(tmp_path / "w")).collect(), key=lambda r: (r.page_id is None, r.page_id))
+    got = sorted(warc.read_archives(archive, str(tmp_path / "w"), df).collect(), key=lambda r: (r.page_id is None, r.page_id))
     assert len(got) == len(pages)
     first = {}
     for i, _, h, _ in pages:
@@ -283,7 +335,9 @@ def test_warc(spark, tmp_path):
     asked = spark.createDataFrame([(pages[3][1],), (pages[3][1],), ("http://none/",), (None,), ("http://n/",)], "url string")
     found = warc.look_up(archive, str(tmp_path / "w"), asked).collect()
     assert sorted(r.page_id for r in found if r.page_id is not None) == sorted(i for i, u, _, _ in pages if u == pages[3][1]) and len(found) == 4
-    assert warc.read_archives(warc.write_archives(df.limit(0), str(tmp_path / "e")), str(tmp_path / "e")).count() == 0
+    assert warc.read_archives(warc.write_archives(df.limit(0), str(tmp_path / "e")), str(tmp_path / "e"), df).count() == 0
+    some = warc.read_archives(archive, str(tmp_path / "w"), df.filter("page_id in (3, 200)")).collect()
+    assert sorted(r.page_id for r in some) == sorted([*(i for i, u, _, _ in pages if u == pages[3][1]), 200])
 
 
 def test_url_filter(spark):
@@ -347,6 +401,42 @@ def test_quality(spark):
         [i for i, r in got.items() if i is not None and r.predicted == 1] + ([0] if got[0].predicted == 1 else []))
 
 
+def test_hinge_solves_the_dual():
+    rng = np.random.default_rng(2)
+    n, width = 40, 15
+    rows = [np.unique(rng.integers(0, width, rng.integers(1, 8))) for _ in range(n)]
+    values, sign = rng.normal(size=width), np.where(rng.random(n) < 0.5, 1.0, -1.0)
+    cost = rng.uniform(0.05, 0.5, n)
+    w, bias = quality.hinge(rows, values, sign, cost, epochs=4000, tolerance=1e-12)
+    x = np.zeros((n, width + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = values[r]
+    x[:, -1] = 1.0
+    gram = (sign[:, None] * x) @ (sign[:, None] * x).T
+    alpha = np.zeros(n)
+    for _ in range(60_000):  # projected gradient on the same dual
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, cost)
+    plain = (alpha * sign) @ x
+    assert np.allclose([*w, bias], plain, atol=1e-5)
+
+
+def test_class_counts_and_ratios_by_hand(spark):
+    import pyarrow as pa
+
+    texts = [("good river stone", 1), ("river river", 1), ("buy now", 0), ("stone buy!", 0), ("", 1)]
+    zero, one = quality.class_counts(spark.createDataFrame(texts, "text string, label int"))
+    held = {}
+    for t, k in texts:
+        words = re.findall(r"\w+|[^\w\s]+", t.lower())
+        for feature in {*((w,) for w in words), *zip(words, words[1:])}:
+            held.setdefault(feature, [0, 0])[k] += 1
+    bucket = {f: quality.NGrams()(pa.array([" ".join(f)], pa.large_string()))[1] for f in held}
+    for f, (a, b) in held.items():
+        single = [i for i in bucket[f] if len(f) == 1 or i not in [*bucket.get(f[:1], []), *bucket.get(f[1:], [])]]
+        assert [(zero[i], one[i]) for i in single] == [(a, b)], f
+    assert zero.sum() + one.sum() == sum(a + b for a, b in held.values())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -359,7 +449,7 @@ def test_pipeline(spark, tmp_path):
     scores = {r.doc_id: r.predicted for r in quality.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
     assert good.columns == columns and {r.doc_id for r in good.collect()} == {i for i, p in scores.items() if p == 1}
     single = corpus_pipeline.deduplicate(spark, good, sf)
-    assert {r.doc_id for r in single.collect()} == {r.component_id for r in simhash.near_duplicates(good).collect()}
+    assert {r.doc_id for r in single.collect()} == kept_by_both_rules([(r.doc_id, r.text) for r in good.collect()])
     clean = corpus_pipeline.redact(spark, single, sf)
     assert clean.columns == columns and clean.count() == single.count()
     assert secret_scan.find_secrets(clean, secret_scan.RULES).filter("spans <> ''").count() == 0
@@ -367,6 +457,96 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in packed} == {r.doc_id for r in single.collect()}
 
 
+def kept_by_both_rules(docs):
+    """The least id of each group of texts within 2 bits of fingerprint or of Jaccard similarity 0.8 over five-word shingles."""
+    prints = np.array([simhash.fingerprint(t or "") for _, t in docs], dtype=np.uint64)
+    sets = []
+    for _, t in docs:
+        parts = (t or "").encode().lower().split()
+        sets.append({tuple(parts[i:i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set())
+    root = {i: i for i, _ in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, _) in enumerate(docs):
+        close = np.bitwise_count(prints ^ prints[i]) <= 2
+        for j in range(i):
+            both = min(len(sets[i]), len(sets[j])), max(len(sets[i]), len(sets[j]))
+            if close[j] or both[0] and 5 * both[0] >= 4 * both[1] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((find(a), find(docs[j][0])))
+                root[y] = x
+    return {find(i) for i, _ in docs}
+
+
+def test_stages_with_odd_columns_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice("river stone walks under light green".split()) for _ in range(30)) for _ in range(12)]
+    rows = [(i, t + " password = 'hunter2hunter2'", len(t), "z", 1, 2.0) for i, t in enumerate([*texts, texts[0]])] + [(None, None, 0, "z", 1, 2.0), (3, "", 0, "z", 1, 2.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, `a.b` string, _row int, print double")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    for some_docs in (docs, docs.limit(0)):
+        for some_labels in (labels, labels.limit(0)):
+            folder = str(tmp_path / f"{some_docs.count()}-{some_labels.count()}")
+            some_labels.write.parquet(f"{folder}/labels.parquet")
+            good = corpus_pipeline.classify(spark, some_docs, folder)
+            single = corpus_pipeline.deduplicate(spark, good, folder)
+            clean = corpus_pipeline.redact(spark, single, folder)
+            assert good.columns == single.columns == clean.columns == docs.columns
+            packed = corpus_pipeline.pack(spark, clean, folder).collect()
+            if some_docs is docs:
+                assert good.count() == 15 and single.count() == 13 and {r.doc_id for r in packed} == {*range(12), 3}
+                assert all("hunter2" not in (r.text or "") and r["a.b"] == "z" and r.n_chars == len(r.text or "") for r in clean.collect() if r.text)
+            else:
+                assert packed == [] and clean.count() == 0
+    kept = simhash.keep_first(docs, simhash.near_duplicates(docs))
+    assert kept.columns == docs.columns
+    assert shingles.similar_links(docs.limit(0), simhash.fingerprint).count() == 0
+
+
+def test_long_texts_are_read_in_pieces(spark, monkeypatch):
+    from cuelight.llm import chunks
+
+    rng = random.Random(22)
+    texts = ["".join(rng.choice(["a", "bb ", "C c", "\n", "é ", "...", "x1  "]) for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    whole = [(simhash.fingerprint(t), shingles.shingles(t).tolist(), quality.NGrams()(chunks.plain(quality.pa.array([t])))[1].tolist()) for t in texts]
+    monkeypatch.setattr(chunks.pieces, "__defaults__", (13,))
+    monkeypatch.setattr(quality, "SLICE", 11)
+    monkeypatch.setattr(secret_scan, "INDEXED", 5)
+    assert whole == [(simhash.fingerprint(t), shingles.shingles(t).tolist(), quality.NGrams()(chunks.plain(quality.pa.array([t])))[1].tolist()) for t in texts]
+    long = ["x password = 'hunter2hunter2' y " + t for t in texts]
+    assert all("assign:2:" in r.spans for r in secret_scan.find_secrets(documents(spark, long)).collect() if r.doc_id is not None)
+
+
+def test_very_long_text_within_a_tasks_memory():
+    """One text of 64 MB, in a process of its own: what it needs beyond the text."""
+    import subprocess
+    import sys
+
+    script = """
+import resource, sys
+import pyarrow as pa
+from cuelight.llm import chunks, quality, secret_scan, shingles, simhash
+text = "some words of a long text token=abcdefghijkl0123, " * 1_300_000
+array = chunks.plain(pa.array([text]))
+begin = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+if sys.argv[1] == "secrets":
+    assert len(secret_scan.Scanner(secret_scan.RULES).scan(array)[0]) == 1_300_000
+elif sys.argv[1] == "quality":
+    assert len(quality.NGrams()(array)[0]) > 5
+else:
+    assert simhash.fingerprint(text) and len(shingles.shingles(text)) == 8
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - begin) // 1024)
+"""
+    for what, most in (("secrets", 400), ("quality", 250), ("simhash", 350)):
+        done = subprocess.run([sys.executable, "-c", script, what], capture_output=True, text=True, timeout=300, check=True)
+        assert int(done.stdout) < most, (what, done.stdout)
+
+
 @pytest.mark.parametrize("crowded,block", [(32, 256), (2, 8)])
 def test_similar_links_are_those_of_all_pairs(spark, monkeypatch, crowded, block):
     monkeypatch.setattr(shingles, "BLOCK", block)
@@ -419,6 +599,26 @@ def test_one_row_of_each_group_stays_with_repeated_and_null_ids(spark):
         assert kept == sorted([(3, a), (3, b), (5, d), (None, c), (None, None)], key=str)
 
 
+def test_propagation_settles_every_verdict_of_many_hosts(spark):
+    rng = random.Random(17)
+    n = 3000
+    links = {(a, b): 1 for a in range(n) for b in (a + 1, a - 1, a + rng.randint(2, 40)) if 0 <= b < n}
+    seeds = {"trust": rng.sample(range(n), 300), "distrust": rng.sample(range(n), 300)}
+    got = {int(r.host): r.distrust > r.trust for r in url_filter.propagate(
+        spark.createDataFrame([(str(a), str(b), k) for (a, b), k in links.items()], "src string, dst string, n long"),
+        spark.createDataFrame([(k, str(h), 1 / 300) for k, s in seeds.items() for h in s], "kind string, host string, weight double")).collect()}
+    scores = {}
+    for kind in seeds:
+        edges = np.array(list(links)) if kind == "trust" else np.array(list(links))[:, ::-1]
+        out, start = np.bincount(edges[:, 0], minlength=n), np.bincount(seeds[kind], minlength=n) / 300
+        score = start
+        for _ in range(400):
+            moved = 0.85 * np.bincount(edges[:, 1], weights=(score / np.maximum(out, 1))[edges[:, 0]], minlength=n)
+            score = moved + start * (1 - moved.sum())
+        scores[kind] = score
+    assert got == {i: bool(scores["distrust"][i] > scores["trust"][i]) for i in got} and len(got) == n
+
+
 def test_propagation_goes_on_until_it_settles(spark):
     chain = [f"c{i:02}" for i in range(41)]
     links = spark.createDataFrame([(a, b, 1) for a, b in zip(chain, chain[1:])], "src string, dst string, n long")
