@@ -209,8 +209,8 @@ def _keyed(found: DataFrame, repeated: np.ndarray) -> DataFrame:
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
-    """Rows ``(sig, hashes)``, the sets of the signatures of ``wanted(sig, place)``, of which ``place`` is the hash of a text. Most
-    texts are left out by a filter of bits, whose size is bounded, before they are read."""
+    """Rows ``(sig, hashes)``, the sets of the texts of ``wanted(place)``, their hashes, and a few others: most texts are left out by a
+    filter of bits, whose size is bounded, before they are read."""
     marks = wanted.groupBy(F.shiftright(F.pmod("place", F.lit(WANTED)), 6).alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, cast(pmod(place, 64) as int)))").alias("bits")).toArrow()
     filled = np.zeros(WANTED >> 6, dtype="<i8")
@@ -237,7 +237,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], pa.int64()), _lists([h for _, h in held])], names=["sig", "hashes"])
 
     found = texts.select("text", F.xxhash64("text").alias("place")).mapInArrow(read, "sig long, hashes array<long>")
-    return found.join(wanted.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
+    return found.dropDuplicates(["sig"])  # once more than a task can
 
 
 def _linked(ids: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[tuple[int, int]]:
@@ -263,17 +263,31 @@ def _linked(ids: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[tu
     return links
 
 
-def _compared(tiles: DataFrame, sets: DataFrame, keys: list[str], least: Fraction) -> DataFrame:
-    """Links between the sets of each group of ``tiles(*keys, sig)``."""
+def _compared(tiles: DataFrame, texts: DataFrame, unique: DataFrame, least: Fraction, words: int, seed: int) -> DataFrame:
+    """Links between the sets of each group of ``tiles(tile, sig)``, a stored table. The sets are read from their texts once more; each is
+    sent to its tiles and held nowhere else."""
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("sig").sort_values("sig")
         links = _linked(frame["sig"].to_numpy(), [np.asarray(v, dtype=np.int64) for v in frame["hashes"]], least)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return tiles.join(sets, "sig").groupBy(*keys).applyInPandas(compare, "a long, b long")
+    wanted = unique.select("sig", "place").join(tiles.select("sig").distinct(), "sig", "left_semi")
+    sets = _sets(texts, wanted, words, seed)
+    return tiles.join(sets, "sig").groupBy("tile").applyInPandas(compare, "a long, b long").distinct()
 
 
-def _close_pairs(small: DataFrame, found: DataFrame, least: Fraction, scratch: Scratch) -> DataFrame:
+def _pair_tiles(pairs: DataFrame, unique: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows ``(tile, sig)`` that bring the sets of each of ``pairs(a, b)`` together. Sets that pairs connect are one tile, to which each is
+    sent once; if they are too many for one, they are dealt into blocks, and a tile has those of two blocks that pairs connect."""
+    roots = scratch.stored(components(pairs, scratch=Scratch(pairs.sparkSession, "pairs")).withColumnRenamed("node", "sig"), "candidates")
+    sized = roots.join(unique.select("sig", "n"), "sig").groupBy("root").agg(F.ceil(_weight() / (4 * BLOCK)).alias("parts"))
+    both = pairs.join(roots.withColumnRenamed("sig", "a"), "a").join(sized, "root")
+    block = lambda c: F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64(c), 2 * F.col("parts")))
+    tile = F.concat_ws(":", F.lit("pairs"), "root", F.least(block("a"), block("b")), F.greatest(block("a"), block("b")))
+    return both.select(tile.alias("tile"), F.explode(F.array("a", "b")).alias("sig")).distinct()
+
+
+def _close_pairs(small: DataFrame, unique: DataFrame, least: Fraction, scratch: Scratch) -> DataFrame:
     """Pairs ``(a, b)`` of signatures that share a key of ``small`` and can be similar by all that their sketches tell."""
     p, q = least.numerator, least.denominator
     x, y = (small.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("sig", "n", "own", "at")]) for s in "xy")
@@ -284,8 +298,7 @@ def _close_pairs(small: DataFrame, found: DataFrame, least: Fraction, scratch: S
         .select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct(), "met")
     # common ones beyond both prefixes are at most as many as follow the prefix that ends first
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    sketched = found.filter("keys is not null").select("sig", "n", "keys", "last")
-    drafts = scratch.stored(sketched.join(ends, "sig", "left_semi").dropDuplicates(["sig"]), "drafts")
+    drafts = scratch.stored(unique.select("sig", "n", "keys", "last").join(ends, "sig", "left_semi"), "drafts")
     a, b = (drafts.select(*[F.col(c).alias(c_) for c, c_ in zip(drafts.columns, (s, f"{s}_n", f"{s}_keys", f"{s}_last"))]) for s in "ab")
     rest = [F.col(f"{s}_n") - F.size(f"{s}_keys") for s in "ab"]
     first = F.expr("a_last < b_last or (a_last = b_last and element_at(a_keys, -1) < element_at(b_keys, -1))")
@@ -301,7 +314,7 @@ def _weight() -> "F.Column":
 
 
 def _open_tiles(large: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows ``(key, left, right, sig)``: for every key of ``large(key, sig, n)`` the pairs of blocks whose members are not all linked
+    """Rows ``(tile, sig)``: for every key of ``large(key, sig, n)`` the pairs of blocks whose members are not all linked
     by now. Members of one group of links stand in blocks of their own, if they fill one; the largest group of a key is compared
     with the others, never with itself."""
     named = large.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -321,38 +334,35 @@ def _open_tiles(large: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFra
     tiles = left.join(right, "key").filter(
         "(left_home is null or home is null or left_home <> home) and (home = major or left <= right)").select("key", "left", "right")
     ends = tiles.withColumn("block", F.explode(F.array("left", "right"))).distinct()
-    return placed.select("key", "block", "sig").join(ends, ["key", "block"]).select("key", "left", "right", "sig")
+    tile = F.concat_ws("|", F.lit("open"), "key", "left", "right")
+    return placed.select("key", "block", "sig").join(ends, ["key", "block"]).select(tile.alias("tile"), "sig")
 
 
 def linked_sketches(texts: DataFrame, found: DataFrame, least: Fraction, words: int, seed: int, crowded: int) -> DataFrame:
     """Links ``(a, b)`` between the prints of ``found``, stored ``sketches`` of ``texts(text)``; see ``similar_links``."""
-    p, q = least.numerator, least.denominator
     scratch = Scratch(texts.sparkSession, "similar")
-    keyed = scratch.stored(_keyed(found, _repeated(found)), "keyed")
-    met = keyed.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min("sig").alias("low"), F.max("sig").alias("high"), F.max(F.expr("at < own")).alias("held"))
-    sized = scratch.stored(keyed.join(met.filter("low < high and held").select("key", "size"), "key"), "sized")
+    unique = scratch.stored(found.filter("keys is not null").select("sig", "place", "n", "own", "last", "keys").dropDuplicates(["sig"]), "unique")
+    keyed = scratch.stored(_keyed(unique, _repeated(unique)), "keyed")
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max(F.expr("at < own")).alias("held")).filter("size > 1 and held")
+    sized = scratch.stored(keyed.join(met.select("key", "size"), "key"), "sized")
     scratch.discard("keyed")
-    pairs = _close_pairs(sized.filter(F.col("size") <= crowded), found, least, scratch)
-    large = scratch.stored(sized.filter(F.col("size") > crowded).select("key", "sig", "n").distinct(), "large")
+    pairs = _close_pairs(sized.filter(F.col("size") <= crowded), unique, least, scratch)
+    large = scratch.stored(sized.filter(F.col("size") > crowded).select("key", "sig", "n"), "large")
     scratch.discard("sized")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).unionByName(large.select("sig")).distinct()
-    places = found.filter("keys is not null").groupBy("sig").agg(F.min("place").alias("place"))
-    wanted = scratch.stored(places.join(asked, "sig", "left_semi"), "wanted")
-    sets = scratch.stored(_sets(texts, wanted, words, seed), "sets")
-    x, y = (sets.select(F.col("sig").alias(s), F.col("hashes").alias(f"{s}_set")) for s in "ab")
-    few = pairs.join(x, "a").join(y, "b").filter(
-        F.size(F.array_intersect("a_set", "b_set")) * (p + q) >= (F.size("a_set") + F.size("b_set")) * p).select("a", "b")
     # members of a crowded key are compared in blocks, each with one that all blocks hold: near copies of one text are one group then
     first = large.groupBy("key").agg(F.min("sig").alias("first"), F.ceil(_weight() / BLOCK).cast("int").alias("parts"))
     blocks = large.join(first, "key").select("key", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("block"), "sig")
     common = first.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), F.col("first").alias("sig"))
-    links = scratch.stored(few.unionByName(_compared(blocks.unionByName(common), sets, ["key", "block"], least)).distinct(), "near")
-    roots = scratch.stored(components(links, scratch=scratch).withColumnRenamed("node", "sig"), "roots")
-    more = scratch.stored(_compared(_open_tiles(large, roots, scratch), sets, ["key", "left", "right"], least).distinct(), "more")
+    crowds = blocks.unionByName(common).select(F.concat_ws("|", F.lit("key"), "key", "block").alias("tile"), "sig")
+    tiles = scratch.stored(_pair_tiles(pairs, unique, scratch).unionByName(crowds), "tiles")
+    links = scratch.stored(_compared(tiles, texts, unique, least, words, seed), "near")
+    roots = scratch.stored(components(links, scratch=Scratch(texts.sparkSession, "near")).withColumnRenamed("node", "sig"), "roots")
+    left = scratch.stored(_open_tiles(large, roots, scratch), "left")
+    if not left.isEmpty():
+        links = links.unionByName(scratch.stored(_compared(left, texts, unique, least, words, seed), "more"))
     named = scratch.stored(found.filter("sig is not null").groupBy("sig").agg(F.min("print").alias("print")), "named")
     equal = found.filter("sig is not null").select("sig", F.col("print").alias("b")).distinct().join(named, "sig").select(F.col("print").alias("a"), "b")
-    ends = links.unionByName(more).join(named.select(F.col("sig").alias("a"), F.col("print").alias("from")), "a").join(
+    ends = links.join(named.select(F.col("sig").alias("a"), F.col("print").alias("from")), "a").join(
         named.select(F.col("sig").alias("b"), F.col("print").alias("to")), "b").select(F.col("from").alias("a"), F.col("to").alias("b"))
     out = stored(ends.unionByName(equal).filter("a <> b").distinct(), "similar")
     scratch.discard()
