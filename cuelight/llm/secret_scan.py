@@ -12,7 +12,6 @@ import hashlib
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from re import _constants as C, _parser
 
 import numpy as np
 import pyarrow as pa
@@ -75,41 +74,158 @@ def _of_strings(strings: frozenset[str]) -> Query:
     return _any(_all(s[i:i + 3] for i in range(len(s) - 2)) for s in strings)
 
 
-def _strings(item) -> frozenset[str] | None:
-    """All strings that one parsed item matches, if they are few."""
-    op, value = item
-    if op is C.LITERAL:
-        return frozenset([chr(value)])
-    if op is C.IN:
-        found: set[str] = set()
-        for kind, x in value:
-            if kind is C.LITERAL:
-                found.add(chr(x))
-            elif kind is C.RANGE and x[1] - x[0] < _MOST:
-                found.update(map(chr, range(x[0], x[1] + 1)))
+_CLASSES = {"d": "0123456789", "w": "".join(c for c in map(chr, range(128)) if c.isalnum() or c == "_"), "s": " \t\n\r\f\v"}
+_REPEAT = re.compile(r"\{(\d+)(,?)(\d*)\}")
+
+
+def parsed(pattern: str) -> list[tuple]:
+    """The items of a regular expression, of the part of its syntax that rules are written in; anything else is an error.
+
+    Items: ``("in", characters)`` (None: any or very many), ``("group", items)``, ``("or", branches)``,
+    ``("repeat", least, most, items)`` (most None: no limit) and ``("at",)``, which matches no character.
+    """
+    at = 0
+
+    def refuse() -> ValueError:
+        return ValueError(f"no trigrams can be derived from {pattern!r} at {at}")
+
+    def next_is(text: str) -> bool:
+        return pattern.startswith(text, at)
+
+    def branches() -> list[tuple]:
+        nonlocal at
+        found = [sequence()]
+        while next_is("|"):
+            at += 1
+            found.append(sequence())
+        return found[0] if len(found) == 1 else [("or", found)]
+
+    def sequence() -> list[tuple]:
+        items = []
+        while at < len(pattern) and not next_is("|") and not next_is(")"):
+            items.append(repeated(atom()))
+        return items
+
+    def repeated(item: tuple) -> tuple:
+        nonlocal at
+        counts = {"?": (0, 1), "*": (0, None), "+": (1, None)}
+        while at < len(pattern):
+            if pattern[at] in counts:
+                least, most = counts[pattern[at]]
+                at += 1
+            elif given := _REPEAT.match(pattern, at):
+                least = int(given[1])
+                most = int(given[3]) if given[3] else None if given[2] else least
+                at = given.end()
             else:
-                return None
-        return frozenset(found) if len(found) <= _MOST else None
-    if op is C.SUBPATTERN:
-        return _sequence_strings(value[3])
-    if op is C.BRANCH:
-        options = [_sequence_strings(x) for x in value[1]]
+                break
+            if next_is("+"):  # possessive
+                raise refuse()
+            at += next_is("?")
+            item = ("repeat", least, most, [item])
+        return item
+
+    def atom() -> tuple:
+        nonlocal at
+        c = pattern[at]
+        at += 1
+        if c == "(":
+            if next_is("?:"):
+                at += 2
+            elif next_is("?"):
+                raise refuse()
+            inner = branches()
+            if not next_is(")"):
+                raise refuse()
+            at += 1
+            return ("group", inner)
+        if c == "[":
+            return ("in", members())
+        if c == ".":
+            return ("in", None)
+        if c in "^$":
+            return ("at",)
+        if c in "*+?{":
+            raise refuse()
+        if c == "\\":
+            if pattern[at:at + 1] in ("b", "B", "A", "Z"):
+                at += 1
+                return ("at",)
+            return ("in", escaped())
+        return ("in", frozenset(c))
+
+    def escaped() -> frozenset | None:
+        nonlocal at
+        c = pattern[at:at + 1]
+        at += 1
+        if c == "x":
+            at += 2
+            return frozenset(chr(int(pattern[at - 2:at], 16)))
+        if c in _CLASSES:
+            return frozenset(_CLASSES[c])
+        if c.lower() in _CLASSES:
+            return None
+        if c in "nrtfv":
+            return frozenset({"n": "\n", "r": "\r", "t": "\t", "f": "\f", "v": "\v"}[c])
+        if c.isalnum() or not c:
+            raise refuse()
+        return frozenset(c)
+
+    def members() -> frozenset | None:
+        nonlocal at
+        outside = next_is("^")
+        at += outside
+        found, first = set(), True
+        while first or not next_is("]"):
+            if at >= len(pattern):
+                raise refuse()
+            first = False
+            c = pattern[at]
+            at += 1
+            one = escaped() if c == "\\" else frozenset(c)
+            if next_is("-") and not next_is("-]") and one is not None and len(one) == 1:
+                at += 1
+                end = pattern[at]
+                at += 1
+                last = escaped() if end == "\\" else frozenset(end)
+                one = frozenset(map(chr, range(ord(min(one)), ord(min(last)) + 1)))
+            outside = outside or one is None
+            found |= one or set()
+        at += 1
+        return None if outside else frozenset(found)
+
+    items = branches()
+    if at < len(pattern):
+        raise refuse()
+    return items
+
+
+def _strings(item: tuple) -> frozenset[str] | None:
+    """All strings that one item matches, if they are few."""
+    kind = item[0]
+    if kind == "in":
+        return item[1] if item[1] is not None and len(item[1]) <= _MOST else None
+    if kind == "group":
+        return _sequence_strings(item[1])
+    if kind == "or":
+        options = [_sequence_strings(x) for x in item[1]]
         return frozenset().union(*options) if all(o is not None for o in options) else None
-    if op is C.MAX_REPEAT and value[1] <= 3:
-        one = _sequence_strings(value[2])
-        if one is None:
+    if kind == "at":
+        return frozenset([""])
+    _, least, most, items = item
+    one = _sequence_strings(items) if most is not None and most <= 3 else None
+    if one is None:
+        return None
+    found, step = set(), {""}
+    for n in range(most + 1):
+        found |= step if n >= least else set()
+        step = {a + b for a in step for b in one}
+        if len(step) > _MOST:
             return None
-        found, step = set(), {""}
-        for n in range(value[1] + 1):
-            found |= step if n >= value[0] else set()
-            step = {a + b for a in step for b in one}
-            if len(step) > _MOST:
-                return None
-        return frozenset(found)
-    return frozenset([""]) if op is C.AT else None
+    return frozenset(found)
 
 
-def _sequence_strings(items) -> frozenset[str] | None:
+def _sequence_strings(items: list[tuple]) -> frozenset[str] | None:
     whole = frozenset([""])
     for item in items:
         found = _strings(item)
@@ -119,19 +235,18 @@ def _sequence_strings(items) -> frozenset[str] | None:
     return whole
 
 
-def _inner(item) -> Query:
+def _inner(item: tuple) -> Query:
     """What a match of an item that can't be spelt out must hold."""
-    op, value = item
-    if op is C.SUBPATTERN:
-        return _sequence(value[3])
-    if op is C.BRANCH:
-        return _any(_sequence(x) for x in value[1])
-    if op is C.MAX_REPEAT and value[0] > 0:
-        return _sequence(value[2])
+    if item[0] == "group":
+        return _sequence(item[1])
+    if item[0] == "or":
+        return _any(_sequence(x) for x in item[1])
+    if item[0] == "repeat" and item[1] > 0:
+        return _sequence(item[3])
     return None
 
 
-def _sequence(items) -> Query:
+def _sequence(items: list[tuple]) -> Query:
     queries, run = [], frozenset([""])
     for item in items:
         found = _strings(item)
@@ -145,8 +260,9 @@ def _sequence(items) -> Query:
             run = found
         else:
             queries.append(_inner(item))
-            if op_min := (item[0] is C.MAX_REPEAT and item[1][0] > 0 and _sequence_strings(item[1][2])):
-                run = frozenset(op_min) if len(op_min) <= _MOST else run
+            once = _sequence_strings(item[3]) if item[0] == "repeat" and item[1] > 0 else None
+            if once and len(once) <= _MOST:
+                run = once
     queries.append(_of_strings(run))
     return _all(queries)
 
@@ -163,7 +279,7 @@ def trigram_query(pattern: str) -> Query:
             return (_all if q[0] == "and" else _any)(tidy(x) for x in q[1])
         return q
 
-    return tidy(low(_sequence(_parser.parse(pattern))))
+    return tidy(low(_sequence(parsed(pattern))))
 
 
 def trigrams(q: Query) -> set[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -15,7 +16,7 @@ from .tables import Scratch, components, stored
 
 #: Texts whose shingles are counted, shingles known as frequent, size of a part of a crowded key (a set counts one and one more for
 #: every 256 shingles), bits of the filters on shingles and on sets, shingles of a batch.
-SAMPLE, FREQUENT, BLOCK, REPEATED, WANTED, BATCH = 1 << 14, 200_000, 256, 1 << 26, 1 << 24, 1 << 18
+SAMPLE, FREQUENT, BLOCK, REPEATED, WANTED, BATCH = 1 << 14, 200_000, 256, 1 << 27, 1 << 24, 1 << 18
 #: Bytes of a segment of the filter on shingles.
 SEGMENT = 1 << 16
 
@@ -313,6 +314,24 @@ def _weight() -> "F.Column":
     return F.sum(F.lit(1) + F.floor(F.col("n") / 256))
 
 
+def _crowds(large: DataFrame, least: Fraction) -> DataFrame:
+    """Rows ``(key, sig, n)``: the groups in which the sets of each key of ``large(key, sig, n)`` are compared.
+
+    Similar sets are of similar size: their classes, by powers of a ratio that is wider than they can differ by, are equal or next to each
+    other. A group is a class and the one below it. Of groups of the same sets, as the shingles of one passage make them, one
+    is kept.
+    """
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.04 / float(least))).cast("int")
+    home = large.withColumn("class", size_class)
+    both = home.select("key", "sig", "n", F.col("class").alias("class"), F.lit(True).alias("own")).unionByName(
+        home.select("key", "sig", "n", (F.col("class") + 1).alias("class"), F.lit(False).alias("own")))
+    groups = both.groupBy("key", "class").agg(
+        F.count(F.lit(1)).alias("size"), F.max("own").alias("own"), F.bit_xor(F.xxhash64("sig")).alias("one"),
+        F.sum(F.xxhash64("sig", F.lit(1)).cast("decimal(38,0)")).alias("two")).filter("own and size > 1")
+    kept = groups.groupBy("size", "one", "two").agg(F.min(F.struct("key", "class")).alias("g")).select("g.key", "g.class")
+    return both.join(kept, ["key", "class"]).select(F.concat_ws(":", "key", "class").alias("key"), "sig", "n")
+
+
 def _open_tiles(large: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows ``(tile, sig)``: for every key of ``large(key, sig, n)`` the pairs of blocks whose members are not all linked
     by now. Members of one group of links stand in blocks of their own, if they fill one; the largest group of a key is compared
@@ -347,7 +366,7 @@ def linked_sketches(texts: DataFrame, found: DataFrame, least: Fraction, words:
     sized = scratch.stored(keyed.join(met.select("key", "size"), "key"), "sized")
     scratch.discard("keyed")
     pairs = _close_pairs(sized.filter(F.col("size") <= crowded), unique, least, scratch)
-    large = scratch.stored(sized.filter(F.col("size") > crowded).select("key", "sig", "n"), "large")
+    large = scratch.stored(_crowds(sized.filter(F.col("size") > crowded).select("key", "sig", "n"), least), "large")
     scratch.discard("sized")
     # members of a crowded key are compared in blocks, each with one that all blocks hold: near copies of one text are one group then
     first = large.groupBy("key").agg(F.min("sig").alias("first"), F.ceil(_weight() / BLOCK).cast("int").alias("parts"))
@@ -378,8 +397,8 @@ def similar_links(texts: DataFrame, label: Callable[[str], int], least: float =
     its first ``n + 1 - least n`` shingles among the first ``n + 1 - 2 least n / (1 + least)`` of the smaller, so sets are
     joined on these, but for shingles that no other set has (a filter of bits tells most of them). Sizes, the places of the shingle and the
     shingles before rule out most pairs, the others are verified. The sets of a shingle that more than ``crowded`` share
-    are compared block by block, then only those of different groups of links with each other: no rows for
-    pairs are made, and no set is left out.
+    are compared with those of about their size, block by block, then only those of different groups of links with each other: no
+    rows for pairs are made, and no set is left out.
 
     Null and empty texts, and texts without words, have no links. Repeated texts are one. An empty table gives an empty one. Only the column ``text``
     is read.
