@@ -39,13 +39,7 @@ def is_list(value: Column) -> Column:
 def tolerant_json(text: Column) -> Column:
     """VARIANT of a reply: code fences removed, else the outermost braces, else null."""
     bare = strip(F.regexp_replace(strip(text), FENCE, ""))
-    first = F.locate("{", bare)
-    last = F.length(bare) - F.locate("}", F.reverse(bare)) + 1
-    inner = F.when(
-        (first > 0) & F.contains(bare, F.lit("}")) & (last > first),
-        F.substring(bare, first, last - first + 1),
-    )
-    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(inner))
+    return F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(bare, r"(?s)\{.*\}", 0)))
 
 
 def _as_text(leaf: Column) -> Column:

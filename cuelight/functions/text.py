@@ -15,11 +15,13 @@ HEX_COLOUR = r"^#(?:[0-9a-fA-F]{6}|[0-9a-fA-F]{8})$"
 PAUSE = r"<break\s+time=\"(\d+(?:\.\d+)?)(ms|s)\"\s*/?>"
 MAX_CUE_SECONDS = 30.0
 VOICE_SETTING_ALIASES = {"similarity": "similarity_boost"}
+# White space by its Unicode property.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any kind (tabs, line ends, no-break and ideographic blanks) at either end."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def squeeze(text: Column) -> Column:

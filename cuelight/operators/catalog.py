@@ -1,7 +1,7 @@
 """Idempotent catalog maintenance: ingest, remove, upgrade, statistics.
 
 A catalog is a set of DataFrames. Every change returns a new catalog; writing it
-replaces only the source buckets that changed.
+replaces only the source buckets that changed, and all of them at once (``store``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schemas
 from ..functions.semi import get
 from ..plans.groups import broadcast_if_small
-from ..plans.session import checkpointed
+from ..plans.session import written
+from . import store
 from .textindex import FIELDS, build_postings, clip_texts, text_lengths
 
 BUCKETS = 256
@@ -25,7 +26,6 @@ _TABLES = {
     "postings": schemas.POSTINGS_TABLE, "lengths": schemas.LENGTHS_TABLE,
 }
 _KEYS = ["clip_id", "extract_id", "source_id"]
-_META = "version int, buckets int"
 
 
 @dataclass(frozen=True)
@@ -46,31 +46,27 @@ def empty_catalog(spark: SparkSession) -> Catalog:
     return Catalog(**{name: spark.createDataFrame([], schema) for name, schema in _TABLES.items()})
 
 
-def _write_meta(spark: SparkSession, root: str, buckets: int) -> None:
-    spark.createDataFrame([(schemas.CATALOG_VERSION, buckets)], _META).coalesce(1).write.mode("overwrite").parquet(f"{root}/meta")
+def published_state(spark: SparkSession, root: str, asked: int | None = None) -> store.Published:
+    """What is published of the catalog stored at ``root``. A catalog of another version is an error, and so is another
+    number of source buckets than ``asked``: its rows would be looked for, and written, in the wrong buckets."""
+    state = store.latest(spark, root)
+    if state is None or state.version != schemas.CATALOG_VERSION:
+        raise ValueError(f"the catalog is of version {state and state.version}, not {schemas.CATALOG_VERSION}; see upgrade_catalog")
+    if asked is not None and asked != state.buckets:
+        raise ValueError(f"the catalog has {state.buckets} buckets, not {asked}")
+    return state
 
 
-def stored_buckets(spark: SparkSession, root: str, asked: int | None = None) -> int:
-    """The number of source buckets of the catalog stored at ``root``. A catalog of another version is an error, and so is
-    another number than ``asked``: its rows would be looked for, and written, in the wrong buckets."""
-    meta = spark.read.schema(_META).parquet(f"{root}/meta").first()
-    if meta is None or meta["version"] != schemas.CATALOG_VERSION:
-        raise ValueError(f"the catalog is of version {meta and meta['version']}, not {schemas.CATALOG_VERSION}; see upgrade_catalog")
-    if asked is not None and asked != meta["buckets"]:
-        raise ValueError(f"the catalog has {meta['buckets']} buckets, not {asked}")
-    return meta["buckets"]
+def stored_buckets(spark: SparkSession, root: str) -> int:
+    """The number of source buckets of the catalog stored at ``root``."""
+    return published_state(spark, root).buckets
 
 
-def read_catalog(spark: SparkSession, root: str, only: Sequence[int] | None = None) -> Catalog:
-    """The stored catalog; ``only`` reads the given source buckets and no other file."""
-    stored_buckets(spark, root)
-
-    def table(name: str, schema: str) -> DataFrame:
-        rows = spark.read.schema(f"{schema}, bucket int").parquet(f"{root}/{name}")
-        rows = rows if only is None else rows.filter(F.col("bucket").isin(list(only)))
-        return rows.drop("bucket")
-
-    return Catalog(**{name: table(name, schema) for name, schema in _TABLES.items()})
+def read_catalog(spark: SparkSession, root: str, only: Sequence[int] | None = None, state: store.Published | None = None) -> Catalog:
+    """The stored catalog, as it was published last (or in ``state``); ``only`` reads the given source buckets and no other
+    file. Later updates do not change what it reads."""
+    state = state or published_state(spark, root)
+    return Catalog(**{name: store.read_table(spark, root, state, name, schema, only) for name, schema in _TABLES.items()})
 
 
 def _bucket(buckets: int) -> Column:
@@ -91,58 +87,63 @@ _SORT = {
 }
 
 
+def stage(catalog: Catalog, root: str, state: store.Published, only: Sequence[int] | None = None) -> store.Published:
+    """Write the tables, or the buckets ``only`` of them, into new folders and return the state that would show them in place
+    of those of ``state``. Readers see nothing of it before it is published."""
+    tables = {}
+    for name, table in catalog.tables().items():
+        rows = table.withColumn("bucket", _bucket(state.buckets))
+        if only is not None:
+            rows = written(rows.filter(F.col("bucket").isin(list(only))), name)  # ranges are drawn from it first
+        tables[name] = rows, _SORT.get(name, ["source_id"])
+    kept = {} if only is None else {k: f for k, f in state.folders.items() if k[1] not in only}
+    return replace(state, generation=state.generation + 1, folders={**kept, **store.write_buckets(root, tables)})
+
+
 def write_catalog(catalog: Catalog, root: str, only: Sequence[int] | None = None, buckets: int | None = None) -> None:
-    """Write all tables below ``root`` in source buckets.
+    """Write all tables below ``root`` in source buckets, and publish them at once.
 
     With ``only``, those buckets are replaced and all other files stay as they
-    are. The new rows are written aside first, because they may derive from the
-    files they replace. A catalog keeps its number of buckets (``buckets``, or
-    ``BUCKETS``, when it is first written): it is stored with the version.
+    are. A catalog keeps its number of buckets (``buckets``, or ``BUCKETS``, when
+    it is first written): it is published with the version.
     """
     spark = catalog.sources.sparkSession
     if only is None:
-        buckets = buckets or BUCKETS
-        _write_meta(spark, root, buckets)
+        before = store.latest(spark, root)
+        state = store.Published(before.generation if before else 0, schemas.CATALOG_VERSION, buckets or BUCKETS, {})
     else:
-        buckets = stored_buckets(spark, root, buckets)
-    for name, table in catalog.tables().items():
-        rows = table.withColumn("bucket", _bucket(buckets))
-        order = ["bucket", *_SORT.get(name, ["source_id"])]
-        path = f"{root}/{name}"
-        if only is not None:
-            rows = checkpointed(rows.filter(F.col("bucket").isin(list(only))))
-        (
-            rows.repartitionByRange(*order).sortWithinPartitions(*order)
-            .write.mode("overwrite").option("partitionOverwriteMode", "static" if only is None else "dynamic")
-            .partitionBy("bucket").parquet(path)
-        )
-        if only is not None:
-            # A bucket that has become empty is not among the written partitions.
-            left = {r[0] for r in rows.select("bucket").distinct().collect()}
-            for number in sorted(set(only) - left):
-                rows.drop("bucket").limit(0).write.mode("overwrite").parquet(f"{path}/bucket={number}")
+        state = published_state(spark, root, buckets)
+    store.publish(spark, root, stage(catalog, root, state, only))
+
+
+def staged_update(spark: SparkSession, root: str, manifests: DataFrame, fingerprints: DataFrame | None = None,
+                  buckets: int | None = None) -> tuple[store.Published | None, DataFrame]:
+    """The state that ``update_catalog`` publishes, written but not published (None if there is nothing to change), and its
+    report."""
+    state = published_state(spark, root, buckets)
+    rows = written(prepare_manifests(manifests, fingerprints), "manifests")
+    only = touched_buckets(_fitting(rows), state.buckets)
+    if not only:
+        return None, _refused(rows)
+    updated, report = _fold(read_catalog(spark, root, only, state), _fitting(rows))
+    return stage(updated, root, state, only), written(report.unionByName(_refused(rows)), "report")
 
 
 def update_catalog(spark: SparkSession, root: str, manifests: DataFrame, fingerprints: DataFrame | None = None,
                    buckets: int | None = None) -> DataFrame:
     """Fold manifests into the catalog stored at ``root``, reading and writing the
-    buckets of their sources only. Returns the report of ``ingest``."""
-    buckets = stored_buckets(spark, root, buckets)
-    rows = checkpointed(prepare_manifests(manifests, fingerprints))
-    only = touched_buckets(_fitting(rows), buckets)
-    if not only:
-        return _refused(rows)
-    updated, report = _fold(read_catalog(spark, root, only), _fitting(rows))
-    report = checkpointed(report.unionByName(_refused(rows)))
-    write_catalog(updated, root, only, buckets)
+    buckets of their sources only. Readers see all of it or nothing; an update that
+    ends half-way is run again. Returns the report of ``ingest``."""
+    state, report = staged_update(spark, root, manifests, fingerprints, buckets)
+    if state is not None:
+        store.publish(spark, root, state)
     return report
 
 
 def create_catalog(spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
     """An empty stored catalog."""
-    for name, table in empty_catalog(spark).tables().items():
-        table.write.mode("overwrite").parquet(f"{root}/{name}/bucket=0")
-    _write_meta(spark, root, buckets)
+    before = store.latest(spark, root)
+    store.publish(spark, root, store.Published(before.generation + 1 if before else 1, schemas.CATALOG_VERSION, buckets, {}))
 
 
 def source_key(fingerprint: Column) -> Column:
@@ -164,11 +165,11 @@ def _with_winners(rows: DataFrame) -> DataFrame:
     told = F.when(F.col("told"), F.col("manifest_path"))
     by_extract = keys.groupBy("extract_id").agg(F.max("manifest_path").alias("_e"))
     by_source = keys.groupBy("source_id").agg(F.max("manifest_path").alias("_s"), F.max(told).alias("_t"))
-    flags = checkpointed(keys.join(by_extract, "extract_id").join(by_source, "source_id").select(
+    flags = written(keys.join(by_extract, "extract_id").join(by_source, "source_id").select(
         "manifest_path", (F.col("manifest_path") == F.col("_e")).alias("_extract_wins"),
         (F.col("manifest_path") == F.col("_s")).alias("_source_wins"),
         F.coalesce(F.col("manifest_path") == F.col("_t"), F.lit(False)).alias("_summary_wins"),
-    ))
+    ), "winners")
     return rows.join(broadcast_if_small(flags), "manifest_path")
 
 
@@ -244,7 +245,7 @@ def ingest(catalog: Catalog, manifests: DataFrame, fingerprints: DataFrame | Non
     clip_count, created, refused_scores`` (how many scores made it refused, or 0).
     """
     # Every table is derived from the batch, so it is parsed and written aside once.
-    rows = checkpointed(prepare_manifests(manifests, fingerprints))
+    rows = written(prepare_manifests(manifests, fingerprints), "manifests")
     updated, report = _fold(catalog, _fitting(rows))
     return updated, report.unionByName(_refused(rows))
 
@@ -309,12 +310,11 @@ def _without(catalog: Catalog, gone: DataFrame) -> Catalog:
 def remove_stored(spark: SparkSession, root: str, manifest_path: str) -> DataFrame:
     """``remove_manifest`` for the catalog stored at ``root``: the manifest is found in the extracts, and only the buckets
     of its sources are read whole and replaced. Returns the removed extracts; a manifest that is not there removes nothing."""
-    buckets = stored_buckets(spark, root)
-    # Written aside: the other tables are cut by these keys after the extracts have been replaced.
-    gone = checkpointed(read_catalog(spark, root).extracts.filter(F.col("manifest_path") == manifest_path))
-    only = touched_buckets(gone, buckets)
+    state = published_state(spark, root)
+    gone = written(read_catalog(spark, root, state=state).extracts.filter(F.col("manifest_path") == manifest_path), "gone")
+    only = touched_buckets(gone, state.buckets)
     if only:
-        write_catalog(_without(read_catalog(spark, root, only), gone), root, only, buckets)
+        store.publish(spark, root, stage(_without(read_catalog(spark, root, only, state), gone), root, state, only))
     return gone
 
 
@@ -370,9 +370,11 @@ def stats(catalog: Catalog) -> DataFrame:
 
 
 def stored_bytes(spark: SparkSession, root: str) -> DataFrame:
-    """Bytes of the catalog's files, from file metadata."""
+    """Bytes of the files of the published catalog, from file metadata."""
+    paths = [f"{root}/{f}" for f in published_state(spark, root).folders.values()]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
-    return files.load(root).select("length").groupBy().agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
+    sizes = files.load(paths).select("length") if paths else spark.createDataFrame([], "length bigint")
+    return sizes.groupBy().agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))
 
 
 def list_sources(catalog: Catalog) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import semi
@@ -9,7 +12,7 @@ from ..functions.numeric import frame_count, grid_columns, grid_rows, token_esti
 from ..functions.text import strip
 from ..plans.intervals import interval_join
 from ..plans.scan import number, ordered_scan, running
-from ..plans.session import last_key_counts
+from ..plans.session import last_key_counts, written
 
 # Window size and limits that results depend on.
 WINDOW_SCENES = 30
@@ -59,12 +62,11 @@ def scene_windows(scenes: DataFrame, line: Column, size: int = WINDOW_SCENES, id
     )
 
 
-def join_parts(parts: DataFrame, separator: str = "\n") -> DataFrame:
-    """One document per source from its window texts, in order."""
-    texts = F.array_sort(F.collect_list(F.struct("window_no", "text")))
-    return parts.groupBy("source_id").agg(
-        F.concat_ws(separator, F.transform(texts, lambda x: x["text"])).alias("text")
-    )
+def write_documents(parts: DataFrame, path: str) -> None:
+    """Write the parts of documents (``source_id, window_no, text``) as JSON lines, in the order of sources and windows over
+    the files: a document of any length is read on from file to file."""
+    order = ["source_id", "window_no"]
+    parts.select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order).write.json(path)
 
 
 def read_window_summaries(replies: DataFrame) -> DataFrame:
@@ -92,9 +94,53 @@ def roster(windows: DataFrame) -> DataFrame:
     return first.select("source_id", "m.c.name", "m.c.role", "m.window_no", "m.pos")
 
 
-def source_beats(windows: DataFrame) -> DataFrame:
-    """All beats of each source: ``source_id, start, end, title, summary``."""
-    return windows.select("source_id", F.explode("beats").alias("b")).select("source_id", "b.*")
+def source_cast(windows: DataFrame, **kwargs) -> DataFrame:
+    """The roster of each source as rows with a place from 0 on: ``source_id, pos, name, role``."""
+    people = roster(windows).withColumnRenamed("pos", "_pos")
+    placed = ordered_scan(people, ["source_id"], ["window_no", "_pos"], [number("_n")], **kwargs)
+    return placed.select("source_id", (F.col("_n") - 1).alias("pos"), "name", "role")
+
+
+def source_beats(windows: DataFrame, **kwargs) -> DataFrame:
+    """All beats of each source as rows with a place from 0 on, in the order of time: ``source_id, pos, start, end, title,
+    summary``."""
+    each = windows.select("source_id", F.explode("beats").alias("b")).select("source_id", "b.*")
+    placed = ordered_scan(each, ["source_id"], ["start", "end", "title", "summary"], [number("_n")], **kwargs)
+    return placed.select("source_id", (F.col("_n") - 1).alias("pos"), "start", "end", "title", "summary")
+
+
+def summary_levels(windows: DataFrame, size: int = WINDOW_SCENES, limit: int = FALLBACK_CHARS,
+                   combine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The window synopses of each source reduced level by level until one is left: ``source_id, level, window_no, parts,
+    synopsis``.
+
+    Level 0 are the windows that say something. A window of the next level stands for up to ``size`` windows of the one
+    before, so no row ever gathers more. Its synopsis is theirs joined and cut to ``limit`` characters (the same as cutting all
+    of them joined), or what ``combine`` makes of ``source_id, level, window_no, parts, texts``: those rows with a
+    ``synopsis``.
+    """
+    columns = ["source_id", "level", "window_no", "parts", "synopsis"]
+    rows = windows.filter("synopsis <> ''").select("source_id", F.lit(0).alias("level"), "window_no", F.lit(1).alias("parts"), "synopsis")
+    now, levels = written(rows, "level"), []
+    while True:
+        levels.append(now)
+        long = now.groupBy("source_id").agg(F.max("window_no").alias("last")).filter("last > 0").select("source_id")
+        if long.isEmpty():
+            break
+        texts = F.array_sort(F.collect_list(F.struct("window_no", "synopsis")))
+        grouped = now.join(long, "source_id", "left_semi").groupBy(
+            "source_id", (F.col("level") + 1).alias("level"), F.floor(F.col("window_no") / size).cast("int").alias("above")).agg(
+            F.count(F.lit(1)).cast("int").alias("parts"), F.transform(texts, lambda x: x["synopsis"]).alias("texts"))
+        grouped = grouped.withColumnRenamed("above", "window_no")
+        if combine is None:
+            reduced = grouped.withColumn("synopsis", F.substring(F.concat_ws(" ", "texts"), 1, limit))
+        else:
+            reduced = combine(grouped)
+        now = written(reduced.select(*columns), "level")
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
 
 
 def joined_synopsis(windows: DataFrame, limit: int = FALLBACK_CHARS, **kwargs) -> DataFrame:
@@ -114,27 +160,30 @@ def joined_synopsis(windows: DataFrame, limit: int = FALLBACK_CHARS, **kwargs) -
     )
 
 
-def summarize_sources(windows: DataFrame, reduced: DataFrame | None = None) -> DataFrame:
-    """One summary per source from its window summaries.
+@dataclass(frozen=True)
+class Summaries:
+    """What is told of sources: one row of texts each (``source_id, synopsis, themes, tone``), and rows with a place for
+    their cast (``source_id, pos, name, role``) and their beats (``source_id, pos, start, end, title, summary``)."""
+
+    texts: DataFrame
+    cast: DataFrame
+    beats: DataFrame
+
+
+def summarize_sources(windows: DataFrame, reduced: DataFrame | None = None) -> Summaries:
+    """The summaries of sources from their windows' summaries.
 
     ``reduced`` (``source_id, synopsis, themes, tone``) holds the texts of a final
     pass where there was one; elsewhere the joined synopses stand in, without
     themes and tone. Sources with one window (number 0) keep that window's texts. Sources
-    without synopsis and beats get no row.
+    without synopsis and beats get no row. Cast and beats stay rows, however many a source has.
     """
     sizes = windows.groupBy("source_id").agg(
         F.max("window_no").alias("_last"), F.min_by("themes", "window_no").alias("_themes"),
         F.min_by("tone", "window_no").alias("_tone"), F.min_by("synopsis", "window_no").alias("_one"),
+        F.max(F.size("beats") > 0).alias("_beats"),
     )
-    cast = roster(windows).groupBy("source_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("window_no", "pos", "name", "role"))),
-                    lambda p: F.struct(p["name"].alias("name"), p["role"].alias("role"))).alias("characters")
-    )
-    beats = source_beats(windows).groupBy("source_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "title", "summary"))).alias("beats")
-    )
-    rows = sizes.join(joined_synopsis(windows), "source_id", "left").join(cast, "source_id", "left").join(
-        beats, "source_id", "left")
+    rows = sizes.join(joined_synopsis(windows), "source_id", "left")
     none = F.array().cast("array<string>")
     if reduced is None:
         rows = rows.withColumns({"_r_syn": F.lit(None).cast("string"), "_r_th": none, "_r_tone": F.lit("")})
@@ -145,15 +194,12 @@ def summarize_sources(windows: DataFrame, reduced: DataFrame | None = None) -> D
     single = F.col("_last") == 0
     told = F.coalesce("_r_syn", F.lit("")) != ""
     synopsis = F.when(told, F.col("_r_syn")).when(single, F.col("_one")).otherwise(F.coalesce("synopsis", F.lit("")))
-    out = rows.select(
+    texts = rows.select(
         "source_id", synopsis.alias("synopsis"),
         F.when(told, F.col("_r_th")).when(single, F.col("_themes")).otherwise(none).alias("themes"),
-        F.when(told, F.col("_r_tone")).when(single, F.col("_tone")).otherwise("").alias("tone"),
-        F.coalesce("characters", F.array().cast("array<struct<name:string,role:string>>")).alias("characters"),
-        F.coalesce("beats", F.array().cast(
-            "array<struct<start:double,end:double,title:string,summary:string>>")).alias("beats"),
-    )
-    return out.filter((F.col("synopsis") != "") | (F.size("beats") > 0))
+        F.when(told, F.col("_r_tone")).when(single, F.col("_tone")).otherwise("").alias("tone"), "_beats",
+    ).filter((F.col("synopsis") != "") | F.col("_beats")).drop("_beats")
+    return Summaries(texts, source_cast(windows), source_beats(windows))
 
 
 def merge_cast(entries: DataFrame) -> DataFrame:
@@ -236,12 +282,36 @@ PROMPT = (
 )
 
 
+RULES = (
+    "Every event is one thing that happens, from its first visible moment to its last. Events are in order and do not share time. "
+    "Leave out stretches where nothing happens, and do not end an event only because the camera cuts."
+)
+
+
+def context_preamble(intro: Column, characters: Column) -> Column:
+    """What is known of a recording before its pieces are shown: the introduction and the people, with how many pictures of each follow.
+    ``characters``: array of name, description, images. Empty if nothing is known."""
+    def person(c: Column) -> Column:
+        told = strip(F.coalesce(c["description"], F.lit("")))
+        seen = F.size(F.coalesce(c["images"], F.array().cast("array<string>")))
+        return F.concat(F.lit("- "), c["name"], F.when(told == "", "").otherwise(F.concat(F.lit(": "), told)),
+                        F.when(seen > 0, F.concat(F.lit(" (pictures: "), seen.cast("string"), F.lit(")"))).otherwise(""))
+
+    given = strip(F.coalesce(intro, F.lit("")))
+    people = F.concat_ws("\n", F.transform(F.coalesce(characters, F.array().cast(
+        "array<struct<name:string,description:string,images:array<string>>>")), person))
+    parts = F.concat_ws("\n", F.when(given != "", F.concat(F.lit("About this recording: "), given)),
+                        F.when(people != "", F.concat(F.lit("People in it:\n"), people)))
+    return F.when(parts == "", "").otherwise(F.concat(parts, F.lit("\n\n")))
+
+
 def render_prompts(chunks: DataFrame, profiles: DataFrame, template: str = PROMPT) -> DataFrame:
     """Fill a prompt template for every chunk from its profile row.
 
     ``profiles``: ``profile, subject, taxonomy, hints, rules, example`` and
     ``signals`` (array of key, type, description). A profile's own ``template``
-    column, where set, wins. ``chunks`` may carry a ``context`` text.
+    column, where set, wins. ``chunks`` may carry a ``context`` text (``context_preamble``). A profile without
+    rules gets ``RULES``.
     """
     from ..plans.groups import broadcast_if_small
 
@@ -260,7 +330,8 @@ def render_prompts(chunks: DataFrame, profiles: DataFrame, template: str = PROMP
         "frames": frame_count(length).cast("string"),
         "columns": grid_columns(frame_count(length)).cast("string"),
         "rows": grid_rows(frame_count(length)).cast("string"),
-        "hints": F.coalesce("hints", blank), "rules": F.coalesce("rules", blank),
+        "hints": F.coalesce("hints", blank),
+        "rules": F.when(strip(F.coalesce("rules", blank)) == "", F.lit(RULES)).otherwise(F.col("rules")),
         "taxonomy": F.when(tags == "", "(none)").otherwise(tags),
         "signals": F.concat_ws("\n", F.coalesce(lines, none)),
         "example": F.when(example == "", "").otherwise(F.concat(example, F.lit("\n\n"))),

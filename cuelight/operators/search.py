@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .catalog import Catalog, category_lists
+from .matching import Match, ranked
 from .textindex import TextQuery, match, rank
 
 # Sort orders by name.
@@ -130,7 +131,7 @@ def _projected(rows: DataFrame) -> DataFrame:
 def search(
     catalog: Catalog,
     *,
-    query: TextQuery | None = None,
+    query: TextQuery | Match | str | None = None,
     categories: Sequence[str] | None = None,
     all_categories: bool = False,
     min_score: int | None = None,
@@ -150,6 +151,8 @@ def search(
     kept with each clip, extracts and sources are filtered before they are
     joined. Ties are broken by clip id. A negative limit means no limit.
     ``signals`` are ``(key, "=" or "~=", value)``, or texts such as ``map~=dust``.
+    ``query`` is a structured one, or a match expression (``matching``) as a tree or
+    a text.
     """
     clips = catalog.clips
     for column, low, high in (("score", min_score, max_score), ("duration", min_duration, max_duration)):
@@ -172,12 +175,15 @@ def search(
     if source:
         sources = sources.filter((F.col("file_path") == source) | (F.col("fingerprint") == source))
 
-    if query is not None:
+    lengths = catalog.lengths.select("clip_id", "length")
+    if isinstance(query, TextQuery):
         hits = match(catalog.postings, query)
-        scores = rank(catalog.postings, catalog.lengths.select("clip_id", "length"), query)
+        scores = rank(catalog.postings, lengths, query)
         clips = clips.join(hits, "clip_id", "left_semi").join(
             scores.withColumnRenamed("rank", "fts_rank"), "clip_id", "left"
         )
+    elif query is not None:
+        clips = clips.join(ranked(catalog.postings, lengths, query).withColumnRenamed("rank", "fts_rank"), "clip_id")
     else:
         clips = clips.withColumn("fts_rank", F.lit(None).cast("double"))
 

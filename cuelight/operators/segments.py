@@ -125,14 +125,40 @@ class _Merge:
         return [tuple(u) for u in unions]
 
 
+class _Settled:
+    """All passes of the growing union over one island, which is held meanwhile, until one changes nothing."""
+
+    def __init__(self, threshold: float):
+        self.once = _Merge(threshold)
+
+    def start(self, row):
+        return []
+
+    def step(self, held, row):
+        held.append(row)
+        return held, []
+
+    def finish(self, held):
+        while True:
+            unions, done = [], []
+            for row in held:
+                unions, closed = self.once.step(unions, row)
+                done += closed
+            done += self.once.finish(unions)
+            held = sorted((u[:3] for u in done), key=lambda u: (u[0], u[2]))
+            if not any(u[3] for u in done):
+                return [(*u, False) for u in held]
+
+
 def merge_overlapping(
     ranges: DataFrame, threshold: float = DEDUP_IOU, *, max_group_rows: int | None = None
 ) -> DataFrame:
     """Merge ranges whose IoU reaches ``threshold`` until nothing changes.
 
     Ranges are taken by start, then ``pos`` (their given order). Only ranges that share time can merge, so ranges that
-    overlap no other pass through, and the others are taken island by island, wherever their source is. Islands in
-    which a pass merged nothing are final and leave the loop.
+    overlap no other pass through, and the others are taken island by island, wherever their source is: an island is settled
+    by one task that holds it. Only where an island is too big for that, passes run one after another over islands that are split, and
+    those in which a pass merged nothing are final and leave the loop.
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
@@ -150,6 +176,9 @@ def merge_overlapping(
     ], hot=hot).select(*columns, "_island", (F.col("_opens") & F.coalesce("_closes", F.lit(True))).alias("_alone")))
     finished = placed.filter("_alone").select(*columns)
     todo = placed.filter("not _alone").drop("_alone")
+    if not has_hot_group(todo, key, max_group_rows):
+        settled = ordered_fold(todo, key, order, ["start", "end", "pos"], _Settled(threshold), schema, hot=False)
+        return finished.unionByName(settled.select(*columns))
     while True:
         merged = checkpointed(
             ordered_fold(

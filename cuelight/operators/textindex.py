@@ -74,6 +74,14 @@ def build_postings(texts: DataFrame, ids: Sequence[str], fields: Sequence[str],
     )
 
 
+def field_statistics(texts: DataFrame, ids: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Tokens and distinct tokens of each field that has any: ``<ids>, field, tokens, terms``. Needs no shuffle."""
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("words")) for f in fields]))
+    words = texts.select(*ids, named.alias("f")).select(*ids, "f.field", "f.words")
+    return words.filter(F.size("words") > 0).select(
+        *ids, "field", F.size("words").cast("bigint").alias("tokens"), F.size(F.array_distinct("words")).cast("bigint").alias("terms"))
+
+
 def text_lengths(texts: DataFrame, ids: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Tokens per document, straight from its texts. Needs no shuffle."""
     total = sum((F.size(tokens(F.col(f))) for f in fields), F.lit(0)).cast("bigint")

@@ -16,6 +16,33 @@ def content_key(*parts: Column) -> Column:
     return F.sha1(F.to_json(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])))
 
 
+def stage_key(stage: str, *inputs: Column) -> Column:
+    """The key of a stage's work from the keys and settings that it depends on. A key that goes into another carries
+    whatever it stands for on, so a change reaches all that depends on it and nothing else."""
+    return content_key(F.lit(stage), *inputs)
+
+
+def list_key(rows: DataFrame, by: Sequence[str], columns: Sequence[str], name: str = "list_key") -> DataFrame:
+    """``by`` and the key of each group's rows, whatever their order: their number and the sum of their hashes. Groups of any
+    size are added up part by part."""
+    total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    return rows.groupBy(*by).agg(F.sha1(F.concat_ws(":", F.count(F.lit(1)).cast("string"), total.cast("string"))).alias(name))
+
+
+def analysis_keys(sources: DataFrame, cuts: DataFrame, chunks: DataFrame, settings: Sequence[str]) -> DataFrame:
+    """``chunks`` with the chained ``key`` of their analysis: it holds the key of the source's segments, which holds its
+    fingerprint, its segmenter and its cut list.
+
+    ``sources``: ``source_id, fingerprint, segmenter``; ``cuts``: ``source_id, start, end`` where sources have a cut list;
+    ``chunks``: ``source_id, start, end`` and the columns ``settings``.
+    """
+    listed = list_key(cuts, ["source_id"], ["start", "end"], "_cuts")
+    segments = sources.join(listed, "source_id", "left").select("source_id", stage_key(
+        "segments", F.col("fingerprint"), F.col("segmenter"), F.coalesce("_cuts", F.lit(""))).alias("_segments"))
+    return chunks.join(segments, "source_id").withColumn("key", stage_key(
+        "analysis", F.col("_segments"), F.bround("start", 3), F.bround("end", 3), *[F.col(c) for c in settings])).drop("_segments")
+
+
 def context_key(intro: Column, characters: Column) -> Column:
     """Short digest of a context; ``characters``: array of name, description, images."""
     people = F.transform(characters, lambda c: F.concat_ws(

@@ -2,8 +2,11 @@
 
 Each side is put into the buckets it touches, the join is an equi-join on
 (key, bucket), and a pair is kept only in the bucket where the later of the two
-starts lies, so no pair appears twice and no plan needs a cartesian product. A
-bucket that is hot on the left is spread over salted copies of the right.
+starts lies, so no pair appears twice and no plan needs a cartesian product. Both
+inputs are read once, when the join runs; a bucket that is hot then is split by
+adaptive execution, part by part of either side. Where that is switched off, or
+rows are too small for its limits in bytes, ``max_bucket_rows`` counts the buckets
+first and cuts the hot ones.
 """
 
 from __future__ import annotations
@@ -15,9 +18,6 @@ from pyspark.sql.types import MapType, VariantType
 
 from .groups import MAX_BROADCAST_ROWS
 
-# Rows of one side of a (key, bucket) that a single join task may pair.
-MAX_BUCKET_ROWS = 500_000
-
 
 def bucket_of(position: Column, width: float) -> Column:
     return F.floor(position / F.lit(float(width))).cast("bigint")
@@ -50,7 +50,8 @@ def interval_join(
     lb = bucketed(left, F.col(ls), F.col(le), width)
     rb = bucketed(right, F.col(rs), F.col(re_), width)
     on = [*keys, "_bucket"]
-    lb, rb, on = _salted(lb, rb, on, max_bucket_rows or MAX_BUCKET_ROWS)
+    if max_bucket_rows is not None:
+        lb, rb, on = _salted(lb, rb, on, max_bucket_rows)
     if closed:
         touch = (F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le))
     else:

@@ -69,6 +69,33 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Like ``checkpointed``, but as Parquet: readers fetch only the columns that they use."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """Spark's own access to the store that holds ``path``, and the path in its form."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, in any store that Spark reaches; nothing happens if it is not there."""
+    store, place = _files(spark, path)
+    store.delete(place, True)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path``; none if it is not there."""
+    store, place = _files(spark, path)
+    if not store.exists(place):
+        return []
+    return sorted(f.getPath().getName() for f in store.listStatus(place) if f.isDirectory())
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written copy, so
     that both readers of it see the same rows and a lost executor costs no

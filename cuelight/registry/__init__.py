@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import captions, catalog, edits, ranges, replies, rollups, signals, texts  # noqa: F401
+    from . import captions, catalog, edits, files, ranges, replies, rollups, signals, texts  # noqa: F401

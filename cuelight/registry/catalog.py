@@ -98,6 +98,12 @@ def search_text(spark, sf):
     return flat(find.search(views.catalog(spark, sf), query=TextQuery(all_of=["purchases", "scene"]), min_score=40, limit=-1))
 
 
+@query("search_expression", _C + _JOINED + _OUT + "WHERE (description LIKE 'purchase %' OR clip_id IN (SELECT clip_id FROM c_categories WHERE category = 'loud')) AND NOT description LIKE 'view %'")
+def search_expression(spark, sf):
+    """A search by a match expression over all fields and one."""
+    return flat(find.search(views.catalog(spark, sf), query='(description : purchases OR tags : loud) NOT "view scene"', limit=-1))
+
+
 _RANKED = """, len AS (SELECT clip_id, CAST(4 + 1 + CASE WHEN score > 50 THEN 2 ELSE 1 END AS DOUBLE) AS n FROM v_clips),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS docs, avg(n) AS mean FROM len),
 tf AS (SELECT clip_id, 'purchase' AS term, 2 AS tf FROM v_clips WHERE category = 'purchase' UNION ALL SELECT clip_id, 'loud', 1 FROM v_clips WHERE score > 50),
@@ -413,7 +419,23 @@ def catalog_written(spark, sf):
     return cat.read_catalog(spark, path).clips.select("clip_id", "score", "source_in", "extract_id")
 
 
-@query("search_report", _C + _JOINED + """SELECT clip_id, CAST(json_extract_string(line, '$.score') AS INTEGER) AS score FROM (
+@query("interrupted_update", _C + """ SELECT e.manifest_path, c.clip_id, c.score, k.categories
+FROM c_clips c JOIN c_extracts e USING (extract_id)
+JOIN (SELECT clip_id, string_agg(category, ',' ORDER BY category) AS categories FROM c_categories GROUP BY clip_id) k USING (clip_id)""")
+def interrupted_update(spark, sf):
+    """A stored catalog after an update of half its manifests that wrote all its tables and ended before it was published."""
+    from ..plans.session import scratch_path
+
+    path = scratch_path(spark, "catalog")
+    cat.write_catalog(views.catalog(spark, sf), path, buckets=4)
+    docs = _documents(spark, sf).filter(F.pmod(F.xxhash64("manifest_path"), F.lit(2)) == 0)
+    cat.staged_update(spark, path, docs.withColumn("clips", F.transform("clips", lambda c: c.withField("score", F.lit(7)))))
+    c = cat.read_catalog(spark, path)
+    return c.clips.join(c.extracts.select("extract_id", "manifest_path"), "extract_id").select(
+        "manifest_path", "clip_id", "score", F.array_join("categories", ",").alias("categories"))
+
+
+@query("search_report",_C + _JOINED + """SELECT clip_id, CAST(json_extract_string(line, '$.score') AS INTEGER) AS score FROM (
   SELECT clip_id, json_object('clip_id', clip_id, 'score', score) AS line FROM joined) t""")
 def search_report(spark, sf):
     """Results as JSON lines."""

@@ -168,21 +168,41 @@ def edl_verdicts(spark, sf):
     return edl.verdicts(t.head, edl.voiceover_issues(t.head, t.audio))
 
 
-@query("edl_documents", """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'bad value: video.effect' WHEN 1 THEN 'unknown key: music.volume' WHEN 2 THEN 'missing field: video[].clip_id' ELSE '1080/cut' END AS outcome FROM orders""")
+@query("edl_full_verdicts", _VC + " , bad AS (" + " UNION ALL ".join(f"SELECT edl_id, severity FROM ({ORACLES[r]}) AS {r}" for r in _RULES) + """),
+w AS (SELECT edl_id, count(*) FILTER (WHERE severity = 'error') AS errors FROM bad GROUP BY edl_id)
+SELECT edl_id, coalesce(errors, 0) = 0 AS ok FROM e_head LEFT JOIN w USING (edl_id)""")
+def edl_full_verdicts(spark, sf):
+    """The verdict of each document over every rule."""
+    t = views.edl_tracks(spark, sf)
+    return edl.verdicts(t.head, edl.validate(t, views.edl_clips(spark, sf)))
+
+
+_CUES = views.with_views("edl_cues")
+
+
+def _texts(spark, sf, offset=False):
+    """``edl_id, cues, total, n``: the video cues of each order as JSON text, where they end, and how many there are."""
+    cue = ["start", "end", "clip_id", "transition_in", *(["reframe_offset"] if offset else [])]
+    rows = views.edl_cues(spark, sf).withColumn("reframe_offset", (F.col("end") - F.col("start")).cast("int"))
+    each = F.array_sort(F.collect_list(F.struct("pos", F.struct(*cue).alias("cue"))))
+    return rows.groupBy("edl_id").agg(F.to_json(F.transform(each, lambda c: c["cue"])).alias("cues"), F.max("end").alias("total"), F.count("*").alias("n"))
+
+
+@query("edl_documents", _CUES + """ SELECT edl_id, CASE edl_id % 4 WHEN 0 THEN 'bad value: video.effect' WHEN 1 THEN 'unknown key: music.volume' WHEN 2 THEN 'missing field: video[].clip_id'
+  ELSE '1080/' || transition_in || '/' || clip_id END AS outcome FROM v_edl_cues WHERE pos = 0""")
 def edl_documents(spark, sf):
-    """Edit documents as JSON text: defaults filled, bad ones in quarantine."""
+    """Edit documents of all orders as JSON text: defaults filled, bad ones in quarantine."""
     from ..sources.files import parse_edls
 
-    o = views.table(spark, sf, "orders")
-    k = F.col("o_orderkey") % 4
-    clip = F.when(k == 2, "").otherwise(',"clip_id":3')
-    effect = F.when(k == 0, ',"effect":"melt"').otherwise("")
+    k = F.col("edl_id") % 4
+    cues = F.when(k == 2, F.regexp_replace("cues", r',"clip_id":\d+', "")).when(k == 0, F.regexp_replace("cues", r'^\[\{', '[{"effect":"melt",')).otherwise(F.col("cues"))
     music = F.when(k == 1, ',"music":{"file":"a.mp3","volume":3}').otherwise("")
-    text = F.concat(F.lit('{"title":"t","output":{"duration":9},"video":[{"start":0,"end":9'), clip, effect, F.lit("}]"), music, F.lit("}"))
-    good, bad = parse_edls(o.select("o_orderkey", text.alias("text")))
-    shown = F.concat_ws("/", F.col("output.width").cast("string"), F.col("video")[0]["transition_in"])
-    return good.select("o_orderkey", shown.alias("outcome")).unionByName(
-        bad.select("o_orderkey", F.array_join("problems", ";").alias("outcome")))
+    text = F.concat(F.lit('{"title":"t","output":{"duration":'), F.col("total").cast("string"), F.lit('},"video":'), cues, music, F.lit("}"))
+    good, bad = parse_edls(_texts(spark, sf).select("edl_id", text.alias("text")))
+    first = F.col("video")[0]
+    shown = F.concat_ws("/", F.col("output.width").cast("string"), first["transition_in"], first["clip_id"].cast("string"))
+    return good.select("edl_id", shown.alias("outcome")).unionByName(
+        bad.select("edl_id", F.array_join(F.array_distinct("problems"), ";").alias("outcome")))
 
 
 @query("edl_wrong_types", """SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN 'wrong type: output.width' WHEN 1 THEN 'wrong type: output.fps' WHEN 2 THEN 'wrong type: audio'
@@ -216,14 +236,14 @@ def edl_wrong_types(spark, sf):
         bad.select("o_orderkey", F.array_join("problems", ";").alias("outcome")))
 
 
-@query("edl_tracks_exploded", """SELECT o_orderkey AS edl_id, CAST(n AS INTEGER) AS pos, CAST(n * 3.0 AS DOUBLE) AS "start", CAST(9.0 AS DOUBLE) AS total FROM orders, unnest(range(0, 2)) t(n)""")
+@query("edl_tracks_exploded", _CUES + ' SELECT edl_id, pos, "start", "end", clip_id, max("end") OVER (PARTITION BY edl_id) AS total FROM v_edl_cues')
 def edl_tracks_exploded(spark, sf):
+    """The cues of all orders as documents, parsed and taken apart again."""
     from ..sources.files import parse_edls
 
-    o = views.table(spark, sf, "orders")
-    text = F.lit('{"title":"t","output":{"duration":9},"video":[{"start":0,"end":3,"clip_id":1},{"start":3,"end":9,"clip_id":2}]}')
-    good, _ = parse_edls(o.select(F.col("o_orderkey").alias("edl_id"), text.alias("text")))
-    return edl.explode_edls(good).video.select("edl_id", "pos", "start", "total")
+    text = F.concat(F.lit('{"title":"t","output":{"duration":'), F.col("total").cast("string"), F.lit('},"video":'), "cues", F.lit("}"))
+    good, _ = parse_edls(_texts(spark, sf).select("edl_id", text.alias("text")))
+    return edl.explode_edls(good).video.select("edl_id", "pos", "start", "end", "clip_id", "total")
 
 
 @query("footage_consumed", _V + """ SELECT edl_id, pos, round(CASE effect WHEN 'freeze_first' THEN greatest(CAST(2.0 AS DOUBLE) / 30, CAST(0.05 AS DOUBLE))
@@ -292,19 +312,20 @@ def single_cue_siblings(spark, sf):
     return layout.cues_within(t.ost, t.video, _chosen(spark, sf)).select("edl_id", "pos", "start", "end")
 
 
-@query("rescaled_documents", """SELECT o_orderkey, CAST(720 AS INTEGER) AS width, CAST(1280 AS INTEGER) AS height,
-  CAST(round_even((o_orderkey % 100) * CAST(720 AS DOUBLE) / 1080, 0) AS INTEGER) AS reframe_offset,
-  CAST(greatest(1, round_even(8 * CAST(720 AS DOUBLE) / 1080, 0)) AS INTEGER) AS stroke_width FROM orders""")
+@query("rescaled_documents", _CUES + """, n AS (SELECT edl_id, count(*) AS n FROM v_edl_cues GROUP BY edl_id)
+SELECT edl_id, pos, CAST(720 AS INTEGER) AS width, CAST(1280 AS INTEGER) AS height,
+  CAST(round_even(CAST(floor("end" - "start") AS INTEGER) * CAST(720 AS DOUBLE) / 1080, 0) AS INTEGER) AS reframe_offset,
+  CAST(greatest(1, round_even((n + 4) * CAST(720 AS DOUBLE) / 1080, 0)) AS INTEGER) AS stroke_width FROM v_edl_cues JOIN n USING (edl_id)""")
 def rescaled_documents(spark, sf):
+    """Documents of all orders, with offsets and strokes from their lines, in another size."""
     from ..sources.files import parse_edls
 
-    o = views.table(spark, sf, "orders")
-    text = F.concat(F.lit('{"title":"t","output":{"duration":9},"video":[{"start":0,"end":9,"clip_id":1,"reframe_offset":'), F.col("o_orderkey") % 100,
-                    F.lit('}],"annotations":[{"start":0,"end":1,"shape":"box","x":1,"y":2}]}'))
-    good, _ = parse_edls(o.select("o_orderkey", text.alias("text")))
+    text = F.concat(F.lit('{"title":"t","output":{"duration":'), F.col("total").cast("string"), F.lit('},"video":'), "cues",
+                    F.lit(',"annotations":[{"start":0,"end":1,"shape":"box","x":1,"y":2,"stroke_width":'), (F.col("n") + 4).cast("string"), F.lit("}]}"))
+    good, _ = parse_edls(_texts(spark, sf, True).select("edl_id", text.alias("text")))
     out = layout.rescale_to(good, "720p")
-    return out.select("o_orderkey", "output.width", "output.height", F.col("video")[0]["reframe_offset"].alias("reframe_offset"),
-                      F.col("annotations")[0]["stroke_width"].alias("stroke_width"))
+    return out.select("edl_id", "output.width", "output.height", F.col("annotations")[0]["stroke_width"].alias("stroke_width"),
+                      F.posexplode(F.transform("video", lambda v: v["reframe_offset"])).alias("pos", "reframe_offset"))
 
 
 @query("caption_offsets", _V + """, f AS (SELECT edl_id, arg_min("start", pos) AS s FROM e_audio WHERE kind = 'voiceover' GROUP BY edl_id)

@@ -289,13 +289,14 @@ def _tiles(spark, sf):
 @query("chunk_plan", _SRC + """, tiles AS (
   SELECT source_id, n, CAST(n * 55.0 AS DOUBLE) AS s, CAST(least(duration, n * 55.0 + 60.0) AS DOUBLE) AS e
   FROM v_sources, unnest(range(0, CAST(ceil(duration / 55.0) AS BIGINT))) t(n))
-SELECT source_id, CAST(n AS INTEGER) AS tile_no, s AS "start", e AS "end" FROM tiles WHERE n % 3 <> 0""")
+SELECT source_id, CAST(n AS INTEGER) AS tile_no, s AS "start", e AS "end",
+  sha1('{"p0":' || source_id || ',"p1":' || round_even(s, 3) || ',"p2":' || round_even(e, 3) || ',"p3":"gta","p4":"v1"}') AS key FROM tiles WHERE n % 3 <> 0""")
 def chunk_plan(spark, sf):
     """Chunks with content keys, without those already done (every third)."""
     tasks = work.plan_tasks(_tiles(spark, sf).withColumns({"profile": F.lit("gta"), "version": F.lit("v1")}),
                             ["profile", "version"])
     done = tasks.filter("tile_no % 3 = 0").select(F.lit("analysis").alias("namespace"), "key", F.lit("[]").alias("payload"))
-    return work.pending(tasks, done, "analysis").select("source_id", "tile_no", "start", "end")
+    return work.pending(tasks, done, "analysis").select("source_id", "tile_no", "start", "end", "key")
 
 
 @query("source_cap", _SRC + " SELECT source_id, duration, duration <= 1480 AS kept FROM v_sources")

@@ -164,6 +164,50 @@ def recorded_work(spark, sf):
     return counted(done, "done").unionByName(counted(work.pending(tasks, done, "analysis"), "open"))
 
 
+class Count:
+    """A stand-in analyzer that is lost while it works on one batch of tasks, or never."""
+
+    def __init__(self, lost_at: int | None):
+        self.lost_at = lost_at
+
+    def __call__(self, task: dict) -> str:
+        if task["event_id"] == self.lost_at:
+            raise SystemExit("the worker is gone")
+        return '{"run":%d}' % (1 if self.lost_at is not None else 2)
+
+
+@query("resumed_calls", "SELECT CAST(NULL AS VARCHAR) AS error, count(*) AS n, TRUE AS some_kept FROM events")
+def resumed_calls(spark, sf):
+    """Calls of a run that was lost half-way, and of the run after it: what the first one recorded is not called again."""
+    from ..plans.session import scratch_path
+
+    path = scratch_path(spark, "work")
+    tasks = views.table(spark, sf, "events").select("event_id", work.content_key(F.col("event_id"), F.lit("v2")).alias("key"))
+    size = -(-tasks.count() // 4)
+    last = tasks.orderBy(F.desc(F.pmod(F.xxhash64("key"), F.lit(4))), "event_id").first()["event_id"]  # in the last batch
+    try:
+        plugins.resumable_calls(tasks, Count(last), path, "analysis", size, attempts=1).count()
+    except Exception as lost:  # noqa: BLE001
+        if "the worker is gone" not in str(lost):
+            raise
+    out = plugins.resumable_calls(tasks, Count(None), path, "analysis", size, attempts=1)
+    runs = F.get_json_object("payload", "$.run")
+    return out.groupBy("error").agg(F.count("*").alias("n"), ((F.count_if(runs == "1") > 0) & (F.count_if(runs == "2") > 0)).alias("some_kept"))
+
+
+@query("edited_cut_lists", """SELECT o_custkey AS source_id, count(*) AS open_chunks FROM orders WHERE o_custkey % 7 = 0 GROUP BY o_custkey""")
+def edited_cut_lists(spark, sf):
+    """Analysis that is open again after some cut lists were edited: all chunks of their sources, and no other."""
+    o = views.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("source_id"), (F.col("o_orderkey") * 10).cast("double").alias("start"), (F.col("o_orderkey") * 10 + 5).cast("double").alias("end"))
+    sources = o.select("source_id").distinct().select("source_id", F.concat(F.lit("fp"), "source_id").alias("fingerprint"), F.lit("manual").alias("segmenter"))
+    chunks = o.withColumn("profile", F.lit("gta"))
+    keys = lambda cuts: work.analysis_keys(sources, cuts, chunks, ["profile"])
+    done = keys(o).select(F.lit("analysis").alias("namespace"), "key", F.lit("{}").alias("payload"))
+    edited = o.unionByName(sources.filter("source_id % 7 = 0").select("source_id", F.lit(0.5).alias("start"), F.lit(1.5).alias("end")))
+    return work.pending(keys(edited), done, "analysis").groupBy("source_id").agg(F.count("*").alias("open_chunks"))
+
+
 @query("rendered_prompts", """SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'Watch 12.0 s of film scene in 12 frames (4x3). Tags: establishing, dialogue, action, chase, fight, romance, montage, flashback, comedy_beat, emotional_beat, credits'
   ELSE 'Watch 12.0 s of podcast or interview in 12 frames (4x3). Tags: intro, monologue, interview, debate, joke, story, ad_read, outro' END AS prompt FROM events""")
 def rendered_prompts(spark, sf):
@@ -197,11 +241,69 @@ def profile_whitelist(spark, sf):
     return e.join(allowed.select(F.col("category").alias("event_type")), "event_type", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("context_keys", "SELECT c_custkey, c_custkey % 5 = 0 AS empty, CASE WHEN c_custkey % 5 = 0 THEN 10 ELSE 16 END AS width FROM customer")
+@query("context_keys", """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'no-context'
+  ELSE substr(sha256('' || chr(0) || c_name || chr(0) || '' || chr(1) || 'a.png'), 1, 16) END AS key FROM customer""")
 def context_keys(spark, sf):
     c = views.table(spark, sf, "customer")
     none = F.array().cast("array<struct<name:string,description:string,images:array<string>>>")
     people = F.when(F.col("c_custkey") % 5 == 0, none).otherwise(F.array(F.struct(
         F.col("c_name").alias("name"), F.lit("").alias("description"), F.array(F.lit("a.png")).alias("images"))))
-    key = work.context_key(F.lit(" "), people)
-    return c.select("c_custkey", (key == "no-context").alias("empty"), F.length(key).alias("width"))
+    return c.select("c_custkey", work.context_key(F.lit(" "), people).alias("key"))
+
+
+class Watch:
+    """A stand-in analyzer of chunks of 20 seconds: no answer, an event with a tail over it, a short event, the whole chunk."""
+
+    def __call__(self, task: dict) -> str:
+        kind, tag = task["chunk_id"] % 4, ("stunt", "crash")[task["chunk_id"] % 2]
+        if kind == 0:
+            raise plugins.PermanentError("no answer")
+        spans = {1: [(1, 12.5), (12, 14)], 2: [(5, 11)], 3: [(0, 25)]}[kind]
+        events = ",".join(f'{{"start":{a},"end":{b},"description":"part {task["chunk_id"]}","categories":["{tag}","none"],'
+                          f'"base_interest":{task["chunk_id"] % 90},"game_signals":{{"wanted_level":{kind},"x":1}}}}' for a, b in spans)
+        return f"Found:\n{{\"events\":[{events}]}}"
+
+
+_EXTRACT = views.with_views("clips", "sources", "samples", "cues") + """, src AS (SELECT source_id, CAST(ceil(duration) AS DOUBLE) AS duration FROM v_sources),
+ch AS (SELECT source_id, source_id * 4096 + n AS chunk_id, n * 20.0 AS s0 FROM src, unnest(range(0, CAST(floor(duration / 20.0) AS BIGINT))) t(n)),
+ev AS (SELECT source_id, chunk_id, chunk_id % 4 AS k, CAST(s0 + CASE chunk_id % 4 WHEN 1 THEN 1.0 WHEN 2 THEN 3.0 ELSE 0.0 END AS DOUBLE) AS s,
+  CAST(s0 + CASE chunk_id % 4 WHEN 1 THEN 12.5 WHEN 2 THEN 13.0 ELSE 20.0 END AS DOUBLE) AS e FROM ch WHERE chunk_id % 4 <> 0),
+lv AS (SELECT source_id, min(db) AS lo, max(db) AS hi FROM v_samples GROUP BY source_id),
+pk AS (SELECT ev.source_id, chunk_id, k, s, e, max(db) AS peak FROM ev LEFT JOIN v_samples a ON a.source_id = ev.source_id AND a.t BETWEEN s AND e GROUP BY ALL),
+said AS (SELECT chunk_id, string_agg(text, ' ' ORDER BY c."start", cue_no) AS text FROM ev JOIN v_cues c ON c.source_id = ev.source_id AND c."start" < e AND c."end" > s GROUP BY chunk_id)
+SELECT '/out/' || p.source_id || '/manifest.json' AS manifest_path, '/media/u' || p.source_id || '.mp4' AS source_file,
+  printf('clip_%02d', row_number() OVER (PARTITION BY p.source_id ORDER BY s)) AS clip_local_id, s AS source_in, e AS source_out,
+  'part ' || chunk_id AS description, CASE chunk_id % 2 WHEN 0 THEN 'stunt' ELSE 'crash' END AS categories,
+  CAST(round_even(CAST(0.7 AS DOUBLE) * (chunk_id % 90) + CAST(0.3 AS DOUBLE) * coalesce(round_even((peak - lo) / CASE WHEN hi = lo THEN 1.0 ELSE hi - lo END * 100.0, 2), 0.0), 0) AS INTEGER) AS score,
+  '{"wanted_level":' || k || '}' AS game_signals, round_even(peak, 2) AS peak_loudness_db,
+  coalesce(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') AS dialogue
+FROM pk p LEFT JOIN lv USING (source_id) LEFT JOIN said USING (chunk_id)"""
+
+
+@query("extract_pipeline", _EXTRACT)
+def extract_pipeline(spark, sf):
+    """From chunks of recordings to manifests that are written, found and read back: replies, pruning, stretching, levels,
+    dialogue, numbers and scores."""
+    from ..operators.extract import extract_manifests
+    from ..operators.segments import interval_segments
+    from ..plans.session import scratch_path
+    from ..sources.files import manifest_json, parse_manifests
+
+    sources = views.sources(spark, sf).select(
+        "source_id", F.concat(F.lit("/media/u"), "source_id", F.lit(".mp4")).alias("file_path"), F.ceil("duration").cast("double").alias("duration"),
+        F.lit("1920x1080").alias("resolution"), F.lit(30.0).alias("fps"))
+    tiles = interval_segments(sources, 20.0, 0.0).filter(F.col("end") - F.col("start") >= 20.0)
+    chunks = tiles.select((F.col("source_id") * 4096 + F.col("tile_no")).alias("chunk_id"), "source_id", "start", "end", F.lit("gta").alias("profile"))
+    results = plugins.call_model(chunks.select("chunk_id"), Watch(), attempts=1, base_delay=0.0)
+    extracts = sources.select(
+        F.col("source_id").alias("extract_id"), "source_id", F.concat(F.lit("/out/"), "source_id", F.lit("/manifest.json")).alias("manifest_path"),
+        F.lit("interval").alias("segmenter"), F.lit("stand-in").alias("analyzer"), F.lit("gta").alias("game_profile"),
+        F.lit("2024-05-01T10:00:00+00:00").alias("created_at"), F.array(F.lit("stunt")).alias("taxonomy"))
+    docs = extract_manifests(sources, extracts, chunks, results, prof.whitelists(prof.builtin_profiles(spark)), views.samples(spark, sf), views.cues(spark, sf))
+    path = scratch_path(spark, "extracted")
+    manifest_json(docs).write.json(path)
+    good, _ = parse_manifests(spark.read.schema("manifest_path string, text string").json(path))
+    return good.select("manifest_path", F.col("source.file").alias("source_file"), F.explode("clips").alias("c")).select(
+        "manifest_path", "source_file", F.col("c.id").alias("clip_local_id"), "c.source_in", "c.source_out", "c.description",
+        F.array_join("c.categories", ",").alias("categories"), "c.score", "c.game_signals",
+        F.col("c.audio.peak_loudness_db").alias("peak_loudness_db"), "c.dialogue")

@@ -33,15 +33,20 @@ def scene_windows(spark, sf):
 
 
 @query("event_documents", _C + """, n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY source_in, clip_id) AS n FROM v_clips)
-SELECT source_id, string_agg(printf('- [%.1f-%.1fs] interest=', source_in, source_out) || score || ' cats=[' || category || '] signals={k=' || json_extract_string(game_signals, '$.k') || '} "scene ' || clip_id || '"', chr(10) ORDER BY n) AS text
-FROM n GROUP BY source_id""")
+SELECT source_id, CAST((n - 1) // 30 AS INTEGER) AS window_no, string_agg(printf('- [%.1f-%.1fs] interest=', source_in, source_out) || score || ' cats=[' || category || '] signals={k=' || json_extract_string(game_signals, '$.k') || '} "scene ' || clip_id || '"', chr(10) ORDER BY n) AS text
+FROM n GROUP BY ALL""")
 def event_documents(spark, sf):
+    """Event bullets of each source as parts in order, written and read back: no row holds a source."""
+    from ..plans.session import scratch_path
+
     c = views.clips(spark, sf).select(
         "source_id", "clip_id", F.col("source_in").alias("start"), F.col("source_out").alias("end"), "score",
         F.array("category").alias("cats"), F.from_json("game_signals", "map<string,string>").alias("signals"),
         F.concat(F.lit("scene "), "clip_id").alias("description"))
     line = ru.event_line(F.col("start"), F.col("end"), F.col("score"), F.col("cats"), F.col("signals"), F.col("description"))
-    return ru.join_parts(ru.scene_windows(c, line))
+    path = scratch_path(spark, "documents")
+    ru.write_documents(ru.scene_windows(c, line), path)
+    return spark.read.schema("source_id bigint, window_no int, text string").json(path)
 
 
 def _windows(spark, sf):
@@ -73,10 +78,38 @@ def joined_synopses(spark, sf):
 
 
 @query("source_summaries", _WINS + """SELECT source_id, CASE WHEN count(*) = 1 THEN arg_min(syn, w) ELSE substr(string_agg(syn, ' ' ORDER BY w), 1, 2000) END AS synopsis,
-  count(*) + 1 AS people, count(*) FILTER (WHERE e2 > s) AS beats FROM wr GROUP BY source_id""")
+  '' AS tone FROM wr GROUP BY source_id""")
 def source_summaries(spark, sf):
-    s = ru.summarize_sources(_windows(spark, sf))
-    return s.select("source_id", "synopsis", F.size("characters").cast("bigint").alias("people"), F.size("beats").cast("bigint").alias("beats"))
+    return ru.summarize_sources(_windows(spark, sf)).texts.select("source_id", "synopsis", "tone")
+
+
+@query("summary_cast", _WINS + """SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY w, k) - 1 AS INTEGER) AS pos, name, role FROM (
+  SELECT source_id, 0 AS w, 0 AS k, 'Ann' AS name, 'r0' AS role FROM win WHERE w = 0 UNION ALL SELECT source_id, w, 2, 'W' || w, '' FROM win)""")
+def summary_cast(spark, sf):
+    """The cast of each source as rows with a place."""
+    return ru.summarize_sources(_windows(spark, sf)).cast
+
+
+@query("summary_beats", _WINS + """SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY s, e2, 'b' || w) - 1 AS INTEGER) AS pos, s AS "start", e2 AS "end", 'b' || w AS title
+FROM wr WHERE e2 > s""")
+def summary_beats(spark, sf):
+    """The beats of each source as rows with a place."""
+    return ru.summarize_sources(_windows(spark, sf)).beats.select("source_id", "pos", "start", "end", "title")
+
+
+def _level(n: int) -> str:
+    return f"""l{n} AS (SELECT source_id, {n} AS level, w // 3 AS w, count(*) AS parts, substr(string_agg(syn, ' ' ORDER BY w), 1, 2000) AS syn
+  FROM l{n - 1} WHERE source_id IN (SELECT source_id FROM l{n - 1} WHERE w > 0) GROUP BY source_id, w // 3)"""
+
+
+_LEVELS = 12
+
+
+@query("summary_levels", _WINS + ", l0 AS (SELECT source_id, 0 AS level, w, 1 AS parts, syn FROM wr), " + ", ".join(map(_level, range(1, _LEVELS)))
+       + " UNION ALL ".join(f" SELECT source_id, CAST(level AS INTEGER) AS level, CAST(w AS INTEGER) AS window_no, CAST(parts AS INTEGER) AS parts, syn AS synopsis FROM l{n}" for n in range(_LEVELS)))
+def summary_levels(spark, sf):
+    """Window synopses reduced three at a time until one is left."""
+    return ru.summary_levels(_windows(spark, sf), 3)
 
 
 @query("merged_cast", """WITH e AS (SELECT c_nationkey AS source_id, c_custkey AS pos, c_mktsegment AS name, 'img' || c_custkey % 4 AS image,
@@ -188,3 +221,29 @@ def stream_dedup(spark, sf):
 
     build = lambda r: dedup_stream(r.select((F.col("source_id") * 10 + F.length("event_type")).alias("key"), "ts"), "400 days")
     return _replay(spark, sf, build, "dedup").select("key")
+
+
+@query("stream_islands", f"""WITH e AS (SELECT user_id AS source_id, event_id, epoch_us(ts) AS s, epoch_us(ts) + CAST(floor(value) AS BIGINT) * 60000000 AS e, event_type AS mark, CAST(floor(value) AS INTEGER) AS interest FROM events),
+o AS (SELECT *, max(e) OVER (PARTITION BY source_id ORDER BY s, e, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach,
+  lag(mark) OVER (PARTITION BY source_id ORDER BY s, e, event_id) AS before FROM e),
+r AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + {_H} OR mark <> before THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY s, e, event_id) AS run FROM o)
+SELECT source_id, min(s) // 1000000 AS "from", max(e) // 1000000 AS "to", count(*) AS merged, max(interest) AS base_interest, min(mark) AS mark FROM r GROUP BY source_id, run""")
+def stream_islands(spark, sf):
+    """Situations of a stream whose events arrive out of order in several files, with those that are open at its end."""
+    from ..plans.session import scratch_path
+    from ..streaming.islands import island_stream, open_islands
+
+    e, path = views.table(spark, sf, "events"), scratch_path(spark, "islands")
+    us = views.micros() + 1704067200000000
+    rows = e.select(
+        F.col("user_id").alias("source_id"), "event_id", F.timestamp_micros(us).alias("start"),
+        F.timestamp_micros(us + F.floor("value").cast("bigint") * 60000000).alias("end"), F.floor("value").cast("int").alias("base_interest"),
+        F.col("event_type").alias("mark"), (F.floor(views.micros() / (10 * 24 * _H)) + F.col("event_id") % 2).alias("part"))
+    for n in range(rows.agg(F.max("part")).first()[0] + 1):  # every second event comes ten days late
+        rows.filter(F.col("part") == n).drop("part").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    q = (island_stream(stream, 3600.0, "25 days").writeStream.format("parquet").outputMode("append").option("path", f"{path}/out")
+         .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start())
+    q.awaitTermination()
+    given = spark.read.parquet(f"{path}/out").unionByName(open_islands(spark, f"{path}/state", 3600.0))
+    return given.select("source_id", F.unix_seconds("start").alias("from"), F.unix_seconds("end").alias("to"), "merged", "base_interest", "mark")

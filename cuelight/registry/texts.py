@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import matching, termindex
 from ..operators import subtitles as sub
 from ..operators import textindex as ti
 from ..plans import views
@@ -19,8 +20,11 @@ def _docs(spark, sf):
     return d.select("doc_id", F.col("text").alias("dialogue"), F.col("source").alias("tags"), F.col("lang").alias("description"))
 
 
+_FIELDS = ["description", "dialogue", "tags"]
+
+
 def _postings(spark, sf, stemmed=False):
-    return ti.build_postings(_docs(spark, sf), ["doc_id"], ["description", "dialogue", "tags"], stemmed)
+    return ti.build_postings(_docs(spark, sf), ["doc_id"], _FIELDS, stemmed)
 
 
 _TOKENS = """WITH fields AS (
@@ -34,9 +38,7 @@ p AS (SELECT doc_id, field, unnest(ws) AS term, unnest(range(len(ws))) AS pos FR
 
 @query("token_counts", _TOKENS + "SELECT doc_id, field, count(*) AS tokens, count(DISTINCT term) AS terms FROM p GROUP BY ALL")
 def token_counts(spark, sf):
-    return _postings(spark, sf).groupBy("doc_id", "field").agg(
-        F.count("*").alias("tokens"), F.count_distinct("term").alias("terms")
-    )
+    return ti.field_statistics(_docs(spark, sf), ["doc_id"], _FIELDS)
 
 
 @query("term_statistics", _TOKENS + "SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS docs, max(pos) AS last_pos FROM p GROUP BY term")
@@ -75,17 +77,20 @@ def match_field(spark, sf):
     return ti.match(_postings(spark, sf), q, "doc_id", stemmed=False)
 
 
-@query("text_rank", _TOKENS + """, len AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+_RANK = _TOKENS + """, len AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS docs, avg(n) AS mean FROM len),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM p WHERE term IN ('the', 'license', 'und') GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 w AS (SELECT doc_id, greatest(CAST(1e-6 AS DOUBLE), ln((docs - df + 0.5) / (df + 0.5))) * tf * CAST(2.2 AS DOUBLE)
   / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * n / mean)) AS s
   FROM tf JOIN df USING (term) JOIN len USING (doc_id), st)
-SELECT doc_id, round(-sum(s), 6) AS rank FROM w GROUP BY doc_id""")
+"""
+
+
+@query("text_rank", _RANK + "SELECT doc_id, round(-sum(s), 6) AS rank FROM w GROUP BY doc_id")
 def text_rank(spark, sf):
-    p = _postings(spark, sf)
-    r = ti.rank(p, ti.document_lengths(p, "doc_id"), ti.TextQuery(any_of=["the", "license", "und"]), "doc_id", stemmed=False)
+    lengths = ti.text_lengths(_docs(spark, sf), ["doc_id"], _FIELDS)
+    r = ti.rank(_postings(spark, sf), lengths, ti.TextQuery(any_of=["the", "license", "und"]), "doc_id", stemmed=False)
     return r.select("doc_id", F.round("rank", 6).alias("rank"))
 
 
@@ -102,7 +107,63 @@ SELECT doc_id, round(-sum(s), 6) AS rank FROM w GROUP BY doc_id""")
 def phrase_rank(spark, sf):
     p = _postings(spark, sf)
     q = ti.TextQuery(phrase=["in", "the"], prefix=["lic"])
-    return ti.rank(p, ti.document_lengths(p, "doc_id"), q, "doc_id", stemmed=False).select("doc_id", F.round("rank", 6).alias("rank"))
+    return ti.rank(p, ti.text_lengths(_docs(spark, sf), ["doc_id"], _FIELDS), q, "doc_id", stemmed=False).select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+_NESTED = _TOKENS + """, hit AS (
+  SELECT a.doc_id FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.field = b.field AND b.pos = a.pos + 1 AND a.term = 'in' AND b.term = 'the'
+  WHERE a.doc_id IN (SELECT doc_id FROM p WHERE term = 'en' AND field = 'description')
+  UNION SELECT doc_id FROM p WHERE term LIKE 'lic%' AND doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'une'))
+"""
+EXPRESSION = '("in the" AND description : en) OR lic* NOT une'
+
+
+@query("match_expression", _NESTED + "SELECT doc_id FROM hit")
+def match_expression(spark, sf):
+    """An expression with a phrase, a field, a beginning and all three operators, in one pass over the postings."""
+    return matching.matching(_postings(spark, sf), EXPRESSION, "doc_id", stemmed=False)
+
+
+@query("match_groups", _TOKENS + """SELECT DISTINCT doc_id FROM p WHERE term = 'und' OR doc_id IN (
+  SELECT doc_id FROM p WHERE term IN ('the', 'and') GROUP BY doc_id HAVING count(DISTINCT term) = 2)
+  AND doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'license')""")
+def match_groups(spark, sf):
+    one, two, three, four = (matching.Words((w,)) for w in ("the", "and", "license", "und"))
+    tree = matching.Some((matching.Without(matching.Every((one, two)), three), four))
+    return matching.matching(_postings(spark, sf), tree, "doc_id", stemmed=False)
+
+
+@query("rank_expression", _NESTED + """, len AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS docs, avg(n) AS mean FROM len),
+tf AS (SELECT a.doc_id, 'phrase' AS part, count(*) AS tf FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.field = b.field AND b.pos = a.pos + 1
+    WHERE a.term = 'in' AND b.term = 'the' GROUP BY a.doc_id
+  UNION ALL SELECT doc_id, 'field', count(*) FROM p WHERE term = 'en' AND field = 'description' GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'prefix', count(*) FROM p WHERE term LIKE 'lic%' GROUP BY doc_id),
+df AS (SELECT part, count(*) AS df FROM tf GROUP BY part),
+w AS (SELECT doc_id, greatest(CAST(1e-6 AS DOUBLE), ln((docs - df + 0.5) / (df + 0.5))) * tf * CAST(2.2 AS DOUBLE)
+  / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * n / mean)) AS s
+  FROM tf JOIN df USING (part) JOIN len USING (doc_id), st WHERE doc_id IN (SELECT doc_id FROM hit))
+SELECT doc_id, round(-sum(s), 6) AS rank FROM w GROUP BY doc_id""")
+def rank_expression(spark, sf):
+    p = _postings(spark, sf)
+    return matching.ranked(p, ti.text_lengths(_docs(spark, sf), ["doc_id"], _FIELDS), EXPRESSION, "doc_id", stemmed=False).select(
+        "doc_id", F.round("rank", 6).alias("rank"))
+
+
+def _index(spark, sf):
+    return termindex.new_index(_postings(spark, sf), ti.text_lengths(_docs(spark, sf), ["doc_id"], _FIELDS), id_column="doc_id")
+
+
+@query("indexed_rank", _RANK + "SELECT doc_id, round(-sum(s), 6) AS rank FROM w GROUP BY doc_id")
+def indexed_rank(spark, sf):
+    """Ranks from an index written by term: only the folders of the asked terms are read, and no lengths."""
+    return _index(spark, sf).rank(["the", "license", "und"], stemmed=False).select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
+
+
+@query("indexed_best", _RANK.replace("IN ('the', 'license', 'und')", "IN ('license', 'und')") + ", r AS (SELECT doc_id, -sum(s) AS rank FROM w GROUP BY doc_id) SELECT doc_id, round(rank, 6) AS rank FROM r ORDER BY rank, doc_id LIMIT 40")
+def indexed_best(spark, sf):
+    """The best documents, by blocks whose greatest weights can still bring them in."""
+    return _index(spark, sf).best(["license", "und"], 40, stemmed=False).select(F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"))
 
 
 @query("index_removal", _TOKENS + "SELECT field, count(*) AS n FROM p WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang <> 'de') GROUP BY field")

@@ -64,6 +64,10 @@ CONTEXT_CHARACTER = StructType([
 ])
 CONTEXT = StructType([opt("intro", StringType(), ""), opt("characters", ArrayType(CONTEXT_CHARACTER))])
 
+ALIGNMENT = StructType([
+    need("characters", _TEXTS), need("start_times", ArrayType(DoubleType())), need("end_times", ArrayType(DoubleType())),
+])
+
 PROFILE_SIGNAL = StructType([
     need("key", StringType()), need("type", StringType()), need("description", StringType()),
 ])

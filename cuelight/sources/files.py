@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -50,22 +52,25 @@ def build_manifests(sources: DataFrame, extracts: DataFrame, clips: DataFrame, s
     )
 
 
-def manifest_json(manifests: DataFrame) -> DataFrame:
-    """``manifest_path, text``: the document as JSON, signals as an object again. Missing optional fields are written as
+def manifest_json(manifests: DataFrame, keep: Sequence[str] = ("manifest_path",)) -> DataFrame:
+    """The columns ``keep`` and ``text``: the document as JSON, signals as an object again. Missing optional fields are written as
     their defaults, so that the text can be read strictly."""
     clip = lambda c: F.struct(*[
         (F.parse_json(c[f.name]) if f.name == "game_signals" else c[f.name]).alias(f.name) for f in schemas.CLIP
     ])
     known = StructType([f for f in schemas.MANIFEST if f.name in manifests.columns])
-    full = manifests.select("manifest_path", F.struct(*known.names).alias("_doc")).select(
-        "manifest_path", F.expr(with_defaults("_doc", known)).alias("_full"))
-    return full.select("manifest_path", "_full.*").withColumn("clips", F.transform("clips", clip)).select(
-        "manifest_path", F.to_json(F.struct(*known.names), {"ignoreNullFields": "false"}).alias("text")
+    full = manifests.select(*keep, F.struct(*known.names).alias("_doc")).select(
+        *keep, F.expr(with_defaults("_doc", known)).alias("_full"))
+    return full.select(*keep, "_full.*").withColumn("clips", F.transform("clips", clip)).select(
+        *keep, F.to_json(F.struct(*known.names), {"ignoreNullFields": "false"}).alias("text")
     )
 
 
 def write_manifests(manifests: DataFrame, path: str, partition: str | None = None) -> None:
-    write_documents(manifests, path, partition)
+    """One document per line, as ``scan_manifests`` reads it; ``partition`` gives each value, such as the stem of a source,
+    a folder of its own, and with one manifest per value every file is a manifest."""
+    writer = manifest_json(manifests, [partition] if partition else []).write.mode("overwrite")
+    (writer.partitionBy(partition) if partition else writer).text(path)
 
 
 def scan_edls(spark: SparkSession, root: str, name: str = "*.json") -> tuple[DataFrame, DataFrame]:
@@ -114,23 +119,33 @@ def scan_subtitle_files(spark: SparkSession, path: str, name: str = "*.{srt,vtt}
     )
 
 
-def scan_context(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_context(spark: SparkSession, path: str, name: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Intro and characters of context files, and rejects."""
-    return parse_documents(read_texts(spark, path), "text", schemas.CONTEXT)
+    return parse_documents(read_texts(spark, path, name), "text", schemas.CONTEXT)
 
 
-def scan_loudness_log(spark: SparkSession, path: str) -> DataFrame:
-    """``path, t, db`` from level-meter logs."""
-    return parse_loudness_log(read_texts(spark, path))
+def scan_loudness_log(spark: SparkSession, path: str, name: str | None = None, **kwargs) -> DataFrame:
+    """``path, t, db`` from level-meter logs, read line by line: a long log is many rows, in the order of its parts and of the
+    lines in them."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    lines = (reader.option("pathGlobFilter", name) if name else reader).text(path).select(
+        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("part"),
+        F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    return parse_log_lines(lines, "path", ["part", "line_no"], **kwargs)
 
 
 def parse_loudness_log(logs: DataFrame, key: str = "path", **kwargs) -> DataFrame:
+    """The levels of logs that are at hand as whole texts (``key, text``)."""
+    lines = logs.select(key, F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
+    return parse_log_lines(lines, key, ["line_no"], **kwargs)
+
+
+def parse_log_lines(lines: DataFrame, key: str, order: Sequence[str], **kwargs) -> DataFrame:
     """Pair each level line with the latest time line before it.
 
-    ``logs``: ``key, text``. A time that cannot be read blanks the current time;
+    ``lines``: ``key``, the columns of ``order``, and ``line``. A time that cannot be read blanks the current time;
     a level that cannot be read is skipped.
     """
-    lines = logs.select(key, F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
     line = strip(F.regexp_replace(strip("line"), r"^\[[^\]]*\]", ""))
     is_time = line.contains("pts_time:")
     stamp = F.regexp_extract(line, r"(?:^|\s)pts_time:(\S*)", 1).try_cast("double")
@@ -140,10 +155,10 @@ def parse_loudness_log(logs: DataFrame, key: str = "path", **kwargs) -> DataFram
         level.try_cast("double")
     )
     marked = lines.select(
-        key, "line_no", F.when(is_time, F.struct(stamp.alias("t"))).alias("clock"),
+        key, *order, F.when(is_time, F.struct(stamp.alias("t"))).alias("clock"),
         F.when(is_level, level).alias("db"),
-    )
-    timed = ordered_scan(marked, [key], ["line_no"], [last_known("now", F.col("clock"))], **kwargs)
+    ).filter("clock IS NOT NULL OR db IS NOT NULL")
+    timed = ordered_scan(marked, [key], order, [last_known("now", F.col("clock"))], **kwargs)
     return timed.filter("db IS NOT NULL AND now.t IS NOT NULL").select(key, F.col("now.t").alias("t"), "db")
 
 
@@ -164,13 +179,21 @@ def fingerprint(path, length, seconds):
     return F.sha1(F.concat(path, length.cast("string"), seconds.cast("string")))
 
 
-def scan_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """``utterance_id, characters, start_times, end_times`` from JSON files."""
-    schema = "characters array<string>, start_times array<double>, end_times array<double>"
-    texts = read_texts(spark, path)
-    return texts.select(F.col("path").alias("utterance_id"), F.from_json("text", schema).alias("a")).select(
-        "utterance_id", "a.*"
-    )
+def scan_alignments(spark: SparkSession, path: str, name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``utterance_id, characters, start_times, end_times`` from JSON files, and rejects: unknown keys, missing or wrong
+    fields, and arrays of unequal length."""
+    return parse_alignments(read_texts(spark, path, name).withColumnRenamed("path", "utterance_id"))
+
+
+def parse_alignments(texts: DataFrame, column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Alignments from JSON texts beside the other columns, and rejects with a ``problems`` array."""
+    good, bad = parse_documents(texts.withColumn("_raw", F.col(column)), column, schemas.ALIGNMENT)
+    sizes = [F.size(n) for n in ("characters", "start_times", "end_times")]
+    equal = (sizes[0] == sizes[1]) & (sizes[1] == sizes[2])
+    others = [c for c in texts.columns if c != column]
+    unequal = good.filter(~equal).select(*others, F.col("_raw").alias("text"), F.array(F.concat(
+        F.lit("unequal lengths: "), F.concat_ws(", ", *[s.cast("string") for s in sizes]))).alias("problems"))
+    return good.filter(equal).drop("_raw"), bad.drop("_raw").unionByName(unequal)
 
 
 def alignment_characters(alignments: DataFrame) -> DataFrame:

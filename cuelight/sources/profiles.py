@@ -74,9 +74,9 @@ def builtin_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, PROFILE_ROWS)
 
 
-def scan_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def scan_profiles(spark: SparkSession, path: str, name: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Custom profiles from JSON files, and rejects."""
-    return parse_profiles(read_texts(spark, path))
+    return parse_profiles(read_texts(spark, path, name))
 
 
 def parse_profiles(texts: DataFrame, column: str = "text") -> tuple[DataFrame, DataFrame]:

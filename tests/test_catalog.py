@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from cuelight.operators import catalog as cat
-from cuelight.operators import edl, layout
+from cuelight.operators import edl, layout, store
 from cuelight.operators.search import absolute_path, get_clip, get_source, get_summary, preview, search
 from cuelight.operators.textindex import TextQuery, match, signal_values
 from cuelight.sources import files
@@ -84,8 +84,10 @@ def test_manifest_files_are_found_and_written(spark, tmp_path):
     good, bad = files.scan_manifests(spark, str(tmp_path))
     assert rows(good, "manifest_path") == [(f"{tmp_path}/a/manifest.json",), (f"{tmp_path}/b/c/manifest.json",)]
     assert bad.count() == 0
-    files.write_manifests(good.withColumn("stem", F.lit("x")), str(tmp_path / "out"), "stem")
-    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    files.write_manifests(good.withColumn("stem", F.sha1("manifest_path")), str(tmp_path / "out"), "stem")
+    again, bad = files.scan_manifests(spark, str(tmp_path / "out"), "part-*")
+    shape = lambda df: [(r.file, [{**c.asDict(True), "game_signals": json.loads(c.game_signals)} for c in r.clips]) for r in df.select("source.file", "clips").collect()]
+    assert bad.count() == 0 and shape(again) == shape(good)
 
 
 def test_search_filters(base):
@@ -216,19 +218,66 @@ def test_only_touched_buckets_are_rewritten(spark, base, tmp_path):
     root = str(tmp_path / "catalog")
     other, _ = ingested(spark, ("/m/o/manifest.json", manifest(file="/v/other.mp4")), into=base)
     cat.write_catalog(other, root, buckets=8)
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "catalog" / "clips").rglob("*.parquet")}
+    before = store.latest(spark, root)
     good, _ = parsed(spark, ("/m/n/manifest.json", manifest()))
     report = cat.update_catalog(spark, root, good, buckets=8)
     assert rows(report, "manifest_path", "created") == [("/m/n/manifest.json", False)]
     after = cat.read_catalog(spark, root)
     assert counts(after) == counts(other)
     assert ("/m/n/manifest.json",) in rows(after.extracts, "manifest_path")
-    now = {p: p.stat().st_mtime_ns for p in (tmp_path / "catalog" / "clips").rglob("*.parquet")}
-    assert any(before.get(p) == t for p, t in now.items())
-    assert cat.stored_bytes(spark, root).first()[0] > 0
+    now = store.latest(spark, root)
+    touched = set(cat.touched_buckets(base.sources, 8))
+    assert {k for k, f in before.folders.items() if now.folders.get(k) == f} == {k for k in before.folders if k[1] not in touched} != set()
+    size = cat.stored_bytes(spark, root).first()[0]
     good, _ = parsed(spark, ("/m/n/manifest.json", manifest(clips=[])))
     cat.update_catalog(spark, root, good, buckets=8)
     assert counts(cat.read_catalog(spark, root)) == {"sources": 2, "extracts": 2, "clips": 2, "clip_categories": 3}
+    assert 0 < cat.stored_bytes(spark, root).first()[0] < size
+    # a bucket without rows has no folder and no files
+    assert not [k for k in store.latest(spark, root).folders if k[0] == "clips" and k[1] in touched]
+    folders = list((tmp_path / "catalog" / "data").glob("*/*/*"))
+    assert store.sweep(spark, root) > 0
+    left = [f for f in folders if f.exists() and f.is_dir()]
+    assert {str(f.relative_to(tmp_path / "catalog")) for f in left} == set(store.latest(spark, root).folders.values())
+    assert counts(cat.read_catalog(spark, root)) == {"sources": 2, "extracts": 2, "clips": 2, "clip_categories": 3}
+    assert store.sweep(spark, root) == 0 == store.sweep(spark, str(tmp_path / "none"))
+
+
+@pytest.mark.parametrize("table", [0, 3, 6])
+def test_an_update_that_ends_half_way_changes_nothing(spark, base, tmp_path, monkeypatch, table):
+    root = str(tmp_path / "catalog")
+    cat.write_catalog(base, root, buckets=2)
+    early = cat.read_catalog(spark, root)
+    seen, wanted = [], rows(base.postings)
+
+    def broken(place, tables):
+        done = dict(list(tables.items())[:table])  # it ends between two of the tables
+        seen.append(whole(place, done))
+        raise RuntimeError("the run ended")
+
+    whole = store.write_buckets
+    good, _ = parsed(spark, ("/m/n/manifest.json", manifest(clips=[])))
+    with monkeypatch.context() as m:
+        m.setattr(store, "write_buckets", broken)
+        with pytest.raises(RuntimeError, match="ended"):
+            cat.update_catalog(spark, root, good)
+    assert len(seen) == 1
+    assert counts(cat.read_catalog(spark, root)) == counts(base) and rows(cat.read_catalog(spark, root).postings) == wanted
+    cat.update_catalog(spark, root, good)
+    assert counts(cat.read_catalog(spark, root))["clips"] == 0
+    assert counts(early) == counts(base)  # a reader that began before still has its files
+
+
+def test_two_updates_of_one_state(spark, base, tmp_path):
+    root = str(tmp_path / "catalog")
+    cat.write_catalog(base, root, buckets=2)
+    good, _ = parsed(spark, ("/m/n/manifest.json", manifest(clips=[])))
+    first, _ = cat.staged_update(spark, root, good)
+    second, _ = cat.staged_update(spark, root, good)
+    store.publish(spark, root, first)
+    with pytest.raises(RuntimeError, match="run this one again"):
+        store.publish(spark, root, second)
+    assert store.latest(spark, root).folders == first.folders
 
 
 def test_stored_removal(spark, base, tmp_path):
@@ -251,7 +300,7 @@ def test_buckets_and_version_are_stored(spark, base, tmp_path):
         cat.update_catalog(spark, root, good, buckets=8)
     cat.update_catalog(spark, root, good)
     assert counts(cat.read_catalog(spark, root)) == counts(base) and cat.stored_buckets(spark, root) == 4
-    spark.createDataFrame([(1, 4)], "version int, buckets int").write.mode("overwrite").parquet(f"{root}/meta")
+    store.publish(spark, root, store.Published(9, 1, 4, {}))
     with pytest.raises(ValueError, match="version 1"):
         cat.read_catalog(spark, root)
 
@@ -372,4 +421,4 @@ def test_stored_search_pushes_filters_and_prunes_columns(spark, base, tmp_path,
     assert scores(search(stored, min_score=70)) == [82]
     only = cat.touched_buckets(stored.sources, 2)
     cat.read_catalog(spark, str(tmp_path / "c"), only).clips.explain("formatted")
-    assert "PartitionFilters: [isnotnull(bucket" in capsys.readouterr().out
+    assert f"clips/bucket={only[0]}]" in capsys.readouterr().out

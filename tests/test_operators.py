@@ -262,10 +262,43 @@ def test_sixty_scenes_make_two_windows(spark):
     reply = F.concat(F.lit('{"synopsis":"part","characters":[{"name":"Ann"},{"name":"ANN"}],"beats":[{"title":"b","start":'),
                      F.col("start").cast("string"), F.lit(',"end":'), F.col("end").cast("string"), F.lit("}]}"))
     read = rollup.read_window_summaries(windows.select("source_id", "window_no", F.lit(700.0).alias("duration"), reply.alias("text")))
-    s = rollup.summarize_sources(read).collect()
-    assert len(s) == 1 and s[0].synopsis == "part part" and len(s[0].characters) == 1 and len(s[0].beats) == 2
+    s = rollup.summarize_sources(read)
+    assert rows(s.texts, "synopsis") == [("part part",)]
+    assert rows(s.cast, "pos", "name") == [(0, "Ann")] and rows(s.beats, "pos", "start") == [(0, 0.0), (1, 300.0)]
     empty = read.withColumns({"synopsis": F.lit(""), "beats": F.slice("beats", 1, 0)})
-    assert rollup.summarize_sources(empty).count() == 0
+    assert rollup.summarize_sources(empty).texts.count() == 0
+
+
+def test_synopses_are_reduced_level_by_level(spark):
+    words = [f"w{i} " + "x" * (i % 7) for i in range(95)]
+    windows = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)] + [(2, 0, "alone"), (3, 0, ""), (3, 1, "second")],
+                                    "source_id long, window_no int, synopsis string")
+    levels = rollup.summary_levels(windows, 4, 100)
+    assert max(r.parts for r in levels.collect()) == 4
+    last = {r.source_id: r for r in levels.orderBy("level").collect()}
+    assert last[1].synopsis == " ".join(words)[:100] and last[1].level == 4 and last[1].window_no == 0
+    assert (last[2].level, last[2].synopsis, last[3].level, last[3].synopsis) == (0, "alone", 1, "second")
+
+    def shorter(rows):
+        assert rows.columns == ["source_id", "level", "window_no", "parts", "texts"]
+        return rows.withColumn("synopsis", F.concat(F.lit("of "), F.size("texts").cast("string")))
+
+    told = rollup.summary_levels(windows, 30, combine=shorter).orderBy(F.desc("level"), "source_id").first()
+    assert (told.level, told.synopsis) == (2, "of 4")
+    assert rollup.summary_levels(windows.limit(0)).count() == 0
+
+
+def test_prompts_have_context_and_rules(spark):
+    people = "array<struct<name:string,description:string,images:array<string>>>"
+    df = spark.createDataFrame([(" A race. ", [("Ann", " driver ", ["a.png", "b.png"]), ("Bo", "", [])]), ("", []), (None, None)], f"intro string, cast {people}")
+    got = [r[0] for r in df.select(rollup.context_preamble(F.col("intro"), F.col("cast"))).collect()]
+    assert got == ["About this recording: A race.\nPeople in it:\n- Ann: driver (pictures: 2)\n- Bo\n\n", "", ""]
+    chunks = spark.createDataFrame([("p", 0.0, 5.0, "Ctx. "), ("q", 0.0, 5.0, "")], "profile string, start double, end double, context string")
+    known = spark.createDataFrame([("p", "game", ["a"], "", " ", "", []), ("q", "game", ["a"], "", "Cut at doors.", "", [])],
+                                  "profile string, subject string, taxonomy array<string>, hints string, rules string, example string, signals array<struct<key:string,type:string,description:string>>")
+    one, two = (r.prompt for r in rollup.render_prompts(chunks, known).orderBy("profile").collect())
+    assert one.startswith("Ctx. A 5.0-second piece of game") and rollup.RULES in one
+    assert "Cut at doors." in two and rollup.RULES not in two
 
 
 def test_failed_work_is_tried_again(spark):
@@ -282,6 +315,65 @@ def test_failed_work_is_tried_again(spark):
     assert rows(work.recorded(tasks, done, "analysis"), "key", "payload") == [("good", '{"a":1}')]
 
 
+def test_a_killed_run_is_resumed(spark, tmp_path):
+    import os
+    import signal as signals
+
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def calling(kill):
+        def call(task):
+            if kill and len(os.listdir(log)) >= 25:
+                os.kill(os.getpid(), signals.SIGKILL)
+            (log / f"{task['key']}-{kill}").write_text("")
+            return "no answer" if task["key"] == "k07" else '{"of":"%s"}' % task["key"]
+        return call
+
+    tasks = spark.createDataFrame([(f"k{i:02}", i) for i in range(60)], "key string, n int")
+    with pytest.raises(Exception):
+        plugins.resumable_calls(tasks, calling(True), str(tmp_path / "done"), "analysis", 10, attempts=1)
+    recorded = {r.key for r in spark.read.parquet(str(tmp_path / "done" / "analysis")).collect()}
+    assert 0 < len(recorded) < 60
+    out = plugins.resumable_calls(tasks, calling(False), str(tmp_path / "done"), "analysis", 10, attempts=1, concurrency=4)
+    assert {r.key: r.payload for r in out.collect()} == {f"k{i:02}": "no answer" if i == 7 else '{"of":"k%02d"}' % i for i in range(60)}
+    second = {p.name.removesuffix("-False") for p in log.iterdir() if p.name.endswith("-False")}
+    assert not second & recorded and second | recorded == {f"k{i:02}" for i in range(60)}
+    again = plugins.resumable_calls(tasks, calling(True), str(tmp_path / "done"), "analysis", 10, attempts=1)
+    assert again.filter("payload IS NOT NULL").count() == 60  # nothing is called
+
+
+def test_calls_keep_their_order_and_their_pace(spark):
+    import time
+
+    def slow(task):
+        time.sleep(0.02 * (5 - task["n"] % 5))
+        if task["n"] == 3:
+            raise plugins.PermanentError("never")
+        return '{"n":%d}' % task["n"]
+
+    tasks = spark.createDataFrame([(i,) for i in range(20)], "n int").coalesce(1)
+    got = plugins.call_model(tasks, slow, concurrency=5).collect()
+    assert [(r.n, r.payload) for r in got] == [(i, None if i == 3 else '{"n":%d}' % i) for i in range(20)]
+    pace, begun = plugins.Pace(50.0), time.monotonic()
+    for _ in range(11):
+        pace.wait()
+    assert time.monotonic() - begun >= 0.19
+
+
+def test_chained_keys(spark):
+    sources = spark.createDataFrame([(1, "f1", "manual"), (2, "f2", "manual"), (3, "f3", "auto")], "source_id long, fingerprint string, segmenter string")
+    cuts = spark.createDataFrame([(1, 0.0, 5.0), (1, 6.0, 9.0), (2, 0.0, 5.0)], "source_id long, start double, end double")
+    chunks = spark.createDataFrame([(s, float(i), i + 1.0, "p") for s in (1, 2, 3) for i in range(2)], "source_id long, start double, end double, profile string")
+    keys = lambda c, s=sources: {(r.source_id, r.start): r.key for r in work.analysis_keys(s, c, chunks, ["profile"]).collect()}
+    before = keys(cuts)
+    assert before == keys(cuts.orderBy(F.desc("start"))) and len(set(before.values())) == 6
+    edited = keys(cuts.withColumn("end", F.when(F.col("source_id") == 2, 5.5).otherwise(F.col("end"))))
+    assert {k for k in before if before[k] != edited[k]} == {(2, 0.0), (2, 1.0)}
+    other = keys(cuts, sources.withColumn("segmenter", F.when(F.col("source_id") == 3, "scene").otherwise(F.col("segmenter"))))
+    assert {k[0] for k in before if before[k] != other[k]} == {3}
+
+
 def test_profiles(spark):
     assert profiles.builtin_profiles(spark).count() == 8
     good, bad = profiles.parse_profiles(spark.createDataFrame(
@@ -306,7 +398,13 @@ def test_context_files_and_cast(spark, tmp_path):
 
 def test_alignment_files(spark, tmp_path):
     (tmp_path / "u.json").write_text(json.dumps({"characters": ["H", "i"], "start_times": [0, 0.1], "end_times": [0.1, 0.2]}))
-    chars = files.alignment_characters(files.scan_alignments(spark, str(tmp_path)))
+    (tmp_path / "short.json").write_text(json.dumps({"characters": ["H", "i"], "start_times": [0], "end_times": [0.1, 0.2]}))
+    (tmp_path / "more.json").write_text(json.dumps({"characters": [], "start_times": [], "end_times": [], "speed": 1}))
+    (tmp_path / "less.json").write_text(json.dumps({"characters": [], "start_times": []}))
+    good, bad = files.scan_alignments(spark, str(tmp_path))
+    assert {r.utterance_id.rsplit("/", 1)[1]: r.problems for r in bad.collect()} == {
+        "short.json": ["unequal lengths: 2, 1, 2"], "more.json": ["unknown key: speed"], "less.json": ["missing field: end_times"]}
+    chars = files.alignment_characters(good)
     assert rows(chars, "pos", "ch", "start", "end") == [(0, "H", 0.0, 0.1), (1, "i", 0.1, 0.2)]
 
 

@@ -188,6 +188,15 @@ def test_salted_join_agrees(skewed):
     assert rows(interval_join(few, left, ["source_id"], **turned), "a", "b") == want
 
 
+def test_interval_join_reads_its_inputs_once(spark, skewed):
+    left = skewed.select("source_id", "start", "end")
+    right = skewed.select("source_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    spark.sparkContext.setJobGroup("planned", "")
+    interval_join(left, right, ["source_id"], left_span=("start", "end"), right_span=("s", "e"), width=20.0)
+    spark.sparkContext.setJobGroup("other", "")
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planned")) == []
+
+
 def test_interval_join_has_no_cartesian_product(skewed, capsys):
     left = skewed.select("source_id", "start", "end")
     right = skewed.select("source_id", F.col("start").alias("s"), F.col("end").alias("e"))

@@ -84,3 +84,43 @@ def test_continuous_ingest(spark, tmp_path):
     assert counts(got) == {"sources": 2, "extracts": 2, "clips": 4, "clip_categories": 6}
     assert {r[0].split("/")[-2] for r in rows(got.extracts, "manifest_path")} == {"again", "b"}
     assert spark.read.json(f"{tmp_path}/bad").filter(F.col("text") == "{").count() == 1
+
+
+def test_islands_in_any_order_of_arrival(spark, tmp_path):
+    import random
+
+    from cuelight.streaming import islands
+
+    rng = random.Random(3)
+    schema = "source_id long, event_id long, start timestamp, end timestamp, base_interest int, mark string"
+    events, t = [], 0
+    for i in range(120):
+        t += rng.choice([1, 3, 5, 30])
+        events.append({"source_id": i % 2, "event_id": i, "start": at(t), "end": at(t + rng.randint(1, 8)), "base_interest": rng.randint(0, 99), "mark": rng.choice("aab")})
+    late = [e for e in events if e["event_id"] == 5]
+    order = [e for e in events if e["event_id"] != 5]
+    batches = [order[i:i + 30] for i in range(0, len(order), 30)]
+    for batch in batches:
+        rng.shuffle(batch)
+    batches[1], batches[2] = batches[1][::2] + batches[2][::2], batches[1][1::2] + batches[2][1::2]  # across batches too
+    batches.append(late)  # much too late
+    source, state = tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
+    query = islands.island_stream(stream, 4.0, "300 seconds").writeStream.format("memory").queryName("islands").outputMode("append").option(
+        "checkpointLocation", state).start()
+    for i, batch in enumerate(batches):
+        (source / f"{i}.json").write_text("\n".join(json.dumps(r) for r in batch))
+        query.processAllAvailable()
+    query.stop()
+    given = spark.table("islands")
+    assert given.count() > 3
+    everything = given.unionByName(islands.open_islands(spark, state, 4.0))
+    us = lambda text: int((datetime.fromisoformat(text) - T0).total_seconds() * 1e6)
+    want = []
+    for s in (0, 1):
+        own = sorted((us(e["start"]), us(e["end"]), e["event_id"], e["base_interest"], e["mark"]) for e in order if e["source_id"] == s)
+        run, ended = islands.walk(None, own, 4_000_000)
+        want += [(s, *r[:5]) for r in [*ended, run]]
+    got = [(r.source_id, int((r.start - T0).total_seconds() * 1e6), int((r.end - T0).total_seconds() * 1e6), r.merged, r.base_interest, r.mark) for r in everything.collect()]
+    assert sorted(got) == sorted(want)
