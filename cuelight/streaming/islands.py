@@ -72,7 +72,10 @@ class _Islands(StatefulProcessor):
             self.open.clear()
         else:
             self.open.update(run)
-        for at in [later[0][0] // 1000 + 1] * bool(later) + [(run[5] + self.gap) // 1000 + 1] * (run is not None):
+        again = [later[0][0]] if later else []
+        if run is not None:
+            again.append(run[5] + self.gap)
+        for at in (a // 1000 + 1 for a in again):
             self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
         return iter([frame(key[0], ended)] if ended else [])
 

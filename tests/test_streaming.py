@@ -107,7 +107,7 @@ def test_islands_in_any_order_of_arrival(spark, tmp_path):
     source, state = tmp_path / "in", str(tmp_path / "state")
     source.mkdir()
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
-    query = islands.island_stream(stream, 4.0, "300 seconds").writeStream.format("memory").queryName("islands").outputMode("append").option(
+    query = islands.island_stream(stream, 4.0, "700 seconds").writeStream.format("memory").queryName("islands").outputMode("append").option(
         "checkpointLocation", state).start()
     for i, batch in enumerate(batches):
         (source / f"{i}.json").write_text("\n".join(json.dumps(r) for r in batch))
