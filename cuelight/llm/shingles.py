@@ -376,7 +376,9 @@ def linked_sketches(texts: DataFrame, found: DataFrame, least: Fraction, words:
     tiles = scratch.stored(_pair_tiles(pairs, unique, scratch).unionByName(crowds), "tiles")
     links = scratch.stored(_compared(tiles, texts, unique, least, words, seed), "near")
     roots = scratch.stored(components(links, scratch=Scratch(texts.sparkSession, "near")).withColumnRenamed("node", "sig"), "roots")
-    left = scratch.stored(_open_tiles(large, roots, scratch), "left")
+    # a group of one block has been compared whole by now
+    several = large.join(first.filter("parts > 1").select("key"), "key", "left_semi")
+    left = scratch.stored(_open_tiles(several, roots, scratch), "left")
     if not left.isEmpty():
         links = links.unionByName(scratch.stored(_compared(left, texts, unique, least, words, seed), "more"))
     named = scratch.stored(found.filter("sig is not null").groupBy("sig").agg(F.min("print").alias("print")), "named")
