@@ -539,7 +539,7 @@ if sys.argv[1] == "secrets":
 elif sys.argv[1] == "quality":
     assert len(quality.NGrams()(array)[0]) > 5
 else:
-    assert simhash.fingerprint(text) and len(shingles.shingles(text)) == 8
+    assert simhash.fingerprint(text) and len(shingles.shingles(text)) == 7
 print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - begin) // 1024)
 """
     for what, most in (("secrets", 400), ("quality", 250), ("simhash", 350)):
